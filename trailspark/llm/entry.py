@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, licenses, pieces, secrets
+from . import htmltext, licenses, pieces, quality, secrets, toxicity
 from .common import table
 
 
@@ -20,9 +20,11 @@ def piece_model() -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_license_scan": lambda spark, d: licenses.report(table(spark, d, "documents")),
+        "op5_toxicity": lambda spark, d: toxicity.report(table(spark, d, "documents"), table(spark, d, "labels")),
         "op6_secret_scan": lambda spark, d: secrets.report(table(spark, d, "documents")),
         "op8_sentencepiece": lambda spark, d: pieces.digests(table(spark, d, "documents"), piece_model()),
         "op9_html_text": lambda spark, d: htmltext.extract(table(spark, d, "pages")),
+        "op10_quality": lambda spark, d: quality.report(table(spark, d, "documents"), table(spark, d, "labels")),
     }
 
 

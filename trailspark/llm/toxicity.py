@@ -37,14 +37,26 @@ TABLE_ENTRIES = 300_000
 #: Labelled rows that the model is fitted on, at most; features kept, at most.
 MAX_ROWS, MAX_FEATURES = 8000, 1000
 STEMS = (4, 5)
-EDGES = re.compile(r"^[^\w@$+]+|[^\w@$+]+$|([^\w])\1+$")
-PLAIN = re.compile(r"[^\W\d_]+\Z")
+PUNCTUATION = ".,;:!?\"'()[]{}<>*#%&^~`_-/\\=…„“”«»¿"
+SYMBOL_RUN = re.compile(r"^([^\w])\1+|([^\w])\2+$")
 TRIPLE = re.compile(r"(.)\1\1", re.S)
 
 
+class Fold(dict):
+    """Letters without their accents, for str.translate."""
+
+    def __missing__(self, c: int) -> str:
+        plain = self[c] = "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))
+        return plain
+
+
+FOLD = Fold()
+
+
 def folded(word: str) -> str:
-    """Lower case without accents, one character for each that has a letter."""
-    return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
+    """Lower case without accents."""
+    word = word.lower()
+    return word if word.isascii() else word.translate(FOLD)
 
 
 def state(c: str) -> int:
@@ -58,14 +70,15 @@ def lm_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         words, cells = Counter(), np.zeros(STATES**3, np.int64)
 
         def drain() -> None:
-            for word, n in words.items():
-                core = EDGES.sub("", word)
-                if PLAIN.match(core) and not TRIPLE.search(core):
-                    a = b = EDGE
-                    for c in [*map(state, folded(core)), EDGE]:
-                        cells[(a * STATES + b) * STATES + c] += n
-                        a, b = b, c
+            plain = [(core, n) for w, n in words.items() if (core := w.strip(PUNCTUATION)).isalpha()]
             words.clear()
+            letters = np.frombuffer(folded("".join(f" {core}" for core, _ in plain)).encode("ascii", "replace") + b"  ", np.uint8).astype(np.int64)
+            states = np.where((letters >= 97) & (letters <= 122), letters - 96, np.where(letters == 32, EDGE, OTHER))
+            before, two = np.roll(states, 1), np.roll(states, 2)
+            two[before == EDGE] = EDGE
+            weight = np.append([n for _, n in plain], [0, 0])[np.maximum(np.cumsum(states == EDGE) - 1 - (states == EDGE), 0)]
+            inner = np.arange(len(states)) > 0
+            cells[:] += np.bincount(((two * STATES + before) * STATES + states)[inner], weight[inner], STATES**3).astype(np.int64)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -126,17 +139,15 @@ def restore(token: str, cost: np.ndarray) -> str:
     return min((spent + float(cost[a, b, EDGE]), said) for (a, b), (spent, said) in best.items())[1]
 
 
-def suspicious(token: str) -> bool:
-    return any(c.isalpha() for c in token) and (not PLAIN.match(token) or bool(TRIPLE.search(token)))
-
-
 def readings(word: str, cost: np.ndarray) -> str:
     """A word as it is scored: without edge punctuation, folded, and decoded where it looks disguised."""
-    core = EDGES.sub("", word)
-    if not PLAIN.match(core) or TRIPLE.search(core):
-        if suspicious(core):
-            return restore(core, cost)
-    return folded(core)
+    core = word.strip(PUNCTUATION)
+    if core.isalpha():
+        return restore(core, cost) if TRIPLE.search(core) else folded(core)
+    core = SYMBOL_RUN.sub("", core).strip(PUNCTUATION)
+    if core.isalpha() and not TRIPLE.search(core):
+        return folded(core)
+    return restore(core, cost) if any(map(str.isalpha, core)) else core
 
 
 def features(restored: str) -> list[str]:
@@ -153,6 +164,7 @@ class Words:
 
     def __init__(self, cost: np.ndarray, known: dict[str, int] | None = None):
         self.cost, self.known = cost, known
+        self.starts = {x[: STEMS[0]] for x in known or ()}
         self.clear()
 
     def clear(self) -> None:
@@ -166,6 +178,8 @@ class Words:
     def look(self, restored: str) -> tuple:
         if self.known is None:
             return tuple(features(restored))
+        if restored[: STEMS[0]] not in self.starts:  # most words have no known feature
+            return ()
         return tuple(self.known[x] for x in features(restored) if x in self.known)
 
     def of(self, texts: list[str | None]) -> list[set]:

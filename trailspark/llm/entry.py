@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, licenses, pieces, quality, secrets, toxicity
+from . import ann, htmltext, licenses, pieces, quality, secrets, toxicity
 from .common import table
 
 
@@ -19,6 +19,7 @@ def piece_model() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nearest": lambda spark, d: ann.report(table(spark, d, "embeddings")),
         "op2_license_scan": lambda spark, d: licenses.report(table(spark, d, "documents")),
         "op5_toxicity": lambda spark, d: toxicity.report(table(spark, d, "documents"), table(spark, d, "labels")),
         "op6_secret_scan": lambda spark, d: secrets.report(table(spark, d, "documents")),

@@ -57,3 +57,11 @@ def cut(df: DataFrame) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """Rows that no classifier learns from. A null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(True))
+
+
+class Numbers(dict):
+    """Numbers its keys as they come."""
+
+    def __missing__(self, key) -> int:
+        n = self[key] = len(self)
+        return n

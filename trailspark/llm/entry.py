@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, htmltext, licenses, pieces, quality, secrets, toxicity
+from . import ann, decontam, htmltext, licenses, linededup, pieces, quality, secrets, toxicity
 from .common import table
 
 
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest": lambda spark, d: ann.report(table(spark, d, "embeddings")),
         "op2_license_scan": lambda spark, d: licenses.report(table(spark, d, "documents")),
+        "op3_decontamination": lambda spark, d: decontam.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op4_line_dedup": lambda spark, d: linededup.report(table(spark, d, "documents")),
         "op5_toxicity": lambda spark, d: toxicity.report(table(spark, d, "documents"), table(spark, d, "labels")),
         "op6_secret_scan": lambda spark, d: secrets.report(table(spark, d, "documents")),
         "op8_sentencepiece": lambda spark, d: pieces.digests(table(spark, d, "documents"), piece_model()),
@@ -30,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.report_sql()}
+    return {"op2_license_scan": licenses.report_sql(), "op4_line_dedup": linededup.report_sql()}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, picked
+from .common import Numbers, mapped, picked
 
 MARK = "▁"
 #: Entries after which a task starts its table anew; bounds memory, never the result.
@@ -45,18 +45,13 @@ def cut_marked(text: str) -> list[str]:
 class ChunkTable:
     """Distinct marked words of a task: number by word, ids by number."""
 
-    class Numbers(dict):
-        def __missing__(self, word: str) -> int:
-            n = self[word] = len(self)
-            return n
-
     def __init__(self, model: str):
         self.sp = load(model)
         self.whole = bool(crossing_pieces(self.sp))
         self.clear()
 
     def clear(self) -> None:
-        self.numbers, self.done = self.Numbers(), 1
+        self.numbers, self.done = Numbers(), 1
         self.numbers[None] = 0  # the end of a text
         self.ids, self.size = np.array([self.sp.eos_id()], np.int32), np.array([1], np.int64)
 

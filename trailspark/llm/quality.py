@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, mapped, picked
+from .common import Numbers, cut, held_out, mapped, picked
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -38,17 +38,12 @@ def word_ids(word: str) -> list[int]:
 class Words:
     """Number by distinct word; flat ids by number."""
 
-    class Numbers(dict):
-        def __missing__(self, word: str) -> int:
-            n = self[word] = len(self)
-            return n
-
     def __init__(self, weights: np.ndarray | None = None):
         self.weights = weights
         self.clear()
 
     def clear(self) -> None:
-        self.numbers, self.done = self.Numbers(), 0
+        self.numbers, self.done = Numbers(), 0
         self.first, self.sum, self.size = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
 
     def of(self, text: str) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, mapped, picked
+from .common import Numbers, cut, held_out, mapped, picked
 
 #: Letters that a character is used for.
 LEET = {
@@ -157,18 +157,13 @@ def features(restored: str) -> list[str]:
 class Words:
     """Number by distinct word; its features by number."""
 
-    class Numbers(dict):
-        def __missing__(self, word: str) -> int:
-            n = self[word] = len(self)
-            return n
-
     def __init__(self, cost: np.ndarray, known: dict[str, int] | None = None):
         self.cost, self.known = cost, known
         self.starts = {x[: STEMS[0]] for x in known or ()}
         self.clear()
 
     def clear(self) -> None:
-        self.numbers, self.found, self.single = self.Numbers(), [], []
+        self.numbers, self.found, self.single = Numbers(), [], []
 
     def grow(self) -> None:
         for word in list(self.numbers)[len(self.found) :]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, htmltext, licenses, linededup, pieces, quality, secrets, toxicity
+from . import ann, decontam, htmltext, licenses, linededup, ngramjoin, pieces, quality, secrets, toxicity
 from .common import table
 
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": lambda spark, d: linededup.report(table(spark, d, "documents")),
         "op5_toxicity": lambda spark, d: toxicity.report(table(spark, d, "documents"), table(spark, d, "labels")),
         "op6_secret_scan": lambda spark, d: secrets.report(table(spark, d, "documents")),
+        "op7_ngram_jaccard_join": lambda spark, d: ngramjoin.report(table(spark, d, "documents")),
         "op8_sentencepiece": lambda spark, d: pieces.digests(table(spark, d, "documents"), piece_model()),
         "op9_html_text": lambda spark, d: htmltext.extract(table(spark, d, "pages")),
         "op10_quality": lambda spark, d: quality.report(table(spark, d, "documents"), table(spark, d, "labels")),

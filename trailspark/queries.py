@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.classify import lift_kind, poi_kind, transit_kind
-from .functions.registry import POI_KINDS
-from .operators import criteria, elevation, geometry, measure
+from .functions.classify import lift_kind, poi_kind, relation_is_ferrata, transit_kind, unrecorded, way_is_ferrata
+from .functions.geo import haversine_m
+from .operators import criteria, elevation, export, geometry, graph, inventory, measure, stitch
 from .operators.geometry import ROUTE
 from .params import Criteria, Params
-from .sources import fixture
+from .plans import modes
+from .sources import elements, fixture, store
 from .sources.fixture import hav_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -367,8 +368,6 @@ def near_miss_pool(spark: SparkSession, d: str) -> DataFrame:
 @query("area AS (SELECT area_id, " + hav_sql("min(least(lat1, lat2))", "min(least(lon1, lon2))", "max(greatest(lat1, lat2))", "max(greatest(lon1, lon2))") + " / 40 AS diagonal_m FROM ways GROUP BY ALL)\nSELECT area_id, route_id, round(sum(seg_m), 3) AS length_m FROM ways JOIN area USING (area_id) GROUP BY area_id, route_id, diagonal_m HAVING sum(seg_m) <= 4 * diagonal_m")
 def overlength_guard(spark: SparkSession, d: str) -> DataFrame:
     s = segs(spark, d)
-    from .functions.geo import haversine_m
-
     area = s.groupBy("area_id").agg((haversine_m(F.min(F.least("lat1", "lat2")), F.min(F.least("lon1", "lon2")), F.max(F.greatest("lat1", "lat2")), F.max(F.greatest("lon1", "lon2"))) / 40).alias("diagonal_m"))
     return criteria.within_area(geometry.route_lengths(s), area, P.max_route_factor).select(*ROUTE, r3("length_m"))
 
@@ -415,3 +414,215 @@ def criteria_gain(spark: SparkSession, d: str) -> DataFrame:
     """Routes of a kilometre or more with at least 50 m of gain, most gain first."""
     cheap = shapes(spark, d).withColumn("distance_km", F.round(F.col("length_m") / 1000, 2)).where(F.col("distance_km") >= CLIMB.min_distance_km)
     return elevate(spark, d)(cheap).where(criteria.accepts_gain(CLIMB)).select(*ROUTE, "distance_km", "gain_m").orderBy(F.desc("gain_m"), "area_id", "route_id")
+
+
+# inventories, names, exports
+
+
+@query("SELECT area_id, kind, min(feature_id) AS feature_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM pois WHERE kind IS NOT NULL GROUP BY area_id, kind, pois.lat, pois.lon")
+def poi_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return inventory.select_pois(pois(spark, d)).select("area_id", "kind", "feature_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query("SELECT area_id, kind, count(DISTINCT (lat, lon)) AS n FROM pois WHERE kind IS NOT NULL GROUP BY ALL")
+def poi_counts(spark: SparkSession, d: str) -> DataFrame:
+    return inventory.count_by_kind(pois(spark, d)).select("area_id", "kind", "n")
+
+
+@query("""SELECT area_id, 'way' AS source, route_id, way_idx, scale, round(seg_m, 3) AS length_m FROM ways WHERE scale IS NOT NULL
+UNION ALL SELECT area_id, 'route', route_id, -1, NULL, round(sum(seg_m), 3) FROM ways JOIN routes USING (area_id, route_id) WHERE rel_ferrata GROUP BY area_id, route_id""")
+def ferrata_inventory(spark: SparkSession, d: str) -> DataFrame:
+    routes, ways = fixture.routes(spark, d).where(relation_is_ferrata(F.col("tags"))), fixture.ways(spark, d)
+    s = segs(spark, d)
+    cabled = ways.where(way_is_ferrata(F.col("tags")))
+    both = inventory.select_ferrata(routes.withColumn("name", F.col("tags")["name"]), s, cabled)
+    return both.select("area_id", "source", "route_id", "way_idx", "scale", r3("length_m"))
+
+
+@query("""SELECT area_id, feature_id, 'poi' AS class, kind FROM pois WHERE kind IS NOT NULL UNION ALL SELECT area_id, feature_id, 'parking', NULL FROM parking
+UNION ALL SELECT area_id, feature_id, CASE WHEN kind = 'chair_lift' THEN 'lift' ELSE 'transit' END, kind FROM stops WHERE kind IN ('chair_lift', 'bus_stop', 'halt')""")
+def feature_split(spark: SparkSession, d: str) -> DataFrame:
+    return elements.features(elements.split(raw_elements(spark, d))).select("area_id", "feature_id", "class", "kind").withColumn("feature_id", F.col("feature_id") % 1_000_000_000)
+
+
+def raw_elements(spark: SparkSession, d: str) -> DataFrame:
+    """The fixture's objects as raw elements, each twice."""
+    bare = {"lat": "double", "lon": "double", "center": f"{elements.POINT}", "geometry": f"array<{elements.POINT}>", "members": f"array<struct<type string, ref long, role string, geometry array<{elements.POINT}>>>"}
+    parked = fixture.parking(spark, d).withColumn("tags", F.create_map(F.lit("amenity"), F.lit("parking")))
+    rows = [df.select("area_id", (F.col("feature_id") + k * 1_000_000_000).alias("id"), "tags", "lat", "lon") for k, df in enumerate((fixture.pois(spark, d), parked, fixture.stops(spark, d)))]
+    rows = rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("pos", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>")))
+    return rows.select("area_id", "pos", F.lit("node").alias("type"), "id", "tags", "lat", "lon", *(F.lit(None).cast(t).alias(c) for c, t in bare.items() if c not in ("lat", "lon")))
+
+
+@query("SELECT area_id, route_id, coalesce(tag_name, tag_ref, 'route/' || route_id) AS name, tag_name IS NULL AND tag_ref IS NULL AS unnamed FROM routes")
+def display_names(spark: SparkSession, d: str) -> DataFrame:
+    tags = F.col("tags")
+    return fixture.routes(spark, d).select(*ROUTE, *elements.display_name(tags["name"], tags["ref"], F.col("route_id")))
+
+
+PLACE = "CASE WHEN (floor({0} * 1e4)::BIGINT + floor({1} * 1e4)::BIGINT) % 5 = 0 THEN NULL ELSE 'Place ' || (round({0} * 200)::BIGINT % 20) END"
+
+
+@query(START + f""",
+tips2 AS (SELECT area_id, route_id, lat, lon FROM ends UNION SELECT area_id, route_id, hlat, hlon FROM shape UNION SELECT area_id, route_id, tlat, tlon FROM shape),
+far AS (SELECT s.area_id, s.route_id, min((-round({hav_sql("s.lat", "s.lon", "t.lat", "t.lon")}, 6), t.lat, t.lon)) AS f FROM starts s JOIN shape h USING (area_id, route_id) JOIN tips2 t USING (area_id, route_id) WHERE NOT h.circular AND (s.lat, s.lon) <> (t.lat, t.lon) GROUP BY ALL),
+named AS (SELECT s.area_id, s.route_id, circular, {PLACE.format("s.lat", "s.lon")} AS sp, {PLACE.format("f[2]", "f[3]")} AS ep FROM starts s JOIN shape USING (area_id, route_id) LEFT JOIN far USING (area_id, route_id) JOIN routes r USING (area_id, route_id) WHERE tag_name IS NULL AND tag_ref IS NULL)
+SELECT area_id, route_id, CASE WHEN circular THEN 'loop near ' || sp WHEN sp <> ep THEN sp || ' → ' || ep ELSE 'near ' || coalesce(sp, ep) END AS label FROM named""")
+def route_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = inventory.label_points(starts(spark, d).join(shapes(spark, d), ROUTE), ends(spark, d))
+    unnamed = fixture.routes(spark, d).where(F.col("tags")["name"].isNull() & F.col("tags")["ref"].isNull()).select(*ROUTE)
+    place = lambda p: F.when(p.isNotNull() & ((F.floor(p["lat"] * 1e4) + F.floor(p["lon"] * 1e4)) % 5 != 0), F.concat(F.lit("Place "), F.round(p["lat"] * 200).cast("long") % 20))
+    return rows.join(unnamed, ROUTE).select(*ROUTE, inventory.compose_label(place(F.col("start")), place(F.col("far")), F.col("circular")).alias("label"))
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'V' || c_custkey % 10 END, CASE WHEN c_custkey % 4 = 0 THEN 'C' || c_custkey % 7 END, c_name) AS place FROM customer", base=False)
+def place_parse(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    address = F.map_from_entries(F.array_compact(F.array(F.when(key % 4 == 0, F.struct(F.lit("city"), F.concat(F.lit("C"), key % 7))), F.when(key % 3 == 0, F.struct(F.lit("village"), F.concat(F.lit("V"), key % 10))))))
+    return fixture.table(spark, d, "customer").select("c_custkey", inventory.parse_place(address, F.col("c_name")).alias("place"))
+
+
+@query("""a AS (SELECT n_nationkey AS area_id FROM nation)
+SELECT area_id, (SELECT count(*) FROM routes r WHERE r.area_id = a.area_id) AS n_routes, (SELECT count(*) FROM pois p WHERE p.area_id = a.area_id AND kind IS NOT NULL) AS n_features, (SELECT count(*) FROM ways w WHERE w.area_id = a.area_id) AS n_ways FROM a""")
+def area_catalog(spark: SparkSession, d: str) -> DataFrame:
+    areas = fixture.table(spark, d, "nation").select(F.col("n_nationkey").alias("area_id"))
+    return store.catalog(areas, routes=fixture.routes(spark, d), features=pois(spark, d), ways=fixture.ways(spark, d))
+
+
+@query("""recorded AS (SELECT area_id, list_distinct(list(kind) FILTER (WHERE kind IS NOT NULL)) AS kinds FROM pois GROUP BY area_id)
+SELECT n_nationkey AS area_id, array_to_string(list_sort(list_filter(['castle', 'peak', 'ruins'], lambda k: NOT list_contains(coalesce(kinds, []), k))), ',') AS lacking, CASE WHEN kinds IS NULL THEN 'unknown' WHEN list_has_all(kinds, ['castle', 'peak', 'ruins']) THEN 'ok' ELSE 'missing' END AS state FROM nation LEFT JOIN recorded ON area_id = n_nationkey""")
+def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
+    recorded = pois(spark, d).groupBy("area_id").agg(F.collect_set("kind").alias("kinds"))
+    lacking, state = unrecorded(F.col("kinds"), F.array(F.lit("castle"), F.lit("peak"), F.lit("ruins")))
+    return fixture.table(spark, d, "nation").select(F.col("n_nationkey").alias("area_id")).join(recorded, "area_id", "left").select("area_id", F.array_join(F.array_sort(lacking), ",").alias("lacking"), state.alias("state"))
+
+
+def summaries(spark: SparkSession, d: str) -> DataFrame:
+    mix = measure.tag_mix(segs(spark, d), fixture.ways(spark, d), "surface").where("place = 1").select(*ROUTE, F.struct("value", "fraction", "coverage").alias("surface"))
+    rows = elevate(spark, d)(measured(spark, d)).join(mix, ROUTE, "left")
+    tags = F.col("tags")
+    return rows.withColumns(dict(zip(("name", "unnamed"), elements.display_name(tags["name"], tags["ref"], F.col("route_id"))))).withColumn("line", export.summary_line(F.col("surface")))
+
+
+@query()
+def summary_lines(spark: SparkSession, d: str) -> DataFrame:
+    return summaries(spark, d).select(*ROUTE, "line")
+
+
+def names(spark: SparkSession, d: str) -> DataFrame:
+    return fixture.routes(spark, d).select(*ROUTE, *elements.display_name(F.col("tags")["name"], F.col("tags")["ref"], F.col("route_id")))
+
+
+@query()
+def geojson_features(spark: SparkSession, d: str) -> DataFrame:
+    return export.geojson_features(names(spark, d), export.route_lines(fixture.vertices(spark, d)))
+
+
+@query()
+def gpx_tracks(spark: SparkSession, d: str) -> DataFrame:
+    return export.gpx_tracks(names(spark, d), export.route_lines(fixture.vertices(spark, d)))
+
+
+def broken_vertices(spark: SparkSession, d: str) -> DataFrame:
+    """The fixture's ways as a map has them: some turned round, some missing, in no order."""
+    rows = fixture.steps(spark, d).where("l_quantity <= 48").select(*ROUTE, "way_idx", (F.col("l_suppkey") % 3 == 0).alias("turned"))
+    v = fixture.vertices(spark, d).join(rows, [*ROUTE, "way_idx"])
+    return v.withColumn("vtx_idx", F.when(F.col("turned"), 1 - F.col("vtx_idx")).otherwise(F.col("vtx_idx"))).withColumn("way_idx", F.xxhash64("route_id", "way_idx")).drop("turned")
+
+
+@query()
+def stitch_lines(spark: SparkSession, d: str) -> DataFrame:
+    return stitch.stitch(broken_vertices(spark, d)).select(*ROUTE, "pos", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query()
+def faithful_lines(spark: SparkSession, d: str) -> DataFrame:
+    broken = broken_vertices(spark, d)
+    return stitch.faithful(broken, stitch.stitch(broken))
+
+
+# graph
+
+EDGES = """edges AS MATERIALIZED (SELECT area_id, least((i1, j1), (i2, j2)) AS a, greatest((i1, j1), (i2, j2)) AS b, count(DISTINCT route_id) AS n_refs, arg_min(seg_m, (route_id, way_idx)) AS length_m FROM ways GROUP BY ALL)"""
+
+
+def trails(spark: SparkSession, d: str) -> DataFrame:
+    return modes.network(fixture.vertices(spark, d), fixture.ways(spark, d))
+
+
+@query(EDGES + "\nSELECT area_id, round(50 + a[1] * 2e-3, 6) AS lat1, round(15 + a[2] * 3e-3 + area_id * 2e-1, 6) AS lon1, round(50 + b[1] * 2e-3, 6) AS lat2, round(15 + b[2] * 3e-3 + area_id * 2e-1, 6) AS lon2, n_refs, round(length_m, 3) AS length_m FROM edges")
+def micro_edges(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda c, n: F.round(c, 6).alias(n)
+    return trails(spark, d).select("area_id", at("pa.lat", "lat1"), at("pa.lon", "lon1"), at("pb.lat", "lat2"), at("pb.lon", "lon2"), F.size("refs").cast("long").alias("n_refs"), r3("length_m"))
+
+
+CHAINS = EDGES + """,
+tip AS (SELECT area_id, a AS node, (a, b) AS e FROM edges UNION ALL SELECT area_id, b, (a, b) FROM edges),
+thru AS (SELECT area_id, min(e) AS e1, max(e) AS e2 FROM tip GROUP BY area_id, node HAVING count(*) = 2),
+adj AS (SELECT area_id, e1, e2 FROM thru UNION SELECT area_id, e2, e1 FROM thru),
+reach AS (SELECT area_id, e1 AS e, e1 AS f FROM adj UNION SELECT r.area_id, r.e, a.e2 FROM reach r JOIN adj a ON a.area_id = r.area_id AND a.e1 = r.f),
+lab AS (SELECT area_id, e, min(f) AS seg FROM reach GROUP BY ALL)"""
+
+
+@query((fixture.SQL + ",\n" + CHAINS).replace("WITH ln", "WITH RECURSIVE ln", 1) + "\nSELECT area_id, n_edges, length_m, count(*) AS n FROM (SELECT e.area_id, count(*) AS n_edges, round(sum(length_m), 3) AS length_m FROM edges e LEFT JOIN lab l ON l.area_id = e.area_id AND l.e = (e.a, e.b) GROUP BY e.area_id, coalesce(l.seg, (e.a, e.b))) GROUP BY ALL", base=False)
+def trail_segments(spark: SparkSession, d: str) -> DataFrame:
+    return graph.segments_of(graph.contract(trails(spark, d))).select("area_id", "n_edges", r3("length_m")).groupBy("area_id", "n_edges", "length_m").agg(F.count("*").alias("n"))
+
+
+@query()
+def two_core(spark: SparkSession, d: str) -> DataFrame:
+    return graph.two_core(graph.segments_of(graph.contract(trails(spark, d)))).select("area_id", graph.column_of("a").alias("a"), graph.column_of("b").alias("b"), "n_edges", r3("length_m"))
+
+
+BAND = (800.0, 1400.0)
+CYCLES = EDGES + f""",
+inc AS MATERIALIZED (SELECT area_id, a AS n, b AS o, length_m FROM edges UNION ALL SELECT area_id, b, a, length_m FROM edges),
+path AS (SELECT area_id, n AS start, o AS cur, [n, o] AS nodes, length_m AS m FROM inc WHERE o > n
+  UNION ALL SELECT p.area_id, p.start, i.o, list_append(p.nodes, i.o), p.m + i.length_m FROM path p JOIN inc i ON i.area_id = p.area_id AND i.n = p.cur WHERE p.cur <> p.start AND i.o >= p.start AND p.m + i.length_m <= {BAND[1]} AND (i.o = p.start AND len(p.nodes) > 2 OR NOT list_contains(p.nodes, i.o))),
+cycles AS (SELECT area_id, start, m FROM path WHERE cur = start AND m >= {BAND[0]} AND nodes[2] < nodes[-2])"""
+
+
+@query((fixture.SQL + ",\n" + CYCLES).replace("WITH ln", "WITH RECURSIVE ln", 1) + "\nSELECT area_id, round(m, 1) AS length_m, count(*) AS n FROM cycles GROUP BY ALL", base=False)
+def loops_in_band(spark: SparkSession, d: str) -> DataFrame:
+    segments = graph.segments_of(graph.contract(trails(spark, d)))
+    return graph.loops(segments, *BAND, P.compose_max_segments).groupBy("area_id", F.round("length_m", 1).alias("length_m")).agg(F.count("*").alias("n"))
+
+
+@query()
+def compose_loops(spark: SparkSession, d: str) -> DataFrame:
+    """The roundest distinct loops of each area."""
+    return modes.compose_loops(trails(spark, d), *BAND, P).select("area_id", "place", F.size("segs").alias("n_segments"), r3("length_m"), F.round("compactness", 6).alias("compactness"))
+
+
+def walkers(spark: SparkSession, d: str) -> DataFrame:
+    """One request a parking place."""
+    return fixture.parking(spark, d).select("area_id", F.col("feature_id").alias("point_id"), "lat", "lon")
+
+
+@query(EDGES.replace("edges AS", "edges0 AS") + f""",
+edges AS (SELECT area_id, a, b, 50 + a[1] * 2e-3 AS lat1, 15 + a[2] * 3e-3 + area_id * 2e-1 AS lon1, 50 + b[1] * 2e-3 AS lat2, 15 + b[2] * 3e-3 + area_id * 2e-1 AS lon2 FROM edges0)
+SELECT area_id, feature_id AS point_id, round(min(d), 3) AS d FROM (SELECT p.area_id, p.feature_id, {to_line_sql('p.lat', 'p.lon')} AS d FROM parking p JOIN edges ON edges.area_id = p.area_id) WHERE d <= 2000 GROUP BY ALL""")
+def snap_points(spark: SparkSession, d: str) -> DataFrame:
+    return graph.snap(walkers(spark, d), trails(spark, d), P.routes_max_snap_km * 1000).select("area_id", "point_id", r3("d"))
+
+
+@query(f"""near AS (SELECT s.area_id, s.feature_id AS point_id, p.feature_id, {hav_sql("s.lat", "s.lon", "p.lat", "p.lon")} AS d FROM parking s JOIN pois p ON p.area_id = s.area_id AND p.kind = 'ruins'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY area_id, point_id ORDER BY d, feature_id) AS place FROM near WHERE d <= 3000)
+SELECT area_id, point_id, feature_id, round(d, 3) AS d, place, round((SELECT q.d FROM placed q WHERE q.area_id = p.area_id AND q.point_id = p.point_id AND q.place = 13), 3) AS bound FROM placed p WHERE place <= 12""")
+def poi_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return graph.candidates(walkers(spark, d), pois(spark, d), ["ruins"], P.poi_search_radius_m, 3).select("area_id", "point_id", "feature_id", r3("d"), "place", r3("bound"))
+
+
+@query()
+def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Way length from each parking place to every junction within 2 km."""
+    edges = trails(spark, d)
+    starts = graph.start_nodes(graph.snap(walkers(spark, d), edges, P.routes_max_snap_km * 1000))
+    return graph.distances(starts, edges, 2000.0).select("area_id", "request_id", graph.column_of("node").alias("node"), r3("m"))
+
+
+@query()
+def routes_to_poi(spark: SparkSession, d: str) -> DataFrame:
+    """The three ruins nearest on foot from each parking place."""
+    out = modes.routes_to_poi(trails(spark, d), walkers(spark, d), pois(spark, d), ["ruins"], 3, 4000.0, P)
+    return out.select("area_id", "point_id", "feature_id", "place", r3("m"), r3("d"), "certain")

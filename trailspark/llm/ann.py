@@ -114,8 +114,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     leaves = 1
     while leaves * LEAF < n and leaves * 16 < len(picked_rows):
         leaves *= 2
-    points = extended(np.array(picked_rows, float).reshape(len(picked_rows), -1), norm)
-    forest = classes.sparkSession.sparkContext.broadcast((fit(points, leaves, trees) if len(picked_rows) else [], norm))
+    points = extended(np.array(picked_rows or [[0.0]], float), norm)
+    forest = classes.sparkSession.sparkContext.broadcast((fit(points, leaves, trees), norm))
 
     def matrix(batch: pa.RecordBatch) -> np.ndarray:
         v = batch["v"]

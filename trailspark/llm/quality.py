@@ -118,7 +118,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
         return {"doc_id": batch["doc_id"], "label": batch["label"], "ids": [b[0] for b in bags], "counts": [b[1] for b in bags]}
 
     got = mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, ids array<int>, counts array<int>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).toArrow()
-    flat = lambda c: [np.asarray(x) for chunk in got[c].chunks for x in np.split(chunk.flatten().to_numpy(zero_copy_only=False), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
+    flat = lambda c: [np.asarray(x) for chunk in got[c].chunks if len(chunk) for x in np.split(chunk.flatten().to_numpy(zero_copy_only=False), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
     return fit(list(zip(flat("ids"), flat("counts"))), np.array(got["label"].to_pylist(), np.int64))
 
 

@@ -229,7 +229,7 @@ def fit_logistic(rows: list[list[int]], labels: np.ndarray, n: int, rounds: int
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     """The language model over all docs; the classifier on at most max_rows labelled rows that are not held out, chosen by a
-    hash of their ids. Rows without a text, label or id, and labels other than 0 and 1, are left out."""
+    hash of their ids. Rows without a text, label or id, and labels other than 0 and 1, are left out; without any row left, no text scores as toxic."""
     cost = lm(lm_counts(docs))
     chosen = picked(labels, doc_id="doc_id", label=label).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -248,6 +248,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     top = seen.where(F.col("t") >= 3).withColumn("z", odds / spread).where(F.col("z") > 2.5).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect()
     known = {r["feature"]: k for k, r in enumerate(top)}
     rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows).select("label", F.array_intersect("found", F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")).alias("found")).collect()
+    if not rows:  # nothing is known to be toxic
+        return Model(cost, {}, np.zeros(0), -5.0)
     weights, bias = fit_logistic([[known[x] for x in r["found"]] for r in rows], np.array([r["label"] for r in rows], float), len(known))
     return Model(cost, known, weights, bias)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions.classify import lift_kind, poi_kind, relation_is_ferrata, transit_kind, unrecorded, way_is_ferrata
 from .functions.geo import haversine_m
 from .operators import criteria, elevation, export, geometry, graph, inventory, measure, stitch
+from .operators.components import cut
 from .operators.geometry import ROUTE
 from .params import Criteria, Params
 from .plans import modes
@@ -54,7 +55,8 @@ def lifts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shapes(spark: SparkSession, d: str) -> DataFrame:
-    return measure.shapes(fixture.routes(spark, d), fixture.vertices(spark, d), P)
+    """Shapes of all routes, computed once: several joins of a query read them."""
+    return cut(measure.shapes(fixture.routes(spark, d), fixture.vertices(spark, d), P))
 
 
 def ends(spark: SparkSession, d: str) -> DataFrame:
@@ -178,8 +180,8 @@ def transit_classify(spark: SparkSession, d: str) -> DataFrame:
 # access
 
 
-def access_points(spark: SparkSession, d: str) -> DataFrame:
-    return measure.access_points(shapes(spark, d), fixture.vertices(spark, d), ends(spark, d))
+def access_points(spark: SparkSession, d: str, shape: DataFrame | None = None) -> DataFrame:
+    return cut(measure.access_points(shapes(spark, d) if shape is None else shape, fixture.vertices(spark, d), ends(spark, d)))
 
 
 ACCESS = SHAPE + """,
@@ -227,8 +229,9 @@ def route_start(spark: SparkSession, d: str) -> DataFrame:
     return starts(spark, d).select(*ROUTE, F.round("start.lat", 6).alias("lat"), F.round("start.lon", 6).alias("lon"))
 
 
-def starts(spark: SparkSession, d: str) -> DataFrame:
-    return measure.route_starts(shapes(spark, d), ends(spark, d), measure.matched_access(access_points(spark, d), fixture.parking(spark, d), P.car_radius_m))
+def starts(spark: SparkSession, d: str, shape: DataFrame | None = None) -> DataFrame:
+    shape = shapes(spark, d) if shape is None else shape
+    return measure.route_starts(shape, ends(spark, d), measure.matched_access(access_points(spark, d, shape), fixture.parking(spark, d), P.car_radius_m))
 
 
 def to_line_sql(lat: str, lon: str) -> str:
@@ -337,8 +340,8 @@ def incremental_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
     """Routes with all that is known without elevation."""
-    shape, vertices = shapes(spark, d), fixture.vertices(spark, d)
-    points = measure.access_points(shape, vertices, ends(spark, d))
+    shape = shapes(spark, d)
+    points = access_points(spark, d, shape)
     passed = measure.route_pois(segs(spark, d), pois(spark, d), ["ruins", "peak"], P.poi_radius_m).groupBy(*ROUTE).agg(F.count("*").alias("n_pois"))
     cabled = measure.ferrata_summary(segs(spark, d), fixture.ways(spark, d), fixture.routes(spark, d)).select(*ROUTE, F.col("present").alias("ferrata"))
     rows = shape.join(fixture.routes(spark, d).select(*ROUTE, "seq", "tags"), ROUTE).join(measure.car_access(points, fixture.parking(spark, d), P), ROUTE, "left").join(measure.lift_access(points, lifts(spark, d), P), ROUTE, "left")
@@ -469,7 +472,8 @@ far AS (SELECT s.area_id, s.route_id, min((-round({hav_sql("s.lat", "s.lon", "t.
 named AS (SELECT s.area_id, s.route_id, circular, {PLACE.format("s.lat", "s.lon")} AS sp, {PLACE.format("f[2]", "f[3]")} AS ep FROM starts s JOIN shape USING (area_id, route_id) LEFT JOIN far USING (area_id, route_id) JOIN routes r USING (area_id, route_id) WHERE tag_name IS NULL AND tag_ref IS NULL)
 SELECT area_id, route_id, CASE WHEN circular THEN 'loop near ' || sp WHEN sp <> ep THEN sp || ' → ' || ep ELSE 'near ' || coalesce(sp, ep) END AS label FROM named""")
 def route_names(spark: SparkSession, d: str) -> DataFrame:
-    rows = inventory.label_points(starts(spark, d).join(shapes(spark, d), ROUTE), ends(spark, d))
+    shape = shapes(spark, d)
+    rows = inventory.label_points(starts(spark, d, shape).join(shape, ROUTE), ends(spark, d))
     unnamed = fixture.routes(spark, d).where(F.col("tags")["name"].isNull() & F.col("tags")["ref"].isNull()).select(*ROUTE)
     place = lambda p: F.when(p.isNotNull() & ((F.floor(p["lat"] * 1e4) + F.floor(p["lon"] * 1e4)) % 5 != 0), F.concat(F.lit("Place "), F.round(p["lat"] * 200).cast("long") % 20))
     return rows.join(unnamed, ROUTE).select(*ROUTE, inventory.compose_label(place(F.col("start")), place(F.col("far")), F.col("circular")).alias("label"))

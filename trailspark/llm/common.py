@@ -24,6 +24,13 @@ def picked(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def mapped(rows: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, start: Callable | None = None) -> DataFrame:
     """Row-local Arrow map in slices of SLICE_ROWS. start() makes a task's state, which f then gets as second argument."""
 

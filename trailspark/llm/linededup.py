@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, picked
+from .common import cut, fresh, picked
 
 #: Sites on which a line must stand; words that it must have.
 MIN_SITES, MIN_WORDS = 4, 3
@@ -50,10 +50,10 @@ def marked(docs: DataFrame, min_sites: int, min_words: int, id_col: str, text_co
     return places.groupBy("row").agg(F.collect_set("pos").alias("gone"))
 
 
-def cleaned() -> Column:
+def cleaned(gone: str = "gone") -> Column:
     """The text without the lines at the positions in gone; as it is where gone is null."""
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i))
-    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(gone, i))
+    return F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -79,6 +79,7 @@ FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, d.text"""
 
 def drop_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs in their own columns with the cleaned text and its length; documents of which nothing is left go."""
-    gone = marked(docs, min_sites, MIN_WORDS, "doc_id", "text", "source")
-    out = docs.withColumn("row", F.xxhash64("doc_id", "text")).join(gone, "row", "left").withColumn("text", cleaned())
-    return out.where(F.col("gone").isNull() | (F.trim("text") != "")).withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))).select(*docs.columns)
+    row, gone = (fresh(docs, name) for name in ("row", "gone"))
+    places = marked(docs, min_sites, MIN_WORDS, "doc_id", "text", "source").toDF(row, gone)
+    out = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(places, row, "left").withColumn("text", cleaned(gone))
+    return out.where(F.col(gone).isNull() | (F.trim("text") != "")).withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length("text"))).select(*docs.columns)

@@ -106,6 +106,27 @@ def test_forest_search_reaches_most_neighbours(spark):
     assert sum(len(got[q] & set(w)) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_search_reaches_most_neighbours_where_the_index_prunes(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    settled, settle = [], ann.settle
+    monkeypatch.setattr(ann, "settle", lambda *a, **b: settled.append(settle(*a, **b)) or settled[-1])
+    got = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 1000 == 7).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(7, len(x), 1000):
+        s = x @ x[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 200
+    assert settled[0][2] < len(x)  # not a full scan
+
+
 # op2
 
 

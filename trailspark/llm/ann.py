@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by largest inner product: a forest of random-projection trees searched through one queue.
 
 The forest is fitted on a bounded sample, then every vector goes to its leaf in each tree. A query walks all trees at once,
-best margin first, through a single priority queue, until the leaves it has reached hold enough vectors. Leaf members and the
+best margin first, through a single priority queue, until the leaves it has reached hold enough vectors. How many are enough,
+and how many trees and levels serve it at the least cost, is found on each table: a few queries are answered by a full scan, and
+the reach is the least that finds RECALL of these neighbours; a full scan is one of the choices. Leaf members and the
 queries that reached them meet by a shuffle on the leaf; each meeting keeps the best few, and their inner products are then
 computed anew on the original vectors. Vectors are extended by one component so that nearness is by angle. Equal vectors are
 searched once. Leaves, however full, are dealt out in blocks of vectors by blocks of queries.
@@ -10,6 +12,7 @@ searched once. Leaves, however full, are dealt out in blocks of vectors by block
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +26,12 @@ from .common import cut, mapped, picked
 #: Distinct vectors that the forest is fitted on, at most; vectors in a leaf, about; block of a full leaf.
 SAMPLE, LEAF, BLOCK = 20_000, 1600, 4096
 TREES = 8
-#: A query reaches leaves until they hold this many vectors (counted once per leaf).
+#: A query reaches leaves until they hold this many vectors at least (counted once per leaf); smaller tables are scanned whole.
 REACH = 48_000
+#: Neighbours that the reach must find, of those of so many queries.
+RECALL, PROBES = 0.95, 128
+#: What meeting a leaf and placing a vector in a tree cost, in inner products.
+VISIT, PLACE = 1000, 200
 
 
 @dataclass(frozen=True)
@@ -83,6 +90,35 @@ def reached(forest: list[Tree], margins: list[np.ndarray], counts: np.ndarray, r
     return found
 
 
+def shallow(forest: list[Tree], trees: int, leaves: int) -> list[Tree]:
+    """The first trees, cut to their upper levels."""
+    return [Tree(t.normals[: leaves - 1], t.offsets[: leaves - 1]) for t in forest[:trees]]
+
+
+def settle(forest: list[Tree], share: np.ndarray, probes: np.ndarray, homes: list[np.ndarray], n: int, asked: int, recall: float = RECALL, least: int = REACH) -> tuple[int, int, int]:
+    """Trees, leaves and reach of the least cost that find recall of the neighbours. share: of the n vectors, by tree and leaf;
+    homes: per probe the leaves [neighbour, tree] of its true neighbours."""
+    best, most = (math.inf, 1, 1, n), share.shape[1]
+    margins = [probes @ t.normals.T - t.offsets for t in forest]
+    for trees in sorted({1, len(forest)}):
+        leaves = 1 if trees == 1 else 2
+        while leaves <= most:
+            counts = np.maximum(1, np.round(n * share[:trees].reshape(trees, leaves, -1).sum(2))).astype(np.int64)
+            need = []
+            for i, home in enumerate(homes):
+                way = reached(shallow(forest, trees, leaves), [m[i, : leaves - 1] for m in margins[:trees]], counts, trees * n * 2)
+                at = np.zeros((trees, leaves), np.int64)
+                at[tuple(np.array(way).T)] = np.cumsum([counts[x] for x in way])
+                need.append(at[np.arange(trees), home[:, :trees] // (most // leaves)].min(1))
+            need = np.sort(np.concatenate([np.zeros(0, np.int64), *need]))
+            reach = max(least, int(need[math.ceil(recall * len(need)) - 1])) if leaves > 1 and len(need) else n
+            size = n / leaves
+            cost = asked * (reach + VISIT * reach / size * math.ceil(size / BLOCK)) + PLACE * n * trees
+            best = min(best, (cost, trees, leaves, reach))
+            leaves *= 2
+    return best[1:]
+
+
 def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, v: rows that take part. Null ids, null or empty vectors, null or non-finite components, zero vectors and
     vectors of another length than most don't; rows repeated whole count once."""
@@ -96,9 +132,9 @@ def inner(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, reach: int = REACH, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, reach: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query (over vec_id) holds, the query's own
-    id excepted; ties go to the smaller id. An empty table gives an empty one."""
+    id excepted; ties go to the smaller id. An empty table gives an empty one. Without a reach, the table's own is found."""
     rows = clean(vectors, id_col, vector_col)
     id_type = rows.schema["vec_id"].dataType.simpleString()
     # one class per vector: its k + 1 smallest ids can be answers
@@ -115,12 +151,47 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     while leaves * LEAF < n and leaves * 16 < len(picked_rows):
         leaves *= 2
     points = extended(np.array(picked_rows or [[0.0]], float), norm)
-    forest = classes.sparkSession.sparkContext.broadcast((fit(points, leaves, trees), norm))
+    built, sc = fit(points, leaves, trees), classes.sparkSession.sparkContext
 
     def matrix(batch: pa.RecordBatch) -> np.ndarray:
         v = batch["v"]
         return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
 
+    def towards(x: np.ndarray) -> np.ndarray:
+        x = np.hstack([x, np.zeros((len(x), 1))])
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    if reach is None and n <= REACH:
+        built, reach = shallow(built, 1, 1), n
+    elif reach is None:
+        tried = asked.orderBy(F.xxhash64("v"), "q").limit(PROBES).toArrow()
+        probes = np.array(tried["v"].to_pylist() or np.zeros((0, points.shape[1] - 1)), float)
+        known = sc.broadcast((built, norm, probes, np.array(tried["q"].to_pylist())))
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, longest, w, ids = known.value
+            best = [[] for _ in w]
+            for batch in batches:
+                x, c = matrix(batch), batch["c"].to_numpy()
+                s = w @ x.T
+                s[ids[:, None] == c[None]] = -np.inf
+                for i, row in enumerate(s):
+                    top = np.argpartition(-row, k - 1)[:k] if len(row) > k else np.arange(len(row))
+                    best[i] = sorted(best[i] + [(row[j], int(c[j]), x[j]) for j in top if row[j] > -np.inf], key=lambda y: (-y[0], y[1]))[:k]
+            for i, rows in enumerate(best):
+                if rows:
+                    homes = np.stack([leaves_of(t, extended(np.stack([y[2] for y in rows]), longest)) for t in own], 1)
+                    yield pa.RecordBatch.from_pydict({"i": pa.array([i] * len(rows), pa.int32()), "c": pa.array([y[1] for y in rows], pa.int64()), "s": pa.array([y[0] for y in rows], pa.float64()), "leaf": pa.array(homes.tolist(), pa.list_(pa.int32()))})
+
+        found = classes.select("c", "v").mapInArrow(nearest, "i int, c long, s double, leaf array<int>")
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "c"))).where(F.col("r") <= k).select("i", "leaf").collect()  # PROBES x k rows at most
+        homes = [np.array([r["leaf"] for r in found if r["i"] == i], np.int64).reshape(-1, trees) for i in range(len(probes))]
+        share = np.stack([np.bincount(leaves_of(t, points), minlength=leaves) for t in built]) / len(points)
+        n_trees, n_leaves, reach = settle(built, share, towards(probes), homes, n, asked.count())
+        built = shallow(built, n_trees, n_leaves)
+    trees, leaves = len(built), len(built[0].offsets) + 1
+    forest = sc.broadcast((built, norm))
+
     def place(batch: pa.RecordBatch) -> dict:
         built, longest = forest.value
         x = extended(matrix(batch), longest)
@@ -135,9 +206,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     def walk(batch: pa.RecordBatch) -> dict:
         built, _ = forest.value
-        x = matrix(batch)
-        x = np.hstack([x, np.zeros((len(x), 1))])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = towards(matrix(batch))
         margins = [x @ t.normals.T - t.offsets for t in built]
         ways = [reached(built, [m[i] for m in margins], counts, reach) for i in range(len(x))]
         return {"q": batch["q"], "v": batch["v"], "way": [[{"tree": t, "leaf": leaf} for t, leaf in way] for way in ways]}

@@ -177,6 +177,28 @@ def test_exact_and_edited_copies_of_items_are_found(spark):
     assert decontam.drop_leaks(d, bench).count() == 40
 
 
+def test_copies_with_replaced_and_inserted_words_are_found(spark):
+    rng = random.Random(8)
+    items = [words(rng, n, 300) for n in (1, 2, 3, 4, 5, 9, 30, 30, 48, 60)]
+    texts = [words(rng, 40, 300) for _ in range(20)]
+    for item in items:
+        w = item.split()
+        common = sorted(w, key=lambda x: " ".join(texts).split().count(x))
+        for every in (3, 4, 10):
+            texts.append(f"{words(rng, 9)} {' '.join('zz' if k % every == 1 else x for k, x in enumerate(w))} {words(rng, 9)}")
+        rare = set(common[: len(w) * 33 // 100])
+        texts += [" ".join("zz" if x in rare else x for x in w), " qq ".join(w), " ".join(x for k, x in enumerate(w) if k % 3)]
+    bench = [*enumerate(items), (6, items[9])]  # an id with two texts
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.find_leaks(docs(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    bag, want = decontam.Words(), {}
+    own, test = bag.of(texts), bag.of([x for _, x in bench])
+    for i, t in enumerate(own):
+        for (k, _), x in zip(bench, test):
+            if (score := decontam.align(x, t) / (2 * len(x))) >= 0.5:
+                want[i, k] = max(score, want.get((i, k), 0))
+    assert got == want and len({k for _, k in want}) == len(items)
+
+
 # op4
 
 

@@ -1,12 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: seeds of word pairs, then Smith-Waterman alignment.
 
-Words are counted over the whole corpus; of each test item, the n-grams with the rarest words are seeds. A bit map of fixed
-size picks the passages of the corpus that may hold a seed; seeds join these passages to items, and each pair is aligned word
-by word, so that edited and paraphrased copies still score.
+A passage that scores enough must hold a number of an item's word pairs, next to each other or with one word between. Words
+are counted over the whole corpus, and the pairs with the commonest words, as many as that number allows, are no seeds; so no
+passage above the threshold is lost. A bit map of fixed size picks the passages of the corpus that may hold a seed; seeds join
+these passages to items, and each pair with enough seeds is aligned word by word, so that edited and paraphrased copies still score.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,8 +20,6 @@ from xxhash import xxh64_intdigest
 
 from .common import Numbers, cut, mapped, picked
 
-#: Words in a seed; share of an item's n-grams, rarest first, that are seeds.
-N, SEED_SHARE = 3, 0.5
 #: log2 of the bits in the maps that tasks get, whatever the input.
 BITS = 24
 #: Alignment: what a common, a changed and a missing word count; the share of an item's full score that makes a leak.
@@ -52,18 +52,33 @@ class Words:
         return [h[h != 0] for h in (self.hash[k] for k in at)]
 
 
-def grams(words: np.ndarray, n: int = N) -> np.ndarray:
-    """Hashes of the n-grams; a shorter text is one n-gram as a whole."""
-    if not len(words):
-        return words
-    n = min(n, len(words))
-    w, h = words.astype(np.uint64), np.zeros(len(words) - n + 1, np.uint64)
-    for k in range(n):
-        h = (h ^ w[k : len(w) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+def chained(parts: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(parts[0]), np.uint64)
+    for w in parts:
+        h = (h ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h.astype(np.int64)
 
 
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    """Hashes of words that stand next to each other."""
+    return chained([words[:-1], words[1:]])
+
+
+def found_in(words: np.ndarray, single: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs that stand next to each other or with one word between, of single words if asked; their places."""
+    parts = [pairs_of(words), chained([words[:-2], words[2:]])] + ([chained([words])] if single else [])
+    return np.concatenate(parts), np.concatenate([np.arange(len(x)) for x in parts])
+
+
+def pairs_needed(n: int, threshold: float) -> int:
+    """Pairs of an item of n words that stand in any passage of the threshold's score. Below 1, only single words are sure.
+
+    Let s words of the item be spanned, m of them matched, p pairs of matched neighbours have at most one word between. A score is at
+    most 3m - s, and as 2m - s - 1 - p pairs of neighbours or more have two words between, at most s - m + 2 + 2p; s is at most n."""
+    return math.ceil((4 * threshold - 1) * n / 3 - 1 - 1e-9)
+
+
 def bit(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (hashes.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -87,32 +102,42 @@ def align(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-def seeds_of(items: DataFrame, counts: DataFrame, share: float) -> DataFrame:
-    """seed, item_id: the share of an item's n-grams whose words are rarest in the corpus, one at least."""
-    words = items.select("item_id", F.posexplode("words").alias("pos", "word")).join(counts, "word", "left").select("item_id", "pos", F.log(F.coalesce("n", F.lit(0)) + 1.0).alias("cost"))
-    per_item = words.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cost"))), lambda x: x["cost"]).alias("cost"))
+def seeds_of(items: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """seed, key, times (in the item), least (times that a passage must reach), fewest (distinct seeds that this takes)."""
+    words = items.select("key", F.posexplode("words").alias("pos", "word")).join(counts, "word", "left").select("key", "pos", F.log(F.coalesce("n", F.lit(0)) + 1.0).alias("cost"))
+    per_item = words.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cost"))), lambda x: x["cost"]).alias("cost"))
 
     def pick(batch: pa.RecordBatch) -> dict:
-        out = []
+        out = {"key": batch["key"], "seeds": [], "times": [], "least": [], "fewest": []}
         for words, cost in zip(batch["words"].to_pylist(), batch["cost"].to_pylist()):
-            g = grams(np.array(words, np.int64))
-            width = len(words) - len(g) + 1
-            total = np.convolve(np.array(cost), np.ones(width), "valid")
-            out.append(np.unique(g[np.argsort(total, kind="stable")[: max(1, int(np.ceil(share * len(g))))]]))
-        return {"item_id": batch["item_id"], "seeds": out}
-
-    kind = items.schema["item_id"].dataType.simpleString()
-    return mapped(items.join(per_item, "item_id"), pick, f"item_id {kind}, seeds array<long>").select("item_id", F.explode("seeds").alias("seed"))
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, share: float = SEED_SHARE) -> DataFrame:
+            w, cost, needed = np.array(words, np.int64), np.array(cost), pairs_needed(len(words), threshold)
+            least = max(1, -(-needed // 2))
+            if needed < 1:
+                chosen = chained([w])
+            else:  # without any needed - least of the pairs, least are still met
+                g = pairs_of(w)
+                chosen = g[np.argsort(cost[:-1] + cost[1:], kind="stable")[: max(1, len(g) - needed + least)]]
+            seeds, times = np.unique(chosen, return_counts=True)
+            for k, v in (("seeds", seeds), ("times", times), ("least", least), ("fewest", int(np.searchsorted(np.cumsum(np.sort(times)[::-1]), least)) + 1)):
+                out[k].append(v)
+        return out
+
+    rows = mapped(items.join(per_item, "key"), pick, "key long, seeds array<long>, times array<long>, least long, fewest long")
+    return rows.select("key", "least", "fewest", F.explode(F.arrays_zip("seeds", "times")).alias("x")).select(F.col("x.seeds").alias("seed"), "key", F.col("x.times").alias("times"), "least", "fewest")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score (1: the whole item), n_seeds for each pair at or above the threshold. Null and empty texts and
-    items, and rows without an id, have no pairs; repeated rows count once; empty tables give an empty one."""
+    items, and rows without an id, have no pairs; repeated rows count once, texts that share an item's id each count; empty tables
+    give an empty one. A single word of an item of two is half of it."""
     own = picked(docs, doc_id="doc_id", text="text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    items = picked(benchmark, item_id="item_id", text="text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text"))
-    items = cut(mapped(items, lambda rows, words: {"item_id": rows["item_id"], "words": words.of(rows["text"].to_pylist())}, f"item_id {item_kind}, words array<long>", Words).where(F.size("words") > 0))
-    longest = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
+    items = picked(benchmark, item_id="item_id", text="text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    items = mapped(items, lambda rows, words: {"item_id": rows["item_id"], "words": words.of(rows["text"].to_pylist())}, f"item_id {item_kind}, words array<long>", Words).where(F.size("words") > 0)
+    items = cut(items.distinct().withColumn("key", F.xxhash64("item_id", "words")))
+    size = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0)).alias("most"), F.coalesce(F.min(F.size("words")), F.lit(0)).alias("least")).first()
+    # an alignment spans fewer words of a text than this
+    longest, single = math.ceil((3 - 2 * threshold) * size["most"]), pairs_needed(size["least"] if threshold > 0.25 else size["most"], threshold) < 1
     sc = docs.sparkSession.sparkContext
     asked = sc.broadcast(np.packbits(bit_map(items.select(F.explode("words").alias("w")), "w")))  # 2**BITS bits
 
@@ -125,7 +150,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
 
     counts = own.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    seeds = cut(seeds_of(items, counts, share))
+    seeds = cut(seeds_of(items, counts, threshold))
+    fewest = seeds.agg(F.coalesce(F.min("fewest"), F.lit(1))).first()[0]
     sought = sc.broadcast(np.packbits(bit_map(seeds, "seed")))  # 2**BITS bits
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,22 +160,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), {"doc_id": [], "start": [], "seeds": [], "words": []}
                 for doc, w in zip(part["doc_id"].to_pylist(), words.of(part["text"].to_pylist())):
-                    g = grams(w)
+                    g, place = found_in(w, single)
                     hits = np.flatnonzero(wanted[bit(g)])
-                    for run in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * longest) + 1) if len(hits) else ():
-                        a, b = max(0, run[0] - longest), run[-1] + longest + N
-                        for k, v in zip(out, (doc, a, np.unique(g[run]), w[a:b])):
+                    hits = hits[np.argsort(place[hits], kind="stable")]
+                    for run in np.split(hits, np.flatnonzero(np.diff(place[hits]) > longest) + 1) if len(hits) >= fewest else ():
+                        met = np.unique(g[run])
+                        if len(met) < fewest:
+                            continue
+                        a, b = max(0, place[run[0]] - longest), place[run[-1]] + longest + 3
+                        for k, v in zip(out, (doc, a, met, w[a:b])):
                             out[k].append(v)
                 if out["doc_id"]:
                     yield pa.RecordBatch.from_pydict(out, schema=passage_schema(part.schema.field("doc_id").type))
 
     found = cut(own.mapInArrow(passages, f"doc_id {doc_kind}, start int, seeds array<long>, words array<long>").withColumn("passage", F.xxhash64("doc_id", "start", "words")))
-    pairs = found.select("passage", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("passage", "item_id").agg(F.countDistinct("seed").alias("n_seeds"))
-    both = pairs.join(found.select("passage", "doc_id", "words").dropDuplicates(["passage"]), "passage").join(items.withColumnRenamed("words", "item"), "item_id").select("doc_id", "item_id", "n_seeds", "words", "item")
+    pairs = found.select("passage", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("passage", "key").agg(F.countDistinct("seed").alias("n_seeds"), F.sum("times").alias("times"), F.first("least").alias("least")).where("times >= least")
+    both = pairs.join(found.select("passage", "doc_id", "words").dropDuplicates(["passage"]), "passage").join(items.withColumnRenamed("words", "item"), "key").select("doc_id", "item_id", "n_seeds", "words", "item")
 
     def score(batch: pa.RecordBatch) -> dict:
         texts, wanted = batch["words"].to_pylist(), batch["item"].to_pylist()
-        return {k: batch[k] for k in ("doc_id", "item_id", "n_seeds")} | {"score": [align(np.array(i, np.int64), np.array(t, np.int64)) / (MATCH * len(i)) for i, t in zip(wanted, texts)]}
+        out = []
+        for i, t in zip(wanted, texts):
+            i, t = np.array(i, np.int64), np.array(t, np.int64)
+            enough = np.isin(pairs_of(i), found_in(t, False)[0]).sum() >= pairs_needed(len(i), threshold)
+            out.append(align(i, t) / (MATCH * len(i)) if enough else 0.0)
+        return {k: batch[k] for k in ("doc_id", "item_id", "n_seeds")} | {"score": out}
 
     scored = mapped(both.repartition("doc_id", "item_id"), score, f"doc_id {doc_kind}, item_id {item_kind}, n_seeds long, score double")
     return scored.where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("n_seeds").alias("n_seeds"))

@@ -275,6 +275,15 @@ def test_guess_cost_is_least_over_all_segmentations():
     assert [k for k, *_ in secrets.scan("login pwd: x9$Kq!2mZpQ7 and pwd: password")] == ["cost"]
 
 
+def test_values_of_letters_and_quoted_values_are_scored_whole():
+    for text, value in (
+        ("pwd: xkQjzVwplmTr", "xkQjzVwplmTr"), ("passphrase=KqZxVbnmWpLtRyHs now", "KqZxVbnmWpLtRyHs"), ('pwd = "a;9,<Kq>2\'mZ"', "a;9,<Kq>2'mZ"),
+        ("{'auth': 'x, y; z9 $Kq!2'}", "x, y; z9 $Kq!2"), ('credential: "Zk\\"9,v;Qm2x"', 'Zk\\"9,v;Qm2x'), ('pwd: "x9$Kq!2mZpQ7', "x9$Kq!2mZpQ7"),
+    ):
+        assert [text[a:b] for kind, a, b in secrets.scan(text) if kind == "cost"] == [value]
+    assert secrets.scan('pwd: "password" and pwd: correcthorse') == []
+
+
 # op7
 
 

@@ -18,8 +18,8 @@ from .common import mapped, picked
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Where the method looks for values that the fixed patterns may not know.
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|pw|secret|token|credential|auth|(?:api|access|private)[_-]?key)["']?[ \t]*[:=]+[ \t]*["']?([^\s"'<>;,]{6,})""", re.I | re.A)
+#: Where the method looks for values that the fixed patterns may not know: quoted ones to their closing quote.
+CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|pw|secret|token|credential|auth|(?:api|access|private)[_-]?key)["']?[ \t]*[:=]+[ \t]*(?:"((?:\\.|[^"\\\r\n]){6,})"|'((?:\\.|[^'\\\r\n]){6,})'|["']?([^\s"'<>;,]{6,}))""", re.I | re.A)
 CONTEXT_WORDS = (b"pass", b"pwd", b"pw", b"secret", b"token", b"credential", b"auth", b"key")
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 KINDS = ("assign", "access", "hex", "cost")
@@ -100,7 +100,7 @@ def scan(text: str | None, least_cost: float = LEAST_COST) -> list[tuple[str, in
     if b"x" * 24 in raw.translate(HEX_TO_X):
         found += [("hex", *m.span()) for m in HEX.finditer(text)]
     if any(w in low for w in CONTEXT_WORDS):
-        found += [("cost", *m.span(1)) for m in CONTEXT.finditer(text) if not m[1].rstrip(".!?)").isalpha() and guess_cost(m[1]) >= least_cost]
+        found += [("cost", *m.span(m.lastindex)) for m in CONTEXT.finditer(text) if guess_cost(m[m.lastindex]) >= least_cost]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once, kept in the folder that all executors share; its lineage ends there."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+__all__ = ["components", "cut"]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """v, label (the smallest vertex of its component) for each vertex of edges (a, b). Vertices are of any type with an order; those
     of several graphs go in one call as structs that begin with the graph. Each round halves what is left, roughly."""
-    first = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    now, last = first, None
+    first = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, last = first.where("a <> b"), None
     while (state := tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())) != last and state[0]:
         last = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         stars = both.join(both.groupBy("a").agg(F.min("b").alias("m")), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        pairs = stars.join(stars.groupBy("a").agg(F.min("b").alias("m")), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = cut(pairs.select("e.*").where("a <> b").distinct())
-    vertices = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+        pairs = stars.join(stars.groupBy("a").agg(F.min("b").alias("m")), "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        now = cut(pairs.select(F.col("e.a").alias("a"), F.col("e.b").alias("b")).where("a <> b").distinct())
+    vertices = first.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     return vertices.join(now.withColumnRenamed("a", "v"), "v", "left").select("v", F.coalesce("b", "v").alias("label"))

@@ -1,9 +1,11 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from trailspark.functions.geo import haversine_m
+from trailspark.operators import components as components_module
 from trailspark.operators import elevation, geometry, measure, spatial, stitch
 from trailspark.operators.components import components
 
@@ -76,7 +78,9 @@ def test_small_graphs(spark):
     assert {r.route_id: r["count"] for r in ends} == {2: 4}
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("local", [20, 10_000])
+def test_components_of_random_graphs(spark, monkeypatch, local):
+    monkeypatch.setattr(components_module, "LOCAL", local)
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
     par = list(range(200))
@@ -91,6 +95,8 @@ def test_components_of_random_graphs(spark):
         par[max(a, b)] = min(a, b)
     got = {r.v: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: find(v) for e in edges for v in e}
+    structs = spark.createDataFrame([((0, a), (0, b)) for a, b in edges], "a struct<g int, v long>, b struct<g int, v long>")
+    assert {r.v.v: r.label.v for r in components(structs).collect()} == got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

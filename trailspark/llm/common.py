@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..operators.lineage import cut, shared_dir  # noqa: F401
+
 #: Rows that a Python task turns into objects at a time; bounds a worker's memory.
 SLICE_ROWS = 256
 
@@ -46,19 +49,31 @@ def mapped(rows: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict]
     return rows.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir of the session. Where it is unset (tests), one is set."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    found = found or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+@dataclass(frozen=True)
+class BitMap:
+    """Flags of hashes, for tasks to leave out what others don't ask for. It may say yes wrongly, never no; its size is bounded."""
+
+    words: np.ndarray
+    bits: int
+
+    @staticmethod
+    def of(rows: DataFrame, column: str, bits: int) -> BitMap:
+        """Of the hashes in a column. Tasks send words of 64 flags that aren't empty, 2**(bits - 6) at most."""
+        b = F.shiftrightunsigned(F.col(column), 64 - bits)
+        found = rows.groupBy(F.shiftright(b, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))).alias("flags"))
+        words = np.zeros(1 << bits - 6, np.uint64)
+        for batch in found.toArrow().to_batches():
+            words[batch["at"].to_numpy()] = batch["flags"].to_numpy().astype(np.uint64)
+        return BitMap(words, bits)
 
+    @staticmethod
+    def bits_for(n: int) -> int:
+        """16 flags for each of n hashes, 2**28 in all at most."""
+        return min(28, max(16, (16 * n).bit_length()))
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; lineage ends there, and lost executors don't lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        b = hashes.astype(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
 
 
 def held_out(doc_id: Column) -> Column:

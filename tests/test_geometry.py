@@ -126,5 +126,39 @@ def test_ways_are_chained_turned_and_left_out():
     assert stitch.chain([]) == [] and stitch.chain([[a]]) == []
 
 
+def test_lines_of_broken_routes_cover_their_ways(spark):
+    """Ways of a path that passes no place twice give that path, however they are turned and ordered; gaps beyond the tolerance part it."""
+    rng, rows, want = random.Random(2), [], {}
+    for route in range(40):
+        path = [(50 + 0.001 * k, 15 + 0.002 * rng.random()) for k in range(rng.randint(2, 9))]
+        ways = [[x, y] for x, y in zip(path, path[1:])]
+        if route % 4:
+            rng.shuffle(ways)
+            ways = [w[::-1] if rng.random() < 0.5 else w for w in ways]
+        if route % 5 == 0:
+            ways.append([(60.0, 15.0), (60.0, 15.1)])
+        if route % 3 == 0:
+            ways.insert(rng.randrange(len(ways) + 1), [path[0]])
+        rows += [r for k, w in enumerate(ways) for r in line(w, route=route, way=k)]
+        want[route] = path
+        if route % 5 == 0 and len(ways[0]) > 1 and ways[0][0][0] == 60.0:
+            want[route] = ways[0]
+    out = stitch.stitch(vertices(spark, rows)).orderBy("route_id", "pos").collect()
+    for route, path in want.items():
+        got = [(r.lat, r.lon) for r in out if r.route_id == route]
+        assert got in (path, path[::-1])
+    assert stitch.stitch(vertices(spark, [])).count() == 0
+
+
+def test_line_and_shape_of_turned_ways(spark):
+    """Four ways of one line, two turned round and two swapped: the line is as long as before and its ends as far apart."""
+    p = [(50.0, 15.0 + 0.003 * k) for k in range(5)]
+    ways = [[p[0], p[1]], [p[3], p[2]], [p[2], p[1]], [p[3], p[4]]]
+    v = vertices(spark, [r for k, w in enumerate(ways) for r in line(w, way=k)])
+    routes = spark.createDataFrame([(0, 1)], "area_id int, route_id long").withColumn("tags", F.create_map().cast("map<string,string>"))
+    own = measure.shapes(routes, v, stitch.stitch(v)).first()
+    assert abs(own.gap_m - hav(p[0], p[4])) < 0.01 and abs(own.length_m - own.gap_m) < 0.01 and not own.circular
+
+
 def test_distance_of_a_point_to_itself_is_zero(spark):
     assert spark.range(1).select(haversine_m(F.lit(50.0), F.lit(15.0), F.lit(50.0), F.lit(15.0)).alias("d")).first().d == 0

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from test_geometry import vertices
 from trailspark.functions.registry import POI_KINDS
 from trailspark.operators import graph, inventory
-from trailspark.plans import modes
+from trailspark.params import Criteria, Params
+from trailspark.plans import modes, search
 
 
 def network(spark, lines):
@@ -36,9 +37,9 @@ def test_a_ring_is_one_self_loop_and_a_stem_is_no_loop(spark):
 
 def test_loops_of_parallel_trails(spark):
     edges = network(spark, [[S, M, T], [S, N, T], [S, B, T]])
-    segments = graph.segments_of(graph.contract(edges))
-    assert graph.loops(segments, 0.0, 1e5, 12).count() == 3
-    out = modes.compose_loops(edges, 0.0, 1e5).collect()
+    net = modes.contracted(edges)
+    assert graph.loops(net.segments, 0.0, 1e5, 12).count() == 3
+    out = modes.compose_loops(net, 0.0, 1e5).collect()
     assert out and all(0.05 <= r.compactness <= 1 for r in out)
 
 
@@ -84,9 +85,112 @@ def test_unknown_kinds_raise():
     assert inventory.check_kinds(["peak", "ruins", "peak"]) == ["peak", "ruins"] and len(POI_KINDS) == 28
 
 
-def test_nearest_object_on_foot(spark):
-    edges = network(spark, [[S, M, T], [M, N]])
+def test_nearest_object_on_foot_and_what_became_of_the_others(spark):
+    edges = network(spark, [[S, M, T], [M, N], [(50.02, 15.0), (50.02, 15.004)]])
     requests = spark.createDataFrame([(0, 1, 50.0, 15.001)], "area_id int, point_id long, lat double, lon double")
-    pois = spark.createDataFrame([(0, 1, "ruins", "a", 50.0, 15.02), (0, 2, "ruins", "b", 50.009, 15.015), (0, 3, "peak", "c", 50.0, 15.002)], "area_id int, feature_id long, kind string, name string, lat double, lon double")
-    rows = modes.routes_to_poi(edges, requests, pois, ["ruins"], 2, 1e5).orderBy("place").collect()
-    assert [r.feature_id for r in rows] == [1, 2] and rows[0].m < rows[1].m
+    places = [(1, "ruins", 50.0, 15.02), (2, "ruins", 50.009, 15.015), (3, "peak", 50.0, 15.002), (4, "ruins", 50.02, 15.002), (5, "ruins", 50.0, 15.001), (6, "ruins", 49.977, 15.0)]
+    pois = spark.createDataFrame([(0, i, k, "n", y, x) for i, k, y, x in places], "area_id int, feature_id long, kind string, name string, lat double, lon double")
+    params = Params(routes_max_snap_km=1.0)
+    rows = {r.feature_id: r for r in modes.routes_to_poi(edges, requests, pois, ["ruins"], 2, params).collect()}
+    assert {k: r.state for k, r in rows.items()} == {1: "ok", 2: "ok", 4: "unreachable", 5: "at_start", 6: "off_network"}
+    assert rows[1].place == 1 and rows[2].place == 2 and rows[1].shown and rows[1].certain and rows[1].m < rows[2].m
+
+
+def all_paths(edges, src, dst):
+    """Brute force: every path without a repeated node, as nodes and length."""
+    near = {}
+    for e in edges:
+        near.setdefault(e.a, []).append((e.b, e.length_m))
+        near.setdefault(e.b, []).append((e.a, e.length_m))
+
+    def grow(path, m):
+        if path[-1] == dst:
+            yield m, path
+            return
+        for o, w in near[path[-1]]:
+            if o not in path:
+                yield from grow([*path, o], m + w)
+
+    return sorted(grow([src], 0.0), key=lambda x: round(x[0], 3))
+
+
+def test_k_shortest_distinct_ways_equal_brute_force(spark):
+    rng = random.Random(6)
+    nodes = [(50 + 0.002 * i + 0.0003 * rng.random(), 15 + 0.003 * j + 0.0003 * rng.random()) for i in range(3) for j in range(4)]
+    lines = [[nodes[a], nodes[b]] for a in range(12) for b in (a + 1, a + 4) if b < 12 and (b != a + 1 or b % 4)]
+    edges = network(spark, lines)
+    (y1, x1), (y2, x2) = nodes[0], nodes[11]
+    requests = spark.createDataFrame([(0, 5, y1, x1, y2, x2), (0, 6, y1, x1, 51.0, 15.0)], "area_id int, request_id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    for overlap in (0.6, 1.0):
+        s, found = modes.routes_between(edges, requests, Params(routes_overlap_frac=overlap), 3000.0)
+        got = [round(r.m, 3) for r in found.orderBy("place").collect()]
+        ends = {r.point_id: r.node for r in s.points.collect()}
+        kept = []
+        for m, path in all_paths(edges.collect(), ends[11], ends[12]):
+            steps = {frozenset(x) for x in zip(path, path[1:])}
+            length = {frozenset((e.a, e.b)): e.length_m for e in edges.collect()} if not kept else length
+            if m <= 3000 and len(kept) < 3 and all(sum(length[x] for x in steps & k) <= overlap * m for _, k in kept):
+                kept.append((round(m, 3), steps))
+        assert got == [m for m, _ in kept] and len(got) == 3
+
+
+def test_a_way_between_points_of_one_segment_is_cut_from_it(spark):
+    edges = network(spark, [[S, M, T]])
+    requests = spark.createDataFrame([(0, 1, 50.0, 15.004, 50.0, 15.024)], "area_id int, request_id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    rows = modes.routes_between(edges, requests)[1].collect()
+    assert len(rows) == 1 and abs(rows[0].m - 0.02 * 111_195 * 0.6428) < 3
+
+
+def test_round_trips_take_new_ways_where_there_are_any(spark):
+    lens = network(spark, [[S, M, T], [S, N, T], [(49.995, 15.0), S]])
+    stops = lambda *p: spark.createDataFrame([(0, 1, k, float(y), float(x)) for k, (y, x) in enumerate(p)], "area_id int, request_id long, pos int, lat double, lon double")
+    _, way, report = modes.route_via(lens, stops(S, T), loop=True)
+    assert report.first().retraced == 0 and len(way.first().segs) == 2
+    _, _, report = modes.route_via(lens, stops((49.995, 15.0), S), loop=True)
+    assert abs(report.first().retraced - 1) < 1e-9
+    _, way, report = modes.route_via(lens, stops((49.995, 15.0), T))
+    assert report.first().retraced == 0 and way.count() == 1
+    gap = network(spark, [[S, M], [(50.02, 15.0), (50.02, 15.01)]])
+    assert modes.route_via(gap, stops(S, (50.02, 15.0)))[1].count() == 0
+    assert modes.route_via(gap, stops(S, (52.0, 15.0)))[1].count() == 0
+
+
+def test_loops_near_a_point_begin_at_it_and_measure_as_routes(spark):
+    edges = network(spark, [[S, M, T], [S, N, T], [S, B, T]])
+    net = modes.contracted(edges)
+    requests = spark.createDataFrame([(0, 7, 50.0101, 15.015), (0, 8, 52.0, 15.0)], "area_id int, request_id long, lat double, lon double")
+    rows = modes.loops_around(net, requests, 0.0, 1e5, Params(around_radius_m=100.0)).collect()
+    assert rows and {r.request_id for r in rows} == {7} and all((r.anchor.lat, r.anchor.lon) == N for r in rows)
+    none = lambda kind: spark.createDataFrame([], kind)
+    feature = "area_id int, feature_id long, kind string, name string, lat double, lon double"
+    areas = spark.createDataFrame([(0, True, True, True, ["ruins"])], "area_id int, transit_recorded boolean, way_tags_recorded boolean, ferrata_recorded boolean, poi_kinds array<string>")
+    parking = spark.createDataFrame([(0, 1, "parking", "P", 50.0, 15.0)], feature)
+    tables = search.Tables(areas, none("area_id int"), none("area_id int"), none("area_id int"), parking, none(feature), none(feature), none(feature))
+    best = modes.compose_loops(net, 0.0, 1e5).withColumn("path_id", -F.col("place").cast("long"))
+    level = lambda points: points.withColumn("elev", (F.col("lat") - 50) * 20_000)
+    out = modes.measure_composed(tables, net, best, Criteria(car_access=True), level, Params(), True, "Composed loop").collect()
+    lengths = {-r.place: r.length_m for r in modes.compose_loops(net, 0.0, 1e5).collect()}
+    assert [(r.circular, abs(r.gain_m - r.loss_m) <= 25, r.gain_m > 0, abs(r.length_m - lengths[r.route_id]) < 1e-6) for r in out] == [(True,) * 4] * len(out) != []
+    assert modes.measure_composed(tables, net, best, Criteria(transit_access=True), level, Params(), True, "x").count() == 0
+
+
+def test_unknown_fails_every_filter_and_cabled_relations_stay_apart(spark):
+    v = vertices(spark, [(a, r, 0, k, 50.0, 15.0 + 0.005 * k + a) for a in (0, 1) for r in (1, 2) for k in range(3)])
+    kind = "area_id int, route_id long, seq long, name string, ref string, unnamed boolean, tags map<string,string>, is_ferrata boolean"
+    routes = spark.createDataFrame([(a, r, r, "n", None, False, {"route": "via_ferrata"} if r == 2 else {}, r == 2) for a in (0, 1) for r in (1, 2)], kind)
+    ways = spark.createDataFrame([(a, r, 0, {}) for a in (0, 1) for r in (1, 2)], "area_id int, route_id long, way_idx int, tags map<string,string>")
+    areas = spark.createDataFrame([(0, True, True, True, None), (1, False, False, False, None)], "area_id int, transit_recorded boolean, way_tags_recorded boolean, ferrata_recorded boolean, poi_kinds array<string>")
+    areas = areas.withColumns({k: F.lit(None).cast("double") for k in ("south", "west", "north", "east")})
+    feature = "area_id int, feature_id long, kind string, name string, lat double, lon double"
+    stop = spark.createDataFrame([(a, 1, "bus_stop", "B", 50.0, 15.0 + a) for a in (0, 1)], feature)
+    none = spark.createDataFrame([], feature)
+    tables = search.Tables(areas, routes, ways, v, none, none, stop, none)
+    find = lambda **c: sorted((r.area_id, r.route_id) for r in search.search(tables, Criteria(**c), lambda p: p.withColumn("elev", F.lit(1.0))).collect())
+    assert find() == [(0, 1), (1, 1)]
+    assert find(transit_access=True) == [(0, 1)] and find(transit_access=False) == []
+    assert find(ferrata=False) == [(0, 1)] and find(ferrata=True) == [(0, 2), (1, 2)]
+    assert find(min_gain_m=0.0) == [(0, 1), (1, 1)]
+    unknown = search.search(tables, Criteria(min_gain_m=0.0), lambda p: p.withColumn("elev", F.lit(None).cast("double")))
+    assert unknown.count() == 0
+    said = {r.area_id: r.notices for r in search.notices(tables, Criteria(ferrata=True, transit_access=True, poi_kinds=("ruins",))).collect()}
+    assert said == {0: ["poi_unknown"], 1: ["ferrata_unreadable", "transit_unrecorded", "poi_unknown"]}

@@ -27,7 +27,7 @@ def poi_kind(tags: Column) -> Column:
         for key, values in kind.exclude:
             fits = fits & ~is_in(tags, key, values)
         for key in kind.require:
-            fits = fits & (F.coalesce(tag(tags, key), F.lit("")) != "")
+            fits = fits & F.coalesce(F.map_contains_key(tags, key), F.lit(False))
         out.append(F.when(fits, F.lit(name)))
     return F.coalesce(*out)
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from typing import NamedTuple
 
 
-class PoiKind(NamedTuple):
+class Kind(NamedTuple):
+    """Tags that make an object of a kind: one of values under key, none of exclude, and all of require present."""
+
     key: str
     values: tuple[str, ...]
     label: str
-    plural: str
     exclude: tuple[tuple[str, tuple[str, ...]], ...] = ()
     require: tuple[str, ...] = ()
 
@@ -17,35 +18,35 @@ class PoiKind(NamedTuple):
 NOT_LOOKOUTS = ("communication", "communications", "transmission", "water_tower", "cooling", "chimney")
 
 #: In order of precedence: an object is of the first kind that fits.
-POI_KINDS: dict[str, PoiKind] = {
-    "church": PoiKind("amenity", ("place_of_worship",), "place of worship", "places of worship"),
-    "shrine": PoiKind("historic", ("wayside_shrine", "wayside_cross"), "shrine", "wayside shrines & crosses"),
-    "ruins": PoiKind("historic", ("ruins",), "ruin", "ruins"),
-    "castle": PoiKind("historic", ("castle", "fort"), "castle", "castles & forts"),
-    "memorial": PoiKind("historic", ("memorial", "monument"), "memorial", "memorials"),
-    "archaeology": PoiKind("historic", ("archaeological_site",), "archaeological site", "archaeological sites"),
-    "boundary_stone": PoiKind("historic", ("boundary_stone",), "boundary stone", "boundary stones"),
-    "mill": PoiKind("man_made", ("windmill", "watermill"), "mill", "windmills & watermills"),
-    "mine": PoiKind("man_made", ("adit", "mineshaft"), "mine entrance", "mine entrances & adits"),
-    "peak": PoiKind("natural", ("peak",), "peak", "summits"),
-    "rock": PoiKind("natural", ("rock", "arch", "stone"), "rock", "rock formations"),
-    "sinkhole": PoiKind("natural", ("sinkhole",), "sinkhole", "sinkholes"),
-    "cave": PoiKind("natural", ("cave_entrance",), "cave", "caves"),
-    "spring": PoiKind("natural", ("spring",), "spring", "springs"),
-    "drinking_water": PoiKind("amenity", ("drinking_water",), "drinking water", "drinking water"),
-    "waterfall": PoiKind("waterway", ("waterfall",), "waterfall", "waterfalls"),
-    "viewpoint": PoiKind("tourism", ("viewpoint",), "viewpoint", "viewpoints"),
-    "tower": PoiKind("man_made", ("tower",), "tower", "towers", exclude=(("tower:type", NOT_LOOKOUTS),)),
-    "tree": PoiKind("natural", ("tree",), "named tree", "named trees", require=("name",)),
-    "museum": PoiKind("tourism", ("museum",), "museum", "museums"),
-    "artwork": PoiKind("tourism", ("artwork",), "artwork", "sculptures & artwork"),
-    "hut": PoiKind("tourism", ("alpine_hut", "wilderness_hut"), "mountain hut", "mountain huts"),
-    "shelter": PoiKind("amenity", ("shelter",), "shelter", "shelters", exclude=(("shelter_type", ("public_transport",)), ("highway", ("bus_stop",)))),
-    "picnic": PoiKind("tourism", ("picnic_site",), "picnic site", "picnic sites"),
-    "firepit": PoiKind("leisure", ("firepit",), "fire pit", "fire pits"),
-    "camp": PoiKind("tourism", ("camp_site",), "campsite", "campsites"),
-    "refreshment": PoiKind("amenity", ("pub", "restaurant", "cafe"), "pub/restaurant", "pubs & restaurants"),
-    "toilets": PoiKind("amenity", ("toilets",), "toilets", "public toilets"),
+POI_KINDS: dict[str, Kind] = {
+    "church": Kind("amenity", ("place_of_worship",), "place of worship"),
+    "shrine": Kind("historic", ("wayside_shrine", "wayside_cross"), "shrine"),
+    "ruins": Kind("historic", ("ruins",), "ruin"),
+    "castle": Kind("historic", ("castle", "fort"), "castle"),
+    "memorial": Kind("historic", ("memorial", "monument"), "memorial"),
+    "archaeology": Kind("historic", ("archaeological_site",), "archaeological site"),
+    "boundary_stone": Kind("historic", ("boundary_stone",), "boundary stone"),
+    "mill": Kind("man_made", ("windmill", "watermill"), "mill"),
+    "mine": Kind("man_made", ("adit", "mineshaft"), "mine entrance"),
+    "peak": Kind("natural", ("peak",), "peak"),
+    "rock": Kind("natural", ("rock", "arch", "stone"), "rock"),
+    "sinkhole": Kind("natural", ("sinkhole",), "sinkhole"),
+    "cave": Kind("natural", ("cave_entrance",), "cave"),
+    "spring": Kind("natural", ("spring",), "spring"),
+    "drinking_water": Kind("amenity", ("drinking_water",), "drinking water"),
+    "waterfall": Kind("waterway", ("waterfall",), "waterfall"),
+    "viewpoint": Kind("tourism", ("viewpoint",), "viewpoint"),
+    "tower": Kind("man_made", ("tower",), "tower", exclude=(("tower:type", NOT_LOOKOUTS),)),
+    "tree": Kind("natural", ("tree",), "named tree", require=("name",)),
+    "museum": Kind("tourism", ("museum",), "museum"),
+    "artwork": Kind("tourism", ("artwork",), "artwork"),
+    "hut": Kind("tourism", ("alpine_hut", "wilderness_hut"), "mountain hut"),
+    "shelter": Kind("amenity", ("shelter",), "shelter", exclude=(("shelter_type", ("public_transport",)), ("highway", ("bus_stop",)))),
+    "picnic": Kind("tourism", ("picnic_site",), "picnic site"),
+    "firepit": Kind("leisure", ("firepit",), "fire pit"),
+    "camp": Kind("tourism", ("camp_site",), "campsite"),
+    "refreshment": Kind("amenity", ("pub", "restaurant", "cafe"), "pub/restaurant"),
+    "toilets": Kind("amenity", ("toilets",), "toilets"),
 }
 #: Kind: (key, value, label, is rail).
 TRANSIT_KINDS = {
@@ -60,6 +61,5 @@ SURFACE_LABELS = {
     "compacted": "compacted gravel", "fine_gravel": "fine gravel", "gravel": "gravel", "pebblestone": "pebbles", "unpaved": "unpaved", "ground": "ground",
     "dirt": "dirt", "earth": "earth", "grass": "grass", "sand": "sand", "rock": "rock", "wood": "boardwalk",
 }
-TRACKTYPE_LABELS = {"grade1": "grade1 (solid)", "grade2": "grade2 (mostly solid)", "grade3": "grade3 (even mix)", "grade4": "grade4 (mostly soft)", "grade5": "grade5 (soft)"}
 #: Parts of an address that name a place, in order.
 PLACE_KEYS = ("village", "town", "city", "hamlet", "municipality", "suburb", "city_district", "locality", "isolated_dwelling", "county", "state")

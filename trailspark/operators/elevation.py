@@ -15,9 +15,16 @@ def dem_lookup(points: DataFrame, cells: DataFrame) -> DataFrame:
     return points.join(flat, ["grid_row", "grid_col"], "left")
 
 
+def keyed(points: DataFrame) -> DataFrame:
+    """points (lat, lon) with lat_key and lon_key, their place to 7 decimals."""
+    return points.withColumn("lat_key", coordinate_key(F.col("lat"))).withColumn("lon_key", coordinate_key(F.col("lon")))
+
+
 def sample_lookup(points: DataFrame, samples: DataFrame) -> DataFrame:
-    """points (lat, lon) and elev of the stored sample (lat_key, lon_key, elev) at the same place to 7 decimals."""
-    return points.withColumn("lat_key", coordinate_key(F.col("lat"))).withColumn("lon_key", coordinate_key(F.col("lon"))).join(samples.select("lat_key", "lon_key", "elev"), ["lat_key", "lon_key"], "left")
+    """points (lat, lon) and elev of the stored sample (lat_key, lon_key, elev) at the same place to 7 decimals. Samples of several
+    areas (area_id) keep to their own."""
+    keys = [k for k in ("area_id", "lat_key", "lon_key") if k in samples.columns]
+    return keyed(points).join(samples.select(*keys, "elev"), keys, "left").drop("lat_key", "lon_key")
 
 
 def first_complete(answers: DataFrame) -> DataFrame:

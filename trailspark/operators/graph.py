@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine_m, weld_key
 from .components import components, cut
 from .geometry import welded
 from .spatial import near, near_segments
@@ -31,58 +35,70 @@ def incidence(edges: DataFrame) -> DataFrame:
     return edges.select("area_id", "edge", "length_m", F.explode(F.array(way("a", "b"), way("b", "a"))).alias("w")).select("area_id", "w.node", "w.other", "edge", "length_m")
 
 
-def contract(edges: DataFrame) -> DataFrame:
-    """edges with their segment `seg`: runs of edges through nodes of degree two are one segment, named by its smallest edge."""
+def contract(edges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """edges with their segment `seg`: runs of edges through nodes of degree two are one segment, named by its smallest edge. At the nodes
+    in keep (area_id, node) segments end."""
     ends = incidence(edges)
     through = ends.groupBy("area_id", "node").agg(F.count("*").alias("degree"), F.min("edge").alias("e1"), F.max("edge").alias("e2")).where("degree = 2 and e1 <> e2")
-    parts = components(through.select(F.struct("area_id", F.col("e1").alias("edge")).alias("a"), F.struct("area_id", F.col("e2").alias("edge")).alias("b")))
-    names = parts.select(F.col("v.area_id").alias("area_id"), F.col("v.edge").alias("edge"), F.col("label.edge").alias("seg"))
-    return edges.join(names, ["area_id", "edge"], "left").withColumn("seg", F.coalesce("seg", "edge"))
+    if keep is not None:
+        through = through.join(keep, ["area_id", "node"], "left_anti")
+    names = components(through.select(F.col("e1").alias("a"), F.col("e2").alias("b"))).select(F.col("v").alias("edge"), F.col("label").alias("seg"))  # an edge's number holds its area
+    return edges.join(names, "edge", "left").withColumn("seg", F.coalesce("seg", "edge"))
 
 
-def segments_of(contracted: DataFrame) -> DataFrame:
-    """area_id, seg, a, b (end nodes; equal for rings and loops on a stem), length_m, n_edges, refs. A ring without a junction begins at its
-    smallest node."""
+def segments_of(contracted: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """area_id, seg, a, b (end nodes; equal for rings and loops on a stem), length_m, n_edges, refs. A ring without a junction or a kept node
+    begins at its smallest node."""
     nodes = contracted.select("area_id", "seg", F.explode(F.array("a", "b")).alias("node")).groupBy("area_id", "seg", "node").agg(F.count("*").alias("k"))
-    degree = nodes.groupBy("area_id", "node").agg(F.sum("k").alias("degree"))
-    tips = nodes.join(degree, ["area_id", "node"]).groupBy("area_id", "seg").agg(
-        F.min(F.when(F.col("degree") != 2, F.col("node"))).alias("lo"), F.max(F.when(F.col("degree") != 2, F.col("node"))).alias("hi"), F.min("node").alias("any")
-    )
+    rows = nodes.join(nodes.groupBy("area_id", "node").agg(F.sum("k").alias("degree")), ["area_id", "node"])
+    rows = rows.withColumn("kept", F.lit(False)) if keep is None else rows.join(keep.select("area_id", "node").distinct().withColumn("kept", F.lit(True)), ["area_id", "node"], "left")
+    tip, knot = F.when(F.col("k") == 1, F.col("node")), F.when((F.col("degree") != 2) | F.coalesce("kept", F.lit(False)), F.col("node"))
+    tips = rows.groupBy("area_id", "seg").agg(F.min(tip).alias("lo"), F.max(tip).alias("hi"), F.min(knot).alias("knot"), F.min("node").alias("any"))
     sums = contracted.groupBy("area_id", "seg").agg(F.sum("length_m").alias("length_m"), F.count("*").alias("n_edges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs"))
-    return sums.join(tips, ["area_id", "seg"]).select("area_id", "seg", F.coalesce("lo", "any").alias("a"), F.coalesce("hi", "any").alias("b"), "length_m", "n_edges", "refs")
+    return sums.join(tips, ["area_id", "seg"]).select("area_id", "seg", F.coalesce("lo", "knot", "any").alias("a"), F.coalesce("hi", "knot", "any").alias("b"), "length_m", "n_edges", "refs")
 
 
-def segment_paths(contracted: DataFrame, segments: DataFrame) -> DataFrame:
-    """area_id, seg, a, path: the nodes of each segment in order, from its end a to its end b."""
-    rows = contracted.select("area_id", "seg", F.col("a").alias("u"), F.col("b").alias("v")).join(segments.select("area_id", "seg", "a", "b", "n_edges"), ["area_id", "seg"])
-    short = rows.where("n_edges = 1").select("area_id", "seg", "a", F.array("a", "b").alias("path"))
+def segment_steps(contracted: DataFrame, segments: DataFrame) -> DataFrame:
+    """area_id, seg, a, steps: the edges of each segment in order from its end a, each with the node that it begins at, the one that it leads
+    to, its length and its tags."""
+    rows = contracted.select("area_id", "seg", "edge", F.col("a").alias("u"), F.col("b").alias("v"), "length_m", F.to_json("tags").alias("tags")).join(segments.select("area_id", "seg", "a", "n_edges"), ["area_id", "seg"])
+    step = lambda x, y: F.struct("edge", F.col(x).alias("from"), F.col(y).alias("to"), F.col("length_m").alias("m"), "tags")
+    short = rows.where("n_edges = 1").select("area_id", "seg", "a", F.array(F.when(F.col("u") == F.col("a"), step("u", "v")).otherwise(step("v", "u"))).alias("steps"))
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         key = lambda n: (n["y"], n["x"])
-        left, at = [(key(u), key(v)) for u, v in zip(part["u"], part["v"])], key(part["a"].iloc[0])
-        path = [at]
-        while left:
-            step = next((e for e in sorted(left) if at in e), None)
-            if step is None:
-                break
-            left.remove(step)
-            at = step[1] if step[0] == at else step[0]
-            path.append(at)
-        return pd.DataFrame({"area_id": [part["area_id"].iloc[0]], "seg": [part["seg"].iloc[0]], "a": [part["a"].iloc[0]], "path": [[{"y": y, "x": x} for y, x in path]]})
+        at, used, out, around = key(part["a"].iloc[0]), set(), [], defaultdict(list)
+        for edge, u, v, m, tags in sorted(zip(part["edge"], map(key, part["u"]), map(key, part["v"]), part["length_m"], part["tags"]), key=lambda e: e[1:3]):
+            around[u].append((edge, v, m, tags))
+            around[v].append((edge, u, m, tags))
+        while ways := [x for x in around[at] if x[0] not in used]:
+            edge, to, m, tags = ways[0]
+            used.add(edge)
+            out.append({"edge": edge, "from": {"y": at[0], "x": at[1]}, "to": {"y": to[0], "x": to[1]}, "m": m, "tags": tags})
+            at = to
+        return pd.DataFrame({"area_id": [part["area_id"].iloc[0]], "seg": [part["seg"].iloc[0]], "a": [part["a"].iloc[0]], "steps": [out]})
 
     node, area = "struct<y bigint, x bigint>", dict(contracted.dtypes)["area_id"]
-    long = rows.where("n_edges > 1").groupBy("area_id", "seg").applyInPandas(walk, f"area_id {area}, seg long, a {node}, path array<{node}>")
+    kind = f"area_id {area}, seg long, a {node}, steps array<struct<edge bigint, `from` {node}, `to` {node}, m double, tags string>>"
+    long = rows.where("n_edges > 1").groupBy("area_id", "seg").applyInPandas(walk, kind)
     return short.unionByName(long)
 
 
-def two_core(segments: DataFrame) -> DataFrame:
+def segment_paths(steps: DataFrame) -> DataFrame:
+    """area_id, seg, a, path: the nodes of each segment (steps: what segment_steps gives) in order, from its end a to its end b."""
+    nodes = F.concat(F.array(F.get("steps", F.lit(0))["from"]), F.transform("steps", lambda x: x["to"]))
+    return steps.select("area_id", "seg", "a", nodes.alias("path"))
+
+
+def two_core(segments: DataFrame, rooted: DataFrame | None = None) -> DataFrame:
     """Segments that can lie on a cycle through junctions: without self-loops and, again and again, without those that end in a node
-    of degree one."""
+    of degree one. Nodes in rooted (area_id, node) never count as ends."""
     now = cut(segments.where("a <> b"))
     left = now.count()
     while True:
-        degree = now.select("area_id", F.explode(F.array("a", "b")).alias("node")).groupBy("area_id", "node").count().where("count = 1").select("area_id", "node")
-        now = cut(now.join(degree.withColumnRenamed("node", "a"), ["area_id", "a"], "left_anti").join(degree.withColumnRenamed("node", "b"), ["area_id", "b"], "left_anti"))
+        tips = now.select("area_id", F.explode(F.array("a", "b")).alias("node")).groupBy("area_id", "node").count().where("count = 1").select("area_id", "node")
+        tips = tips if rooted is None else tips.join(rooted, ["area_id", "node"], "left_anti")
+        now = cut(now.join(tips.withColumnRenamed("node", "a"), ["area_id", "a"], "left_anti").join(tips.withColumnRenamed("node", "b"), ["area_id", "b"], "left_anti"))
         n = now.count()
         if n == left:
             return now
@@ -120,43 +136,95 @@ def ring(loops: DataFrame, paths: DataFrame) -> DataFrame:
     return body.unionByName(last)
 
 
-def collapse(items: DataFrame, segments: DataFrame, overlap: float) -> DataFrame:
-    """items (area_id, id, segs, length_m) without those that share more than `overlap` of their own length with a kept shorter one. Rounds:
-    what has no undecided or kept rival before it stays, what has a kept one goes; the same as one by one, shortest first."""
-    parts = items.select("area_id", "id", F.round("length_m", 3).alias("m"), F.col("length_m").alias("own"), F.explode("segs").alias("seg")).join(segments.select("area_id", "seg", "length_m"), ["area_id", "seg"])
-    x = parts.select("area_id", "seg", F.col("id").alias("late"), F.col("m").alias("late_m"), "own", "length_m")
-    y = parts.select("area_id", "seg", F.col("id").alias("early"), F.col("m").alias("early_m"))
-    before = F.struct(F.col("early_m").alias("m"), F.col("early").alias("id")) < F.struct(F.col("late_m").alias("m"), F.col("late").alias("id"))
-    rivals = cut(x.join(y, ["area_id", "seg"]).where(before).groupBy("area_id", "late", "early").agg(F.sum("length_m").alias("shared"), F.first("own").alias("own")).where(F.col("shared") / F.col("own") > overlap).select("area_id", "late", "early"))
-    state = cut(items.select("area_id", "id").withColumn("kept", F.lit(None).cast("boolean")))
+def collapse(items: DataFrame, segments: DataFrame, overlap: float, keys: list[str] = ["area_id"]) -> DataFrame:  # noqa: B006
+    """items (keys, id, segs, length_m) without those that share more than `overlap` of their own length with a kept shorter one of the same
+    keys. Rounds: what has no undecided or kept rival before it stays, what has a kept one goes; the same as one by one, shortest
+    first. An item looks for rivals by its rarest segments alone, as many as no rival can miss."""
+    parts = items.select(*keys, "id", F.round("length_m", 3).alias("m"), F.col("length_m").alias("own"), F.explode("segs").alias("seg")).join(segments.select("area_id", "seg", "length_m"), ["area_id", "seg"])
+    parts = parts.withColumn("times", F.count("*").over(Window.partitionBy(*keys, "seg")))
+    before = Window.partitionBy(*keys, "id").orderBy("times", "seg").rowsBetween(Window.unboundedPreceding, -1)
+    probes = parts.withColumn("ahead", F.coalesce(F.sum("length_m").over(before), F.lit(0.0))).where(F.col("ahead") <= (1 - overlap) * F.col("own"))
+    x = probes.select(*keys, "seg", F.col("id").alias("late"), F.col("m").alias("late_m"))
+    y = parts.select(*keys, "seg", F.col("id").alias("early"), F.col("m").alias("early_m"))
+    shorter = F.struct(F.col("early_m").alias("m"), F.col("early").alias("id")) < F.struct(F.col("late_m").alias("m"), F.col("late").alias("id"))
+    pairs = x.join(y, [*keys, "seg"]).where(shorter).select(*keys, "late", "early").distinct()
+    whole = parts.groupBy(*keys, "id").agg(F.collect_list(F.struct("seg", "length_m")).alias("parts"), F.first("own").alias("own"))
+    late, early = whole.select(*keys, F.col("id").alias("late"), "parts", "own"), whole.select(*keys, F.col("id").alias("early"), F.transform("parts", lambda p: p["seg"]).alias("others"))
+    shared = F.aggregate(F.filter("parts", lambda p: F.array_contains("others", p["seg"])), F.lit(0.0), lambda total, p: total + p["length_m"])
+    rivals = cut(pairs.join(late, [*keys, "late"]).join(early, [*keys, "early"]).where(shared / F.col("own") > overlap).select(*keys, "late", "early"))
+    state = cut(items.select(*keys, "id").withColumn("kept", F.lit(None).cast("boolean")))
     while not state.where("kept is null").isEmpty():
-        known = rivals.join(state.select("area_id", F.col("id").alias("early"), "kept"), ["area_id", "early"]).groupBy("area_id", F.col("late").alias("id")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("beaten"), F.max(F.col("kept").isNull()).alias("waits"))
-        judged = state.join(known, ["area_id", "id"], "left")
-        state = cut(judged.select("area_id", "id", F.coalesce("kept", F.when(F.col("beaten"), False).when(F.col("waits"), None).otherwise(True)).alias("kept")))
-    return items.join(state.where("kept").select("area_id", "id"), ["area_id", "id"], "left_semi")
+        known = rivals.join(state.select(*keys, F.col("id").alias("early"), "kept"), [*keys, "early"]).groupBy(*keys, F.col("late").alias("id")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("beaten"), F.max(F.col("kept").isNull()).alias("waits"))
+        judged = state.join(known, [*keys, "id"], "left")
+        state = cut(judged.select(*keys, "id", F.coalesce("kept", F.when(F.col("beaten"), False).when(F.col("waits"), None).otherwise(True)).alias("kept")))
+    return items.join(state.where("kept").select(*keys, "id"), [*keys, "id"], "left_semi")
+
+
+def anchored(ring: DataFrame, requirements: list[tuple[DataFrame, float]]) -> DataFrame:
+    """Of each loop (ring: area_id, id, lat, lon) that comes within reach of every requirement (features, radius in metres): area_id, id, start,
+    the place of it that is nearest a feature of the first. Features may be requests (request_id); a loop then has a row for each."""
+    out = None
+    for features, radius in requirements:
+        asked = ["request_id"] if "request_id" in features.columns else []
+        own = features.withColumn("feature_id", F.col("request_id")).withColumn("kind", F.lit("point")).withColumn("name", F.lit(None).cast("string")) if asked else features
+        hits = near(ring.select("area_id", "id", "lat", "lon"), own, radius).select("area_id", "id", *(F.col("feature_id").alias(k) for k in asked), "d", "lat", "lon")
+        best = hits.groupBy("area_id", "id", *asked).agg(F.min(F.struct("d", "lat", "lon")).alias("s")).select("area_id", "id", *asked, F.struct("s.lat", "s.lon").alias("start"))
+        out = best if out is None else out.join(best.select("area_id", "id").distinct(), ["area_id", "id"], "left_semi")
+    return out
 
 
 def snap(points: DataFrame, edges: DataFrame, max_m: float) -> DataFrame:
-    """Nearest place on the network of each point (area_id, point_id, lat, lon): edge, a, b, length_m, t (fraction from a), d. Farther than
-    max_m, a point has no row."""
+    """Nearest place on the network of each point (area_id, point_id, lat, lon): edge, a, b, length_m, t (fraction from a), d, at (the place).
+    Farther than max_m, a point has no row."""
     feature = points.select("area_id", F.col("point_id").alias("feature_id"), F.lit("point").alias("kind"), F.lit(None).cast("string").alias("name"), "lat", "lon")
     lines = edges.select("area_id", "edge", "a", "b", "length_m", F.col("pa.lat").alias("lat1"), F.col("pa.lon").alias("lon1"), F.col("pb.lat").alias("lat2"), F.col("pb.lon").alias("lon2"), F.col("length_m").alias("seg_m"))
-    best = near_segments(lines, feature, max_m).groupBy("area_id", F.col("feature_id").alias("point_id")).agg(F.min(F.struct("d", "a", "b", "t", "edge", "length_m")).alias("s"))
+    along = lambda c: F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * F.col("t")
+    found = near_segments(lines, feature, max_m).withColumn("at", F.struct(along("lat").alias("lat"), along("lon").alias("lon")))
+    best = found.groupBy("area_id", F.col("feature_id").alias("point_id")).agg(F.min(F.struct("d", "a", "b", "t", "edge", "length_m", "at")).alias("s"))
     return best.select("area_id", "point_id", "s.*")
 
 
-def distances(starts: DataFrame, edges: DataFrame, cap_m: float) -> DataFrame:
-    """Way lengths from each start: area_id, request_id, node, m, prev (the node before). starts: area_id, request_id, node, m. All requests
-    relax together, a round an edge, until none gets nearer or all are beyond cap_m."""
-    ways = cut(incidence(edges).select("area_id", "node", "other", "length_m"))
-    best = cut(starts.groupBy("area_id", "request_id", "node").agg(F.min("m").alias("m")).withColumn("prev", F.col("node")))
+def split(edges: DataFrame, snapped: DataFrame, weld_m: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """The network with a node at each snapped place, and area_id, point_id, node, d of every point. A place within weld_m of an end of its edge
+    is that end; places of one weld cell on an edge are one node; an edge is cut at all its places at once."""
+    cell = F.struct(weld_key(F.col("at.lat"), weld_m).alias("y"), weld_key(F.col("at.lon"), weld_m).alias("x"))
+    from_a, m = F.col("t") * F.col("length_m"), F.col("length_m")
+    node = F.when(from_a <= weld_m, F.col("a")).when(m - from_a <= weld_m, F.col("b")).otherwise(cell)
+    points = cut(snapped.withColumn("node", node))
+    inner = points.where((F.col("node") != F.col("a")) & (F.col("node") != F.col("b"))).groupBy("area_id", "edge", "node").agg(F.min_by(F.struct("t", "at"), "t").alias("c"))
+    cuts = inner.groupBy("area_id", "edge").agg(F.array_sort(F.collect_list(F.struct(F.col("c.t").alias("t"), "node", F.col("c.at").alias("at")))).alias("cuts"))
+    rows = edges.join(cuts, ["area_id", "edge"])
+    mark = lambda t, n, p: F.struct(F.lit(t).alias("t"), F.col(n).alias("node"), F.col(p).alias("at"))
+    marks = F.concat(F.array(mark(0.0, "a", "pa")), F.col("cuts"), F.array(mark(1.0, "b", "pb")))
+    pieces = rows.withColumn("marks", marks).withColumn("piece", F.explode(F.transform(F.sequence(F.lit(1), F.size("marks") - 1), lambda k: F.struct(F.get("marks", k - 1).alias("x"), F.get("marks", k).alias("y")))))
+    turned = F.col("piece.x.node") > F.col("piece.y.node")
+    side = lambda first, field: F.when(turned, F.col(f"piece.{'y' if first else 'x'}.{field}")).otherwise(F.col(f"piece.{'x' if first else 'y'}.{field}"))
+    new = pieces.select(
+        "area_id", side(True, "node").alias("a"), side(False, "node").alias("b"), ((F.col("piece.y.t") - F.col("piece.x.t")) * F.col("length_m")).alias("length_m"), "refs", "tags",
+        side(True, "at").alias("pa"), side(False, "at").alias("pb"), F.xxhash64("area_id", side(True, "node"), side(False, "node"), "edge").alias("edge"),
+    )
+    whole = edges.join(cuts.select("area_id", "edge"), ["area_id", "edge"], "left_anti")
+    return cut(whole.select(*new.columns).unionByName(new)), points.select("area_id", "point_id", "node", "d")
+
+
+def distances(starts: DataFrame, edges: DataFrame, cap_m: float, barred: DataFrame | None = None) -> DataFrame:
+    """Way lengths from each start: area_id, request_id, node, m, prev (the node before), via (the edge between). starts: area_id, request_id,
+    node, m, and cap_m if requests have caps of their own. All requests relax together, a round an edge, until none gets nearer or all are
+    beyond the cap. barred: area_id, request_id, edge that a request may not take."""
+    ways = cut(incidence(edges).select("area_id", "node", "other", "edge", "length_m"))
+    key = ["area_id", "request_id", "node"]
+    cap = F.least(F.lit(float(cap_m)), F.col("cap_m")) if "cap_m" in starts.columns else F.lit(float(cap_m))
+    best = cut(starts.withColumn("cap", cap).groupBy(*key).agg(F.min("m").alias("m"), F.max("cap").alias("cap")).select(*key, "m", F.col("node").alias("prev"), F.lit(None).cast("long").alias("via"), "cap"))
     front = best
     while not front.isEmpty():
-        reach = front.join(ways, ["area_id", "node"]).select("area_id", "request_id", F.col("other").alias("node"), (F.col("m") + F.col("length_m")).alias("m"), F.col("node").alias("prev")).where(F.col("m") <= cap_m)
-        step = reach.groupBy("area_id", "request_id", "node").agg(F.min(F.struct("m", "prev")).alias("n"))
-        front = cut(step.join(best.select("area_id", "request_id", "node", F.col("m").alias("old")), ["area_id", "request_id", "node"], "left").where(F.col("old").isNull() | (F.col("n.m") < F.col("old"))).select("area_id", "request_id", "node", "n.m", "n.prev"))
-        best = cut(best.unionByName(front).groupBy("area_id", "request_id", "node").agg(F.min(F.struct("m", "prev")).alias("n")).select("area_id", "request_id", "node", "n.m", "n.prev"))
-    return best
+        steps = front.join(ways, ["area_id", "node"])
+        steps = steps if barred is None else steps.join(barred, ["area_id", "request_id", "edge"], "left_anti")
+        reach = steps.select("area_id", "request_id", F.col("other").alias("node"), (F.col("m") + F.col("length_m")).alias("m"), F.col("node").alias("prev"), F.col("edge").alias("via"), "cap").where(F.col("m") <= F.col("cap"))
+        step = reach.groupBy(*key).agg(F.min(F.struct("m", "prev", "via")).alias("n"), F.max("cap").alias("cap"))
+        nearer = F.col("old").isNull() | (F.col("n.m") < F.col("old"))
+        front = cut(step.join(best.select(*key, F.col("m").alias("old")), key, "left").where(nearer).select(*key, "n.m", "n.prev", "n.via", "cap"))
+        best = cut(best.join(front.select(*key), key, "left_anti").unionByName(front))
+    return best.drop("cap")
 
 
 def start_nodes(snapped: DataFrame) -> DataFrame:
@@ -186,27 +254,27 @@ def meeting(dist: DataFrame, starts: DataFrame, targets: DataFrame) -> DataFrame
 
 
 def backtrack(dist: DataFrame, goals: DataFrame) -> DataFrame:
-    """Nodes of the way to each goal (area_id, request_id, point_id, node), from the start: area_id, request_id, point_id, nodes."""
-    open_, done = cut(goals.select("area_id", "request_id", "point_id", "node", F.array("node").alias("nodes"))), None
-    prev = dist.select("area_id", "request_id", "node", "prev")
+    """The way to each goal (area_id, request_id, point_id, node), from the start: area_id, request_id, point_id, nodes, edges."""
+    none = F.array().cast("array<long>")
+    open_, done = cut(goals.select("area_id", "request_id", "point_id", "node", F.array("node").alias("nodes"), none.alias("edges"))), []
     while not open_.isEmpty():
-        rows = open_.join(prev, ["area_id", "request_id", "node"])
-        ended = cut(rows.where("prev = node").select("area_id", "request_id", "point_id", "nodes"))
-        done = ended if done is None else done.unionByName(ended)
-        open_ = cut(rows.where("prev <> node").select("area_id", "request_id", "point_id", F.col("prev").alias("node"), F.concat(F.array("prev"), "nodes").alias("nodes")))
-    return done if done is not None else open_.drop("node")
+        rows = cut(open_.join(dist.select("area_id", "request_id", "node", "prev", "via"), ["area_id", "request_id", "node"]))
+        done.append(rows.where("via is null").select("area_id", "request_id", "point_id", "nodes", "edges"))
+        open_ = rows.where("via is not null").select("area_id", "request_id", "point_id", F.col("prev").alias("node"), F.concat(F.array("prev"), "nodes").alias("nodes"), F.concat(F.array("via"), "edges").alias("edges"))
+    return reduce(DataFrame.unionByName, done) if done else open_.drop("node")
 
 
 def retraced(legs: DataFrame, key: list[str]) -> DataFrame:
-    """legs (key, edge, length_m; a row for each passage): whole length, and the share walked more than once."""
+    """legs (key, edge, length_m; a row for each passage): walked length, length of distinct edges, and the repeated length as a share of the
+    latter: 0 where nothing is walked twice, 1 for a way there and back."""
     each = legs.groupBy(*key, "edge").agg(F.count("*").alias("n"), F.first("length_m").alias("length_m"))
-    total = F.sum(F.col("n") * F.col("length_m"))
-    return each.groupBy(*key).agg(total.alias("length_m"), (F.sum((F.col("n") - 1) * F.col("length_m")) / total).alias("retraced"))
+    again = F.sum((F.col("n") - 1) * F.col("length_m")) / F.sum("length_m")
+    return each.groupBy(*key).agg(F.sum(F.col("n") * F.col("length_m")).alias("length_m"), F.sum("length_m").alias("distinct_m"), again.alias("retraced"))
 
 
-def ranked(shaped: DataFrame, n: int, min_compactness: float) -> DataFrame:
-    """The n roundest items of an area (compactness, then length, then id); thinner ones than min_compactness are left out first."""
-    order = Window.partitionBy("area_id").orderBy(F.desc(F.round("compactness", 6)), F.round("length_m", 3), "id")
+def ranked(shaped: DataFrame, n: int, min_compactness: float, keys: list[str] = ["area_id"]) -> DataFrame:  # noqa: B006
+    """The n roundest items of each key (compactness, then length, then id); thinner ones than min_compactness are left out first."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("compactness", 6)), F.round("length_m", 3), "id")
     return shaped.where(F.col("compactness") >= min_compactness).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 

@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import ferrata_scale, is_rail, relation_is_ferrata, tag, way_is_ferrata
 from ..functions.geo import closure_limit_m, haversine_m
 from ..params import Params
-from .components import components
-from .geometry import ROUTE, route_lengths, segments, termini, welded
+from .components import labels_of
+from .geometry import ROUTE, route_lengths, segments, welded
 from .spatial import near, near_segments
+from .stitch import line_ends
 
 
 def circuit_ranks(edges: DataFrame) -> DataFrame:
-    """E - V + C of each route's welded multigraph: area_id, route_id, rank."""
-    key = lambda c: F.struct("area_id", "route_id", F.col(c).alias("node"))
-    parts = components(edges.select(key("u").alias("a"), key("v").alias("b")))
-    per_route = parts.groupBy(F.col("v.area_id").alias("area_id"), F.col("v.route_id").alias("route_id")).agg(F.count("*").alias("n_v"), F.countDistinct("label").alias("n_c"))
-    return edges.groupBy(*ROUTE).agg(F.count("*").alias("n_e")).join(per_route, ROUTE).select(*ROUTE, (F.col("n_e") - F.col("n_v") + F.col("n_c")).alias("rank"))
-
-
-def line_ends(segs: DataFrame) -> DataFrame:
-    """First and last place of the ways laid end to end."""
-    order = F.struct("way_idx", "vtx_idx")
-    return segs.groupBy(*ROUTE).agg(F.min_by(F.struct(F.col("lat1").alias("lat"), F.col("lon1").alias("lon")), order).alias("head"), F.max_by(F.struct(F.col("lat2").alias("lat"), F.col("lon2").alias("lon")), order).alias("tail"))
+    """E - V + C of each route's welded multigraph: area_id, route_id, rank. A route's edges are gathered to one row, on the partitioning
+    that they have, and the graphs of a batch of rows are labelled together."""
+    node = lambda c: F.xxhash64(*ROUTE, F.col(f"{c}.y"), F.col(f"{c}.x"))
+    rows = edges.groupBy(*ROUTE).agg(F.collect_list(node("u")).alias("a"), F.collect_list(node("v")).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_e = batch["a"].value_lengths().to_numpy()
+            a, b = (batch[c].flatten().to_numpy() for c in ("a", "b"))
+            nodes, label = labels_of(a, b)  # a node's number holds its route
+            row = np.empty(len(nodes), np.int64)
+            row[np.searchsorted(nodes, a)] = np.repeat(np.arange(len(n_e)), n_e)
+            row[np.searchsorted(nodes, b)] = np.repeat(np.arange(len(n_e)), n_e)
+            n_v, n_c = np.bincount(row, minlength=len(n_e)), np.bincount(row[label == nodes], minlength=len(n_e))
+            yield pa.RecordBatch.from_pydict({"area_id": batch["area_id"], "route_id": batch["route_id"], "rank": pa.array(n_e - n_v + n_c, pa.int64())})
+
+    kind = dict(edges.dtypes)
+    return rows.mapInArrow(run, f"area_id {kind['area_id']}, route_id {kind['route_id']}, rank long")
 
 
 def is_circular(roundtrip: Column, rank: Column, gap_m: Column, length_m: Column, params: Params) -> Column:
@@ -34,19 +46,30 @@ def is_circular(roundtrip: Column, rank: Column, gap_m: Column, length_m: Column
     return F.when(said.isin("yes", "true", "1"), True).when(said.isin("no", "false", "0"), False).otherwise(closed)
 
 
-def shapes(routes: DataFrame, vertices: DataFrame, params: Params = Params()) -> DataFrame:
-    """area_id, route_id, length_m, rank, head, tail, gap_m, circular. Routes without a segment are left out."""
+def shapes(routes: DataFrame, vertices: DataFrame, line: DataFrame, params: Params = Params()) -> DataFrame:
+    """area_id, route_id, length_m (of all ways), rank, head, tail and gap_m (of the stitched line), circular. Routes whose line has less
+    than two points are left out. line: what stitch.stitch gives."""
     segs = segments(vertices)
-    base = route_lengths(segs).join(line_ends(segs), ROUTE).join(circuit_ranks(welded(segs)), ROUTE, "left").join(routes.select(*ROUTE, "tags"), ROUTE)
+    base = line_ends(line).join(route_lengths(segs), ROUTE).join(circuit_ranks(welded(segs)), ROUTE, "left").join(routes.select(*ROUTE, "tags"), ROUTE)
     base = base.withColumn("gap_m", haversine_m(F.col("head.lat"), F.col("head.lon"), F.col("tail.lat"), F.col("tail.lon")))
     return base.select(*ROUTE, "length_m", "n_ways", F.coalesce("rank", F.lit(0)).alias("rank"), "head", "tail", "gap_m", is_circular(tag(F.col("tags"), "roundtrip"), F.col("rank"), F.col("gap_m"), F.col("length_m"), params).alias("circular"))
 
 
-def access_points(shape: DataFrame, vertices: DataFrame, ends: DataFrame) -> DataFrame:
-    """Where one can get onto a route: its open ends and, of a one-way route, both ends of its line; of a loop, every vertex."""
-    loops = vertices.join(shape.where("circular").select(*ROUTE), ROUTE).select(*ROUTE, "lat", "lon")
-    tips = shape.where("not circular").select(*ROUTE, F.explode(F.array("head", "tail")).alias("p")).select(*ROUTE, "p.lat", "p.lon")
-    return loops.unionByName(tips).unionByName(ends.select(*ROUTE, "lat", "lon")).distinct()
+def line_closes(params: Params) -> Column:
+    """Whether the stitched line returns to its start; a loop's gain counts only then."""
+    return F.col("gap_m") <= closure_limit_m(F.col("length_m"), params.loop_tolerance_m)
+
+
+def end_points(shape: DataFrame, ends: DataFrame) -> DataFrame:
+    """Open ends of a route and both ends of its line, once each."""
+    tips = shape.select(*ROUTE, F.explode(F.array("head", "tail")).alias("p")).select(*ROUTE, "p.lat", "p.lon")
+    return tips.unionByName(ends.select(*ROUTE, "lat", "lon")).distinct()
+
+
+def access_points(shape: DataFrame, line: DataFrame, ends: DataFrame) -> DataFrame:
+    """Where one can get onto a route: its open ends and both ends of its line; of a loop, every point of the line."""
+    loops = line.join(shape.where("circular").select(*ROUTE), ROUTE).select(*ROUTE, "lat", "lon")
+    return loops.unionByName(end_points(shape, ends)).distinct()
 
 
 def car_access(points: DataFrame, parking: DataFrame, params: Params = Params()) -> DataFrame:
@@ -66,12 +89,12 @@ def lift_access(points: DataFrame, lifts: DataFrame, params: Params = Params())
 
 def transit_access(points: DataFrame, transit: DataFrame, params: Params = Params()) -> DataFrame:
     """A stop counts within its own class's radius; rail goes before road, then the nearest. transit_distance_m is the nearest of any
-    class within the relaxed rail radius."""
+    class within the relaxed rail radius, transit_near its kind."""
     reach = params.transit_rail_radius_m * (1 + params.near_miss_radius_frac)
     rail = is_rail(F.col("kind"))
     pairs = near(points, transit, reach).withColumn("within", F.col("d") <= F.when(rail, params.transit_rail_radius_m).otherwise(params.transit_stop_radius_m))
-    best = pairs.groupBy(*ROUTE).agg(F.min("d").alias("transit_distance_m"), F.min(F.when(F.col("within"), F.struct((~rail).alias("road"), "d", "feature_id", "kind"))).alias("b"))
-    return best.select(*ROUTE, "transit_distance_m", F.col("b").isNotNull().alias("transit_access"), F.col("b.kind").alias("transit_type"))
+    best = pairs.groupBy(*ROUTE).agg(F.min(F.struct("d", "feature_id", "kind")).alias("near"), F.min(F.when(F.col("within"), F.struct((~rail).alias("road"), "d", "feature_id", "kind"))).alias("b"))
+    return best.select(*ROUTE, F.col("near.d").alias("transit_distance_m"), F.col("near.kind").alias("transit_near"), F.col("b").isNotNull().alias("transit_access"), F.col("b.kind").alias("transit_type"))
 
 
 def matched_access(points: DataFrame, features: DataFrame, radius_m: float) -> DataFrame:

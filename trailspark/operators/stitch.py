@@ -1,62 +1,106 @@
-"""One walking line out of a route's ways. The order of tries decides the result, so each route is chained by itself."""
+"""One walking line out of a route's ways.
+
+The line begins as the first way and takes in, again and again, the first other way that continues one of its two ends within a
+tolerance; ways that never fit are left out. Where each way already begins at the end of the one before, that is the ways as they
+come, and no Python is needed; other routes are chained one by one, as each choice hangs on those before.
+"""
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_M
-from .geometry import ROUTE, route_lengths, segments
-
-
-def gap_m(a: tuple, b: tuple) -> float:
-    (y1, x1), (y2, x2) = np.radians(a), np.radians(b)
-    h = np.sin((y2 - y1) / 2) ** 2 + np.cos(y1) * np.cos(y2) * np.sin((x2 - x1) / 2) ** 2
-    return float(2 * EARTH_M * np.arcsin(min(1.0, np.sqrt(h))))
-
-
-def chain(ways: list[list[tuple]], tolerance_m: float = 30.0) -> list[tuple]:
-    """Begins with the first way and adds, again and again, the first other way that continues an end within the tolerance: at the
-    tail by its head or its tail, else at the head by its tail or its head. Ways that never fit are left out."""
-    left = [w for w in ways if len(w) > 1]
-    line = list(left.pop(0)) if left else []
-    found = True
-    while left and found:
-        found = False
-        for k, way in enumerate(left):
-            head, tail = line[0], line[-1]
-            if gap_m(tail, way[0]) <= tolerance_m:
-                line += way[1:]
-            elif gap_m(tail, way[-1]) <= tolerance_m:
-                line += way[-2::-1]
-            elif gap_m(head, way[-1]) <= tolerance_m:
-                line = way[:-1] + line
-            elif gap_m(head, way[0]) <= tolerance_m:
-                line = way[:0:-1] + line
-            else:
-                continue
-            del left[k]
-            found = True
-            break
-    return line
-
-
-def stitch(vertices: DataFrame, tolerance_m: float = 30.0) -> DataFrame:
-    """area_id, route_id, pos, lat, lon of each route's line."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["way_idx", "vtx_idx"])
-        line = chain([list(zip(w["lat"], w["lon"])) for _, w in rows.groupby("way_idx")], tolerance_m)
-        return pd.DataFrame({"area_id": rows["area_id"].iloc[0], "route_id": rows["route_id"].iloc[0], "pos": range(len(line)), "lat": [p[0] for p in line], "lon": [p[1] for p in line]})
+from ..functions.geo import EARTH_M, haversine_m
+from .geometry import ROUTE, along, segments
+
+#: How far apart the ends of two ways may be.
+TOLERANCE_M = 30.0
+
+
+def gaps_m(point: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Great-circle distances from one (lat, lon) to many."""
+    (y, x), (v, u) = np.radians(point), np.radians(others).T
+    h = np.sin((v - y) / 2) ** 2 + np.cos(y) * np.cos(v) * np.sin((u - x) / 2) ** 2
+    return 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+
+
+def order_of(heads: np.ndarray, tails: np.ndarray, tolerance_m: float = TOLERANCE_M) -> list[tuple[int, bool]]:
+    """The ways of the line in walking order, and whether each is turned round. Each way has four places in a table of fits, in order
+    of preference: its head or its tail at the line's end, its tail or its head at the line's beginning. The first place that is open
+    and fits, by way, is taken; then only the two columns of the end that moved are measured anew."""
+    n = len(heads)
+    if not n:
+        return []
+    fits, is_open, line = np.zeros((n, 4), bool), np.ones((n, 1), bool), deque([(0, False)])
+    is_open[0] = False
+
+    def moved(end: np.ndarray, columns: tuple[int, int]) -> None:
+        fits[:, columns[0]], fits[:, columns[1]] = gaps_m(end, heads) <= tolerance_m, gaps_m(end, tails) <= tolerance_m
+
+    moved(tails[0], (0, 1))
+    moved(heads[0], (3, 2))
+    while (places := np.flatnonzero(fits & is_open)).size:
+        way, place = divmod(int(places[0]), 4)
+        is_open[way] = False
+        if place < 2:
+            line.append((way, place == 1))
+            moved(tails[way] if place == 0 else heads[way], (0, 1))
+        else:
+            line.appendleft((way, place == 3))
+            moved(heads[way] if place == 2 else tails[way], (3, 2))
+    return list(line)
 
+
+def chain(ways: list[list[tuple]], tolerance_m: float = TOLERANCE_M) -> list[tuple]:
+    """The points of the line. Where two ways meet, the line keeps the point that it had before."""
+    ways = [w for w in ways if len(w) > 1]
+    if not ways:
+        return []
+    order = order_of(np.array([w[0] for w in ways], float), np.array([w[-1] for w in ways], float), tolerance_m)
+    first, out = next(k for k, (way, _) in enumerate(order) if way == 0), []
+    for k, (way, turned) in enumerate(order):
+        points = ways[way][::-1] if turned else ways[way]
+        # a way after the first gives up its first point, one before it its last
+        out += points[1:] if k > first else points[:-1] if k < first else points
+    return out
+
+
+def stitch(vertices: DataFrame, tolerance_m: float = TOLERANCE_M) -> DataFrame:
+    """area_id, route_id, pos, lat, lon of each route's line; ways of a single vertex are left out, routes without others have no row."""
+    way = Window.partitionBy(*ROUTE, "way_idx")
+    rows = vertices.select(*ROUTE, "way_idx", "vtx_idx", "lat", "lon").withColumn("n", F.count("*").over(way)).where("n > 1").drop("n")
+    before = lambda c: F.lag(c).over(along())
+    new_way = before("way_idx").isNotNull() & (before("way_idx") != F.col("way_idx"))
+    rows = rows.withColumn("joint", F.coalesce(new_way, F.lit(False))).withColumn("gap", F.when(F.col("joint"), haversine_m(before("lat"), before("lon"), F.col("lat"), F.col("lon"))))
+    rows = rows.withColumn("in_order", F.coalesce(F.max("gap").over(Window.partitionBy(*ROUTE)), F.lit(0.0)) <= tolerance_m)
     kind = dict(vertices.dtypes)
-    return vertices.groupBy(*ROUTE).applyInPandas(run, f"area_id {kind['area_id']}, route_id {kind['route_id']}, pos long, lat double, lon double")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["way_idx", "vtx_idx"])
+        line = chain([list(zip(w["lat"], w["lon"])) for _, w in part.groupby("way_idx")], tolerance_m)
+        return pd.DataFrame({"area_id": part["area_id"].iloc[0], "route_id": part["route_id"].iloc[0], "pos": range(len(line)), "lat": [p[0] for p in line], "lon": [p[1] for p in line]})
+
+    chained = rows.where("not in_order").select(*ROUTE, "way_idx", "vtx_idx", "lat", "lon").groupBy(*ROUTE).applyInPandas(run, f"area_id {kind['area_id']}, route_id {kind['route_id']}, pos long, lat double, lon double")
+    plain = rows.where("in_order and not joint").select(*ROUTE, (F.row_number().over(along()) - 1).cast("long").alias("pos"), "lat", "lon")
+    return plain.unionByName(chained)
+
+
+def line_segments(line: DataFrame) -> DataFrame:
+    """The line as segments of a single way, for operators on segments."""
+    return segments(line.select(*ROUTE, F.lit(0).alias("way_idx"), F.col("pos").alias("vtx_idx"), "lat", "lon"))
+
+
+def line_ends(line: DataFrame) -> DataFrame:
+    """area_id, route_id, head and tail (structs of lat, lon) of lines of two points or more."""
+    at = F.struct("lat", "lon")
+    return line.groupBy(*ROUTE).agg(F.min_by(at, "pos").alias("head"), F.max_by(at, "pos").alias("tail"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
-def faithful(vertices: DataFrame, line: DataFrame, share: float = 0.98) -> DataFrame:
-    """area_id, route_id, faithful: whether the line keeps `share` of the ways' whole length."""
-    summed = route_lengths(segments(vertices)).select(*ROUTE, "length_m")
-    kept = route_lengths(segments(line.withColumn("way_idx", F.lit(0)).withColumnRenamed("pos", "vtx_idx"))).select(*ROUTE, F.col("length_m").alias("line_m"))
-    return summed.join(kept, ROUTE, "left").select(*ROUTE, F.coalesce(F.col("line_m") >= share * F.col("length_m"), F.lit(False)).alias("faithful"))
+def faithful(length: DataFrame, line: DataFrame, share: float = 0.98) -> DataFrame:
+    """area_id, route_id, faithful: whether the line keeps `share` of the ways' whole length (length: area_id, route_id, length_m)."""
+    kept = line_segments(line).groupBy(*ROUTE).agg(F.sum("seg_m").alias("line_m"))
+    return length.select(*ROUTE, "length_m").join(kept, ROUTE, "left").select(*ROUTE, F.coalesce((F.col("line_m") >= share * F.col("length_m")) & (F.col("length_m") > 0), F.lit(False)).alias("faithful"))

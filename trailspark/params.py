@@ -31,6 +31,9 @@ class Params:
     routes_overlap_frac: float = 0.6
     routes_max_factor: float = 3.0
     routes_max_snap_km: float = 2.0
+    routes_max_paths: int = 200
+    routes_pad_km: float = 2.0
+    routes_pad_frac: float = 0.4
     poi_radius_m: float = 250.0
     poi_search_radius_m: float = 3000.0
     place_ttl_days: float = 365.0

@@ -1,13 +1,32 @@
-"""Whole query modes on route tables."""
+"""Whole query modes on the trail network. Each takes tables of requests, and one job serves all of them."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import geometry, graph
-from ..operators.components import cut
-from ..params import Params
+from ..functions.geo import haversine_m
+from ..operators import criteria as rules
+from ..operators import geometry, graph, paths
+from ..operators.lineage import cut
+from ..params import Criteria, Params
+from . import search
+from .search import Lookup, Tables
+
+PAIR = paths.PAIR
+
+
+@dataclass(frozen=True)
+class Network:
+    """A trail network contracted to segments."""
+
+    edges: DataFrame
+    contracted: DataFrame
+    segments: DataFrame
+    steps: DataFrame
 
 
 def network(vertices: DataFrame, ways: DataFrame) -> DataFrame:
@@ -15,32 +34,191 @@ def network(vertices: DataFrame, ways: DataFrame) -> DataFrame:
     return cut(graph.micro_edges(geometry.segments(vertices), ways))
 
 
-def compose_loops(edges: DataFrame, min_m: float, max_m: float, params: Params = Params()) -> DataFrame:
-    """Loops of min_m to max_m in each area: area_id, id, segs, nodes, length_m, compactness, place. Thin loops go first, then near
-    duplicates of shorter ones, then all but the roundest max_loops."""
-    contracted = cut(graph.contract(edges))
-    segments = cut(graph.segments_of(contracted))
-    found = graph.loops(segments, min_m, max_m, params.compose_max_segments).withColumn("id", F.concat_ws(",", F.col("segs").cast("array<string>")))
-    found = cut(found)
-    ring = graph.ring(found, graph.segment_paths(contracted, segments)).join(graph.node_places(edges), ["area_id", "node"])
-    shape = geometry.compactness(ring, ["area_id", "id"])
-    shaped = cut(found.join(shape, ["area_id", "id"]).where(F.col("compactness") >= params.compose_min_compactness))
-    kept = graph.collapse(shaped, segments, params.compose_overlap_frac)
-    return graph.ranked(kept, params.compose_max_loops, params.compose_min_compactness)
+def contracted(edges: DataFrame, keep: DataFrame | None = None) -> Network:
+    parts = cut(graph.contract(edges, keep))
+    segments = cut(graph.segments_of(parts, keep))
+    return Network(edges, parts, segments, cut(graph.segment_steps(parts, segments)))
+
+
+def shaped_loops(net: Network, min_m: float, max_m: float, params: Params) -> tuple[DataFrame, DataFrame]:
+    """All loops of min_m to max_m (area_id, id, start, segs, walk, nodes, length_m, compactness), and their places (area_id, id, pos, lat, lon)."""
+    found = cut(graph.loops(net.segments, min_m, max_m, params.compose_max_segments).withColumn("id", F.concat_ws(",", F.col("segs").cast("array<string>"))))
+    ring = cut(graph.ring(found, graph.segment_paths(net.steps)).join(graph.node_places(net.edges), ["area_id", "node"]))
+    return cut(found.join(geometry.compactness(ring, ["area_id", "id"]), ["area_id", "id"])), ring
+
+
+def compose_loops(net: Network, min_m: float, max_m: float, params: Params = Params(), anchors: list[tuple[DataFrame, float]] | None = None) -> DataFrame:
+    """The roundest distinct loops: area_id, id, start, segs, walk, nodes, length_m, compactness, place, anchor. Thin loops go first, then those that do
+    not come within reach of each anchor (features, radius), then near duplicates of shorter ones, then all but the roundest. Where the
+    first anchor's features are requests (request_id), each has loops of its own."""
+    shaped, ring = shaped_loops(net, min_m, max_m, params)
+    shaped = shaped.where(F.col("compactness") >= params.compose_min_compactness)
+    keys = ["area_id"]
+    if anchors:
+        met = graph.anchored(ring, anchors)
+        keys += ["request_id"] if "request_id" in met.columns else []
+        shaped = cut(shaped.join(met.withColumnRenamed("start", "anchor"), ["area_id", "id"]))
+    else:
+        shaped = shaped.withColumn("anchor", F.lit(None).cast("struct<lat double, lon double>"))
+    kept = graph.collapse(shaped, net.segments, params.compose_overlap_frac, keys)
+    return graph.ranked(kept, params.compose_max_loops, params.compose_min_compactness, keys)
+
+
+def loops_around(net: Network, requests: DataFrame, min_m: float, max_m: float, params: Params = Params(), anchors: list[tuple[DataFrame, float]] | None = None) -> DataFrame:
+    """Loops that pass within around_radius_m of each request (area_id, request_id, lat, lon) and begin at their place nearest to it."""
+    return compose_loops(net, min_m, max_m, params, [(requests, params.around_radius_m), *(anchors or [])])
+
+
+def funnel(net: Network, min_m: float, max_m: float, params: Params = Params()) -> DataFrame:
+    """area_id, found, slivered (too thin), distinct (after near duplicates), shown."""
+    shaped, _ = shaped_loops(net, min_m, max_m, params)
+    thin = F.col("compactness") < params.compose_min_compactness
+    counts = shaped.groupBy("area_id").agg(F.count("*").alias("found"), F.count(F.when(thin, 1)).alias("slivered"))
+    kept = graph.collapse(cut(shaped.where(~thin)), net.segments, params.compose_overlap_frac).groupBy("area_id").agg(F.count("*").alias("distinct"))
+    out = counts.join(kept, "area_id", "left").na.fill(0, ["distinct"])
+    return out.withColumn("shown", F.least("distinct", F.lit(params.compose_max_loops)))
+
+
+def measure_composed(tables: Tables, net: Network, routes: DataFrame, c: Criteria, lookup: Lookup, p: Params, circular: bool, name: str) -> DataFrame:
+    """Composed routes (area_id, path_id, start (node), walk (segments in order), anchor) measured as mapped ones are, and filtered: the columns of
+    search.measured with gain_m, loss_m, surface, start, refs. route_id is path_id; roundtrip is what the mode says. Every segment is
+    sampled once, whatever the number of routes that take it."""
+    own = cut(routes.select("area_id", "path_id", "start", F.col("walk").alias("segs"), "anchor"))
+    steps = cut(paths.walked(own, net.steps, ["path_id"]))
+    at = cut(graph.node_places(net.edges))
+    place = lambda n: at.select("area_id", F.col("node").alias(n), F.struct("lat", "lon").alias(f"{n}_at"))
+    located = cut(steps.join(place("from"), ["area_id", "from"]).join(place("to"), ["area_id", "to"]))
+    ends = F.posexplode(F.array("from_at", "to_at")).alias("vtx_idx", "p")
+    vertices = located.select("area_id", F.col("path_id").alias("route_id"), F.col("pos").alias("way_idx"), ends).select("area_id", "route_id", "way_idx", "vtx_idx", "p.lat", "p.lon")
+    tags = F.coalesce(F.from_json("tags", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    ways = located.select("area_id", F.col("path_id").alias("route_id"), F.col("pos").alias("way_idx"), tags.alias("tags"))
+    as_routes = own.select(
+        "area_id", F.col("path_id").alias("route_id"), F.col("path_id").alias("seq"), F.lit(name).alias("name"), F.lit(None).cast("string").alias("ref"), F.lit(False).alias("unnamed"),
+        F.create_map(F.lit("roundtrip"), F.lit("yes" if circular else "no")).alias("tags"), F.lit(False).alias("is_ferrata"),
+    )
+    unbounded = tables.areas.withColumns({k: F.lit(None).cast("double") for k in ("south", "west", "north", "east")})
+    c = c if circular else replace(c, circular=None)
+    m = search.measured(replace(tables, areas=unbounded, routes=as_routes, ways=ways, vertices=cut(vertices)), c, p)
+    rows = cut(m.rows.where(rules.accepts_geometry(c)))
+    legs = steps.groupBy("area_id", "path_id", "leg").agg(F.first("seg").alias("seg"), F.first("forward").alias("forward"))
+    gained = search.gains(paths.series_along(legs, segment_samples(net, legs, lookup, p), ["path_id"]).withColumnRenamed("path_id", "route_id"), p)
+    refs = own.select("area_id", "path_id", F.explode("segs").alias("seg")).join(net.segments.select("area_id", "seg", "refs"), ["area_id", "seg"])
+    refs = refs.groupBy("area_id", F.col("path_id").alias("route_id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs"))
+    out = rows.join(gained, geometry.ROUTE, "left").withColumn("gain_m", F.rint("gain_m")).withColumn("loss_m", F.rint("loss_m")).where(rules.accepts_gain(c))
+    surface = search.measure.tag_mix(geometry.segments(vertices), ways.join(tables.areas.where("way_tags_recorded").select("area_id"), "area_id", "left_semi"), "surface")
+    surface = surface.where("place = 1").select(*geometry.ROUTE, F.struct("value", "fraction", "coverage").alias("surface"))
+    out = out.join(surface, geometry.ROUTE, "left").join(refs, geometry.ROUTE, "left")
+    return out.join(own.select("area_id", F.col("path_id").alias("route_id"), "anchor"), geometry.ROUTE).withColumn("start", F.coalesce("anchor", "head")).drop("anchor")
+
+
+def segment_samples(net: Network, legs: DataFrame, lookup: Lookup, p: Params) -> DataFrame:
+    """area_id, seg, idx, lat, lon, elev of each segment that a leg takes, evenly spaced from its end a."""
+    used = net.steps.join(legs.select("area_id", "seg").distinct(), ["area_id", "seg"], "left_semi").select("area_id", "seg", F.posexplode("steps").alias("k", "s"))
+    at = graph.node_places(net.edges)
+    place = lambda n, k: at.select("area_id", F.col("node").alias(n), F.col("lat").alias(f"lat{k}"), F.col("lon").alias(f"lon{k}"))
+    rows = used.select("area_id", F.col("seg").alias("route_id"), F.lit(0).alias("way_idx"), F.col("k").alias("vtx_idx"), F.col("s.from").alias("from"), F.col("s.to").alias("to")).join(place("from", 1), ["area_id", "from"]).join(place("to", 2), ["area_id", "to"])
+    segs = rows.withColumn("seg_m", haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))).drop("from", "to")
+    return lookup(geometry.resample(segs, p.sample_interval_m)).withColumnRenamed("route_id", "seg")
+
+
+@dataclass(frozen=True)
+class Snapped:
+    """A network that has a node at each requested place, and those nodes: area_id, point_id, node, d."""
+
+    net: Network
+    points: DataFrame
+
+
+def snapped(edges: DataFrame, points: DataFrame, params: Params) -> Snapped:
+    """points: area_id, point_id, lat, lon. Those farther than routes_max_snap_km from any trail have no node."""
+    found = cut(graph.snap(points, edges, params.routes_max_snap_km * 1000))
+    cut_edges, nodes = graph.split(edges, found)
+    return Snapped(contracted(cut_edges, nodes.select("area_id", "node").distinct()), nodes)
+
+
+def routes_between(edges: DataFrame, requests: DataFrame, params: Params = Params(), max_m: float | None = None) -> tuple[Snapped, DataFrame]:
+    """The shortest distinct ways from one point to another. requests: area_id, request_id, lat1, lon1, lat2, lon2. Without max_m a way may be
+    routes_max_factor times as long as the air line. A request with an end far from any trail has none. Gives the network and area_id,
+    request_id, place, m, segs, lens, nodes, start, anchor."""
+    ends = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"lat{k}").alias("lat"), F.col(f"lon{k}").alias("lon")) for k in (1, 2)))).alias("e")
+    points = requests.select("area_id", "request_id", ends).select("area_id", (F.col("request_id") * 2 + F.col("e.k")).alias("point_id"), "e.lat", "e.lon")
+    s = snapped(edges, points, params)
+    air = haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    node = lambda k, to: s.points.select("area_id", ((F.col("point_id") - k) / 2).cast("long").alias("request_id"), F.col("node").alias(to), "point_id").where(F.col("point_id") % 2 == k % 2).drop("point_id")
+    pairs = requests.withColumn("cap_m", F.lit(float(max_m)) if max_m is not None else params.routes_max_factor * air).join(node(1, "src"), PAIR).join(node(2, "dst"), PAIR).select(*PAIR, "src", "dst", "cap_m")
+    pairs = cut(pairs)
+    found = cut(paths.k_shortest(s.net.segments, pairs, params.routes_k, params.routes_overlap_frac, params.routes_max_paths))
+    at = graph.node_places(s.net.edges)
+    found = found.join(pairs.select(*PAIR, F.col("src").alias("start")), PAIR).join(at.select("area_id", F.col("node").alias("start"), F.struct("lat", "lon").alias("anchor")), ["area_id", "start"])
+    return s, found
+
+
+def route_via(edges: DataFrame, points: DataFrame, params: Params = Params(), loop: bool = False) -> tuple[Snapped, DataFrame, DataFrame]:
+    """One way through the points of each request in their order. points: area_id, request_id, pos (from 0), lat, lon. A loop goes back to the first
+    point; a leg of it takes what no earlier leg took, and only where there is no such way, what there is. A request with a point far from any trail or
+    a gap on the way has none. Gives the network, the ways (area_id, request_id, segs, start, anchor), and what they repeat (area_id, request_id,
+    length_m, distinct_m, retraced)."""
+    numbered = points.withColumn("point_id", F.xxhash64("area_id", "request_id", "pos"))
+    s = snapped(edges, numbered.select("area_id", "point_id", "lat", "lon"), params)
+    placed = numbered.select(*PAIR, "pos", "point_id").join(s.points.select("area_id", "point_id", "node"), ["area_id", "point_id"], "left")
+    whole = placed.groupBy(*PAIR).agg(F.count("*").alias("n"), F.count("node").alias("known"), F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("stops")).where("n > 1 and n = known")
+    stops = F.transform("stops", lambda x: x["node"])
+    stops = F.concat(stops, F.array(F.element_at(stops, 1))) if loop else stops
+    legs = cut(whole.select(*PAIR, F.posexplode(F.transform(F.sequence(F.lit(1), F.size(stops) - 1), lambda k: F.struct(F.get(stops, k - 1).alias("src"), F.get(stops, k).alias("dst")))).alias("leg", "x")).select(*PAIR, "leg", "x.src", "x.dst"))
+    network = s.net.segments.withColumnRenamed("seg", "edge")
+
+    def solve(rows: DataFrame, barred: DataFrame | None) -> DataFrame:
+        """area_id, request_id, leg, segs of the legs that have a way. Each leg is a request of its own."""
+        asked = cut(rows.where("src <> dst").withColumn("one", F.xxhash64(*PAIR, "leg")))
+        away = None if barred is None else asked.select(*PAIR, "one").join(barred, PAIR).select("area_id", F.col("one").alias("request_id"), F.col("seg").alias("edge")).distinct()
+        dist = graph.distances(asked.select("area_id", F.col("one").alias("request_id"), F.col("src").alias("node"), F.lit(0.0).alias("m")), network, float("inf"), away)
+        met = graph.backtrack(dist, asked.select("area_id", F.col("one").alias("request_id"), F.col("leg").alias("point_id"), F.col("dst").alias("node")))
+        return cut(asked.join(met.select("area_id", F.col("request_id").alias("one"), F.col("edges").alias("segs")), ["area_id", "one"]).select(*PAIR, "leg", "segs"))
+
+    if loop:
+        found, used = [], None
+        for k in range(legs.agg(F.coalesce(F.max("leg"), F.lit(-1))).first()[0] + 1):  # as many rounds as the longest request has legs
+            now = legs.where(F.col("leg") == k)
+            fresh = solve(now, used)
+            again = now.join(fresh.select(*PAIR), PAIR, "left_anti") if used is not None else None
+            both = fresh if again is None else fresh.unionByName(solve(again, None))
+            found.append(both)
+            taken = both.select(*PAIR, F.explode("segs").alias("seg"))
+            used = taken if used is None else used.unionByName(taken)
+        solved = reduce(DataFrame.unionByName, found) if found else solve(legs, None)
+    else:
+        solved = solve(legs, None)
+    solved = cut(solved)
+    lacking = legs.where("src <> dst").join(solved.select(*PAIR, "leg"), [*PAIR, "leg"], "left_anti").select(*PAIR).distinct()
+    out = solved.join(lacking, PAIR, "left_anti").groupBy(*PAIR).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("leg", "segs"))), lambda x: x["segs"])).alias("segs"))
+    at = graph.node_places(s.net.edges)
+    first = legs.where("leg = 0").select(*PAIR, F.col("src").alias("start"))
+    out = cut(out.join(first, PAIR).join(at.select("area_id", F.col("node").alias("start"), F.struct("lat", "lon").alias("anchor")), ["area_id", "start"]))
+    passes = out.select(*PAIR, F.explode("segs").alias("edge")).join(network.select("area_id", "edge", "length_m"), ["area_id", "edge"])
+    return s, out, graph.retraced(passes, PAIR)
 
 
-def routes_to_poi(edges: DataFrame, requests: DataFrame, pois: DataFrame, kinds: list[str], n: int, max_m: float, params: Params = Params()) -> DataFrame:
-    """The n objects of the kinds nearest on foot to each request (area_id, point_id, lat, lon): point_id, feature_id, m (on the trail), d (by
-    air), place, certain (no object left out by air can be nearer)."""
+def routes_to_poi(edges: DataFrame, requests: DataFrame, pois: DataFrame, kinds: list[str], n: int, params: Params = Params(), max_m: float | None = None) -> DataFrame:
+    """What becomes of the candidate objects around each request (area_id, point_id, lat, lon): area_id, point_id, feature_id, d (by air), snap_m (from
+    the trail), m (on the trail), state (ok, off_network, at_start, unreachable, too_far), place (of the ok ones, nearest on foot first), shown (among
+    the n nearest), certain (no object left out can be nearer than those shown). Without max_m, a way may be routes_max_factor times
+    as long as the air line, or routes_pad_km longer."""
     wanted = cut(graph.candidates(requests, pois, kinds, params.poi_search_radius_m, n))
-    limit = params.routes_max_snap_km * 1000
-    starts = cut(graph.snap(requests, edges, limit))
-    goals = wanted.groupBy("area_id", "feature_id").agg(F.min(F.struct("f_lat", "f_lon")).alias("p")).select("area_id", F.col("feature_id").alias("point_id"), F.col("p.f_lat").alias("lat"), F.col("p.f_lon").alias("lon"))
-    ends = cut(graph.snap(goals, edges, limit))
-    targets = wanted.select("area_id", F.col("point_id").alias("request_id"), F.col("feature_id").alias("point_id")).join(ends, ["area_id", "point_id"])
-    dist = graph.distances(graph.start_nodes(starts), edges, max_m)
-    met = graph.meeting(dist, starts, targets).where(F.col("m") <= max_m)
-    rows = met.select("area_id", F.col("request_id").alias("point_id"), F.col("point_id").alias("feature_id"), "m").join(wanted.select("area_id", "point_id", "feature_id", "d", "bound"), ["area_id", "point_id", "feature_id"])
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("area_id", "point_id").orderBy("m", "feature_id"))).where(F.col("place") <= n)
-    worst = F.max("m").over(Window.partitionBy("area_id", "point_id"))
-    return rows.withColumn("certain", worst <= F.least(F.lit(params.poi_search_radius_m), F.coalesce("bound", F.lit(params.poi_search_radius_m)))).drop("bound")
+    both = requests.select("area_id", F.xxhash64(F.lit("from"), "point_id").alias("point_id"), "lat", "lon")
+    goals = wanted.groupBy("area_id", "feature_id").agg(F.min(F.struct("f_lat", "f_lon")).alias("p")).select("area_id", F.xxhash64(F.lit("to"), "feature_id").alias("point_id"), F.col("p.f_lat").alias("lat"), F.col("p.f_lon").alias("lon"))
+    s = snapped(edges, both.unionByName(goals), params)
+    cap = lambda air: F.lit(float(max_m)) if max_m is not None else F.greatest(params.routes_max_factor * air, air + params.routes_pad_km * 1000)
+    ask = requests.select("area_id", "point_id", F.xxhash64(F.lit("from"), "point_id").alias("from_id")).join(s.points.select("area_id", F.col("point_id").alias("from_id"), F.col("node").alias("src")), ["area_id", "from_id"])
+    ask = cut(ask.select("area_id", "point_id", "src"))
+    most = float(max_m) if max_m is not None else max(params.routes_max_factor * params.poi_search_radius_m, params.poi_search_radius_m + params.routes_pad_km * 1000)
+    dist = graph.distances(ask.select("area_id", F.col("point_id").alias("request_id"), F.col("src").alias("node"), F.lit(0.0).alias("m")), s.net.segments.withColumnRenamed("seg", "edge"), most)
+    rows = wanted.join(ask, ["area_id", "point_id"]).withColumn("to_id", F.xxhash64(F.lit("to"), "feature_id"))
+    rows = rows.join(s.points.select("area_id", F.col("point_id").alias("to_id"), F.col("node").alias("dst"), F.col("d").alias("snap_m")), ["area_id", "to_id"], "left")
+    rows = rows.join(dist.select("area_id", F.col("request_id").alias("point_id"), F.col("node").alias("dst"), "m"), ["area_id", "point_id", "dst"], "left")
+    state = F.when(F.col("dst").isNull(), "off_network").when(F.col("dst") == F.col("src"), "at_start").when(F.col("m").isNull(), "unreachable").when(F.col("m") > cap(F.col("d")), "too_far").otherwise("ok")
+    order = Window.partitionBy("area_id", "point_id", "state").orderBy("m", "f_lat", "f_lon", "feature_id")
+    rows = rows.withColumn("state", state).withColumn("place", F.when(F.col("state") == "ok", F.row_number().over(order)))
+    shown = F.coalesce(F.col("place") <= n, F.lit(False))
+    worst = F.max(F.when(shown, F.col("m"))).over(Window.partitionBy("area_id", "point_id"))
+    bound = F.least(F.lit(params.poi_search_radius_m), F.coalesce("bound", F.lit(params.poi_search_radius_m)))
+    return rows.select("area_id", "point_id", "feature_id", "d", "snap_m", F.when(F.col("state").isin("ok", "too_far"), F.col("m")).alias("m"), "state", "place", shown.alias("shown"), (worst <= bound).alias("certain"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.classify import lift_kind, poi_kind, relation_is_ferrata, transit_kind, unrecorded, way_is_ferrata
-from .functions.geo import haversine_m
+from .functions.geo import box, coordinate_key, haversine_m
 from .operators import criteria, elevation, export, geometry, graph, inventory, measure, stitch
 from .operators.components import cut
 from .operators.geometry import ROUTE
 from .params import Criteria, Params
-from .plans import modes
+from .operators.lineage import shared_dir
+from .plans import modes, search
 from .sources import elements, fixture, store
 from .sources.fixture import hav_sql
 
@@ -54,9 +56,13 @@ def lifts(spark: SparkSession, d: str) -> DataFrame:
     return fixture.stops(spark, d).withColumn("kind", lift_kind(F.col("tags"))).where(F.col("kind").isNotNull())
 
 
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    return stitch.stitch(fixture.vertices(spark, d))
+
+
 def shapes(spark: SparkSession, d: str) -> DataFrame:
     """Shapes of all routes, computed once: several joins of a query read them."""
-    return cut(measure.shapes(fixture.routes(spark, d), fixture.vertices(spark, d), P))
+    return cut(measure.shapes(fixture.routes(spark, d), fixture.vertices(spark, d), lines(spark, d), P))
 
 
 def ends(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +95,7 @@ def resample_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.resample(segs(spark, d), P.sample_interval_m)
+    return geometry.resample(stitch.line_segments(lines(spark, d)), P.sample_interval_m)
 
 
 NODES = """nodes AS (SELECT area_id, route_id, way_idx, 0 AS k, i1 AS i, j1 AS j, lat1 AS lat, lon1 AS lon FROM ways UNION ALL SELECT area_id, route_id, way_idx, 1, i2, j2, lat2, lon2 FROM ways),
@@ -181,16 +187,16 @@ def transit_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def access_points(spark: SparkSession, d: str, shape: DataFrame | None = None) -> DataFrame:
-    return cut(measure.access_points(shapes(spark, d) if shape is None else shape, fixture.vertices(spark, d), ends(spark, d)))
+    return cut(measure.access_points(shapes(spark, d) if shape is None else shape, lines(spark, d), ends(spark, d)))
 
 
 ACCESS = SHAPE + """,
-points AS MATERIALIZED (SELECT area_id, route_id, lat, lon FROM ends UNION SELECT area_id, route_id, lat, lon FROM nodes JOIN shape USING (area_id, route_id) WHERE circular UNION SELECT area_id, route_id, hlat, hlon FROM shape WHERE NOT circular UNION SELECT area_id, route_id, tlat, tlon FROM shape WHERE NOT circular)"""
+points AS MATERIALIZED (SELECT area_id, route_id, lat, lon FROM ends UNION SELECT area_id, route_id, lat, lon FROM nodes JOIN shape USING (area_id, route_id) WHERE circular UNION SELECT area_id, route_id, hlat, hlon FROM shape UNION SELECT area_id, route_id, tlat, tlon FROM shape)"""
 NEAR = f"(SELECT p.route_id, p.area_id, f.feature_id, f.kind, f.lat AS f_lat, f.lon AS f_lon, {hav_sql('p.lat', 'p.lon', 'f.lat', 'f.lon')} AS d FROM points p JOIN {{}} f ON p.area_id = f.area_id AND abs(p.lat - f.lat) < {{}})"
 PARKED = ",\nparked AS (SELECT area_id, route_id, min(d) AS car_distance_m, min(d) <= 300 AS car_access FROM " + NEAR.format("(SELECT *, 'parking' AS kind FROM parking)", 0.005) + " WHERE d <= 450 GROUP BY ALL)"
 LIFTED = ",\nlifted AS (SELECT area_id, route_id, min(d) AS lift_distance_m, min(d) <= 400 AS chairlift_access, CASE WHEN min(d) <= 400 THEN arg_min(kind, (d, feature_id)) END AS lift_type FROM " + NEAR.format("(SELECT * FROM stops WHERE kind = 'chair_lift')", 0.007) + " WHERE d <= 600 GROUP BY ALL)"
 CARRIED = """,
-carried AS (SELECT area_id, route_id, min(d) AS transit_distance_m, count(*) FILTER (WHERE ok) > 0 AS transit_access, arg_min(kind, (kind <> 'halt', d, feature_id)) FILTER (WHERE ok) AS transit_type
+carried AS (SELECT area_id, route_id, min(d) AS transit_distance_m, arg_min(kind, (d, feature_id)) AS transit_near, count(*) FILTER (WHERE ok) > 0 AS transit_access, arg_min(kind, (kind <> 'halt', d, feature_id)) FILTER (WHERE ok) AS transit_type
 FROM (SELECT *, d <= CASE WHEN kind = 'halt' THEN 1000 ELSE 400 END AS ok FROM """ + NEAR.format("(SELECT * FROM stops WHERE kind IN ('halt', 'bus_stop'))", 0.015) + " WHERE d <= 1500) GROUP BY ALL)"
 
 
@@ -209,12 +215,21 @@ def transit_access(spark: SparkSession, d: str) -> DataFrame:
     return measure.transit_access(access_points(spark, d), transit(spark, d), P).select(*ROUTE, r3("transit_distance_m"), "transit_access", "transit_type")
 
 
-MATCHED = ",\nmatched AS (SELECT DISTINCT area_id, route_id, feature_id, f_lat, f_lon FROM " + NEAR.format("(SELECT *, 'parking' AS kind FROM parking)", 0.005) + " WHERE d <= 300)"
+MATCHED = """,
+tips2 AS (SELECT area_id, route_id, lat, lon FROM ends UNION SELECT area_id, route_id, hlat, hlon FROM shape UNION SELECT area_id, route_id, tlat, tlon FROM shape),
+matched AS (SELECT DISTINCT area_id, route_id, feature_id, kind, f_lat, f_lon FROM (SELECT * FROM """ + NEAR.replace("points p", "tips2 p").format("(SELECT *, 'parking' AS kind FROM parking)", 0.005) + " WHERE d <= 300 UNION ALL SELECT * FROM " + NEAR.replace("points p", "tips2 p").format("(SELECT * FROM stops WHERE kind = 'chair_lift')", 0.007) + " WHERE d <= 400))"
+
 
+def matched(spark: SparkSession, d: str, shape: DataFrame) -> DataFrame:
+    points = cut(measure.end_points(shape, ends(spark, d)))
+    both = (("parking", fixture.parking(spark, d), P.car_radius_m), ("chair_lift", lifts(spark, d), P.lift_radius_m))
+    found = [measure.matched_access(points, features, radius).withColumn("kind", F.lit(kind)) for kind, features, radius in both]
+    return found[0].unionByName(found[1])
 
-@query(ACCESS + MATCHED + "\nSELECT area_id, route_id, feature_id FROM matched")
+
+@query(ACCESS + MATCHED + "\nSELECT area_id, route_id, feature_id, kind FROM matched")
 def matched_access(spark: SparkSession, d: str) -> DataFrame:
-    return measure.matched_access(access_points(spark, d), fixture.parking(spark, d), P.car_radius_m).select(*ROUTE, "feature_id")
+    return matched(spark, d, shapes(spark, d)).select(*ROUTE, "feature_id", "kind")
 
 
 START = ACCESS + MATCHED + f""",
@@ -226,12 +241,11 @@ starts AS MATERIALIZED (SELECT s.area_id, s.route_id, CASE WHEN a IS NOT NULL TH
 
 @query(START + "\nSELECT area_id, route_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM starts")
 def route_start(spark: SparkSession, d: str) -> DataFrame:
-    return starts(spark, d).select(*ROUTE, F.round("start.lat", 6).alias("lat"), F.round("start.lon", 6).alias("lon"))
+    return starts(spark, d, shapes(spark, d)).select(*ROUTE, F.round("start.lat", 6).alias("lat"), F.round("start.lon", 6).alias("lon"))
 
 
-def starts(spark: SparkSession, d: str, shape: DataFrame | None = None) -> DataFrame:
-    shape = shapes(spark, d) if shape is None else shape
-    return measure.route_starts(shape, ends(spark, d), measure.matched_access(access_points(spark, d, shape), fixture.parking(spark, d), P.car_radius_m))
+def starts(spark: SparkSession, d: str, shape: DataFrame) -> DataFrame:
+    return measure.route_starts(shape, ends(spark, d), matched(spark, d, shape))
 
 
 def to_line_sql(lat: str, lon: str) -> str:
@@ -338,34 +352,60 @@ def incremental_fill(spark: SparkSession, d: str) -> DataFrame:
 # search
 
 
-def measured(spark: SparkSession, d: str) -> DataFrame:
-    """Routes with all that is known without elevation."""
-    shape = shapes(spark, d)
-    points = access_points(spark, d, shape)
-    passed = measure.route_pois(segs(spark, d), pois(spark, d), ["ruins", "peak"], P.poi_radius_m).groupBy(*ROUTE).agg(F.count("*").alias("n_pois"))
-    cabled = measure.ferrata_summary(segs(spark, d), fixture.ways(spark, d), fixture.routes(spark, d)).select(*ROUTE, F.col("present").alias("ferrata"))
-    rows = shape.join(fixture.routes(spark, d).select(*ROUTE, "seq", "tags"), ROUTE).join(measure.car_access(points, fixture.parking(spark, d), P), ROUTE, "left").join(measure.lift_access(points, lifts(spark, d), P), ROUTE, "left")
-    rows = rows.join(measure.transit_access(points, transit(spark, d), P), ROUTE, "left").join(passed, ROUTE, "left").join(cabled, ROUTE, "left")
-    return rows.withColumn("distance_km", F.round(F.col("length_m") / 1000, 2)).na.fill(False, ["car_access", "chairlift_access", "transit_access"]).na.fill(0, ["n_pois"])
-
-
 MEASURED = ACCESS + PARKED + LIFTED + CARRIED + ",\n" + PASSED + ",\n" + FERRATA + """,
 hits AS (SELECT area_id, route_id, count(*) AS n_pois FROM passed GROUP BY ALL),
-measured AS MATERIALIZED (SELECT s.area_id, s.route_id, length_m, round(length_m / 1000, 2) AS distance_km, circular, car_distance_m, coalesce(car_access, false) AS car_access, lift_distance_m, coalesce(chairlift_access, false) AS chairlift_access, lift_type, transit_distance_m, coalesce(transit_access, false) AS transit_access, transit_type, coalesce(n_pois, 0) AS n_pois, present AS ferrata, gap_m
+measured AS MATERIALIZED (SELECT s.area_id, s.route_id, length_m, round(length_m / 1000, 2) AS distance_km, circular, gap_m, car_distance_m, coalesce(car_access, false) AS car_access, lift_distance_m, coalesce(chairlift_access, false) AS chairlift_access, lift_type,
+  CASE WHEN s.area_id % 5 <> 3 THEN transit_distance_m END AS transit_distance_m, CASE WHEN s.area_id % 5 <> 3 THEN coalesce(transit_access, false) END AS transit_access, CASE WHEN s.area_id % 5 <> 3 THEN transit_type END AS transit_type, CASE WHEN s.area_id % 5 <> 3 THEN transit_near END AS transit_near,
+  coalesce(n_pois, 0) AS n_pois, CASE WHEN s.area_id % 7 <> 4 OR relation_tagged THEN present END AS ferrata, relation_tagged, s.hlat, s.hlon, s.tlat, s.tlon
   FROM shape s LEFT JOIN parked USING (area_id, route_id) LEFT JOIN lifted USING (area_id, route_id) LEFT JOIN carried USING (area_id, route_id) LEFT JOIN hits USING (area_id, route_id) LEFT JOIN cabled USING (area_id, route_id))"""
 FIND = Criteria(min_distance_km=1.0, max_distance_km=2.0, car_access=True, poi_kinds=("ruins", "peak"), ferrata=False, min_gain_m=50.0)
-RELAXED = "coalesce(distance_km >= -1.0 AND distance_km <= 4.0 AND car_distance_m <= 450 AND n_pois > 0 AND NOT ferrata, false)"
-STRICT = "coalesce(distance_km >= 1.0 AND distance_km <= 2.0 AND car_access AND n_pois > 0 AND NOT ferrata, false)"
+RELAXED = "coalesce(NOT relation_tagged AND distance_km >= -1.0 AND distance_km <= 4.0 AND car_distance_m <= 450 AND n_pois > 0 AND NOT ferrata, false)"
+STRICT = "coalesce(NOT relation_tagged AND distance_km >= 1.0 AND distance_km <= 2.0 AND car_access AND n_pois > 0 AND NOT ferrata, false)"
+RIDE = Criteria(min_distance_km=0.8, transit_access=True, circular=False, min_gain_m=20.0)
+RIDE_RELAXED = "coalesce(NOT relation_tagged AND distance_km >= -1.2 AND NOT circular AND transit_distance_m <= 1500, false)"
+RIDE_STRICT = "coalesce(NOT relation_tagged AND distance_km >= 0.8 AND NOT circular AND transit_access, false)"
+CABLED = Criteria(max_distance_km=1.5, ferrata=True, chairlift_access=False)
+
+
+def measured(spark: SparkSession, d: str, c: Criteria, margin_km: float = 0.0) -> DataFrame:
+    return search.measured(fixture.search_tables(spark, d), c, P, margin_km).rows
 
 
 @query(MEASURED + f"\nSELECT area_id, route_id, distance_km FROM measured WHERE {STRICT}")
 def criteria_strict(spark: SparkSession, d: str) -> DataFrame:
-    return measured(spark, d).where(criteria.accepts_geometry(FIND)).select(*ROUTE, "distance_km")
+    return measured(spark, d, FIND).where(criteria.accepts_geometry(FIND)).select(*ROUTE, "distance_km")
 
 
 @query(MEASURED + f"\nSELECT area_id, route_id, distance_km FROM measured WHERE {RELAXED} AND NOT {STRICT}")
 def near_miss_pool(spark: SparkSession, d: str) -> DataFrame:
-    return measured(spark, d).where(criteria.accepts_relaxed(FIND, P) & ~criteria.accepts_geometry(FIND)).select(*ROUTE, "distance_km")
+    rows = measured(spark, d, FIND, P.near_miss_dist_km)
+    return rows.where(criteria.accepts_relaxed(FIND, P) & ~criteria.accepts_geometry(FIND)).select(*ROUTE, "distance_km")
+
+
+@query(MEASURED + "\nSELECT area_id, route_id, distance_km, relation_tagged FROM measured WHERE coalesce(distance_km <= 1.5 AND ferrata AND NOT chairlift_access, false)")
+def ferrata_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Cabled relations are searched where cabled routes are asked for, and only there."""
+    rows = measured(spark, d, CABLED).where(criteria.accepts_geometry(CABLED))
+    return rows.select(*ROUTE, "distance_km", relation_is_ferrata(F.col("tags")).alias("relation_tagged"))
+
+
+@query(MEASURED + """
+SELECT area_id, count(*) AS n_routes, count(*) FILTER (WHERE transit_access IS NULL) AS n_transit_unknown, count(*) FILTER (WHERE transit_access) AS n_transit, count(*) FILTER (WHERE NOT transit_access) AS n_no_transit,
+  count(*) FILTER (WHERE ferrata IS NULL) AS n_ferrata_unknown, count(*) FILTER (WHERE ferrata) AS n_ferrata FROM measured WHERE NOT relation_tagged GROUP BY area_id""")
+def unknown_fields(spark: SparkSession, d: str) -> DataFrame:
+    """What each area knows of its routes: yes, no, or never recorded."""
+    n = lambda what: F.count(F.when(what, 1))
+    t, f = F.col("transit_access"), F.col("ferrata")
+    rows = measured(spark, d, Criteria()).groupBy("area_id")
+    return rows.agg(F.count("*").alias("n_routes"), n(t.isNull()).alias("n_transit_unknown"), n(t).alias("n_transit"), n(~t).alias("n_no_transit"), n(f.isNull()).alias("n_ferrata_unknown"), n(f).alias("n_ferrata"))
+
+
+@query("""SELECT n_nationkey AS area_id, concat_ws(',', CASE WHEN n = 0 THEN 'no_routes' END, CASE WHEN n > 0 AND area_id % 7 = 4 THEN 'ferrata_unreadable' END, CASE WHEN (n = 0 OR area_id % 7 <> 4) AND area_id % 6 = 1 THEN 'ferrata_unrecorded' END,
+  CASE WHEN area_id % 5 = 3 THEN 'transit_unrecorded' END, CASE WHEN area_id % 8 = 2 THEN 'poi_unknown' WHEN area_id % 3 = 0 THEN 'poi_missing' END) AS notices
+FROM (SELECT n_nationkey, n_nationkey AS area_id, coalesce(n, 0) AS n FROM nation LEFT JOIN (SELECT area_id, count(*) AS n FROM routes WHERE NOT rel_ferrata GROUP BY area_id) r ON r.area_id = n_nationkey)""")
+def area_notices(spark: SparkSession, d: str) -> DataFrame:
+    asked = Criteria(ferrata=True, transit_access=True, poi_kinds=("ruins", "castle"))
+    return search.notices(fixture.search_tables(spark, d), asked).select("area_id", F.array_join("notices", ",").alias("notices"))
 
 
 @query("area AS (SELECT area_id, " + hav_sql("min(least(lat1, lat2))", "min(least(lon1, lon2))", "max(greatest(lat1, lat2))", "max(greatest(lon1, lon2))") + " / 40 AS diagonal_m FROM ways GROUP BY ALL)\nSELECT area_id, route_id, round(sum(seg_m), 3) AS length_m FROM ways JOIN area USING (area_id) GROUP BY area_id, route_id, diagonal_m HAVING sum(seg_m) <= 4 * diagonal_m")
@@ -375,37 +415,56 @@ def overlength_guard(spark: SparkSession, d: str) -> DataFrame:
     return criteria.within_area(geometry.route_lengths(s), area, P.max_route_factor).select(*ROUTE, r3("length_m"))
 
 
-def elevate(spark: SparkSession, d: str) -> Callable[[DataFrame], DataFrame]:
-    """Joins gain and loss to routes; only their lines are sampled. A loop whose line doesn't close has neither."""
+def lookup(spark: SparkSession, d: str) -> Callable[[DataFrame], DataFrame]:
+    """The raster's elevation of sample points, gaps filled."""
+    return lambda points: elevation.filled(elevated(spark, d, points), ROUTE, ["idx"])
+
+
+def found_sql(strict: str, relaxed: str, notes: str, least_gain: int) -> str:
+    """What search finds: only survivors of the cheap filter are sampled, there as here."""
+    closes = "NOT circular OR gap_m <= least(150e0, 5e-2 * length_m)"
+    elevated_only = GAIN.replace("FROM ways", "FROM (SELECT ways.* FROM ways JOIN kept USING (area_id, route_id)) ways", 1)
+    sql = fixture.SQL + ",\n" + MEASURED + f",\nkept AS MATERIALIZED (SELECT * FROM measured WHERE {relaxed} OR {strict}),\n" + elevated_only + f""",
+known AS (SELECT kept.*, {strict} AS strict, CASE WHEN {closes} THEN round_even(gain_m, 0) END AS gain_m, CASE WHEN {closes} THEN round_even(loss_m, 0) END AS loss_m FROM kept LEFT JOIN folded ON k = route_id),
+noted AS (SELECT *, NOT (strict AND coalesce(gain_m >= {least_gain}, false)) AS near_miss, list_filter([CASE WHEN gain_m < {least_gain} THEN 'gain ' || gain_m::BIGINT || ' m — ' || ({least_gain} - gain_m)::BIGINT || ' m below the {least_gain} m minimum' END, {notes}], lambda x: x IS NOT NULL) AS notes FROM known),
+found AS MATERIALIZED (SELECT *, count(*) FILTER (WHERE NOT near_miss) OVER (PARTITION BY area_id) AS n_strict FROM noted WHERE NOT near_miss OR (gain_m IS NOT NULL AND {least_gain} - gain_m <= {least_gain} * 0.2 AND len(notes) > 0))"""
+    return sql.replace("WITH ln", "WITH RECURSIVE ln", 1)
 
-    def run(rows: DataFrame) -> DataFrame:
-        points = geometry.resample(geometry.segments(fixture.vertices(spark, d).join(rows.select(*ROUTE), ROUTE, "left_semi")), P.sample_interval_m)
-        closes = ~F.col("circular") | (F.col("gap_m") <= F.least(F.lit(P.loop_tolerance_m), 0.05 * F.col("length_m")))
-        gains = route_gain(spark, d, points).select(*ROUTE, "gain_m", "loss_m")
-        out = rows.join(gains, ROUTE, "left")
-        return out.withColumn("gain_m", F.when(closes, F.rint("gain_m"))).withColumn("loss_m", F.when(closes, F.rint("loss_m")))
 
-    return run
+SEARCH = found_sql(STRICT, RELAXED, """CASE WHEN distance_km < 1 THEN round(distance_km, 2)::VARCHAR || ' km — ' || round(1 - distance_km, 2)::VARCHAR || ' km below the 1.0 km minimum' END, CASE WHEN distance_km > 2 THEN round(distance_km, 2)::VARCHAR || ' km — ' || round(distance_km - 2, 2)::VARCHAR || ' km above the 2.0 km maximum' END,
+  CASE WHEN NOT car_access AND car_distance_m IS NOT NULL THEN 'nearest parking ' || round_even(car_distance_m, 0)::BIGINT || ' m away — just past the 300 m limit' END""", 50)
+RIDES = found_sql(RIDE_STRICT, RIDE_RELAXED, """CASE WHEN distance_km < 0.8 THEN round(distance_km, 2)::VARCHAR || ' km — ' || round(0.8 - distance_km, 2)::VARCHAR || ' km below the 0.8 km minimum' END,
+  CASE WHEN NOT transit_access AND transit_distance_m IS NOT NULL THEN 'nearest public transport ' || round_even(transit_distance_m, 0)::BIGINT || ' m away — just past the ' || CASE WHEN transit_near = 'halt' THEN 1000 ELSE 400 END || ' m limit' END""", 20)
+LISTED = "\nSELECT area_id, route_id, distance_km, near_miss, CASE WHEN near_miss THEN array_to_string(notes, '; ') ELSE '' END AS notes FROM found"
+RANKED = "\nSELECT area_id, route_id, distance_km, gain_m, loss_m, near_miss FROM found WHERE NOT near_miss OR n_strict < 3"
 
 
-# only survivors of the cheap filter are sampled, there as here
-SEARCH = (fixture.SQL + ",\n" + MEASURED + f",\nkept AS MATERIALIZED (SELECT * FROM measured WHERE {RELAXED} OR {STRICT}),\n" + GAIN.replace("FROM ways", "FROM (SELECT ways.* FROM ways JOIN kept USING (area_id, route_id)) ways", 1) + f""",
-known AS (SELECT kept.*, {STRICT} AS strict, CASE WHEN NOT circular OR gap_m <= least(150e0, 5e-2 * length_m) THEN round_even(gain_m, 0) END AS gain_m, CASE WHEN NOT circular OR gap_m <= least(150e0, 5e-2 * length_m) THEN round_even(loss_m, 0) END AS loss_m FROM kept LEFT JOIN folded ON k = route_id),
-noted AS (SELECT *, NOT (strict AND coalesce(gain_m >= 50, false)) AS near_miss, list_filter([CASE WHEN gain_m < 50 THEN 'gain ' || gain_m::BIGINT || ' m — ' || (50 - gain_m)::BIGINT || ' m below the 50 m minimum' END,
-  CASE WHEN distance_km < 1 THEN round(distance_km, 2)::VARCHAR || ' km — ' || round(1 - distance_km, 2)::VARCHAR || ' km below the 1.0 km minimum' END, CASE WHEN distance_km > 2 THEN round(distance_km, 2)::VARCHAR || ' km — ' || round(distance_km - 2, 2)::VARCHAR || ' km above the 2.0 km maximum' END,
-  CASE WHEN NOT car_access AND car_distance_m IS NOT NULL THEN 'nearest parking ' || round_even(car_distance_m, 0)::BIGINT || ' m away — just past the 300 m limit' END], lambda x: x IS NOT NULL) AS notes FROM known),
-found AS (SELECT * FROM noted WHERE NOT near_miss OR (gain_m IS NOT NULL AND 50 - gain_m <= 10 AND len(notes) > 0))""").replace("WITH ln", "WITH RECURSIVE ln", 1)
+def listed(rows: DataFrame) -> DataFrame:
+    return rows.select(*ROUTE, "distance_km", "near_miss", F.coalesce(F.array_join("notes", "; "), F.lit("")).alias("notes"))
 
 
-@query(SEARCH + "\nSELECT area_id, route_id, distance_km, near_miss, CASE WHEN near_miss THEN array_to_string(notes, '; ') ELSE '' END AS notes FROM found", base=False)
+@query(SEARCH + LISTED, base=False)
 def near_miss_notes(spark: SparkSession, d: str) -> DataFrame:
-    out = criteria.ranked(measured(spark, d), elevate(spark, d), FIND, P, near="always")
-    return out.select(*ROUTE, "distance_km", "near_miss", F.coalesce(F.array_join("notes", "; "), F.lit("")).alias("notes"))
+    return listed(search.search(fixture.search_tables(spark, d), FIND, lookup(spark, d), P, near="always"))
 
 
-@query(SEARCH + "\nSELECT area_id, route_id, distance_km, gain_m, loss_m, near_miss FROM (SELECT *, count(*) FILTER (WHERE NOT near_miss) OVER (PARTITION BY area_id) AS n FROM found) WHERE NOT near_miss OR n < 3", base=False)
+@query(RIDES + LISTED, base=False)
+def search_by_transit(spark: SparkSession, d: str) -> DataFrame:
+    """Areas that never recorded stops have no answer at all."""
+    return listed(search.search(fixture.search_tables(spark, d), RIDE, lookup(spark, d), P, near="always"))
+
+
+@query(SEARCH + RANKED, base=False)
 def search_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return criteria.ranked(measured(spark, d), elevate(spark, d), FIND, P, near="auto").select(*ROUTE, "distance_km", "gain_m", "loss_m", "near_miss")
+    return search.search(fixture.search_tables(spark, d), FIND, lookup(spark, d), P, near="auto").select(*ROUTE, "distance_km", "gain_m", "loss_m", "near_miss")
+
+
+@query(SEARCH + RANKED, base=False)
+def search_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a store that holds the areas and the elevations of all their routes."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    search.record(fixture.search_tables(spark, d), Criteria(), lookup(spark, d), path, P)
+    return search.search_stored(spark, path, FIND, P, near="auto").select(*ROUTE, "distance_km", "gain_m", "loss_m", "near_miss")
 
 
 CLIMB = Criteria(min_distance_km=1.0, min_gain_m=50.0)
@@ -414,9 +473,14 @@ CLIMB = Criteria(min_distance_km=1.0, min_gain_m=50.0)
 @query((fixture.SQL + ",\n" + SHAPE + ",\n" + GAIN).replace("WITH ln", "WITH RECURSIVE ln", 1) + """
 SELECT area_id, route_id, distance_km, gain_m FROM (SELECT area_id, route_id, round(length_m / 1000, 2) AS distance_km, CASE WHEN NOT circular OR gap_m <= least(150e0, 5e-2 * length_m) THEN round_even(gain_m, 0) END AS gain_m FROM shape JOIN folded ON k = route_id) WHERE distance_km >= 1 AND gain_m >= 50""", base=False)
 def criteria_gain(spark: SparkSession, d: str) -> DataFrame:
-    """Routes of a kilometre or more with at least 50 m of gain, most gain first."""
-    cheap = shapes(spark, d).withColumn("distance_km", F.round(F.col("length_m") / 1000, 2)).where(F.col("distance_km") >= CLIMB.min_distance_km)
-    return elevate(spark, d)(cheap).where(criteria.accepts_gain(CLIMB)).select(*ROUTE, "distance_km", "gain_m").orderBy(F.desc("gain_m"), "area_id", "route_id")
+    """Routes of a kilometre or more with at least 50 m of gain, most gain first. Lengths are cheap, so they decide first."""
+    v = fixture.vertices(spark, d)
+    long = geometry.route_lengths(geometry.segments(v)).where(F.round(F.col("length_m") / 1000, 2) >= CLIMB.min_distance_km).select(*ROUTE)
+    v = cut(v.join(long, ROUTE, "left_semi"))
+    line = cut(stitch.stitch(v))
+    rows = cut(measure.shapes(fixture.routes(spark, d), v, line, P).withColumn("distance_km", F.round(F.col("length_m") / 1000, 2)))
+    out = search.elevated(rows, line, lookup(spark, d), P).where(criteria.accepts_gain(CLIMB))
+    return out.select(*ROUTE, "distance_km", "gain_m").orderBy(F.desc("gain_m"), "area_id", "route_id")
 
 
 # inventories, names, exports
@@ -467,7 +531,6 @@ PLACE = "CASE WHEN (floor({0} * 1e4)::BIGINT + floor({1} * 1e4)::BIGINT) % 5 = 0
 
 
 @query(START + f""",
-tips2 AS (SELECT area_id, route_id, lat, lon FROM ends UNION SELECT area_id, route_id, hlat, hlon FROM shape UNION SELECT area_id, route_id, tlat, tlon FROM shape),
 far AS (SELECT s.area_id, s.route_id, min((-round({hav_sql("s.lat", "s.lon", "t.lat", "t.lon")}, 6), t.lat, t.lon)) AS f FROM starts s JOIN shape h USING (area_id, route_id) JOIN tips2 t USING (area_id, route_id) WHERE NOT h.circular AND (s.lat, s.lon) <> (t.lat, t.lon) GROUP BY ALL),
 named AS (SELECT s.area_id, s.route_id, circular, {PLACE.format("s.lat", "s.lon")} AS sp, {PLACE.format("f[2]", "f[3]")} AS ep FROM starts s JOIN shape USING (area_id, route_id) LEFT JOIN far USING (area_id, route_id) JOIN routes r USING (area_id, route_id) WHERE tag_name IS NULL AND tag_ref IS NULL)
 SELECT area_id, route_id, CASE WHEN circular THEN 'loop near ' || sp WHEN sp <> ep THEN sp || ' → ' || ep ELSE 'near ' || coalesce(sp, ep) END AS label FROM named""")
@@ -501,37 +564,87 @@ def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
     return fixture.table(spark, d, "nation").select(F.col("n_nationkey").alias("area_id")).join(recorded, "area_id", "left").select("area_id", F.array_join(F.array_sort(lacking), ",").alias("lacking"), state.alias("state"))
 
 
-def summaries(spark: SparkSession, d: str) -> DataFrame:
-    mix = measure.tag_mix(segs(spark, d), fixture.ways(spark, d), "surface").where("place = 1").select(*ROUTE, F.struct("value", "fraction", "coverage").alias("surface"))
-    rows = elevate(spark, d)(measured(spark, d)).join(mix, ROUTE, "left")
-    tags = F.col("tags")
-    return rows.withColumns(dict(zip(("name", "unnamed"), elements.display_name(tags["name"], tags["ref"], F.col("route_id"))))).withColumn("line", export.summary_line(F.col("surface")))
+def described(spark: SparkSession, d: str) -> tuple[DataFrame, search.Measured]:
+    """All routes as a search without criteria finds them, with surface, start and summary."""
+    tables = fixture.search_tables(spark, d)
+    m = search.measured(tables, Criteria(), P)
+    read = tables.ways.join(tables.areas.where("way_tags_recorded").select("area_id"), "area_id", "left_semi")
+    mix = measure.tag_mix(segs(spark, d), read, "surface").where("place = 1").select(*ROUTE, F.struct("value", "fraction", "coverage").alias("surface"))
+    rows = search.elevated(m.rows, m.line, lookup(spark, d), P).join(mix, ROUTE, "left").join(search.starts(m, tables, P), ROUTE)
+    rows = rows.withColumn("near_miss", F.lit(False)).withColumn("notes", F.lit(None).cast("array<string>")).withColumn("place_name", F.lit(None).cast("string"))
+    return cut(rows.withColumn("line", export.summary_line())), m
 
 
-@query()
+DESCRIBED = (fixture.SQL + ",\n" + MEASURED.replace(ACCESS, START, 1) + ",\n" + GAIN).replace("WITH ln", "WITH RECURSIVE ln", 1) + """,
+mix1 AS (SELECT area_id, route_id, surface AS value, sum(seg_m) AS m FROM ways GROUP BY ALL), mix2 AS (SELECT area_id, route_id, sum(m) AS total, coalesce(sum(m) FILTER (WHERE value IS NOT NULL), 0) AS known FROM mix1 GROUP BY ALL),
+mix AS (SELECT area_id, route_id, first(value ORDER BY -m, value) AS value, max(m) / any_value(total) AS fraction, any_value(known / total) AS coverage FROM mix1 JOIN mix2 USING (area_id, route_id) WHERE value IS NOT NULL AND area_id % 7 <> 4 GROUP BY ALL),
+described AS MATERIALIZED (SELECT m.*, starts.lat AS slat, starts.lon AS slon, CASE WHEN NOT circular OR gap_m <= least(150e0, 5e-2 * length_m) THEN round_even(gain_m, 0)::BIGINT END AS gain, CASE WHEN NOT circular OR gap_m <= least(150e0, 5e-2 * length_m) THEN round_even(loss_m, 0)::BIGINT END AS loss,
+  value, fraction, coverage, coalesce(tag_name, tag_ref, 'route/' || m.route_id) AS name, CASE WHEN m.area_id % 7 <> 4 THEN cabled.cabled_m ELSE 0 END AS own_cabled_m, CASE WHEN m.area_id % 7 <> 4 THEN cabled.grades ELSE '' END AS own_grades
+  FROM measured m JOIN starts USING (area_id, route_id) JOIN routes USING (area_id, route_id) JOIN cabled USING (area_id, route_id) LEFT JOIN mix USING (area_id, route_id) LEFT JOIN folded ON k = m.route_id WHERE NOT m.relation_tagged),
+lined AS MATERIALIZED (SELECT *, name || ' — ' || distance_km || ' km, ' || coalesce('+' || gain || ' m / -' || loss || ' m', 'gain n/a') || ' [' || concat_ws(', ', CASE WHEN circular THEN 'loop' ELSE 'one-way' END, CASE WHEN car_access THEN 'car' END, CASE WHEN chairlift_access THEN 'lift:' || lift_type END,
+  CASE WHEN transit_access THEN 'transit:' || CASE transit_type WHEN 'halt' THEN 'train halt' ELSE 'bus stop' END END,
+  CASE WHEN round(coverage, 9) >= 0.5 THEN CASE WHEN round(fraction, 9) >= 0.4 THEN 'surface:' || value || ' ' || round_even(fraction * 100, 0)::BIGINT || '%' ELSE 'surface:mixed (' || round_even(coverage * 100, 0)::BIGINT || '% known)' END END,
+  CASE WHEN ferrata THEN concat_ws(' ', 'ferrata', nullif(own_grades, ''), CASE WHEN own_cabled_m > 0 THEN printf('%.1f', own_cabled_m / 1000) || ' km' END) END)
+  || '] (start ' || printf('%.4f,%.4f', slat, slon) || ', OSM relation ' || route_id || ')' AS line FROM described)"""
+
+
+@query(DESCRIBED + "\nSELECT area_id, route_id, line FROM lined", base=False)
 def summary_lines(spark: SparkSession, d: str) -> DataFrame:
-    return summaries(spark, d).select(*ROUTE, "line")
+    return described(spark, d)[0].select(*ROUTE, "line")
 
 
-def names(spark: SparkSession, d: str) -> DataFrame:
-    return fixture.routes(spark, d).select(*ROUTE, *elements.display_name(F.col("tags")["name"], F.col("tags")["ref"], F.col("route_id")))
+@query(DESCRIBED + """
+SELECT area_id, route_id, name, distance_km, gain::DOUBLE AS gain_m, circular, transit_access, CASE transit_type WHEN 'halt' THEN 'train halt' WHEN 'bus_stop' THEN 'bus stop' END AS transit_label, round(coverage, 3) AS coverage, value AS surface, CASE WHEN ferrata IS NOT NULL THEN round_even(own_cabled_m, 0)::BIGINT END AS cabled_m,
+  round(slat, 6) AS start_lat, round(slon, 6) AS start_lon FROM described""", base=False)
+def row_views(spark: SparkSession, d: str) -> DataFrame:
+    rows = described(spark, d)[0].select(*export.row_view())
+    return rows.select(*ROUTE, "name", "distance_km", "gain_m", "circular", "transit_access", "transit_label", F.col("surface.coverage").alias("coverage"), F.col("surface.value").alias("surface"), F.col("ferrata.length_m").alias("cabled_m"), F.round("start.lat", 6).alias("start_lat"), F.round("start.lon", 6).alias("start_lon"))
 
 
-@query()
+PARTS = """
+SELECT area_id, route_id, name, n_lines, n_points FROM (SELECT d.area_id, d.route_id, any_value(name) AS name, CASE WHEN any_value(gain) IS NOT NULL THEN 1 ELSE count(*) END AS n_lines, CASE WHEN any_value(gain) IS NOT NULL THEN any_value(n_samples) ELSE 2 * count(*) END AS n_points
+  FROM described d JOIN ways USING (area_id, route_id) JOIN (SELECT route_id, count(*) AS n_samples FROM samples GROUP BY route_id) n USING (route_id) GROUP BY ALL)"""
+
+
+@query(DESCRIBED + PARTS, base=False)
 def geojson_features(spark: SparkSession, d: str) -> DataFrame:
-    return export.geojson_features(names(spark, d), export.route_lines(fixture.vertices(spark, d)))
+    """Features read back: what each route's geometry is made of."""
+    rows, m = described(spark, d)
+    tracks = search.tracks(rows, m.line, lookup(spark, d), P)
+    text = export.geojson_features(rows.select(*ROUTE, "name", "distance_km", "gain_m"), export.route_lines(fixture.vertices(spark, d)), tracks)
+    read = F.from_json("value", "geometry struct<type string, coordinates array<array<array<double>>>>, properties struct<name string>")
+    lines = F.col("f.geometry.coordinates")
+    return text.select(*ROUTE, read.alias("f")).select(*ROUTE, F.col("f.properties.name").alias("name"), F.size(lines).cast("long").alias("n_lines"), F.size(F.flatten(lines)).cast("long").alias("n_points"))
 
 
-@query()
+@query(DESCRIBED + PARTS, base=False)
 def gpx_tracks(spark: SparkSession, d: str) -> DataFrame:
-    return export.gpx_tracks(names(spark, d), export.route_lines(fixture.vertices(spark, d)))
+    """Tracks read back, likewise."""
+    rows, m = described(spark, d)
+    text = export.gpx_tracks(rows, export.route_lines(fixture.vertices(spark, d)), search.tracks(rows, m.line, lookup(spark, d), P))
+    n = lambda tag: F.regexp_count("trk", F.lit(tag)).cast("long")
+    return text.select(*ROUTE, F.regexp_extract("trk", "<trk><name>(.*?)</name>", 1).alias("name"), n("<trkseg>").alias("n_lines"), n("<trkpt ").alias("n_points"))
+
+
+@query("SELECT area_id, feature_id, coalesce(name, CASE kind WHEN 'church' THEN 'place of worship' WHEN 'ruins' THEN 'ruin' WHEN 'tree' THEN 'named tree' ELSE kind END) AS shown, kind FROM pois WHERE kind IS NOT NULL")
+def gpx_waypoints(spark: SparkSession, d: str) -> DataFrame:
+    text = export.gpx_waypoints(pois(spark, d))
+    return text.select("area_id", "feature_id", F.regexp_extract("value", "<name>(.*?)</name>", 1).alias("shown"), F.regexp_extract("value", "<type>(.*?)</type>", 1).alias("kind"))
+
 
+@query("SELECT area_id, feature_id, kind, name, round(lat, 6) AS lat, round(lon, 6) AS lon FROM pois WHERE kind IS NOT NULL")
+def point_features(spark: SparkSession, d: str) -> DataFrame:
+    f = F.from_json("value", "geometry struct<coordinates array<double>>, properties struct<kind string, name string>")
+    text = export.point_features(pois(spark, d)).select("area_id", "feature_id", f.alias("f"))
+    return text.select("area_id", "feature_id", "f.properties.kind", "f.properties.name", F.round(F.get("f.geometry.coordinates", F.lit(1)), 6).alias("lat"), F.round(F.get("f.geometry.coordinates", F.lit(0)), 6).alias("lon"))
 
-def broken_vertices(spark: SparkSession, d: str) -> DataFrame:
-    """The fixture's ways as a map has them: some turned round, some missing, in no order."""
-    rows = fixture.steps(spark, d).where("l_quantity <= 48").select(*ROUTE, "way_idx", (F.col("l_suppkey") % 3 == 0).alias("turned"))
+
+def broken_vertices(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """The fixture's ways as a map has them: some turned round; and, but for whole, some missing, in no order."""
+    rows = fixture.steps(spark, d).where(F.lit(whole) | (F.col("l_quantity") <= 48)).select(*ROUTE, "way_idx", (F.col("l_suppkey") % 3 == 0).alias("turned"))
     v = fixture.vertices(spark, d).join(rows, [*ROUTE, "way_idx"])
-    return v.withColumn("vtx_idx", F.when(F.col("turned"), 1 - F.col("vtx_idx")).otherwise(F.col("vtx_idx"))).withColumn("way_idx", F.xxhash64("route_id", "way_idx")).drop("turned")
+    v = v.withColumn("vtx_idx", F.when(F.col("turned"), 1 - F.col("vtx_idx")).otherwise(F.col("vtx_idx"))).drop("turned")
+    return v if whole else v.withColumn("way_idx", F.xxhash64("route_id", "way_idx"))
 
 
 @query()
@@ -542,91 +655,51 @@ def stitch_lines(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def faithful_lines(spark: SparkSession, d: str) -> DataFrame:
     broken = broken_vertices(spark, d)
-    return stitch.faithful(broken, stitch.stitch(broken))
-
-
-# graph
-
-EDGES = """edges AS MATERIALIZED (SELECT area_id, least((i1, j1), (i2, j2)) AS a, greatest((i1, j1), (i2, j2)) AS b, count(DISTINCT route_id) AS n_refs, arg_min(seg_m, (route_id, way_idx)) AS length_m FROM ways GROUP BY ALL)"""
+    return stitch.faithful(geometry.route_lengths(geometry.segments(broken)), stitch.stitch(broken))
 
 
-def trails(spark: SparkSession, d: str) -> DataFrame:
-    return modes.network(fixture.vertices(spark, d), fixture.ways(spark, d))
+@query(SHAPE + "\nSELECT area_id, route_id, round(length_m, 3) AS length_m, rank, round(gap_m, 3) AS gap_m, circular FROM shape WHERE rank = 0")
+def shapes_of_turned_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Of routes that pass no place twice: ways that are turned round give the same shape as ways that are not."""
+    v = cut(broken_vertices(spark, d, whole=True))
+    return measure.shapes(fixture.routes(spark, d), v, stitch.stitch(v), P).where("rank = 0").select(*ROUTE, r3("length_m"), "rank", r3("gap_m"), "circular")
 
 
-@query(EDGES + "\nSELECT area_id, round(50 + a[1] * 2e-3, 6) AS lat1, round(15 + a[2] * 3e-3 + area_id * 2e-1, 6) AS lon1, round(50 + b[1] * 2e-3, 6) AS lat2, round(15 + b[2] * 3e-3 + area_id * 2e-1, 6) AS lon2, n_refs, round(length_m, 3) AS length_m FROM edges")
-def micro_edges(spark: SparkSession, d: str) -> DataFrame:
-    at = lambda c, n: F.round(c, 6).alias(n)
-    return trails(spark, d).select("area_id", at("pa.lat", "lat1"), at("pa.lon", "lon1"), at("pb.lat", "lat2"), at("pb.lon", "lon2"), F.size("refs").cast("long").alias("n_refs"), r3("length_m"))
+@query(ACCESS + PARKED + "\nSELECT area_id, route_id, round(car_distance_m, 3) AS car_distance_m, car_access FROM parked JOIN shape USING (area_id, route_id) WHERE rank = 0")
+def car_access_of_turned_ways(spark: SparkSession, d: str) -> DataFrame:
+    v = cut(broken_vertices(spark, d, whole=True))
+    line = cut(stitch.stitch(v))
+    points = measure.access_points(cut(measure.shapes(fixture.routes(spark, d), v, line, P).where("rank = 0")), line, geometry.termini(geometry.welded(geometry.segments(v))))
+    points = points.join(measure.circuit_ranks(geometry.welded(geometry.segments(v))).where("rank = 0"), ROUTE, "left_semi")
+    return measure.car_access(points, fixture.parking(spark, d), P).select(*ROUTE, r3("car_distance_m"), "car_access")
 
 
-CHAINS = EDGES + """,
-tip AS (SELECT area_id, a AS node, (a, b) AS e FROM edges UNION ALL SELECT area_id, b, (a, b) FROM edges),
-thru AS (SELECT area_id, min(e) AS e1, max(e) AS e2 FROM tip GROUP BY area_id, node HAVING count(*) = 2),
-adj AS (SELECT area_id, e1, e2 FROM thru UNION SELECT area_id, e2, e1 FROM thru),
-reach AS (SELECT area_id, e1 AS e, e1 AS f FROM adj UNION SELECT r.area_id, r.e, a.e2 FROM reach r JOIN adj a ON a.area_id = r.area_id AND a.e1 = r.f),
-lab AS (SELECT area_id, e, min(f) AS seg FROM reach GROUP BY ALL)"""
+# stores, elevations and names as they were recorded
 
 
-@query((fixture.SQL + ",\n" + CHAINS).replace("WITH ln", "WITH RECURSIVE ln", 1) + "\nSELECT area_id, n_edges, length_m, count(*) AS n FROM (SELECT e.area_id, count(*) AS n_edges, round(sum(length_m), 3) AS length_m FROM edges e LEFT JOIN lab l ON l.area_id = e.area_id AND l.e = (e.a, e.b) GROUP BY e.area_id, coalesce(l.seg, (e.a, e.b))) GROUP BY ALL", base=False)
-def trail_segments(spark: SparkSession, d: str) -> DataFrame:
-    return graph.segments_of(graph.contract(trails(spark, d))).select("area_id", "n_edges", r3("length_m")).groupBy("area_id", "n_edges", "length_m").agg(F.count("*").alias("n"))
-
-
-@query()
-def two_core(spark: SparkSession, d: str) -> DataFrame:
-    return graph.two_core(graph.segments_of(graph.contract(trails(spark, d)))).select("area_id", graph.column_of("a").alias("a"), graph.column_of("b").alias("b"), "n_edges", r3("length_m"))
+@query(KEYS + "\nSELECT lat_key, lon_key, round(CASE WHEN (lat_key + lon_key) % 3 = 0 THEN 7e0 ELSE 5e0 END, 3) AS elev FROM keys")
+def fill_added(spark: SparkSession, d: str) -> DataFrame:
+    """A store with what was looked up: what it held stays."""
+    places = elevation.missing_points(samples(spark, d), spark.createDataFrame([], "lat_key long, lon_key long, elev double"))
+    held = places.where((F.col("lat_key") + F.col("lon_key")) % 3 == 0).withColumn("elev", F.lit(7.0))
+    return elevation.added(held, places.withColumn("elev", F.lit(5.0))).select("lat_key", "lon_key", r3("elev"))
 
 
-BAND = (800.0, 1400.0)
-CYCLES = EDGES + f""",
-inc AS MATERIALIZED (SELECT area_id, a AS n, b AS o, length_m FROM edges UNION ALL SELECT area_id, b, a, length_m FROM edges),
-path AS (SELECT area_id, n AS start, o AS cur, [n, o] AS nodes, length_m AS m FROM inc WHERE o > n
-  UNION ALL SELECT p.area_id, p.start, i.o, list_append(p.nodes, i.o), p.m + i.length_m FROM path p JOIN inc i ON i.area_id = p.area_id AND i.n = p.cur WHERE p.cur <> p.start AND i.o >= p.start AND p.m + i.length_m <= {BAND[1]} AND (i.o = p.start AND len(p.nodes) > 2 OR NOT list_contains(p.nodes, i.o))),
-cycles AS (SELECT area_id, start, m FROM path WHERE cur = start AND m >= {BAND[0]} AND nodes[2] < nodes[-2])"""
+@query("SELECT p.area_id, p.feature_id, CASE WHEN p.feature_id % 4 < 2 AND p.feature_id % 5 <> 0 THEN 'P' || p.feature_id END AS place FROM parking p")
+def stored_places(spark: SparkSession, d: str) -> DataFrame:
+    """Names from a store: old ones and blanks say nothing."""
+    points = fixture.parking(spark, d).withColumn("lat_key", coordinate_key(F.col("lat"))).withColumn("lon_key", coordinate_key(F.col("lon")))
+    key, now = F.col("feature_id"), F.to_timestamp(F.lit("2024-06-01"))
+    kept = points.select("lat_key", "lon_key", F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("P"), key)).alias("place"), F.when(key % 4 < 2, F.to_timestamp(F.lit("2024-01-01"))).otherwise(F.to_timestamp(F.lit("2022-01-01"))).alias("fetched_at"))
+    kept = kept.groupBy("lat_key", "lon_key").agg(F.first("place").alias("place"), F.first("fetched_at").alias("fetched_at"))
+    return inventory.stored_place(points, kept, now, P.place_ttl_days).select("area_id", "feature_id", "place")
 
 
-@query((fixture.SQL + ",\n" + CYCLES).replace("WITH ln", "WITH RECURSIVE ln", 1) + "\nSELECT area_id, round(m, 1) AS length_m, count(*) AS n FROM cycles GROUP BY ALL", base=False)
-def loops_in_band(spark: SparkSession, d: str) -> DataFrame:
-    segments = graph.segments_of(graph.contract(trails(spark, d)))
-    return graph.loops(segments, *BAND, P.compose_max_segments).groupBy("area_id", F.round("length_m", 1).alias("length_m")).agg(F.count("*").alias("n"))
+@query("SELECT area_id, route_id, round(min(lat) - 250 / 111320e0, 6) AS south, round(max(lat) + 250 / 111320e0, 6) AS north FROM (SELECT area_id, route_id, unnest([lat1, lat2]) AS lat FROM ways) GROUP BY ALL")
+def padded_boxes(spark: SparkSession, d: str) -> DataFrame:
+    bounds = fixture.vertices(spark, d).groupBy(*ROUTE).agg(*(f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))))
+    south, north, _, _ = box((F.col("lo_lat"), F.col("hi_lat")), (F.col("lo_lon"), F.col("hi_lon")), P.poi_radius_m)
+    return bounds.select(*ROUTE, F.round(south, 6).alias("south"), F.round(north, 6).alias("north"))
 
 
-@query()
-def compose_loops(spark: SparkSession, d: str) -> DataFrame:
-    """The roundest distinct loops of each area."""
-    return modes.compose_loops(trails(spark, d), *BAND, P).select("area_id", "place", F.size("segs").alias("n_segments"), r3("length_m"), F.round("compactness", 6).alias("compactness"))
-
-
-def walkers(spark: SparkSession, d: str) -> DataFrame:
-    """One request a parking place."""
-    return fixture.parking(spark, d).select("area_id", F.col("feature_id").alias("point_id"), "lat", "lon")
-
-
-@query(EDGES.replace("edges AS", "edges0 AS") + f""",
-edges AS (SELECT area_id, a, b, 50 + a[1] * 2e-3 AS lat1, 15 + a[2] * 3e-3 + area_id * 2e-1 AS lon1, 50 + b[1] * 2e-3 AS lat2, 15 + b[2] * 3e-3 + area_id * 2e-1 AS lon2 FROM edges0)
-SELECT area_id, feature_id AS point_id, round(min(d), 3) AS d FROM (SELECT p.area_id, p.feature_id, {to_line_sql('p.lat', 'p.lon')} AS d FROM parking p JOIN edges ON edges.area_id = p.area_id) WHERE d <= 2000 GROUP BY ALL""")
-def snap_points(spark: SparkSession, d: str) -> DataFrame:
-    return graph.snap(walkers(spark, d), trails(spark, d), P.routes_max_snap_km * 1000).select("area_id", "point_id", r3("d"))
-
-
-@query(f"""near AS (SELECT s.area_id, s.feature_id AS point_id, p.feature_id, {hav_sql("s.lat", "s.lon", "p.lat", "p.lon")} AS d FROM parking s JOIN pois p ON p.area_id = s.area_id AND p.kind = 'ruins'),
-placed AS (SELECT *, row_number() OVER (PARTITION BY area_id, point_id ORDER BY d, feature_id) AS place FROM near WHERE d <= 3000)
-SELECT area_id, point_id, feature_id, round(d, 3) AS d, place, round((SELECT q.d FROM placed q WHERE q.area_id = p.area_id AND q.point_id = p.point_id AND q.place = 13), 3) AS bound FROM placed p WHERE place <= 12""")
-def poi_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return graph.candidates(walkers(spark, d), pois(spark, d), ["ruins"], P.poi_search_radius_m, 3).select("area_id", "point_id", "feature_id", r3("d"), "place", r3("bound"))
-
-
-@query()
-def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Way length from each parking place to every junction within 2 km."""
-    edges = trails(spark, d)
-    starts = graph.start_nodes(graph.snap(walkers(spark, d), edges, P.routes_max_snap_km * 1000))
-    return graph.distances(starts, edges, 2000.0).select("area_id", "request_id", graph.column_of("node").alias("node"), r3("m"))
-
-
-@query()
-def routes_to_poi(spark: SparkSession, d: str) -> DataFrame:
-    """The three ruins nearest on foot from each parking place."""
-    out = modes.routes_to_poi(trails(spark, d), walkers(spark, d), pois(spark, d), ["ruins"], 3, 4000.0, P)
-    return out.select("area_id", "point_id", "feature_id", "place", r3("m"), r3("d"), "certain")
+from . import network_queries  # noqa: E402, F401

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.classify import lift_kind, poi_kind, relation_is_ferrata, transit_kind
+from ..plans.search import Tables
+from .elements import display_name
+
 LAT0, LON0, LAT_STEP, LON_STEP, AREA_STEP = 50, 15, 2e-3, 3e-3, 2e-1
 
 
@@ -69,6 +73,23 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("area_id", key.alias("route_id"), key.alias("seq"), F.map_from_entries(F.array_compact(pairs)).alias("tags"))
 
 
+def search_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """All of the above as search takes it. Some areas never recorded stops (area_id % 5 = 3), way tags (% 7 = 4), cabled objects
+    (% 6 = 1) or kinds of objects (% 8 = 2); the others recorded castle, peak and ruins, or peak and ruins alone (% 3 = 0)."""
+    area, tags = F.col("n_nationkey"), F.col("tags")
+    west = F.lit(LON0) + area * AREA_STEP
+    kinds = F.when(area % 8 != 2, F.when(area % 3 == 0, F.array(F.lit("peak"), F.lit("ruins"))).otherwise(F.array(F.lit("castle"), F.lit("peak"), F.lit("ruins"))))
+    areas = table(spark, sf_dir, "nation").select(
+        area.alias("area_id"), F.lit(49.9).alias("south"), (west - 0.1).alias("west"), F.lit(50.1).alias("north"), (west + 0.1).alias("east"),
+        (area % 5 != 3).alias("transit_recorded"), (area % 7 != 4).alias("way_tags_recorded"), (area % 6 != 1).alias("ferrata_recorded"), kinds.alias("poi_kinds"),
+    )
+    named = routes(spark, sf_dir).select("area_id", "route_id", "seq", *display_name(tags["name"], tags["ref"], F.col("route_id")), tags["ref"].alias("ref"), "tags", relation_is_ferrata(tags).alias("is_ferrata"))
+    of_kind = lambda df, kind: df.withColumn("kind", kind(tags)).where(F.col("kind").isNotNull())
+    objects = of_kind(pois(spark, sf_dir).withColumn("name", tags["name"]), poi_kind)
+    at_stops = stops(spark, sf_dir)
+    return Tables(areas, named, ways(spark, sf_dir), vertices(spark, sf_dir), parking(spark, sf_dir), of_kind(at_stops, lift_kind), of_kind(at_stops, transit_kind), objects)
+
+
 def _place(key: Column, m: int, n: int, area: Column) -> tuple[Column, Column]:
     return (F.lit(LAT0) + ((key * m) % 240) / 10000.0).alias("lat"), (F.lit(LON0) + area * AREA_STEP + ((key * n) % 360) / 10000.0).alias("lon")
 
@@ -135,7 +156,7 @@ routes AS (SELECT c_nationkey AS area_id, o_orderkey AS route_id, CASE WHEN o_or
   CASE WHEN o_orderkey % 11 = 0 THEN CASE o_orderstatus WHEN 'F' THEN 'yes' WHEN 'O' THEN 'no' ELSE 'maybe' END END AS roundtrip, o_orderkey % 97 = 0 AS rel_ferrata FROM orders JOIN customer ON o_custkey = c_custkey),
 parking AS (SELECT s_nationkey AS area_id, s_suppkey AS feature_id, s_name AS name, 50 + ((s_suppkey * 37) % 240) / 1e4 AS lat, 15 + s_nationkey * 2e-1 + ((s_suppkey * 53) % 360) / 1e4 AS lon FROM supplier),
 part_tags AS (SELECT (p_partkey % 25)::INTEGER AS area_id, p_partkey AS feature_id, split_part(p_type, ' ', 1) AS word, p_size, p_name, 50 + ((p_partkey * 71) % 240) / 1e4 AS lat, 15 + (p_partkey % 25) * 2e-1 + ((p_partkey * 89) % 360) / 1e4 AS lon FROM part),
-pois AS (SELECT *, CASE WHEN word LIKE 'STANDARD%' THEN 'church' WHEN word LIKE 'ECONOMY%' THEN 'ruins' WHEN word LIKE 'PROMO%' THEN 'peak' WHEN word LIKE 'SMALL%' AND p_size % 3 <> 0 THEN 'tower' WHEN word LIKE 'LARGE%' AND p_size % 2 = 0 AND p_name <> '' THEN 'tree' WHEN word LIKE 'MEDIUM%' AND p_size % 4 <> 0 THEN 'shelter' END AS kind, CASE WHEN word NOT LIKE 'LARGE%' OR p_size % 2 = 0 THEN p_name END AS name FROM part_tags),
+pois AS (SELECT *, CASE WHEN word LIKE 'STANDARD%' THEN 'church' WHEN word LIKE 'ECONOMY%' THEN 'ruins' WHEN word LIKE 'PROMO%' THEN 'peak' WHEN word LIKE 'SMALL%' AND p_size % 3 <> 0 THEN 'tower' WHEN word LIKE 'LARGE%' AND p_size % 2 = 0 THEN 'tree' WHEN word LIKE 'MEDIUM%' AND p_size % 4 <> 0 THEN 'shelter' END AS kind, CASE WHEN word NOT LIKE 'LARGE%' OR p_size % 2 = 0 THEN p_name END AS name FROM part_tags),
 stops AS (SELECT c_nationkey AS area_id, c_custkey AS feature_id, c_name AS name, CASE WHEN c_mktsegment = 'HOUSEHOLD' AND c_custkey % 8 = 0 THEN 'bus_stop' WHEN c_mktsegment = 'MACHINERY' AND c_custkey % 20 = 0 THEN 'halt' WHEN c_mktsegment = 'FURNITURE' AND c_custkey % 8 = 0 THEN 'chair_lift' WHEN c_mktsegment = 'FURNITURE' AND c_custkey % 8 = 1 THEN 'drag_lift' END AS kind,
   50 + ((c_custkey * 41) % 240) / 1e4 AS lat, 15 + c_nationkey * 2e-1 + ((c_custkey * 67) % 360) / 1e4 AS lon FROM customer),
 bounds AS (SELECT min(least(i1, i2, j1, j2)) * 4 - 1 AS lo, max(greatest(i1, i2, j1, j2)) * 4 + 1 AS hi FROM ways),

@@ -17,6 +17,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_ranks() -> str:
+    """A public vocabulary in the order of its ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest": lambda spark, d: ann.report(table(spark, d, "embeddings")),
@@ -24,7 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": lambda spark, d: decontam.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op4_line_dedup": lambda spark, d: linededup.report(table(spark, d, "documents")),
         "op5_toxicity": lambda spark, d: toxicity.report(table(spark, d, "documents"), table(spark, d, "labels")),
-        "op6_secret_scan": lambda spark, d: secrets.report(table(spark, d, "documents")),
+        "op6_secret_scan": lambda spark, d: secrets.report(table(spark, d, "documents"), word_ranks()),
         "op7_ngram_jaccard_join": lambda spark, d: ngramjoin.report(table(spark, d, "documents")),
         "op8_sentencepiece": lambda spark, d: pieces.digests(table(spark, d, "documents"), piece_model()),
         "op9_html_text": lambda spark, d: htmltext.extract(table(spark, d, "pages")),

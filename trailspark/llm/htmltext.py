@@ -1,15 +1,17 @@
 """Main text of web pages by composite text density.
 
 Every node of a page's tree has a link-adjusted density of characters per tag; a node's density sum is the sum of its
-children's densities. The subtree of the greatest sum is the article; the least density on the path from it to the body
-is the threshold by which further subtrees outside it join. Elements that are never article text (menus, forms, adverts
-and the like) leave the tree before anything is counted.
+children's densities. The subtree of the greatest sum is the article, with the article or main element around it if there is one;
+the least density on the path from it to the body is the threshold by which further subtrees outside it join. Elements that never
+are article text (scripts, menus, footers, forms and the like) leave the tree before anything is counted, and so do those that a
+whole class token, id or role names as such, unless they hold the page's text; other names only bar what stands outside the article.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -18,7 +20,7 @@ from .common import mapped, picked
 
 #: HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg canvas object audio video dialog menu title".split())
+SKIP = frozenset("head script style noscript template nav footer aside button select textarea iframe svg canvas object audio video dialog menu title".split())
 BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header address details summary hr fieldset center hgroup".split()
 )
@@ -30,29 +32,55 @@ CLOSES = {
     "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
 SCOPE = frozenset("body article main section div td th li blockquote table button figure details".split())
-#: Words of class, id and role names that mark what isn't the article.
-ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|sidebar|side-?bar|side|nav(?:bar|igation)?|menu|breadcrumbs?|footer|foot|masthead|site-?header|page-?header|topbar|top-?bar|toolbar|"
-    r"cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|subscribe|subscription|newsletter|signup|sign-?up|login|social|share|sharing|follow|related|recommended|recommendations|read-?more|more-?from|widgets?|"
-    r"comments?|comment-?list|commentlist|disqus|replies|reply|respond|discussion|feedback|pagination|pager|pagenav|skip-?links?|tags|tag-?list|author-?bio|copyright|legal|disclaimer|search|contentinfo|complementary)(?=$|[\s_-])",
-    re.I,
+#: Parts of a class token, id or role that say what isn't the article; of a token that begins with one of NEGATING they say nothing.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promos promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead toolbar topbar cookie cookies "
+    "consent gdpr notice notices notification notifications popup modal overlay newsletter signup login comment comments commentlist disqus replies respond pagination pager pagenav skiplink".split()
 )
-ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
+NEGATING = frozenset("has no with without is not non hide show follow".split())
+#: Whole tokens that bar a subtree outside the article.
+WEAK = frozenset("related recommended recommendations share sharing social subscribe search tags widget copyright legal disclaimer alert feedback discussion reply teaser teasers header contentinfo complementary".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
+#: A named element is no longer barred if it holds this share of the page's text; subtrees outside an article or main element need this
+#: many times the threshold.
+WHOLE, OUTSIDE = 0.9, 2.0
+#: How sure it is that a node isn't the article.
+OPEN, BARRED_OUTSIDE, NAMED, NEVER = range(4)
+
+
+def named(attrs: dict) -> int:
+    """What an element's attributes say."""
+    style = (attrs.get("style") or "").replace(" ", "").lower()
+    if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in style or (attrs.get("role") or "").lower() in ROLES:
+        return NAMED
+    tokens = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()
+    found = OPEN
+    for token in tokens:
+        parts = [x.lower() for x in PART.findall(token)]
+        if parts and parts[0] not in NEGATING and not NAMES.isdisjoint(parts):
+            return NAMED
+        if token.lower() in WEAK:
+            found = BARRED_OUTSIDE
+    return found
+
+
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_a-zA-Z]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "drop", "chars", "link_chars", "tags", "links", "density", "total")
+    __slots__ = ("name", "parent", "parts", "kind", "drop", "chars", "link_chars", "tags", "links", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool = False):
-        self.name, self.parent, self.parts, self.drop = name, parent, [], drop
+    def __init__(self, name: str, parent: Node | None, kind: int = OPEN):
+        self.name, self.parent, self.parts, self.kind, self.drop = name, parent, [], kind, kind == NEVER
 
 
 class Tree(HTMLParser):
-    """A page's tree; what never is article text is marked `drop`."""
+    """A page's tree; what never is article text is marked."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
+        self.open: Counter[str] = Counter()  # open elements by name
 
     def handle_starttag(self, name: str, attrs: list) -> None:
         if name in ("html", "body"):
@@ -64,51 +92,42 @@ class Tree(HTMLParser):
             return
         if name in BLOCK:
             self.leave({"p"}, SCOPE)
-            if name in HEADINGS and self.at.name in HEADINGS:
-                self.at = self.at.parent
-            if self.at.name == "head":
-                self.at = self.at.parent
+            if (name in HEADINGS and self.at.name in HEADINGS) or self.at.name == "head":
+                self.close_element(self.at)
         if name in CLOSES:
             self.leave(*CLOSES[name])
-        drop = name in SKIP
-        if not drop and attrs:
-            drop = self.is_aside(name, dict(attrs))
-        if name == "header" and not drop:
-            drop = not self.inside(("article", "main"))
-        node = Node(name, self.at, drop)
+        kind = NEVER if name in SKIP else NAMED if name == "form" else OPEN
+        if kind == OPEN and attrs:
+            kind = named(dict(attrs))
+            if kind == NAMED and (name in ("article", "main") or name in HEADINGS) and "comment" not in str(dict(attrs).get("class")):
+                kind = OPEN
+        if name == "header" and not (self.open["article"] or self.open["main"]):
+            kind = NEVER
+        node = Node(name, self.at, kind)
         self.at.parts.append(node)
+        self.open[name] += 1
         self.at = node
 
-    @staticmethod
-    def is_aside(name: str, attrs: dict) -> bool:
-        if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-            return True
-        if (attrs.get("role") or "").lower() in ASIDE_ROLES:
-            return True
-        if name in ("article", "main", "body") or name in HEADINGS:
-            return False
-        return any(v and ASIDE.search(v) for v in (attrs.get("class"), attrs.get("id")))
-
     def handle_startendtag(self, name: str, attrs: list) -> None:
         self.handle_starttag(name, attrs)  # a slash is ignored, as browsers do
 
-    def inside(self, names: tuple) -> bool:
-        node = self.at
-        while node is not None:
-            if node.name in names:
-                return True
-            node = node.parent
-        return False
+    def close_element(self, node: Node) -> None:
+        """Closes a node and all that is open in it."""
+        while self.at is not node.parent:
+            self.open[self.at.name] -= 1
+            self.at = self.at.parent
 
     def leave(self, names: set, stop: frozenset | set) -> None:
         """Closes the outermost open element of names that stands below the nearest of stop."""
+        if not any(self.open[x] for x in names):
+            return
         node, found = self.at, None
         while node.parent is not None and node.name not in stop - names:
             if node.name in names:
                 found = node
             node = node.parent
         if found is not None:
-            self.at = found.parent
+            self.close_element(found)
 
     def handle_endtag(self, name: str) -> None:
         if name in ("html", "body"):
@@ -117,9 +136,9 @@ class Tree(HTMLParser):
             self.at.parts.append(" ")
             return
         node = self.at
-        while node.parent is not None:
+        while node.parent is not None and self.open[name]:
             if node.name == name:
-                self.at = node.parent
+                self.close_element(node)
                 return
             if name not in BLOCK and name not in SKIP and node.name in BLOCK:
                 return  # an inline end tag doesn't close a block
@@ -139,42 +158,76 @@ def bottom_up(root: Node) -> list[Node]:
     return order[::-1]
 
 
-def measure(root: Node) -> list[Node]:
+def kids_of(node: Node) -> list[Node]:
+    return [x for x in node.parts if isinstance(x, Node) and not x.drop]
+
+
+def sized(root: Node) -> list[Node]:
+    """Characters and tags of every kept node, of all and of links alone."""
     order = bottom_up(root)
     for node in order:
-        kids = [x for x in node.parts if isinstance(x, Node) and not x.drop]
+        kids = kids_of(node)
         node.chars = sum(len(" ".join(x.split())) for x in node.parts if isinstance(x, str)) + sum(x.chars for x in kids)
         node.tags = sum(1 + x.tags for x in kids)
         node.links = sum((x.name == "a") + x.links for x in kids)
         node.link_chars = node.chars if node.name == "a" else sum(x.link_chars for x in kids)
-        if node.name in ("ul", "ol", "div", "section", "table", "dl") and node.links >= 2 and node.link_chars > 0.6 * node.chars:
-            node.drop = True  # a list of links
-            node.chars = node.tags = node.links = node.link_chars = 0
+    return order
+
+
+def density(node: Node, base: float) -> float:
+    """Characters per tag; link text among much other text, and links among many tags, take little from it. base: the page's share of link text."""
+    if not node.chars:
+        return 0.0
+    tags, link_chars, links, other = max(1, node.tags), max(1, node.link_chars), max(1, node.links), max(1, node.chars - node.link_chars)
+    return node.chars / tags * max(0.0, math.log(max(1.0001, node.chars / link_chars * tags / links), math.log(node.chars / other * link_chars + base * node.chars + math.e)))
+
+
+def measure(root: Node) -> list[Node]:
+    """Kept nodes, children before parents, with density and total. Named elements leave the tree unless they hold its text;
+    barred ones leave it if they are made of links, and count for nothing in the total of what is around them."""
+    order = sized(root)
+    for node in order:
+        if node.kind == NAMED:
+            node.drop = node.chars < WHOLE * root.chars
+        elif node.kind == BARRED_OUTSIDE:
+            node.drop = node.link_chars > 0.5 * node.chars  # of links, wherever it stands
+    order = sized(root)
     base = root.link_chars / max(1, root.chars)
     for node in order:
-        c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.links)
-        node.density = 0.0
-        if c:
-            other = max(1, c - node.link_chars)
-            node.density = c / t * max(0.0, math.log(max(1.0001, c / lc * t / lt), math.log(c / other * lc + base * c + math.e)))
-        node.total = sum(x.density for x in node.parts if isinstance(x, Node) and not x.drop)
+        node.density = density(node, base)
+        node.total = sum(x.density for x in kids_of(node) if x.kind == OPEN)
     return order
 
 
 def chosen(root: Node) -> set[int]:
     """The ids of the nodes whose whole subtrees are the article."""
-    order = [x for x in measure(root) if not x.drop and (x.name in BLOCK)]
+    order = [x for x in measure(root) if x.name in BLOCK]
     best = max(order[::-1], key=lambda x: x.total, default=root)
     if not best.total:
         return {id(root)}
-    path, node = [], best
-    while node is not None:
-        path.append(node)
-        node = node.parent
-    if marked := [x for x in path if x.name in ("article", "main")]:
-        return {id(marked[-1])}
-    threshold = min((x.density for x in path), default=0.0)
-    return {id(best)} | {id(x) for x in order if x is not root and x not in path and x.density >= threshold and x.link_chars <= 0.3 * x.chars}
+
+    def up(node: Node | None) -> list[Node]:
+        found = []
+        while node is not None:
+            found.append(node)
+            node = node.parent
+        return found
+
+    around = [x for x in up(best) if x.name == "article"] or [x for x in up(best) if x.name == "main"]
+    best = around[-1] if around else best
+    path = up(best)
+    threshold, on_path = min(x.density for x in path), {id(x) for x in path}
+    least = lambda x: threshold * (OUTSIDE if around and x.name not in ("article", "main") else 1.0)
+    keep, todo = {id(best)}, [root]
+    while todo:
+        for x in kids_of(todo.pop()):
+            if id(x) in on_path:
+                todo += [x] if x is not best else []
+            elif x.name in BLOCK and x.kind == OPEN and x.density >= least(x) and x.link_chars <= 0.3 * x.chars:
+                keep.add(id(x))
+            elif x.kind == OPEN:
+                todo.append(x)
+    return keep
 
 
 def blocks(root: Node) -> list[str]:

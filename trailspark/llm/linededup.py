@@ -40,7 +40,8 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     spread = cut(spread.where(F.col("n") >= min_sites).where(F.col("sites") >= min_sites * (1 - NEAR) - 1))
     near = F.abs(F.col("sites") - min_sites) <= min_sites * NEAR + 1
     exact = lines.join(spread.where(near).select("h1", "h2"), ["h1", "h2"]).where(F.col("site").isNotNull()).select("h1", "h2", "site").distinct().groupBy("h1", "h2").count().where(F.col("count") >= min_sites).select("h1", "h2")
-    return spread.where(~near).select("h1", "h2", "first").unionByName(spread.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
+    # written: where it is small, lines meet it without a shuffle, else the planner splits the hot ones
+    return cut(spread.where(~near).select("h1", "h2", "first").unionByName(spread.join(exact, ["h1", "h2"]).select("h1", "h2", "first")))
 
 
 def marked(docs: DataFrame, min_sites: int, min_words: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
@@ -58,7 +59,8 @@ def cleaned(gone: str = "gone") -> Column:
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """doc_id, text without boilerplate lines, n_removed. The first place of a line (smallest doc_id, null ids first, then
-    position) keeps it; rows repeated whole share their places. Null texts stay null; empty tables give empty ones."""
+    position) keeps it; rows repeated whole share their places. Texts of any length are read whole; null texts stay null; empty tables give empty ones; other
+    columns are left out."""
     own = picked(docs, doc_id=id_col, text=text_col).withColumn("row", F.xxhash64("doc_id", "text"))
     return own.join(marked(docs, min_sites, min_words, id_col, text_col, site_col), "row", "left").select("doc_id", cleaned().alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 

@@ -4,14 +4,17 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import defaultdict
+from itertools import product
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trailspark.llm import ann, decontam, htmltext, licenses, linededup, ngramjoin, pieces, quality, secrets, toxicity
-from trailspark.llm.entry import oracle_sql, piece_model, queries
+from trailspark.llm.entry import oracle_sql, piece_model, queries, word_ranks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -137,6 +140,49 @@ def test_license_rules_take_the_longest_sequence(spark):
     assert out[1].sentence_ids == ["ApacheLine", "ApacheMayNot", "ApacheCopy"]
 
 
+def wrapped(text, lead="", end="\n"):
+    return end.join(lead + line for line in textwrap.wrap(text, 72))
+
+
+MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+)
+APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+)
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+)
+
+
+def test_wrapped_and_commented_licences_are_found_and_sql_agrees(spark):
+    cases = {}
+    for name, parts in (("MIT", MIT), ("Apache-2.0", APACHE), ("BSD-3-Clause", BSD), ("GPL-3.0-or-later", GPL)):
+        for lead, end in (("", "\n"), (" * ", "\n"), ("# ", "\r\n"), ("// ", "\n"), ("  ", "\n")):
+            cases[(end + lead.rstrip() + end).join(wrapped(x, lead, end) for x in parts)] = name
+    cases |= {
+        "MIT License\nCopyright (c) 2020 X\nText": "MIT", "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier:BSD-2-Clause": "BSD-2-Clause", "This project is released under the MIT License and may be reused.": "MIT",
+        "All  rights\treserved": "Proprietary", "released into the public\tdomain.": "Public-Domain", "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0.": "MPL-2.0", "It is available under the ISC license, as is that.": "ISC",
+        "This is free and unencumbered software released into the public domain.": "Unlicense", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "CC0 1.0 Universal\n\nText": "CC0-1.0", "is licensed under the GNU Lesser General Public License here": "LGPL",
+        "mitten license under the sun": "", "": "", "We warrant nothing": "",
+    }
+    texts = list(cases)
+    got = licenses.report(docs(spark, [*texts, None])).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [*cases.values(), ""]
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", list(enumerate([*texts, None])))
+    assert sorted(c.sql(licenses.report_sql()).fetchall()) == [(r.doc_id, r.n_sentences, r.sentence_ids, r.licenses) for r in got]
+
+
 def test_license_scan_is_native(spark):
     plan = licenses.report(docs(spark, ["x"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
@@ -175,6 +221,8 @@ def test_exact_and_edited_copies_of_items_are_found(spark):
     want = {(i, k): s for i, t in enumerate(own) for k, x in enumerate(test) if (s := slow_alignment(x.tolist(), t.tolist()) / (2 * len(x))) >= 0.5}
     assert got == want and set(want) == {(40, 0), (41, 1), (42, 2)}
     assert decontam.drop_leaks(d, bench).count() == 40
+    mixed = spark.createDataFrame([(1, items[0], "en", "s", 1), (1, texts[0], "en", "s", 1), (None, items[1], "en", "s", 1), (None, texts[1], "en", "s", 1)], DOCS)
+    assert sorted(r.text for r in decontam.drop_leaks(mixed, bench).collect()) == sorted(texts[:2])
 
 
 def test_copies_with_replaced_and_inserted_words_are_found(spark):
@@ -218,8 +266,45 @@ def test_disguised_words_are_restored(spark):
     plain = "idiot stupid moron worthless the and that with from this house garden window little green".split()
     cost = toxicity.lm(toxicity.lm_counts(docs(spark, [" ".join(rng.choice(plain) for _ in range(200)) for _ in range(20)])))
     for said, meant in (("1d10t", "idiot"), ("st.u.p.i.d", "stupid"), ("m0r0n!!", "moron"), ("stuuuupid", "stupid"), ("Garden,", "garden"), ("w0rthl3ss", "worthless")):
-        assert toxicity.readings(said, cost) == meant
-    assert toxicity.Words(cost, {"stupid": 0}).of(["you s t u p i d thing", "plain", None]) == [{0}, set(), set()]
+        assert meant in toxicity.readings(said, cost)
+    texts = ["you s t u p i d thing", "plain", None, "you s. t. u. p. i. d.", "a st up id man", "so stuupid", "ssttuuppiidd", "an idiiot", "the !diot", "st u p id", "is it so, as he is"]
+    assert toxicity.Words(cost, {"stupid": 0, "idiot": 1}).of(texts) == [{0}, set(), set(), {0}, {0}, {0}, {0}, {1}, {1}, {0}, set()]
+
+
+def test_decoding_is_the_best_of_all_paths(monkeypatch):
+    cost, rng = np.random.default_rng(1).uniform(0.1, 5, (28, 28, 28)), random.Random(2)
+
+    def slow(token):
+        best = None
+        for ways in product(*toxicity.lattice(token)):
+            a = b = 0
+            x, said = 0.0, ""
+            for c, channel in ways:
+                x += channel
+                if c:
+                    s = toxicity.state(c)
+                    x, a, b, said = x + cost[a, b, s], b, s, said + c
+            best = min(best or (math.inf,), (x + cost[a, b, 0], said))
+        return best[1]
+
+    for flush in (1, 3, 256):
+        monkeypatch.setattr(toxicity, "FLUSH", flush)
+        for _ in range(150):
+            token = "".join(rng.choice("ab1!0$.-cc8@") for _ in range(rng.randint(1, 8)))
+            assert toxicity.restore(token, cost) == slow(token)
+
+
+def test_scores_equal_the_logistic_model_on_each_texts_words(spark):
+    rng = random.Random(14)
+    plain = "idiot stupid moron the and that with from this house garden window little green".split()
+    texts = [" ".join(rng.choice([*plain, "1d10t", "stuupid!", "(moron)"]) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, ""]
+    cost = toxicity.lm(toxicity.lm_counts(docs(spark, texts)))
+    known = {"idiot": 0, "stup*": 1, "moron": 2, "house": 3}
+    model = toxicity.Model(cost, known, np.array([2.0, 1.5, 1.0, -1.0]), -0.5)
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, texts), model).collect()}
+    for k, text in enumerate(texts):
+        said = {x for w in (text or "").split() for r in [*toxicity.readings(w, cost), *toxicity.edge_readings(w, cost)] for x in toxicity.features(r)}
+        assert math.isclose(got[k], 1 / (1 + math.exp(0.5 - sum(model.weights[i] for f, i in known.items() if f in said))))
 
 
 def planted(spark, n=600):
@@ -243,6 +328,25 @@ def test_classifiers_hold_out_and_hit(spark, module, at, cut):
     assert sum(a == b for a, b in held) >= 0.93 * len(held)
 
 
+def test_quality_scores_equal_the_mean_of_all_features(spark):
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.normal(size=quality.BUCKETS), 0.1)
+    texts = ["one two two three", "a", "", None, "words and words " * 50, "é日 x"]
+    got = {r.doc_id: r.score for r in quality.score(docs(spark, texts), model).collect()}
+    for k, text in enumerate(texts):
+        ids, counts = quality.bag(text)
+        mean = (model.weights[ids] * counts).sum() / max(1, counts.sum()) if len(ids) else 0.0
+        assert math.isclose(got[k], 1 / (1 + math.exp(-mean - 0.1)))
+
+
+def test_training_lowers_the_loss():
+    rng = random.Random(16)
+    bags = [quality.bag(" ".join(rng.choice(["good fine text", "junk ### junk"][y].split()) for _ in range(20))) for y in (0, 1) * 40]
+    model = quality.fit(bags, np.array((0, 1) * 40))
+    score = lambda b: (model.weights[b[0]] * b[1]).sum() / b[1].sum() + model.bias
+    assert all((score(b) > 0) == (k % 2 == 1) for k, b in enumerate(bags))
+
+
 # op6
 
 
@@ -259,22 +363,51 @@ def test_base_patterns_equal_a_plain_scan(spark):
         assert (got[k].n_assign, got[k].n_access, got[k].n_hex) == tuple(sum(x[0] == kind for x in base) for kind in ("assign", "access", "hex"))
 
 
+def slow_guess_cost(value, rank):
+    """The least over all ways to cut a value into pieces, each of one kind, by the kinds' own definitions."""
+    n, low = len(value), value.lower()
+
+    def piece(i, j):
+        own, small, costs = value[i:j], low[i:j], []
+        if 3 <= j - i <= secrets.LONGEST and small in rank:
+            costs.append(math.log10(rank[small]) + (0 if own == small else math.log10(2 * (j - i))))
+        digits = re.sub(r"[-/._]", "", own)
+        if re.fullmatch(r"(19|20)\d\d([-/._]?)(0[1-9]|1[0-2])\2(0[1-9]|[12]\d|3[01])", own) or re.fullmatch(r"(0[1-9]|[12]\d|3[01])([-/._]?)(0[1-9]|1[0-2])\2(19|20)\d\d", own):
+            costs.append(math.log10(36500))
+        elif re.fullmatch(r"(19|20)\d\d", digits) and digits == own:
+            costs.append(math.log10(150))
+        whole = lambda joined: j - i >= 3 and all(joined(low[k], low[k + 1]) for k in range(i, j - 1)) and not (i and joined(low[i - 1], low[i])) and not (j < n and joined(low[j - 1], low[j]))
+        if whole(lambda a, b: a == b):
+            costs.append(secrets.char_cost(own[0]) + math.log10(j - i))
+        if whole(lambda a, b: a + b in secrets.STEP or a + b in "abcdefghijklmnopqrstuvwxyz"):
+            costs.append(math.log10(47) + math.log10(j - i))
+        return min([c + math.log10(2) for c in costs] + ([secrets.char_cost(own)] if j - i == 1 else []), default=math.inf)
+
+    def cuts(i):
+        if i == n:
+            yield 0.0
+        for j in range(i + 1, n + 1):
+            if (c := piece(i, j)) < math.inf:
+                yield from (c + rest for rest in cuts(j))
+
+    return min(cuts(0))
+
+
 def test_guess_cost_is_least_over_all_segmentations():
-    def slow(value):
-        best = [0.0] + [math.inf] * len(value)
-        for j in range(1, len(value) + 1):
-            best[j] = best[j - 1] + secrets.char_cost(value[j - 1])
-            for i, e, cost, _ in secrets.spans_of(value):
-                if e == j:
-                    best[j] = min(best[j], best[i] + cost + math.log10(2))
-        return best[-1]
-
-    for v in ("password1", "qwertyuiop", "aaaaaaaa", "2024-05-17x", "x9$Kq!2mZp", "correcthorsebatterystaple"):
-        assert abs(secrets.guess_cost(v) - slow(v)) < 1e-9
+    rank = secrets.ranked(None)
+    for v in ("password1", "qwertyuiop", "aaaaaaaa", "2024-05-17x", "x9$Kq!2mZp", "Monkey1999", "31.12.2001ab", "abcdqwe11111"):
+        assert abs(secrets.guess_cost(v) - slow_guess_cost(v, rank)) < 1e-9
     assert secrets.guess_cost("password1") < secrets.guess_cost("pqsswxrd1") and secrets.guess_cost("") == 0
     assert [k for k, *_ in secrets.scan("login pwd: x9$Kq!2mZpQ7 and pwd: password")] == ["cost"]
 
 
+def test_a_vocabulary_ranks_words():
+    own = word_ranks()
+    assert len(secrets.ranked(own)) > 20_000 and secrets.ranked(own)["password"] == 1
+    assert secrets.guess_cost("implementation", own) < 6 < 10 < secrets.guess_cost("xqzvbkjwplmrthgd", own)
+    assert secrets.scan("password: implementation", vocabulary=own)[-1:] == [("assign", 0, 24)] and ("cost", 10, 26) in secrets.scan("password: xqzvbkjwplmrthgd", vocabulary=own)
+
+
 def test_values_of_letters_and_quoted_values_are_scored_whole():
     for text, value in (
         ("pwd: xkQjzVwplmTr", "xkQjzVwplmTr"), ("passphrase=KqZxVbnmWpLtRyHs now", "KqZxVbnmWpLtRyHs"), ('pwd = "a;9,<Kq>2\'mZ"', "a;9,<Kq>2'mZ"),
@@ -309,10 +442,11 @@ def slow_components(texts, n, percent):
     return {k: (len(sets[k]), find(k)) for k in range(len(texts))}
 
 
-@pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
-def test_components_equal_brute_force(spark, monkeypatch, n, percent):
-    monkeypatch.setattr(ngramjoin, "SMALL", 4)
-    monkeypatch.setattr(ngramjoin, "BLOCK_TOKENS", 3000)
+@pytest.mark.parametrize("n, percent, small, bin_weight", [(4, 85, 4, 3000), (5, 80, 4, 3000), (4, 85, ngramjoin.SMALL, ngramjoin.BIN), (5, 80, 2, ngramjoin.BIN)])
+def test_components_equal_brute_force(spark, monkeypatch, n, percent, small, bin_weight):
+    monkeypatch.setattr(ngramjoin, "SMALL", small)
+    monkeypatch.setattr(ngramjoin, "SHARED", 2)
+    monkeypatch.setattr(ngramjoin, "BIN", bin_weight)
     rng, texts = random.Random(8), [None, "", "a b", "A  B", "a", "a b c d"]
     for size, copies, edits in ((60, 40, 2), (30, 6, 1), (120, 12, 3), (25, 5, 4)):
         base = words(rng, size, 5000).split()
@@ -327,6 +461,15 @@ def test_components_equal_brute_force(spark, monkeypatch, n, percent):
     assert got == slow_components(texts, n, percent)
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(12)
+    base, other = words(rng, 60, 5000), words(rng, 60, 5000)
+    rows = [(5, base), (5, other), (1, base), (1, base), (7, base + " more"), (None, base), (None, other + " end"), (None, "alone " * 9), (None, "alone " * 9), (9, None), (9, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    kept = sorted(((r.doc_id, r.text) for r in ngramjoin.keep_first(df).collect()), key=repr)
+    assert kept == sorted([(1, base), (5, other), (None, "alone " * 9), (9, None), (9, None), (9, "")], key=repr)
+
+
 # op8
 
 
@@ -344,12 +487,21 @@ def test_ids_equal_the_librarys(spark):
 # op9
 
 
+LONG = "<p>A long first paragraph, with text enough.</p><p>Another one that is as long as the first.</p><p>And a third one, which ends the article here.</p>"
+LONG_TEXT = "A long first paragraph, with text enough.\n\nAnother one that is as long as the first.\n\nAnd a third one, which ends the article here."
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
         ("<body><nav><a href=x>Menu</a></nav><article><h1>T &amp; U</h1><p>One  two<br>three<p>Four</article><footer>f</footer>", "T & U\n\nOne two three\n\nFour"),
         ("<div id=menu><a>a</a><a>b</a></div><div class=content><p>A long first paragraph, with text enough.</p><p>Another one that is as long as the first.</p></div><div class='comments'><p>I like this page very much, thank you for it.</p></div>", "A long first paragraph, with text enough.\n\nAnother one that is as long as the first."),
         ("<article><p>x</p><script>var a='<p>no</p>'</script><style>p{}</style><form>f</form><aside>s</aside><div class='ad'>buy</div><ul><li>one</li><li>two</li></ul><!-- c --></article>", "x\n\none\n\ntwo"),
+        (f"<body class='has-sidebar'><div class='site has-sidebar'><div id=menu><a>a</a><a>b</a></div><div class='content no-comments'>{LONG}</div><div class='sidebar-left'><p>Something else entirely that is here.</p></div></div>", LONG_TEXT),
+        (f"<form id=page><nav><a>x</a></nav><div class=main>{LONG}</div></form>", LONG_TEXT),
+        (f"<article>{LONG}<h2>References</h2><ul><li><a href=1>First work</a></li><li><a>Second</a></li></ul><div class='follow-up'><p>More.</p></div><div class='side by side'><p>Beside.</p></div><div class='ad-slot'>Buy</div><section id='comments'><p>Nice post I like it very much thank you.</p></section></article>", LONG_TEXT + "\n\nReferences\n\nFirst work\n\nSecond\n\nMore.\n\nBeside."),
+        (f"<header><h1>Site</h1></header><article><header><h1>Title</h1></header>{LONG}<footer>by me</footer></article><article>{LONG}</article><div>copyright somebody</div>", f"Title\n\n{LONG_TEXT}\n\n{LONG_TEXT}"),
+        (f"<div><h1>Head</h1>{LONG}</div><div class=related><p>Related text of some length that is as dense as any of the others in here.</p></div>", "Head\n\n" + LONG_TEXT),
         ("", ""), (None, ""), ("just text", "just text"), ("<p>unclosed <b>bold", "unclosed bold"), ("<article></article>", ""),
     ],
 )
@@ -357,11 +509,60 @@ def test_main_text(html, text):
     assert htmltext.main_text(html) == text
 
 
+def test_densities_and_choice_equal_their_definitions():
+    rng = random.Random(15)
+
+    def page(depth):
+        tag = rng.choice(["div", "p", "section", "ul", "li", "a", "b"])
+        inner = "".join(page(depth - 1) if depth and rng.random() < 0.6 else " ".join("x" * rng.randint(1, 9) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 4)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    def every(node):
+        yield node
+        for x in htmltext.kids_of(node):
+            yield from every(x)
+
+    for _ in range(60):
+        tree = htmltext.Tree()
+        tree.feed(page(5))
+        tree.close()
+        keep = htmltext.chosen(tree.root)
+        text = lambda node: sum(len(" ".join(x.split())) for n in every(node) for x in n.parts if isinstance(x, str))
+        in_links = lambda node: text(node) if node.name == "a" else sum(in_links(x) for x in htmltext.kids_of(node))
+        base = in_links(tree.root) / max(1, text(tree.root))
+
+        def dense(node):
+            c, lc = text(node), in_links(node)
+            t, lt = (sum(n is not node for n in every(node)), sum(n.name == "a" for n in every(node) if n is not node))
+            return c / max(1, t) * max(0.0, math.log(max(1.0001, c / max(1, lc) * max(1, t) / max(1, lt)), math.log(c / max(1, c - lc) * max(1, lc) + base * c + math.e))) if c else 0.0
+
+        blocks = [n for n in every(tree.root) if n.name in htmltext.BLOCK]
+        total = lambda node: sum(dense(x) for x in htmltext.kids_of(node))
+        most = max(map(total, blocks))
+        assert any(id(n) in keep and math.isclose(total(n), most) for n in blocks) or not most
+
+
+def test_deep_and_long_pages_take_linear_time():
+    assert htmltext.main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
+    assert htmltext.main_text("<b>" * 20_000 + "</section>" * 20_000 + "<p>x") == "x"
+    assert len(htmltext.main_text("<p>" + "word " * 1_000_000)) == 4_999_999
+
+
 def test_pages_with_odd_rows(spark):
-    df = spark.createDataFrame([(1, "u", "<p>" * 3000 + "deep"), (None, None, None), (1, "u", "<article>é&eacute;</article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    df = spark.createDataFrame([(1, "u", "<p>" * 3000 + "deep"), (None, None, None), (1, "u", "<article>é&eacute;</article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("clash"))
     assert sorted((r.text, r.n_chars) for r in htmltext.extract(df).collect()) == [("", 0), ("deep", 4), ("éé", 2)]
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
 def test_each_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+
+
+def test_nearest_of_equal_scores_are_the_smallest_ids(spark):
+    """Distinct vectors with the same inner product: every vector of signs that agrees with the query in as many places."""
+    rows = [(k, [1.0, *(1.0 if k >> i & 1 else -1.0 for i in range(7))]) for k in range(128)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.report(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert dict(got) == brute(rows)

@@ -2,8 +2,8 @@
 
 No piece of the vocabulary has a marker after another character, so a merge never crosses the place where a run of
 markers begins. A text is therefore cut there, each distinct marked word is segmented once for a task's table, and
-the ids are gathered back by position. `crossing_pieces` proves the condition for a vocabulary; with a vocabulary
-that breaks it, whole texts are segmented instead.
+the ids are gathered back by position. `crossing_pieces` proves the condition for a vocabulary, and a few probes look at its
+normaliser; with a vocabulary that breaks either, whole texts are segmented instead.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ def crossing_pieces(sp) -> list[int]:
     return [i for i in range(sp.get_piece_size()) if re.search(f"[^{MARK}]{MARK}", sp.id_to_piece(i))]
 
 
+#: Texts on which words apart must give what the whole gives; they show a normaliser or white-space settings that tie words together.
+PROBES = ("a b", " a", "a  b", "a   b ", "\ta\nb", "\u3000x y\u00a0z", "\ufb01 \u2460", "e\u0301 \u00e9", "A b\u200bc", "\u2581a \u2581", "1 000,5 %")
+
+
 def cut_marked(text: str) -> list[str]:
     """The marked words of a text, each without its first marker."""
     if not text:
@@ -49,6 +53,8 @@ class ChunkTable:
         self.sp = load(model)
         self.whole = bool(crossing_pieces(self.sp))
         self.clear()
+        self.whole = self.whole or self.encode(list(PROBES)).to_pylist() != [self.sp.encode(x, add_eos=True) for x in PROBES]
+        self.clear()
 
     def clear(self) -> None:
         self.numbers, self.done = Numbers(), 1

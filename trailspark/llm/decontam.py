@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Numbers, cut, mapped, picked
+from .common import BitMap, Numbers, cut, fresh, mapped, picked
 
 #: log2 of the bits in the maps that tasks get, whatever the input.
 BITS = 24
 #: Alignment: what a common, a changed and a missing word count; the share of an item's full score that makes a leak.
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 100_000
 EDGE = ".,;:!?\"'()[]{}<>*#%&^~`_-/\\|=$@…„“”«»¿¡"
 
 
@@ -79,16 +79,13 @@ def pairs_needed(n: int, threshold: float) -> int:
     return math.ceil((4 * threshold - 1) * n / 3 - 1 - 1e-9)
 
 
-def bit(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
-    return (hashes.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+def flags_of(found: BitMap) -> np.ndarray:
+    """A flag for each number that the first BITS bits of a hash make."""
+    return np.unpackbits(found.words.view(np.uint8), bitorder="little").view(bool)
 
 
-def bit_map(rows: DataFrame, column: str) -> np.ndarray:
-    """A map of 2**BITS flags of the hashes in a column."""
-    flags = np.zeros(1 << BITS, bool)
-    for batch in rows.select(F.shiftrightunsigned(F.col(column), 64 - BITS).alias("b")).distinct().toArrow().to_batches():  # at most 2**BITS numbers
-        flags[batch["b"].to_numpy()] = True
-    return flags
+def bit(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.astype(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def align(a: np.ndarray, b: np.ndarray) -> int:
@@ -126,11 +123,9 @@ def seeds_of(items: DataFrame, counts: DataFrame, threshold: float) -> DataFrame
     return rows.select("key", "least", "fewest", F.explode(F.arrays_zip("seeds", "times")).alias("x")).select(F.col("x.seeds").alias("seed"), "key", F.col("x.times").alias("times"), "least", "fewest")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score (1: the whole item), n_seeds for each pair at or above the threshold. Null and empty texts and
-    items, and rows without an id, have no pairs; repeated rows count once, texts that share an item's id each count; empty tables
-    give an empty one. A single word of an item of two is half of it."""
-    own = picked(docs, doc_id="doc_id", text="text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """row (hash of id and text), doc_id, item_id, score, n_seeds of each document and item at or above the threshold."""
+    own = picked(docs, doc_id="doc_id", text="text").where(F.col("text").isNotNull()).withColumn("row", F.xxhash64("doc_id", "text"))
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     items = picked(benchmark, item_id="item_id", text="text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     items = mapped(items, lambda rows, words: {"item_id": rows["item_id"], "words": words.of(rows["text"].to_pylist())}, f"item_id {item_kind}, words array<long>", Words).where(F.size("words") > 0)
@@ -139,10 +134,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     # an alignment spans fewer words of a text than this
     longest, single = math.ceil((3 - 2 * threshold) * size["most"]), pairs_needed(size["least"] if threshold > 0.25 else size["most"], threshold) < 1
     sc = docs.sparkSession.sparkContext
-    asked = sc.broadcast(np.packbits(bit_map(items.select(F.explode("words").alias("w")), "w")))  # 2**BITS bits
+    asked = sc.broadcast(BitMap.of(items.select(F.explode("words").alias("w")), "w", BITS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, words, found = np.unpackbits(asked.value).view(bool), Words(), Counter()
+        wanted, words, found = flags_of(asked.value), Words(), Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 h = np.concatenate([np.zeros(0, np.int64), *words.of(batch.column(0).slice(at, 256).to_pylist())])
@@ -152,14 +147,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     counts = own.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     seeds = cut(seeds_of(items, counts, threshold))
     fewest = seeds.agg(F.coalesce(F.min("fewest"), F.lit(1))).first()[0]
-    sought = sc.broadcast(np.packbits(bit_map(seeds, "seed")))  # 2**BITS bits
+    sought = sc.broadcast(BitMap.of(seeds, "seed", BITS))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, words = np.unpackbits(sought.value).view(bool), Words()
+        wanted, words = flags_of(sought.value), Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, out = batch.slice(at, 256), {"doc_id": [], "start": [], "seeds": [], "words": []}
-                for doc, w in zip(part["doc_id"].to_pylist(), words.of(part["text"].to_pylist())):
+                part, out = batch.slice(at, 256), {"row": [], "doc_id": [], "start": [], "seeds": [], "words": []}
+                for row, doc, w in zip(part["row"].to_pylist(), part["doc_id"].to_pylist(), words.of(part["text"].to_pylist())):
                     g, place = found_in(w, single)
                     hits = np.flatnonzero(wanted[bit(g)])
                     hits = hits[np.argsort(place[hits], kind="stable")]
@@ -168,14 +163,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                         if len(met) < fewest:
                             continue
                         a, b = max(0, place[run[0]] - longest), place[run[-1]] + longest + 3
-                        for k, v in zip(out, (doc, a, met, w[a:b])):
+                        for k, v in zip(out, (row, doc, a, met, w[a:b])):
                             out[k].append(v)
-                if out["doc_id"]:
+                if out["row"]:
                     yield pa.RecordBatch.from_pydict(out, schema=passage_schema(part.schema.field("doc_id").type))
 
-    found = cut(own.mapInArrow(passages, f"doc_id {doc_kind}, start int, seeds array<long>, words array<long>").withColumn("passage", F.xxhash64("doc_id", "start", "words")))
+    found = cut(own.select("row", "doc_id", "text").mapInArrow(passages, f"row long, doc_id {doc_kind}, start int, seeds array<long>, words array<long>").withColumn("passage", F.xxhash64("row", "start", "words")))
     pairs = found.select("passage", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("passage", "key").agg(F.countDistinct("seed").alias("n_seeds"), F.sum("times").alias("times"), F.first("least").alias("least")).where("times >= least")
-    both = pairs.join(found.select("passage", "doc_id", "words").dropDuplicates(["passage"]), "passage").join(items.withColumnRenamed("words", "item"), "key").select("doc_id", "item_id", "n_seeds", "words", "item")
+    both = pairs.join(found.select("passage", "row", "doc_id", "words").dropDuplicates(["passage"]), "passage").join(items.withColumnRenamed("words", "item"), "key").select("row", "doc_id", "item_id", "n_seeds", "words", "item")
 
     def score(batch: pa.RecordBatch) -> dict:
         texts, wanted = batch["words"].to_pylist(), batch["item"].to_pylist()
@@ -184,16 +179,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             i, t = np.array(i, np.int64), np.array(t, np.int64)
             enough = np.isin(pairs_of(i), found_in(t, False)[0]).sum() >= pairs_needed(len(i), threshold)
             out.append(align(i, t) / (MATCH * len(i)) if enough else 0.0)
-        return {k: batch[k] for k in ("doc_id", "item_id", "n_seeds")} | {"score": out}
+        return {k: batch[k] for k in ("row", "doc_id", "item_id", "n_seeds")} | {"score": out}
 
-    scored = mapped(both.repartition("doc_id", "item_id"), score, f"doc_id {doc_kind}, item_id {item_kind}, n_seeds long, score double")
-    return scored.where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("n_seeds").alias("n_seeds"))
+    scored = mapped(both.repartition("row", "item_id"), score, f"row long, doc_id {doc_kind}, item_id {item_kind}, n_seeds long, score double")
+    return scored.where(F.col("score") >= threshold).groupBy("row", "doc_id", "item_id").agg(F.max("score").alias("score"), F.max("n_seeds").alias("n_seeds"))
 
 
 def passage_schema(doc: pa.DataType) -> pa.Schema:
-    return pa.schema([("doc_id", doc), ("start", pa.int32()), ("seeds", pa.list_(pa.int64())), ("words", pa.list_(pa.int64()))])
+    return pa.schema([("row", pa.int64()), ("doc_id", doc), ("start", pa.int32()), ("seeds", pa.list_(pa.int64())), ("words", pa.list_(pa.int64()))])
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, score (1: the whole item), n_seeds for each pair at or above the threshold. Texts of any length are searched
+    whole. Null and empty texts and items, and rows without an id, have no pairs; repeated rows count once, of several texts of one id
+    the best score counts; texts that share an item's id each count; empty tables give an empty one; other columns are left out. A
+    single word of an item of two is half of it."""
+    found = leaks(docs, benchmark, threshold).where(F.col("doc_id").isNotNull())
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("n_seeds").alias("n_seeds"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, in all their columns, that hold no copy of a benchmark item."""
-    return docs.join(find_leaks(docs, benchmark, threshold).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows of docs, in all their columns, that hold no copy of a benchmark item, whether or not they have an id; a row that only
+    shares its id with such a text stays."""
+    row = fresh(docs, "row")
+    gone = leaks(docs, benchmark, threshold).select(F.col("row").alias(row)).distinct()
+    return docs.withColumn(row, F.xxhash64("doc_id", "text")).join(gone, row, "left_anti").select(*docs.columns)

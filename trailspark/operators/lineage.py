@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +23,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that cut notes down while a record is open.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def recorded(made: list[str]) -> Iterator[None]:
+    """Adds the folders that cut writes within the block to a list, for remove."""
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+
+
+def remove(spark: SparkSession, made: list[str]) -> None:
+    """Deletes recorded folders, and empties the list. Nothing may read from them any more."""
+    for folder in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    made.clear()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read again from Parquet in the shared folder: its lineage ends there, lost executors don't lose it, later
     readers take the columns that they need, and the planner knows its size."""
     to = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(to)
     df.write.parquet(to)
     return df.sparkSession.read.schema(df.schema).parquet(to)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,14 +19,17 @@ from .search import Lookup, Tables
 PAIR = paths.PAIR
 
 
-@dataclass(frozen=True)
+@dataclass
 class Network:
-    """A trail network contracted to segments."""
+    """A trail network contracted to segments; their steps are only laid out where they are asked for."""
 
     edges: DataFrame
     contracted: DataFrame
     segments: DataFrame
-    steps: DataFrame
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        return cut(graph.segment_steps(self.contracted, self.segments))
 
 
 def network(vertices: DataFrame, ways: DataFrame) -> DataFrame:
@@ -37,7 +40,7 @@ def network(vertices: DataFrame, ways: DataFrame) -> DataFrame:
 def contracted(edges: DataFrame, keep: DataFrame | None = None) -> Network:
     parts = cut(graph.contract(edges, keep))
     segments = cut(graph.segments_of(parts, keep))
-    return Network(edges, parts, segments, cut(graph.segment_steps(parts, segments)))
+    return Network(edges, parts, segments)
 
 
 def shaped_loops(net: Network, min_m: float, max_m: float, params: Params) -> tuple[DataFrame, DataFrame]:

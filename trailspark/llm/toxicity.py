@@ -1,10 +1,10 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
 A character language model (trigrams over folded letters) is counted over the words of the whole corpus. A token that looks
-disguised (digits or symbols among letters, a character three times running, letters spaced out) opens a lattice: each
-character may stand for the letters that it is used for, may be a separator, or may repeat the one before. Viterbi decoding
-takes the cheapest path under the language model and the channel. Restored words and their stems are the features of a
-logistic model, learned from a bounded sample of labelled rows.
+disguised (digits or symbols among letters, a character that repeats, letters spaced out) opens a lattice: each character may
+stand for the letters that it is used for, may be a separator, or may repeat the one before. Viterbi decoding takes the cheapest
+path under the language model and the channel. Restored words and their stems are the features of a logistic model, learned
+from a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -33,13 +33,15 @@ STATES = 28  # word edge, a to z, any other letter
 EDGE, OTHER = 0, 27
 #: Channel costs (negative log probabilities).
 SUBSTITUTE, DROP, REPEAT, KEEP_ODD = 0.7, 0.4, 0.2, 6.0
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 100_000
+#: Characters after which decoding gives out what all its paths share; spaced-out letters that are joined at a time.
+FLUSH, SPACED = 256, 24
 #: Labelled rows that the model is fitted on, at most; features kept, at most.
 MAX_ROWS, MAX_FEATURES = 8000, 1000
 STEMS = (4, 5)
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#%&^~`_-/\\=…„“”«»¿"
 SYMBOL_RUN = re.compile(r"^([^\w])\1+|([^\w])\2+$")
-TRIPLE = re.compile(r"(.)\1\1", re.S)
+DOUBLE, DOUBLE_RUN = re.compile(r"(.)\1", re.S), re.compile(r"(.)\1+", re.S)
 
 
 class Fold(dict):
@@ -124,30 +126,77 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(token: str, cost: np.ndarray) -> str:
-    """The cheapest path through the token's lattice."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+    """The cheapest path through the token's lattice. Of equal ways, the one into the smaller state, then the first reading, counts."""
+    spent: dict[tuple[int, int], float] = {(EDGE, EDGE): 0.0}
+    back: list[dict] = []  # per character: state -> (state before, reading)
+    said: list[str] = []
+
+    def path(steps: list[dict], at: tuple[int, int]) -> list[str]:
+        found = []
+        for step in reversed(steps):
+            at, c = step[at]
+            found.append(c)
+        return found[::-1]
+
     for ways in lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (spent, said) in best.items():
+        after: dict[tuple[int, int], float] = {}
+        step: dict[tuple[int, int], tuple] = {}
+        for a, b in sorted(spent) if len(spent) > 1 else spent:
             for c, channel in ways:
                 s = state(c) if c else 0
                 key = (b, s) if c else (a, b)
-                x = spent + channel + (float(cost[a, b, s]) if c else 0.0)
-                if key not in after or (x, said + c) < after[key]:
-                    after[key] = (x, said + c)
-        best = after
-    return min((spent + float(cost[a, b, EDGE]), said) for (a, b), (spent, said) in best.items())[1]
-
-
-def readings(word: str, cost: np.ndarray) -> str:
-    """A word as it is scored: without edge punctuation, folded, and decoded where it looks disguised."""
+                x = spent[a, b] + channel + (float(cost[a, b, s]) if c else 0.0)
+                if key not in after or x < after[key]:
+                    after[key], step[key] = x, ((a, b), c)
+        spent = after
+        back.append(step)
+        if len(back) % FLUSH == 0:
+            own = set(spent)
+            for k in range(len(back) - 1, -1, -1):  # how far back all paths meet
+                own = {back[k][at][0] for at in own}
+                if len(own) == 1:
+                    said += path(back[:k], own.pop())
+                    back = back[k:]
+                    break
+    best = min(spent, key=lambda k: (spent[k] + float(cost[k][EDGE]), k))
+    return "".join(said + path(back, best))
+
+
+def collapsed(word: str) -> str:
+    """The word with each run of a character as one."""
+    return DOUBLE_RUN.sub(r"\1", word)
+
+
+def readings(word: str, cost: np.ndarray, starts: set[str] | None = None) -> list[str]:
+    """A word as it is scored: without edge punctuation and folded, and decoded where it looks disguised; both where it may be plain. starts: what
+    words of interest begin with, collapsed; letters that repeat are only decoded where they can lead to one."""
     core = word.strip(PUNCTUATION)
+    if not core.isalpha():
+        core = SYMBOL_RUN.sub("", core).strip(PUNCTUATION)
     if core.isalpha():
-        return restore(core, cost) if TRIPLE.search(core) else folded(core)
-    core = SYMBOL_RUN.sub("", core).strip(PUNCTUATION)
-    if core.isalpha() and not TRIPLE.search(core):
-        return folded(core)
-    return restore(core, cost) if any(map(str.isalpha, core)) else core
+        plain = folded(core)
+        if not DOUBLE.search(plain):
+            return [plain]
+        if starts is not None:
+            bare = collapsed(plain)
+            if starts.isdisjoint((bare[:1], bare[:2], bare[:3], bare[:4])):
+                return [plain]
+        return [plain] + ([x] if (x := restore(core, cost)) != plain else [])
+    return [restore(core, cost)] if any(map(str.isalpha, core)) else [core]
+
+
+def edge_readings(word: str, cost: np.ndarray) -> list[str]:
+    """What a word may say if a sign at its edge stands for a letter."""
+    if word.isalpha():
+        return []
+    core = word.strip(PUNCTUATION)
+    at = word.find(core) if core and any(map(str.isalpha, core)) else -1
+    if at < 0:
+        return []
+    before, after = word[at - 1 : at] if at else "", word[at + len(core) : at + len(core) + 1]
+    heads = [*LEET.get(before, ""), ""] if before else [""]
+    tails = ["", *LEET.get(after, "")] if after else [""]
+    return [restore(h + core + t, cost) for h in heads for t in tails if h or t]
 
 
 def features(restored: str) -> list[str]:
@@ -160,15 +209,24 @@ class Words:
     def __init__(self, cost: np.ndarray, known: dict[str, int] | None = None):
         self.cost, self.known = cost, known
         self.starts = {x[: STEMS[0]] for x in known or ()}
+        self.bare = None if known is None else {collapsed(x) for x in self.starts}
         self.clear()
 
     def clear(self) -> None:
-        self.numbers, self.found, self.single = Numbers(), [], []
+        self.numbers, self.found, self.short = Numbers(), [], []
 
     def grow(self) -> None:
         for word in list(self.numbers)[len(self.found) :]:
-            self.found.append(self.look(readings(word, self.cost)))
-            self.single.append(len(word) == 1 and (word.isalnum() or word in LEET))
+            got = {x for said in readings(word, self.cost, self.bare) for x in self.look(said)}
+            if self.known is not None:  # a reading of an edge sign only counts as a known word
+                got.update(x for said in edge_readings(word, self.cost) for x in self.look(said))
+            self.found.append(tuple(sorted(got)))
+            self.short.append(len(self.spaced(word)) <= 2)
+
+    @staticmethod
+    def spaced(word: str) -> str:
+        """What is left of a word for spaced-out letters."""
+        return word if word in LEET else word.strip(PUNCTUATION)
 
     def look(self, restored: str) -> tuple:
         if self.known is None:
@@ -177,6 +235,29 @@ class Words:
             return ()
         return tuple(self.known[x] for x in features(restored) if x in self.known)
 
+    def joined(self, words: list[str]) -> set:
+        """Features of spaced-out letters, one or two at a time. Where runs of short words are common speech, only known words count: those
+        that begin at any of them."""
+        parts = [self.spaced(w) for w in words]
+        single = all(len(x) <= 1 for x in parts)
+        if self.known is None:
+            return set(features(self.decoded("".join(parts)))) if single else set()
+        spelled = single or all(len(set(x)) <= 1 for x in parts)
+        got: set = set()
+        for k in range(len(parts) - 1):
+            said = "".join(parts[k : k + SPACED])
+            if len(said) < STEMS[0]:
+                break
+            if spelled and not (said.isalpha() and not DOUBLE.search(said)):
+                got.update(self.look(self.decoded(said)))
+            if said.isalpha() and (plain := folded(said))[: STEMS[0]] in self.starts:
+                ends = np.cumsum([len(x) for x in parts[k : k + SPACED]])  # other words may follow
+                got.update(x for end in ends if end >= STEMS[0] for x in self.look(plain[:end]))
+        return got
+
+    def decoded(self, said: str) -> str:
+        return restore(said, self.cost) if any(map(str.isalpha, said)) else said
+
     def of(self, texts: list[str | None]) -> list[set]:
         """The features of each text."""
         if len(self.numbers) > TABLE_ENTRIES:
@@ -185,17 +266,16 @@ class Words:
         at = [np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)) for words in split]
         self.grow()
         some = np.fromiter(map(bool, self.found), bool, len(self.found))
-        single = np.array(self.single, bool)
+        short = np.array(self.short, bool)
         out = []
         for words, k in zip(split, at):
             got = {x for i in np.unique(k[some[k]]) for x in self.found[i]}
-            run = single[k]
+            run = short[k]
             if len(k) > 2 and (run[:-2] & run[1:-1] & run[2:]).any():  # letters spaced out
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], run, [0]])))
                 for a, b in zip(edges[::2], edges[1::2]):
                     if b - a > 2:
-                        joined = "".join(words[a:b])
-                        got.update(self.look(restore(joined, self.cost) if any(c.isalpha() for c in joined) else joined))
+                        got.update(self.joined(words[a:b]))
             out.append(got)
         return out
 
@@ -217,17 +297,18 @@ def fit_logistic(rows: list[list[int]], labels: np.ndarray, n: int, rounds: int
     for k, ids in enumerate(rows):
         x[k, ids] = 1
     x[:, n] = 1
-    w, v = np.zeros(n + 1), np.zeros(n + 1)
+    w, v = np.zeros(n + 1, np.float32), np.zeros(n + 1, np.float32)
+    labels = labels.astype(np.float32)
     step = 4.0 / max(1.0, float((x.sum(1) * 1.0).max(initial=1.0)) * max(1, len(rows)))
-    keep = np.append(np.full(n, ridge), 0.01)
+    keep, step = np.append(np.full(n, ridge), 0.01).astype(np.float32), np.float32(step)
     for k in range(rounds):
-        ahead = w + k / (k + 3) * (w - v)
+        ahead = w + np.float32(k / (k + 3)) * (w - v)
         grad = x.T @ (1 / (1 + np.exp(-np.clip(x @ ahead, -50, 50))) - labels) + keep * ahead
         w, v = ahead - step * grad, w
-    return w[:n], float(w[n])
+    return w[:n].astype(float), float(w[n])
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
     """The language model over all docs; the classifier on at most max_rows labelled rows that are not held out, chosen by a
     hash of their ids. Rows without a text, label or id, and labels other than 0 and 1, are left out; without any row left, no text scores as toxic."""
     cost = lm(lm_counts(docs))
@@ -245,9 +326,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     seen = sample.select("label", F.explode("found").alias("feature")).groupBy("feature").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (toxic - F.col("t") + 0.5)) - F.log((F.col("n") - F.col("t") + 0.5) / (total - toxic - F.col("n") + F.col("t") + 0.5))
     spread = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") - F.col("t") + 0.5) + 1 / (toxic - F.col("t") + 0.5) + 1 / (total - toxic - F.col("n") + F.col("t") + 0.5))
-    top = seen.where(F.col("t") >= 3).withColumn("z", odds / spread).where(F.col("z") > 2.5).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect()
+    top = seen.where(F.col("t") >= 3).withColumn("z", odds / spread).where(F.col("z") > 2.5).orderBy(F.desc("z"), "feature").limit(max_features).select("feature").collect()
     known = {r["feature"]: k for k, r in enumerate(top)}
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows).select("label", F.array_intersect("found", F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")).alias("found")).collect()
+    own = sample.select("doc_id", "label", F.array_intersect("found", F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")).alias("found"))
+    rows = own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows).collect()
     if not rows:  # nothing is known to be toxic
         return Model(cost, {}, np.zeros(0), -5.0)
     weights, bias = fit_logistic([[known[x] for x in r["found"]] for r in rows], np.array([r["label"] for r in rows], float), len(known))
@@ -255,8 +337,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score of every whole text. Null and empty texts get the score of the bias alone; repeated rows and null ids
-    stay; an empty table gives an empty one."""
+    """doc_id, score of every whole text, of any length. Null and empty texts get the score of the bias alone; repeated rows and null ids
+    stay; an empty table gives an empty one; other columns are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most STATES**3 costs and MAX_FEATURES features
     return mapped(
         picked(docs, doc_id=id_col, text=text_col),

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut, mapped, picked
 
@@ -134,9 +135,10 @@ def inner(a: str, b: str) -> Column:
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, reach: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query (over vec_id) holds, the query's own
-    id excepted; ties go to the smaller id. An empty table gives an empty one. Without a reach, the table's own is found."""
+    id excepted; ties go to the smaller id. Ids are integers. Rows that clean leaves out take no part, equal vectors are each listed; vectors of
+    any length; other columns are left out; an empty table gives an empty one. Without a reach, the table's own is found."""
     rows = clean(vectors, id_col, vector_col)
-    id_type = rows.schema["vec_id"].dataType.simpleString()
+    id_type, v_type = (rows.schema[c].dataType.simpleString() for c in ("vec_id", "v"))
     # one class per vector: its k + 1 smallest ids can be answers
     per_vector = Window.partitionBy("v").orderBy("vec_id")
     members = cut(rows.groupBy("v", "vec_id").agg(F.lit(1).alias("one")).withColumn("nth", F.row_number().over(per_vector)).where(F.col("nth") <= k + 1).select("v", "vec_id", "nth"))
@@ -144,19 +146,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     queries = cut(rows.where(is_query).select("v", F.col("vec_id").alias("query_id")).distinct())
     asked = cut(queries.select("v").distinct().join(classes, "v").select(F.col("c").alias("q"), "v"))
 
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        v = batch["v"]
+        return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
+
     top = classes.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") ** 2)).alias("sq")).first()
     n, norm = top["n"], float(top["sq"] or 0) ** 0.5
-    picked_rows = classes.orderBy("h", "c").limit(sample).select("v").toArrow()["v"].to_pylist()
+    some = [matrix(b) for b in classes.orderBy("h", "c").limit(sample).select("v").toArrow().to_batches() if b.num_rows]
+    picked_rows = np.concatenate(some) if some else np.zeros((1, 1))
     leaves = 1
     while leaves * LEAF < n and leaves * 16 < len(picked_rows):
         leaves *= 2
-    points = extended(np.array(picked_rows or [[0.0]], float), norm)
+    points = extended(picked_rows, norm)
     built, sc = fit(points, leaves, trees), classes.sparkSession.sparkContext
 
-    def matrix(batch: pa.RecordBatch) -> np.ndarray:
-        v = batch["v"]
-        return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
-
     def towards(x: np.ndarray) -> np.ndarray:
         x = np.hstack([x, np.zeros((len(x), 1))])
         return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -198,7 +201,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         return {"c": batch["c"], "v": batch["v"], "leaf": np.stack([leaves_of(t, x) for t in built], 1).tolist()}
 
     # every class in its leaf of every tree
-    placed = cut(mapped(classes.select("c", "v"), place, f"c {id_type}, v array<float>, leaf array<int>").select("c", "v", F.posexplode("leaf").alias("tree", "leaf")))
+    placed = cut(mapped(classes.select("c", "v"), place, f"c {id_type}, v {v_type}, leaf array<int>").select("c", "v", F.posexplode("leaf").alias("tree", "leaf")))
     found = placed.groupBy("tree", "leaf").count().collect()  # trees x leaves rows, bounded by the sample
     counts = np.zeros((trees, leaves), np.int64)
     for r in found:
@@ -211,7 +214,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         ways = [reached(built, [m[i] for m in margins], counts, reach) for i in range(len(x))]
         return {"q": batch["q"], "v": batch["v"], "way": [[{"tree": t, "leaf": leaf} for t, leaf in way] for way in ways]}
 
-    walked = cut(mapped(asked, walk, f"q {id_type}, v array<float>, way array<struct<tree int, leaf int>>").select("q", F.col("v").alias("w"), F.explode("way").alias("way")).select("q", "w", "way.tree", "way.leaf"))
+    walked = cut(mapped(asked, walk, f"q {id_type}, v {v_type}, way array<struct<tree int, leaf int>>").select("q", F.col("v").alias("w"), F.explode("way").alias("way")).select("q", "w", "way.tree", "way.leaf"))
     wanted = np.zeros((trees, leaves), np.int64)
     for r in walked.groupBy("tree", "leaf").count().collect():
         wanted[r["tree"], r["leaf"]] = r["count"]
@@ -236,14 +239,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             return out_schema.empty_table()
         flat = lambda col: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in col.chunks]).astype(float).reshape(len(col), -1)
         x, y, parts = flat(a["w"]), flat(b["v"]), []
+        place = np.unique(b["c"].to_numpy(), return_inverse=True)[1]
         for at in range(0, len(x), 512):
             s = x[at : at + 512] @ y.T
-            best = np.argpartition(-s, keep - 1, 1)[:, :keep] if s.shape[1] > keep else np.tile(np.arange(s.shape[1]), (len(s), 1))
-            parts.append((np.repeat(np.arange(at, at + len(s)), best.shape[1]), best.ravel(), np.take_along_axis(s, best, 1).ravel()))
+            row, col = np.nonzero(s >= -np.partition(-s, keep - 1, 1)[:, keep - 1 : keep]) if s.shape[1] > keep else np.indices(s.shape).reshape(2, -1)
+            by = np.lexsort((place[col], -s[row, col], row))  # of equal ones those of the smaller ids
+            row, col = row[by], col[by]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < keep
+            parts.append((at + row[first], col[first], s[row[first], col[first]]))
         rows_a, rows_b, s = (np.concatenate(z) for z in zip(*parts))
         return pa.Table.from_arrays([a["q"].take(pa.array(rows_a)), b["c"].take(pa.array(rows_b)), pa.array(s)], schema=out_schema)
 
-    out_schema = pa.schema([("q", pa.from_numpy_dtype(np.int64) if id_type == "bigint" else pa.int32()), ("c", pa.from_numpy_dtype(np.int64) if id_type == "bigint" else pa.int32()), ("s", pa.float64())])
+    arrow_id = to_arrow_type(rows.schema["vec_id"].dataType)
+    out_schema = pa.schema([("q", arrow_id), ("c", arrow_id), ("s", pa.float64())])
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"q {id_type}, c {id_type}, s double")
     near = met.groupBy("q", "c").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c"))).where(F.col("r") <= keep).select("q", "c")
     near = near.unionByName(asked.select("q", F.col("q").alias("c"))).distinct()

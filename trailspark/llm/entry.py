@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, htmltext, licenses, linededup, ngramjoin, pieces, quality, secrets, toxicity
+from . import ann, decontam, htmltext, licenses, linededup, ngramjoin, pieces, quality, secrets, simhash, toxicity
 from .common import table
 
 
@@ -36,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": lambda spark, d: pieces.digests(table(spark, d, "documents"), piece_model()),
         "op9_html_text": lambda spark, d: htmltext.extract(table(spark, d, "pages")),
         "op10_quality": lambda spark, d: quality.report(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op11_simhash": lambda spark, d: simhash.report(table(spark, d, "documents")),
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, htmltext, licenses, linededup, ngramjoin, pieces, quality, secrets, simhash, toxicity
+from . import alignment, ann, decontam, htmltext, licenses, linededup, ngramjoin, pieces, quality, secrets, simhash, toxicity
 from .common import table
 
 
@@ -17,6 +17,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_bpe() -> str:
+    """The public byte-level vocabulary's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def word_ranks() -> str:
     """A public vocabulary in the order of its ranks."""
     import public_tokenizers
@@ -37,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_text": lambda spark, d: htmltext.extract(table(spark, d, "pages")),
         "op10_quality": lambda spark, d: quality.report(table(spark, d, "documents"), table(spark, d, "labels")),
         "op11_simhash": lambda spark, d: simhash.report(table(spark, d, "documents")),
+        "op12_token_alignment": lambda spark, d: alignment.report(table(spark, d, "documents"), byte_bpe(), piece_model()),
     }
 
 

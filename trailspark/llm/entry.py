@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, ann, decontam, htmltext, licenses, linededup, ngramjoin, pieces, quality, secrets, simhash, toxicity
+from . import alignment, ann, decontam, htmltext, licenses, linededup, ngramjoin, phrases, pieces, quality, secrets, simhash, toxicity
 from .common import table
 
 
@@ -45,8 +45,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality": lambda spark, d: quality.report(table(spark, d, "documents"), table(spark, d, "labels")),
         "op11_simhash": lambda spark, d: simhash.report(table(spark, d, "documents")),
         "op12_token_alignment": lambda spark, d: alignment.report(table(spark, d, "documents"), byte_bpe(), piece_model()),
+        "op13_phrases": lambda spark, d: phrases.report(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.report_sql(), "op4_line_dedup": linededup.report_sql()}
+    return {"op2_license_scan": licenses.report_sql(), "op4_line_dedup": linededup.report_sql(), "op13_phrases": phrases.report_sql()}

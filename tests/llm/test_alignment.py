@@ -69,16 +69,16 @@ def test_chunks_give_what_whole_texts_give(both):
 
 def test_whole_texts_where_chunks_do_not_hold(both, monkeypatch):
     monkeypatch.setattr(both, "whole", True)
-    got, of, has = both.of_texts(TEXTS)
+    got, of = both.of_texts(TEXTS)
     expected, _ = brute(both, TEXTS)
-    assert [bool(x[0]) for x in expected] == has.tolist()
-    assert {i: tuple(got.numbers[k]) for k, i in enumerate(of.tolist()) if has[i]} == {i: x[:4] for i, x in enumerate(expected) if x[0]}
+    assert [bool(x[0]) for x in expected] == got.fine.tolist()
+    assert {i: tuple(got.numbers[k]) for k, i in enumerate(of.tolist()) if got.fine[i]} == {i: x[:4] for i, x in enumerate(expected) if x[0]}
 
 
 def test_table_starts_anew(both, monkeypatch):
     monkeypatch.setattr(alignment, "TABLE_ENTRIES", 2)
     for text in TEXTS * 2:
-        got, _, has = both.of_texts([text])
+        got, _ = both.of_texts([text])
         assert got.numbers.sum(axis=0).tolist() == list(brute(both, [text])[0][0][:4])
 
 

@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -118,19 +119,20 @@ class Aligner:
 
     def ids(self, keys: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of each key, a space before it."""
-        a = [x.ids for x in self.a.encode_batch([" " + k for k in keys], add_special_tokens=False)] if keys else []
+        a = [x.ids for x in self.a.encode_batch_fast([" " + k for k in keys], add_special_tokens=False)] if keys else []
         b = self.b.encode(keys, num_threads=1) if keys else []
         return a, [x or [self.b.piece_to_id(pieces.MARK)] for x in b]
 
     def align(self, keys: list[str]) -> Aligned:
         ids_a, ids_b = self.ids(keys)
-        fine = np.zeros(len(keys), bool)
+        joined = lambda side, of: b"".join(map(of.__getitem__, side))
+        fine = np.ones(len(keys), bool)
         for i, k in enumerate(keys):
-            fine[i] = b"".join(map(self.bytes_a.__getitem__, ids_a[i])) == b"".join(map(self.bytes_b.__getitem__, ids_b[i])) == (" " + k).encode()
-            if not fine[i]:
-                ids_a[i], ids_b[i] = [], []
-        a, b = (np.array([i for x in side for i in x], np.int64) for side in (ids_a, ids_b))
-        past_a, past_b = (np.cumsum([len(x) for x in side], dtype=np.int64) for side in (ids_a, ids_b))
+            whole = (" " + k).encode()
+            if joined(ids_b[i], self.bytes_b) != whole or joined(ids_a[i], self.bytes_a) != whole:
+                fine[i], ids_a[i], ids_b[i] = False, [], []
+        past_a, past_b = (np.cumsum(list(map(len, side)), dtype=np.int64) for side in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(side), np.int64, past[-1] if len(past) else 0) for side, past in ((ids_a, past_a), (ids_b, past_b)))
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         ends, cuts = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
         at = np.append(0, ends_a)[past_a]  # where each key ends
@@ -145,25 +147,28 @@ class Aligner:
         sizes = lambda which: np.bincount(key[which], minlength=len(keys))
         return Aligned(fine, numbers, [";".join(groups[i:j]) for i, j in zip([0, *to], to, strict=False)], Rows(left[same], sizes(same)), Rows((left * len(self.bytes_b) + right)[~same], sizes(~same)))
 
-    def of_texts(self, texts: list[str | None]) -> tuple[Aligned, np.ndarray, np.ndarray]:
-        """The chunks of the texts in order, the document of each, and whether each document has tokens. A text with a chunk whose bytes
-        differ is tried whole."""
+    def of_texts(self, texts: list[str | None]) -> tuple[Aligned, np.ndarray]:
+        """Whether each text has tokens and its groups as text; numbers and links of chunks, and the text of each chunk. A text with a
+        chunk whose bytes differ is tried whole."""
         if len(self.known) > TABLE_ENTRIES:
             self.clear()
-        words = [chunks(x) if x and not self.whole else [] for x in texts]
         number = self.known.__getitem__
-        at = [[number(w) for w in x] for x in words]
+        at = [list(map(number, chunks(x))) if x and not self.whole else [] for x in texts]
         self.table = self.table.joined(self.align(list(self.known)[len(self.table.text) :]))
-        alone = [i for i, x in enumerate(texts) if x and not (at[i] and self.table.fine[at[i]].all())]
-        for i in alone:
-            at[i] = []
-        flat = np.array([w for x in at for w in x], np.int64)
-        chosen = Aligned(self.table.fine[flat], self.table.numbers[flat], [self.table.text[w] for w in flat], self.table.same.take(flat), self.table.odd.take(flat))
-        rest = self.align([texts[i] for i in alone])
-        of = np.concatenate([np.repeat(np.arange(len(texts)), [len(x) for x in at]), np.array(alone, np.int64)])
+        of = np.repeat(np.arange(len(texts)), list(map(len, at)))
+        flat = np.fromiter(chain.from_iterable(at), np.int64, len(of))
         has = np.array([bool(x) for x in texts], bool)
-        has[np.array(alone, np.int64)[~rest.fine]] = False
-        return chosen.joined(rest), of, has
+        unfit = has & (np.bincount(of[~self.table.fine[flat]], minlength=len(texts)) > 0) | has & self.whole
+        alone = np.flatnonzero(unfit)
+        flat, of = flat[~unfit[of]], of[~unfit[of]]
+        text = self.table.text.__getitem__
+        groups = ["" if x else ";".join(map(text, w)) for x, w in zip(unfit, at, strict=True)]
+        rest = self.align([texts[i] for i in alone])
+        for i, x in zip(alone.tolist(), rest.text, strict=True):
+            groups[i] = x
+        has[alone[~rest.fine]] = False
+        numbers = np.concatenate([self.table.numbers[flat], rest.numbers])
+        return Aligned(has, numbers, groups, self.table.same.take(flat).joined(rest.same), self.table.odd.take(flat).joined(rest.odd)), np.concatenate([of, alone])
 
 
 def aligned(docs: DataFrame, byte_bpe: str, piece_model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,17 +198,14 @@ def aligned(docs: DataFrame, byte_bpe: str, piece_model: str, id_col: str = "doc
             for start in range(0, b.num_rows, SLICE_ROWS):
                 rows = b.slice(start, SLICE_ROWS)
                 n = rows.num_rows
-                got, of, has = both.of_texts(rows["text"].to_pylist())
-                numbers, text = np.zeros((n, 4), np.int64), [[] for _ in range(n)]
-                np.add.at(numbers, of, got.numbers)
-                for i, x in zip(of.tolist(), got.text, strict=True):
-                    text[i].append(x)
+                got, of = both.of_texts(rows["text"].to_pylist())
+                numbers = np.stack([np.bincount(of, got.numbers[:, k], n) for k in range(4)], axis=1).astype(np.int64)  # far below 2**53
                 same, same_times, sizes = got.same.counted(of, n)
                 odd, odd_times, more = got.odd.counted(of, n)
                 vector += np.bincount(got.same.values, minlength=len(vector))
                 yield batch(
                     n, kind=["doc"] * n, slice=np.full(n, now), doc_id=rows["doc_id"], n_a=numbers[:, 0], n_b=numbers[:, 1], n_groups=numbers[:, 2], n_links=numbers[:, 3], same=same, same_times=same_times, odd=odd, odd_times=odd_times,
-                    groups=[sha256(";".join(x).encode()).hexdigest() if y else "" for x, y in zip(text, has, strict=True)],
+                    groups=[sha256(x.encode()).hexdigest() if y else "" for x, y in zip(got.text, got.fine, strict=True)],
                 )
                 pairs.append((odd.values.to_numpy(), odd_times.values.to_numpy()))
                 weight += int(sizes.sum() + more.sum()) + DOC * n

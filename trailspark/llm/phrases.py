@@ -25,7 +25,7 @@ from .common import BitMap, cut, picked
 
 LONGEST, LEAST, WITHIN_PERCENT, TOP = 4, 30, 80, 2000
 #: Bytes of text, about, that a task splits and counts at a time, and hashes that it gathers; they bound memory, never the result.
-PART, HASHES = 1 << 22, 1 << 21
+PART, HASHES = 1 << 20, 1 << 20
 
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 ENDED, NEXT = re.compile(rb"[ \n]"), re.compile(rb"(?:[ \n]*[^ \n]+){0,%d}" % (LONGEST - 1))

@@ -555,7 +555,7 @@ def test_pages_with_odd_rows(spark):
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries()) == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
 
 
 def test_nearest_of_equal_scores_are_the_smallest_ids(spark):

@@ -1,10 +1,14 @@
 """Main text of web pages by composite text density.
 
-Every node of a page's tree has a link-adjusted density of characters per tag; a node's density sum is the sum of its
-children's densities. The subtree of the greatest sum is the article, with the article or main element around it if there is one;
-the least density on the path from it to the body is the threshold by which further subtrees outside it join. Elements that never
-are article text (scripts, menus, footers, forms and the like) leave the tree before anything is counted, and so do those that a
-whole class token, id or role names as such, unless they hold the page's text; other names only bar what stands outside the article.
+Every node of a page's tree has a link-adjusted density of characters per tag; a node's density sum is the sum of its children's
+densities. The subtree of the greatest sum is the article; the least density on the path from it to the body is the threshold by which
+further subtrees outside it join.
+
+Elements that never are article text by what they are (scripts, menus, footers and the like) leave the tree at once. Names only weigh
+densities: a class token, id or role that names an element as something else, made of such names and of words for places alone,
+weighs all below it by the share of the page's text it holds, a name for reader comments by a tenth of that. What stands around the
+densest subtree is never dropped, whatever its names; other named elements are. An article or main element weighs at least what its
+heaviest part does. With the article go the headline before it, what stands between two parts of it, and plain text beside it.
 """
 
 from __future__ import annotations
@@ -32,43 +36,54 @@ CLOSES = {
     "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
 SCOPE = frozenset("body article main section div td th li blockquote table button figure details".split())
-#: Parts of a class token, id or role that say what isn't the article; of a token that begins with one of NEGATING they say nothing.
+#: Words of a class token, id or role that say what isn't the article; words for reader comments; those that may be a paper's chapter.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promos promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead toolbar topbar cookie cookies "
-    "consent gdpr notice notices notification notifications popup modal overlay newsletter signup login comment comments commentlist disqus replies respond pagination pager pagenav skiplink".split()
+    "consent gdpr notice notices notification notifications popup modal overlay newsletter signup login pagination pager pagenav skiplink".split()
+)
+TALK = frozenset("comment comments commentlist disqus replies reply respond remark remarks".split())
+MAYBE_TALK = frozenset("discussion discussions response responses feedback conversation conversations reactions opinions".split())
+#: Words that bar a subtree outside the article.
+WEAK = frozenset("related recommended recommendations share sharing social subscribe search tags widget copyright legal disclaimer alert teaser teasers header contentinfo complementary".split())
+#: Words for places and parts, which may stand beside such a word: left-sidebar, comment-list, ad-slot-2.
+PLACES = frozenset(
+    "left right top bottom upper lower main site page global primary secondary section area list box block wrap wrapper container content inner outer bar row col column item items slot unit panel module holder region zone group "
+    "link links text title body form thread user users reader readers post entry article blog first second widget widgets header".split()
 )
-NEGATING = frozenset("has no with without is not non hide show follow".split())
-#: Whole tokens that bar a subtree outside the article.
-WEAK = frozenset("related recommended recommendations share sharing social subscribe search tags widget copyright legal disclaimer alert feedback discussion reply teaser teasers header contentinfo complementary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
-#: A named element is no longer barred if it holds this share of the page's text; subtrees outside an article or main element need this
-#: many times the threshold.
-WHOLE, OUTSIDE = 0.9, 2.0
+#: Names of a paper's chapters; a page with two of them has chapters, not talk.
+CHAPTERS = frozenset("abstract introduction background methods method materials results conclusion conclusions references".split())
+#: Blocks that are plain text beside the article.
+PLAIN = frozenset("p ul ol dl blockquote pre table figure h2 h3 h4 h5 h6".split())
+#: Share of link text up to which a subtree may join; weight of comments.
+LINKS, TALKING = 0.3, 0.1
 #: How sure it is that a node isn't the article.
-OPEN, BARRED_OUTSIDE, NAMED, NEVER = range(4)
+OPEN, BARRED_OUTSIDE, NAMED, COMMENTS, NEVER = range(5)
 
 
-def named(attrs: dict) -> int:
-    """What an element's attributes say."""
+def named(name: str, attrs: dict) -> int:
+    """What an element's attributes say. Headings, article and main elements are named as comments alone."""
+    found = OPEN
+    for token in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        words = {x.lower() for x in PART.findall(token)} or {""}
+        rest = {x for x in words - PLACES if not x.isdigit()}
+        if rest and rest <= TALK | MAYBE_TALK:
+            return COMMENTS
+        if rest and rest <= NAMES:
+            found = max(found, NAMED)
+        elif rest and rest <= NAMES | WEAK or words <= {"header"} or words <= {"widget", "widgets"}:
+            found = max(found, BARRED_OUTSIDE)
     style = (attrs.get("style") or "").replace(" ", "").lower()
     if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in style or (attrs.get("role") or "").lower() in ROLES:
-        return NAMED
-    tokens = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()
-    found = OPEN
-    for token in tokens:
-        parts = [x.lower() for x in PART.findall(token)]
-        if parts and parts[0] not in NEGATING and not NAMES.isdisjoint(parts):
-            return NAMED
-        if token.lower() in WEAK:
-            found = BARRED_OUTSIDE
-    return found
+        found = NAMED
+    return OPEN if name in ("article", "main") or name in HEADINGS else found
 
 
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_a-zA-Z]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "kind", "drop", "chars", "link_chars", "tags", "links", "density", "total")
+    __slots__ = ("name", "parent", "parts", "kind", "drop", "chars", "link_chars", "tags", "links", "density", "weight", "total", "top")
 
     def __init__(self, name: str, parent: Node | None, kind: int = OPEN):
         self.name, self.parent, self.parts, self.kind, self.drop = name, parent, [], kind, kind == NEVER
@@ -81,6 +96,8 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
         self.open: Counter[str] = Counter()  # open elements by name
+        self.maybe: list[Node] = []  # elements that are a paper's chapters or comments
+        self.chapters: set[str] = set()
 
     def handle_starttag(self, name: str, attrs: list) -> None:
         if name in ("html", "body"):
@@ -96,17 +113,16 @@ class Tree(HTMLParser):
                 self.close_element(self.at)
         if name in CLOSES:
             self.leave(*CLOSES[name])
-        kind = NEVER if name in SKIP else NAMED if name == "form" else OPEN
-        if kind == OPEN and attrs:
-            kind = named(dict(attrs))
-            if kind == NAMED and (name in ("article", "main") or name in HEADINGS) and "comment" not in str(dict(attrs).get("class")):
-                kind = OPEN
-        if name == "header" and not (self.open["article"] or self.open["main"]):
-            kind = NEVER
+        found = dict(attrs)
+        kind = NEVER if name in SKIP or name == "header" and not (self.open["article"] or self.open["main"]) else max(NAMED if name == "form" else OPEN, named(name, found) if attrs else OPEN)
         node = Node(name, self.at, kind)
         self.at.parts.append(node)
         self.open[name] += 1
         self.at = node
+        words = {x.lower() for x in f"{found.get('class') or ''} {found.get('id') or ''}".split()}
+        self.chapters |= words & CHAPTERS
+        if kind == COMMENTS and words & MAYBE_TALK:
+            self.maybe.append(node)
 
     def handle_startendtag(self, name: str, attrs: list) -> None:
         self.handle_starttag(name, attrs)  # a slash is ignored, as browsers do
@@ -146,6 +162,14 @@ class Tree(HTMLParser):
 
     def handle_data(self, text: str) -> None:
         self.at.parts.append(text)
+        if self.at.name in HEADINGS and (word := text.strip().lower()) in CHAPTERS:
+            self.chapters.add(word)
+
+    def close(self) -> None:
+        super().close()
+        if len(self.chapters) > 1:
+            for node in self.maybe:
+                node.kind = OPEN
 
 
 def bottom_up(root: Node) -> list[Node]:
@@ -183,50 +207,97 @@ def density(node: Node, base: float) -> float:
 
 
 def measure(root: Node) -> list[Node]:
-    """Kept nodes, children before parents, with density and total. Named elements leave the tree unless they hold its text;
-    barred ones leave it if they are made of links, and count for nothing in the total of what is around them."""
-    order = sized(root)
-    for node in order:
-        if node.kind == NAMED:
-            node.drop = node.chars < WHOLE * root.chars
-        elif node.kind == BARRED_OUTSIDE:
-            node.drop = node.link_chars > 0.5 * node.chars  # of links, wherever it stands
+    """Kept nodes, children before parents, with density, weight, total and top (the greatest total below an article or main element)."""
     order = sized(root)
     base = root.link_chars / max(1, root.chars)
-    for node in order:
+    for node in order[::-1]:
+        share = node.chars / max(1, root.chars)
+        own = 1.0 if node.kind == OPEN else TALKING * share if node.kind == COMMENTS else share
+        node.weight = own if node.parent is None else min(node.parent.weight, own)
         node.density = density(node, base)
-        node.total = sum(x.density for x in kids_of(node) if x.kind == OPEN)
+    for node in order:
+        kids = kids_of(node)
+        node.total = sum(x.weight * x.density for x in kids)
+        node.top = max([x.top for x in kids if not (node.name == "main" and x.name == "article")] + [node.total])
+        if node.name in ("article", "main") and node.kind == OPEN:
+            node.total = node.top
+            node.top = node.total if node.name == "article" and node.parent is not None and node.parent.name == "article" else 0.0  # what lies around weighs its own
     return order
 
 
+def path_of(node: Node | None) -> list[Node]:
+    """A node and all around it, from the inside out."""
+    found = []
+    while node is not None:
+        found.append(node)
+        node = node.parent
+    return found
+
+
+def heaviest(order: list[Node]) -> Node:
+    """Of several of the greatest total the outermost."""
+    return max((x for x in order[::-1] if x.name in BLOCK), key=lambda x: x.total)
+
+
+def headline(root: Node, best: Node, on_path: set[int]) -> Node | None:
+    """The last h1 before the article, if it has none itself. One in a page header counts where the header stands in what is around the article."""
+    if any(x.name == "h1" for x in bottom_up(best)):
+        return None
+    found, todo = None, [root]
+    while todo:
+        node = todo.pop()
+        if node is best:
+            break
+        if node.name == "h1" and node.weight == 1.0:
+            found = node
+        for x in reversed(node.parts):
+            if isinstance(x, Node) and x.kind == NEVER and x.name == "header" and node is not root and id(node) in on_path:
+                heading = next((y for y in x.parts if isinstance(y, Node) and y.name == "h1"), None)
+                if heading is not None:
+                    x.drop, x.weight, heading.weight = False, 1.0, 1.0
+                    for y in x.parts:
+                        if isinstance(y, Node) and y is not heading:
+                            y.drop = True
+                    todo.append(heading)
+            elif isinstance(x, Node) and not x.drop:
+                todo.append(x)
+    return found
+
+
 def chosen(root: Node) -> set[int]:
-    """The ids of the nodes whose whole subtrees are the article."""
-    order = [x for x in measure(root) if x.name in BLOCK]
-    best = max(order[::-1], key=lambda x: x.total, default=root)
+    """The ids of the nodes whose whole subtrees are the article. Named nodes that don't stand around the densest one are dropped."""
+    order = measure(root)
+    best = heaviest(order)
+    densest = max((x for x in bottom_up(best) if x.name in BLOCK), key=lambda x: (x.total, x.density)) if best.total else root
+    spared = {id(x) for x in path_of(densest)}
+    for x in order:
+        x.drop = x.drop or x.kind in (NAMED, COMMENTS) and id(x) not in spared
     if not best.total:
         return {id(root)}
-
-    def up(node: Node | None) -> list[Node]:
-        found = []
-        while node is not None:
-            found.append(node)
-            node = node.parent
-        return found
-
-    around = [x for x in up(best) if x.name == "article"] or [x for x in up(best) if x.name == "main"]
-    best = around[-1] if around else best
-    path = up(best)
+    path = path_of(best)
     threshold, on_path = min(x.density for x in path), {id(x) for x in path}
-    least = lambda x: threshold * (OUTSIDE if around and x.name not in ("article", "main") else 1.0)
-    keep, todo = {id(best)}, [root]
+    keep, todo = {id(best)}, [root] if best is not root else []
+    fits = lambda x: x.name in BLOCK and x.kind == OPEN and x.link_chars <= LINKS * x.chars
     while todo:
-        for x in kids_of(todo.pop()):
+        kids = kids_of(around := todo.pop())
+        for x in kids:
             if id(x) in on_path:
                 todo += [x] if x is not best else []
-            elif x.name in BLOCK and x.kind == OPEN and x.density >= least(x) and x.link_chars <= 0.3 * x.chars:
+            elif fits(x) and x.density >= threshold:
                 keep.add(id(x))
             elif x.kind == OPEN:
                 todo.append(x)
+        if id(around) in on_path:
+            parts = [i for i, x in enumerate(kids) if id(x) in keep or id(x) in on_path]
+            keep |= {id(x) for x in kids[parts[0] : parts[-1]] if id(x) not in on_path and fits(x)}  # between parts of the article
+            if around is not root:
+                for beside in (kids[parts[-1] + 1 :], kids[: parts[0]][::-1]):
+                    for x in beside:
+                        if not (x.name in PLAIN and fits(x)):
+                            break
+                        keep.add(id(x))
+    if (title := headline(root, best, on_path)) is not None:
+        keep.add(id(title))
     return keep
 
 
@@ -268,7 +339,8 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page. A null or empty page, or one without article text, has an empty text;
-    repeated rows and null ids stay, an empty table gives an empty one. Lone surrogates don't occur in Arrow strings."""
+    repeated rows and null ids stay, an empty table gives an empty one, other columns of pages don't matter. Pages of any length and
+    depth take linear time: nothing recurses. Lone surrogates don't occur in Arrow strings."""
 
     def run(rows) -> dict:
         texts = [main_text(x).encode("utf-8", "replace").decode() for x in rows["html"].to_pylist()]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,33 +24,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Folders that cut notes down while a record is open.
-_open: list[list[str]] = []
+#: Folders that cut has written, each with a weak reference to what plans hold of it.
+_tables: list[tuple[str, object]] = []
 
 
-@contextmanager
-def recorded(made: list[str]) -> Iterator[None]:
-    """Adds the folders that cut writes within the block to a list, for remove."""
-    _open.append(made)
-    try:
-        yield
-    finally:
-        _open.remove(made)
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of tables. Nothing may read from it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def remove(spark: SparkSession, made: list[str]) -> None:
-    """Deletes recorded folders, and empties the list. Nothing may read from them any more."""
-    for folder in made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    made.clear()
+def sweep(spark: SparkSession, collect: bool = False) -> int:
+    """Deletes the tables of cut that no plan reads any more: those of DataFrames that are gone, as are all made from them. That is known
+    once the JVM has collected its garbage, which collect asks for. Returns how many tables are left."""
+    if collect:
+        gc.collect()
+        time.sleep(0.2)  # Python lets go of the JVM's objects in a thread of its own
+        spark._jvm.System.gc()
+    for table in list(_tables):
+        try:
+            gone = table[1].get() is None
+        except Py4JError:  # the JVM that wrote it has ended
+            gone = False
+            _tables.remove(table)
+        if gone:
+            _tables.remove(table)
+            remove(spark, table[0])
+    return len(_tables)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read again from Parquet in the shared folder: its lineage ends there, lost executors don't lose it, later
-    readers take the columns that they need, and the planner knows its size."""
-    to = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    for made in _open:
-        made.append(to)
+    readers take the columns that they need, and the planner knows its size. The table goes some time after its last reader; see sweep."""
+    spark = df.sparkSession
+    to = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    sweep(spark)
     df.write.parquet(to)
-    return df.sparkSession.read.schema(df.schema).parquet(to)
+    out = spark.read.schema(df.schema).parquet(to)
+    files = out._jdf.queryExecution().analyzed().relation().location()  # every plan made from out holds it
+    _tables.append((to, spark._jvm.java.lang.ref.WeakReference(files)))
+    return out

@@ -3,8 +3,9 @@ import random
 import pytest
 from test_operators import slow_alignment, slow_components
 
-from trailspark.llm import decontam, pieces
+from trailspark.llm import decontam, linededup, pieces
 from trailspark.llm.entry import piece_model
+from trailspark.operators.lineage import sweep
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -97,3 +98,33 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert len(out) == len(rows) and sorted(r.n_tokens for r in out)[:2] == [1, 1]
+
+
+def test_stages_chain_unwritten_and_runs_share_a_process(spark, tmp_path):
+    """Lazy results of stages read each other's tables; two runs don't take each other's; what nobody reads any more goes."""
+    rng = random.Random(31)
+    words = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    rows = [(k, words(30) + f"\nthe same footer line{' idiot scum' if k % 5 == 0 else ''}", "en", f"s{k % 7}", 1) for k in range(40)]
+    rows += [(100 + k, *rows[1][1:]) for k in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, int("idiot" in r[1])) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, words(20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = str(tmp_path)
+    first, second = corpus_pipeline.run(spark, d), corpus_pipeline.run(spark, d)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for _, apply in corpus_pipeline.STAGES:
+        docs = apply(spark, docs, d)
+    plain = lambda df: sorted((r.doc_id, r.n_tokens, r.ids) for r in df.collect())
+    assert plain(docs) == plain(first) == plain(second)
+    del docs
+    for _ in range(20):
+        if not (left := sweep(spark, collect=True)):
+            break
+    assert left == 0
+
+
+def test_a_text_of_many_lines_takes_linear_time(spark):
+    lines = [f"line number {i} of it" if i % 2 else "the common line here" for i in range(200_000)]
+    docs = spark.createDataFrame([(k, "\n".join(lines) if k == 4 else "the common line here", f"s{k}") for k in range(5)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(docs).collect()}
+    assert got == {0: ("the common line here", 0), **{k: ("", 1) for k in (1, 2, 3)}, 4: ("\n".join(lines[1::2]), 100_000)}

@@ -4,9 +4,9 @@ Each word of a piece begins one window: itself and the words that lead it, up to
 counted once, whole; ROLLUP sums them over successively shorter prefixes. As each occurrence of a phrase is the prefix of exactly one
 window, that gives the counts of phrases of all lengths without an explosion for each.
 
-Windows are cut short before they are counted where nothing frequent can follow: no phrase of a rare word or pair is frequent. Which
-are rare is known from one count of hashed words and pairs over all texts, kept as a bit map of bounded size; it may call a rare pair
-frequent, which costs a row, never the other way round. Words are told apart by 64-bit hashes within a task.
+Windows are cut short before they are counted where nothing frequent can follow: no phrase of a rare word, pair or triple is frequent.
+Which are rare is known from counts of hashed words and pairs, then of triples, over all texts, kept as bit maps of bounded size; they
+may call a rare one frequent, which costs a row, never the other way round. Words are told apart by 64-bit hashes within a task.
 """
 
 from __future__ import annotations
@@ -113,8 +113,25 @@ def parts(batches: Iterator[pa.RecordBatch], powers: Powers) -> Iterator[tuple[W
         yield from drain()
 
 
-def frequent(rows: DataFrame, least: int) -> BitMap:
-    """Of the hashed words and pairs of words that rows (lang, text) hold at least so often."""
+def going(w: Words, kept: dict[int, BitMap]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size of grams: size, places where grams begin of which all that kept (maps by size) can tell is frequent, their hashes."""
+    at, hashes = np.arange(len(w.hash)), w.hash
+    for size in range(1, LONGEST + 1):
+        if size > 1:
+            on = np.zeros(len(w.hash) + 1, bool)
+            on[at] = True
+            from_here = np.zeros(len(w.hash), np.uint64)
+            from_here[at] = hashes
+            at = at[on[at + 1] & w.leads[at]]  # the shorter grams here and at the next word go on
+            hashes = pairs_of(from_here[at], w.hash[at + size - 1])
+        if size in kept:
+            fine = kept[size].has(hashes)
+            at, hashes = at[fine], hashes[fine]
+        yield size, at, hashes
+
+
+def frequent(rows: DataFrame, least: int, sizes: tuple[int, ...], kept: dict[int, BitMap]) -> BitMap:
+    """Of the hashed grams of some sizes that rows (lang, text) hold at least so often; kept: the maps of shorter ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -124,9 +141,10 @@ def frequent(rows: DataFrame, least: int) -> BitMap:
             return pa.RecordBatch.from_pydict({"gram": gram.view(np.int64), "n": times})
 
         for w, _ in parts(batches, Powers()):
-            two = np.flatnonzero(w.leads[: w.counted])
-            held += [w.hash[: w.counted], pairs_of(w.hash[two], w.hash[two + 1])]
-            n += w.counted + len(two)
+            for size, at, hashes in going(w, kept):
+                if size in sizes:
+                    held.append(hashes[: np.searchsorted(at, w.counted)])
+                    n += len(held[-1])
             if n >= HASHES:
                 yield counted()
                 held, n = [], 0
@@ -137,25 +155,28 @@ def frequent(rows: DataFrame, least: int) -> BitMap:
     return BitMap.of(found, "gram", BitMap.bits_for(found.count()))
 
 
+def frequent_grams(rows: DataFrame, least: int) -> dict[int, BitMap]:
+    """Maps of words, pairs and triples; triples are counted of frequent pairs alone."""
+    short = frequent(rows, least, (1, 2), {})
+    kept = {1: short, 2: short}
+    return kept | {3: frequent(rows, least, (3,), kept)}
+
+
 NAMES = [f"w{k + 1}" for k in range(LONGEST)]
 
 
-def windows(rows: DataFrame, kept: BitMap) -> DataFrame:
+def windows(rows: DataFrame, kept: dict[int, BitMap]) -> DataFrame:
     """lang, w1 to w4, n: counted windows of rows (lang, text), '' where a piece ends or nothing frequent follows. Rare words count in
     windows of '' alone. A window may stand in several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, langs in parts(batches, Powers()):
             known, first, ids = np.unique(w.hash, return_index=True, return_inverse=True)
-            pad = len(known)
-            one = kept.has(known)[ids]
-            two = np.flatnonzero(w.leads)
-            going = np.zeros(len(ids), bool)
-            going[two] = one[two] & one[two + 1] & kept.has(pairs_of(w.hash[two], w.hash[two + 1]))
-            columns, on = [np.where(one, ids, pad)], one
-            for k in range(1, LONGEST):  # lead columns: the k-th next word, while all up to it go on
-                on = on & np.append(going[k - 1 :], np.zeros(k - 1, bool))[: len(ids)]
-                columns.append(np.where(on, np.append(ids[k:], np.full(k, pad))[: len(ids)], pad))
+            pad, reach = len(known), np.zeros(len(ids), np.int64)
+            for _, at, _ in going(w, kept):
+                reach[at] += 1
+            # lead columns: the k-th next word, where the window reaches that far
+            columns = [np.where(reach > k, np.append(ids[k:], np.full(k, pad))[: len(ids)], pad) for k in range(LONGEST)]
             columns = [c[: w.counted] for c in columns]
             # rare words of different languages are different windows
             language = np.unique(np.array(langs, object), return_inverse=True)[1][w.lang[: w.counted]]
@@ -178,7 +199,7 @@ def grams(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", text_col:
     least so often in one language's pieces; and for each language a row without words: the number of all its words. A null
     language is 'und', a null text empty; rows repeated count as often as they stand. A language without a word has no row."""
     rows = picked(docs, lang=lang_col, text=text_col).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    rolled = windows(rows, frequent(rows, least)).rollup("lang", *NAMES).agg(F.sum("n").alias("n"), F.grouping_id().alias("away"))
+    rolled = windows(rows, frequent_grams(rows, least)).rollup("lang", *NAMES).agg(F.sum("n").alias("n"), F.grouping_id().alias("away"))
     size = F.lit(LONGEST) - F.log2(F.col("away") + 1).cast("int")  # away has a bit for each column summed over, the last columns' first
     words = F.slice(F.array(*NAMES), F.lit(1), size)
     found = rolled.where(f"away < {1 << LONGEST}").select("lang", words.alias("words"), "n").where((F.size("words") == 0) | (F.col("n") >= least) & (F.element_at("words", -1) != ""))

@@ -13,24 +13,32 @@ from .graph import distances, incidence
 PAIR = ["area_id", "request_id"]
 
 
-def simple_paths(segments: DataFrame, pairs: DataFrame, rest: DataFrame) -> DataFrame:
-    """All paths without a repeated node from src to dst that are no longer than bound_m: area_id, request_id, segs, lens, nodes, m. pairs: area_id,
-    request_id, src, dst, bound_m; rest: the way length m from each node to dst. Paths grow a segment a round, and only where what is
-    left at least keeps them within the bound."""
+def shortest_paths(segments: DataFrame, pairs: DataFrame, rest: DataFrame, most: int) -> DataFrame:
+    """The `most` shortest paths without a repeated node of each request, none longer than its cap: area_id, request_id, segs, lens, nodes, m.
+    pairs: area_id, request_id, src, dst, cap_m; rest: the way length m from each node to dst.
+
+    Partial paths deviate at every node, a segment a round, for all requests at once. One is as long as what it has walked and the way left
+    from its end, and exactly so where no node of it is nearer the goal than its end: the shortest way on then comes by none of them.
+    Partial paths of a round are apart from each other, so where `most` of them (or whole ones) are exact, whatever is longer than all these can't
+    be among the `most` shortest, and goes. Equal lengths (to a millimetre) go by their nodes, then by their segments."""
     ways = cut(incidence(segments.withColumnRenamed("seg", "edge").where("a <> b")).withColumnRenamed("edge", "seg"))
     left = rest.select(*PAIR, F.col("node").alias("other"), F.col("m").alias("left_m"))
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    front, done = cut(pairs.where("src <> dst").select(*PAIR, "dst", "bound_m", F.col("src").alias("node"), none("long").alias("segs"), none("double").alias("lens"), F.array("src").alias("nodes"), F.lit(0.0).alias("m"))), []
-    while not front.isEmpty():
-        steps = front.join(ways, ["area_id", "node"]).where(~F.array_contains("nodes", F.col("other"))).join(left, [*PAIR, "other"]).where(F.col("m") + F.col("length_m") + F.col("left_m") <= F.col("bound_m"))
+    first = pairs.where("src <> dst").join(rest.select(*PAIR, F.col("node").alias("src"), F.col("m").alias("left_m")), [*PAIR, "src"])
+    # nearest_m: the least way left from a node passed before the end
+    now = cut(first.select(*PAIR, "dst", "cap_m", F.col("src").alias("node"), none("long").alias("segs"), none("double").alias("lens"), F.array("src").alias("nodes"), F.lit(0.0).alias("m"), "left_m", F.lit(float("inf")).alias("nearest_m")))
+    ahead = Window.partitionBy(*PAIR).orderBy("r", "nodes", "segs").rowsBetween(Window.unboundedPreceding, -1)
+    while not now.where("node <> dst").isEmpty():
+        steps = now.where("node <> dst").withColumn("nearest_m", F.least("nearest_m", "left_m")).drop("left_m")
+        steps = steps.join(ways, ["area_id", "node"]).where(~F.array_contains("nodes", F.col("other"))).join(left, [*PAIR, "other"]).where(F.col("m") + F.col("length_m") + F.col("left_m") <= F.col("cap_m"))
         grown = steps.select(
-            *PAIR, "dst", "bound_m", F.col("other").alias("node"), F.array_append("segs", F.col("seg")).alias("segs"), F.array_append("lens", F.col("length_m")).alias("lens"),
-            F.array_append("nodes", F.col("other")).alias("nodes"), (F.col("m") + F.col("length_m")).alias("m"),
+            *PAIR, "dst", "cap_m", F.col("other").alias("node"), F.array_append("segs", F.col("seg")).alias("segs"), F.array_append("lens", F.col("length_m")).alias("lens"),
+            F.array_append("nodes", F.col("other")).alias("nodes"), (F.col("m") + F.col("length_m")).alias("m"), "left_m", "nearest_m",
         )
-        grown = cut(grown)
-        done.append(grown.where("node = dst").select(*PAIR, "segs", "lens", "nodes", "m"))
-        front = grown.where("node <> dst")
-    return reduce(DataFrame.unionByName, done) if done else front.select(*PAIR, "segs", "lens", "nodes", "m")
+        ranked = now.where("node = dst").unionByName(grown).withColumn("r", F.round(F.col("m") + F.col("left_m"), 3))
+        exact = F.coalesce(F.sum((F.col("nearest_m") >= F.col("left_m")).cast("int")).over(ahead), F.lit(0))
+        now = cut(ranked.withColumn("ahead", exact).where(F.col("ahead") < most).drop("ahead", "r"))
+    return now.select(*PAIR, "segs", "lens", "nodes", "m")
 
 
 def distinct_paths(found: DataFrame, k: int, overlap: float, most: int) -> DataFrame:
@@ -52,23 +60,12 @@ def distinct_paths(found: DataFrame, k: int, overlap: float, most: int) -> DataF
 
 
 def k_shortest(segments: DataFrame, pairs: DataFrame, k: int, overlap: float, most: int) -> DataFrame:
-    """The k shortest distinct ways of each request (area_id, request_id, src, dst, cap_m): area_id, request_id, place, m, segs, lens, nodes. Paths are
-    sought up to a bound that grows, for the requests that still lack some, until it is the cap or `most` paths have been looked at."""
-    network = segments.withColumnRenamed("seg", "edge")
+    """The k shortest distinct ways of each request (area_id, request_id, src, dst, cap_m): area_id, request_id, place, m, segs, lens, nodes. They
+    are looked for among the `most` shortest paths, as in the model."""
     goals = pairs.select(*PAIR, F.col("dst").alias("node"), F.lit(0.0).alias("m"), "cap_m")
-    rest = cut(distances(goals, network, float("inf")).select(*PAIR, "node", "m"))
-    asked = cut(pairs.join(rest.select(*PAIR, F.col("node").alias("src"), F.col("m").alias("shortest_m")), [*PAIR, "src"]).where("src <> dst"))
-    done, factor = [], 1.0
-    while not asked.isEmpty():
-        bound = F.least("cap_m", F.col("shortest_m") * factor + 1e-6)
-        now = asked.withColumn("bound_m", bound)
-        found = cut(distinct_paths(simple_paths(segments, now, rest), k, overlap, most).join(now.select(*PAIR, "bound_m", "cap_m"), PAIR))
-        settled = (F.size("kept") >= k) | (F.col("n") >= most) | (F.col("bound_m") >= F.col("cap_m"))
-        done.append(found.where(settled).select(*PAIR, "kept"))
-        asked, factor = cut(asked.join(found.where(settled).select(*PAIR), PAIR, "left_anti")), factor * 1.25
-    if not done:
-        return asked.select(*PAIR, F.lit(0).alias("place"), F.lit(0.0).alias("m"), *(F.array().cast(f"array<{t}>").alias(c) for c, t in (("segs", "long"), ("lens", "double"), ("nodes", "struct<y bigint, x bigint>"))))
-    kept = reduce(DataFrame.unionByName, done).select(*PAIR, F.posexplode("kept").alias("place", "p"))
+    rest = cut(distances(goals, segments.withColumnRenamed("seg", "edge"), float("inf")).select(*PAIR, "node", "m"))
+    found = shortest_paths(segments, pairs, rest, most)
+    kept = distinct_paths(found, k, overlap, most).select(*PAIR, F.posexplode("kept").alias("place", "p"))
     return kept.select(*PAIR, (F.col("place") + 1).alias("place"), "p.m", "p.segs", "p.lens", "p.nodes")
 
 

@@ -199,7 +199,8 @@ def grams(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", text_col:
     least so often in one language's pieces; and for each language a row without words: the number of all its words. A null
     language is 'und', a null text empty; rows repeated count as often as they stand. A language without a word has no row."""
     rows = picked(docs, lang=lang_col, text=text_col).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    rolled = windows(rows, frequent_grams(rows, least)).rollup("lang", *NAMES).agg(F.sum("n").alias("n"), F.grouping_id().alias("away"))
+    counted = windows(rows, frequent_grams(rows, least)).groupBy("lang", *NAMES).agg(F.sum("n").alias("n"))  # the longest windows alone are shuffled in number
+    rolled = counted.rollup("lang", *NAMES).agg(F.sum("n").alias("n"), F.grouping_id().alias("away"))
     size = F.lit(LONGEST) - F.log2(F.col("away") + 1).cast("int")  # away has a bit for each column summed over, the last columns' first
     words = F.slice(F.array(*NAMES), F.lit(1), size)
     found = rolled.where(f"away < {1 << LONGEST}").select("lang", words.alias("words"), "n").where((F.size("words") == 0) | (F.col("n") >= least) & (F.element_at("words", -1) != ""))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from test_geometry import vertices
 from trailspark.functions.registry import POI_KINDS
-from trailspark.operators import graph, inventory
+from trailspark.operators import graph, inventory, loops
 from trailspark.params import Criteria, Params
 from trailspark.plans import modes, search
 
@@ -38,7 +38,7 @@ def test_a_ring_is_one_self_loop_and_a_stem_is_no_loop(spark):
 def test_loops_of_parallel_trails(spark):
     edges = network(spark, [[S, M, T], [S, N, T], [S, B, T]])
     net = modes.contracted(edges)
-    assert graph.loops(net.segments, 0.0, 1e5, 12).count() == 3
+    assert loops.search(net.segments, 0.0, 1e5, 12, 1000).found.count() == 3
     out = modes.compose_loops(net, 0.0, 1e5).collect()
     assert out and all(0.05 <= r.compactness <= 1 for r in out)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import geometry, graph
+from .operators import geometry, graph, loops
 from .operators.lineage import cut
 from .params import Criteria
 from .plans import modes
@@ -73,7 +73,32 @@ cycles AS (SELECT area_id, start, m FROM path WHERE cur = start AND m >= {BAND[0
 
 @query((fixture.SQL + ",\n" + CYCLES).replace("WITH ln", "WITH RECURSIVE ln", 1) + "\nSELECT area_id, round(m, 1) AS length_m, count(*) AS n FROM cycles GROUP BY ALL", base=False)
 def loops_in_band(spark: SparkSession, d: str) -> DataFrame:
-    return graph.loops(net(spark, d).segments, *BAND, P.compose_max_segments).groupBy("area_id", F.round("length_m", 1).alias("length_m")).agg(F.count("*").alias("n"))
+    return loops.search(net(spark, d).segments, *BAND, P.compose_max_segments, P.compose_budget).found.groupBy("area_id", F.round("length_m", 1).alias("length_m")).agg(F.count("*").alias("n"))
+
+
+#: The least band of the settings, up to where all areas of the fixture are searched to the end.
+DAY = (P.compose_min_km * 1000, 5000.0)
+SEGMENTS = CHAINS + """,
+part AS (SELECT e.area_id, e.a, e.b, e.length_m, coalesce(l.seg, (e.a, e.b)) AS seg FROM edges e LEFT JOIN lab l ON l.area_id = e.area_id AND l.e = (e.a, e.b)),
+tips AS (SELECT area_id, seg, min(n) AS a, max(n) AS b FROM (SELECT area_id, seg, n FROM (SELECT area_id, seg, a AS n FROM part UNION ALL SELECT area_id, seg, b FROM part) GROUP BY ALL HAVING count(*) = 1) GROUP BY ALL),
+sums AS (SELECT area_id, seg, sum(length_m) AS length_m FROM part GROUP BY ALL),
+segs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY s.area_id, s.seg) AS k, s.area_id, t.a, t.b, s.length_m FROM sums s LEFT JOIN tips t ON t.area_id = s.area_id AND t.seg = s.seg)"""
+DAY_LOOPS = SEGMENTS + f""",
+sinc AS MATERIALIZED (SELECT area_id, a AS n, b AS o, k, length_m FROM segs WHERE a IS NOT NULL UNION ALL SELECT area_id, b, a, k, length_m FROM segs WHERE a IS NOT NULL),
+half AS (SELECT 1 AS h, area_id, n AS start, o AS node, k AS first, [o] AS nodes, length_m AS m FROM sinc WHERE o > n
+  UNION ALL SELECT h + 1, p.area_id, p.start, i.o, p.first, list_append(p.nodes, i.o), p.m + i.length_m FROM half p JOIN sinc i ON i.area_id = p.area_id AND i.n = p.node WHERE h < {(P.compose_max_segments + 2) // 2} AND i.o > p.start AND p.m + i.length_m <= {DAY[1]} AND NOT list_contains(p.nodes, i.o)),
+rounds AS (SELECT x.area_id, x.m + y.m AS m FROM half x JOIN half y ON y.area_id = x.area_id AND y.start = x.start AND y.node = x.node AND y.h IN (x.h, x.h - 1) AND x.h + y.h <= {P.compose_max_segments + 1}
+    AND x.first < y.first WHERE x.m + y.m BETWEEN {DAY[0]} AND {DAY[1]} AND NOT list_has_any(x.nodes[:-2], y.nodes[:-2])
+  UNION ALL SELECT area_id, length_m FROM segs WHERE a IS NULL AND length_m BETWEEN {DAY[0]} AND {DAY[1]})"""
+
+
+@query((fixture.SQL + ",\n" + DAY_LOOPS).replace("WITH ln", "WITH RECURSIVE ln", 1) + "\nSELECT area_id, count(*) AS found, round(min(m), 1) AS shortest_m, round(max(m), 1) AS longest_m, round(sum(m) / 1000, 3) AS total_km, FALSE AS capped FROM rounds GROUP BY area_id", base=False)
+def day_loops(spark: SparkSession, d: str) -> DataFrame:
+    """All loops of 3 to 5 km and of as many segments as the settings allow, and whether the budget ended an area's search."""
+    sought = loops.search(net(spark, d).segments, *DAY, P.compose_max_segments, P.compose_budget)
+    m = F.col("length_m")
+    found = sought.found.groupBy("area_id").agg(F.count("*").alias("found"), F.round(F.min(m), 1).alias("shortest_m"), F.round(F.max(m), 1).alias("longest_m"), F.round(F.sum(m) / 1000, 3).alias("total_km"))
+    return found.join(sought.areas.select("area_id", "capped"), "area_id")
 
 
 RINGS = CYCLES + """,
@@ -88,13 +113,12 @@ shape AS (SELECT area_id, nodes, any_value(m) AS m, 4 * pi() * abs(sum(x * ny -
 
 @query((fixture.SQL + ",\n" + ROUND).replace("WITH ln", "WITH RECURSIVE ln", 1) + "\nSELECT area_id, round(m, 1) AS length_m, round(compactness, 4) AS compactness, count(*) AS n FROM shape GROUP BY ALL", base=False)
 def loop_compactness(spark: SparkSession, d: str) -> DataFrame:
-    shaped, _ = modes.shaped_loops(net(spark, d), *BAND, P)
-    return shaped.groupBy("area_id", F.round("length_m", 1).alias("length_m"), F.round("compactness", 4).alias("compactness")).agg(F.count("*").alias("n"))
+    return modes.shaped_loops(net(spark, d), *BAND, P).loops.groupBy("area_id", F.round("length_m", 1).alias("length_m"), F.round("compactness", 4).alias("compactness")).agg(F.count("*").alias("n"))
 
 
 @query((fixture.SQL + ",\n" + ROUND).replace("WITH ln", "WITH RECURSIVE ln", 1) + "\nSELECT area_id, count(*) AS found, count(*) FILTER (WHERE compactness < 5e-2) AS slivered FROM shape GROUP BY area_id", base=False)
 def loop_funnel(spark: SparkSession, d: str) -> DataFrame:
-    return modes.funnel(net(spark, d), *BAND, P).select("area_id", "found", "slivered")
+    return modes.funnel(net(spark, d), *BAND, P).where("found > 0").select("area_id", "found", "slivered")
 
 
 @query((fixture.SQL + ",\n" + RINGS).replace("WITH ln", "WITH RECURSIVE ln", 1) + f"""
@@ -102,16 +126,16 @@ SELECT area_id, round(m, 1) AS length_m, count(*) AS n FROM (SELECT DISTINCT spo
   SEMI JOIN (SELECT c.area_id, c.nodes FROM spots c JOIN pois q ON q.area_id = c.area_id AND q.kind = 'ruins' AND {hav_sql("c.lat", "c.lon", "q.lat", "q.lon")} <= 400) r ON r.area_id = spots.area_id AND r.nodes = spots.nodes) GROUP BY ALL""", base=False)
 def loops_anchored(spark: SparkSession, d: str) -> DataFrame:
     """Loops that come within reach of parking and of a ruin."""
-    shaped, ring = modes.shaped_loops(net(spark, d), *BAND, P)
-    met = graph.anchored(ring, [(fixture.parking(spark, d), 300.0), (pois(spark, d).where("kind = 'ruins'"), 400.0)])
-    return shaped.join(met, ["area_id", "id"]).groupBy("area_id", F.round("length_m", 1).alias("length_m")).agg(F.count("*").alias("n"))
+    sought = modes.shaped_loops(net(spark, d), *BAND, P)
+    met = graph.anchored(sought.ring, [(fixture.parking(spark, d), 300.0), (pois(spark, d).where("kind = 'ruins'"), 400.0)])
+    return sought.loops.join(met, ["area_id", "id"]).groupBy("area_id", F.round("length_m", 1).alias("length_m")).agg(F.count("*").alias("n"))
 
 
 @query((fixture.SQL + ",\n" + RINGS).replace("WITH ln", "WITH RECURSIVE ln", 1) + f"""
 SELECT area_id, request_id, count(*) AS n, round(min(d), 3) AS nearest_m FROM (SELECT spots.area_id, p.feature_id AS request_id, nodes, min({hav_sql("spots.lat", "spots.lon", "p.lat", "p.lon")}) AS d FROM spots JOIN parking p ON p.area_id = spots.area_id GROUP BY ALL) WHERE d <= 1000 GROUP BY ALL""", base=False)
 def loops_near_points(spark: SparkSession, d: str) -> DataFrame:
     """How many loops pass each parking place, and how near the nearest begins."""
-    _, ring = modes.shaped_loops(net(spark, d), *BAND, P)
+    ring = modes.shaped_loops(net(spark, d), *BAND, P).ring
     asked = walkers(spark, d).withColumnRenamed("point_id", "request_id")
     met = graph.anchored(ring, [(asked, P.around_radius_m)]).join(asked, ["area_id", "request_id"])
     d = graph.haversine_m(F.col("start.lat"), F.col("start.lon"), F.col("lat"), F.col("lon"))

@@ -105,28 +105,6 @@ def two_core(segments: DataFrame, rooted: DataFrame | None = None) -> DataFrame:
         left = n
 
 
-def loops(segments: DataFrame, min_m: float, max_m: float, max_segments: int) -> DataFrame:
-    """Simple cycles of min_m to max_m, each once: area_id, start (its smallest node), segs (sorted), walk and nodes (segments and the nodes
-    they begin at, in walking order), length_m. Paths grow a segment at a time from their smallest node and stop at max_m; self-loops in the band count."""
-    core = two_core(segments)
-    ways = cut(incidence(core.withColumnRenamed("seg", "edge")).withColumnRenamed("edge", "seg"))
-    paths = ways.where("other > node").select("area_id", F.col("node").alias("start"), F.col("other").alias("cur"), F.array("seg").alias("segs"), F.array("node", "other").alias("nodes"), F.col("length_m").alias("m")).where(F.col("m") <= max_m)
-    found = None
-    for _ in range(max_segments):
-        paths = cut(paths)
-        if paths.isEmpty():
-            break
-        steps = paths.withColumnRenamed("cur", "node").join(ways, ["area_id", "node"]).where((F.col("other") >= F.col("start")) & (F.col("m") + F.col("length_m") <= max_m) & ~F.array_contains("segs", F.col("seg")))
-        steps = steps.select("area_id", "start", F.col("other").alias("cur"), F.array_append("segs", F.col("seg")).alias("segs"), "nodes", (F.col("m") + F.col("length_m")).alias("m"))
-        closed = steps.where((F.col("cur") == F.col("start")) & (F.col("m") >= min_m)).select("area_id", "start", "segs", "nodes", "m")
-        found = closed if found is None else found.unionByName(closed)
-        paths = steps.where((F.col("cur") != F.col("start")) & ~F.array_contains("nodes", F.col("cur"))).withColumn("nodes", F.array_append("nodes", F.col("cur")))
-    alone = segments.where((F.col("a") == F.col("b")) & F.col("length_m").between(min_m, max_m)).select("area_id", F.col("a").alias("start"), F.array("seg").alias("segs"), F.array("a").alias("nodes"), F.col("length_m").alias("m"))
-    both = alone if found is None else found.unionByName(alone)
-    each = both.withColumn("walk", F.col("segs")).withColumn("segs", F.array_sort("segs")).groupBy("area_id", "segs").agg(F.min(F.struct("start", "nodes", "walk", "m")).alias("l"))
-    return each.select("area_id", "l.start", "segs", "l.walk", "l.nodes", F.col("l.m").alias("length_m"))
-
-
 def ring(loops: DataFrame, paths: DataFrame) -> DataFrame:
     """Every node of each loop in walking order, the first again at the end: area_id, id, pos, node."""
     steps = loops.select("area_id", "id", F.posexplode(F.arrays_zip("walk", "nodes")).alias("leg", "z")).select("area_id", "id", "leg", F.col("z.walk").alias("seg"), F.col("z.nodes").alias("node"))

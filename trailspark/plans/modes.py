@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from ..operators import criteria as rules
-from ..operators import geometry, graph, paths
+from ..operators import geometry, graph, loops, paths
 from ..operators.lineage import cut
 from ..params import Criteria, Params
 from . import search
@@ -43,22 +43,33 @@ def contracted(edges: DataFrame, keep: DataFrame | None = None) -> Network:
     return Network(edges, parts, segments)
 
 
-def shaped_loops(net: Network, min_m: float, max_m: float, params: Params) -> tuple[DataFrame, DataFrame]:
-    """All loops of min_m to max_m (area_id, id, start, segs, walk, nodes, length_m, compactness), and their places (area_id, id, pos, lat, lon)."""
-    found = cut(graph.loops(net.segments, min_m, max_m, params.compose_max_segments).withColumn("id", F.concat_ws(",", F.col("segs").cast("array<string>"))))
+@dataclass(frozen=True)
+class Shaped:
+    """loops: area_id, id, start, segs, walk, nodes, length_m, compactness; ring, their places: area_id, id, pos, lat, lon; areas: how far the
+    search came in each area (area_id, tried, up_to, capped)."""
+
+    loops: DataFrame
+    ring: DataFrame
+    areas: DataFrame
+
+
+def shaped_loops(net: Network, min_m: float, max_m: float, params: Params) -> Shaped:
+    """The loops of min_m to max_m, as far as each area's budget goes."""
+    sought = loops.search(net.segments, min_m, max_m, params.compose_max_segments, params.compose_budget)
+    found = cut(sought.found.withColumn("id", F.concat_ws(",", F.col("segs").cast("array<string>"))))
     ring = cut(graph.ring(found, graph.segment_paths(net.steps)).join(graph.node_places(net.edges), ["area_id", "node"]))
-    return cut(found.join(geometry.compactness(ring, ["area_id", "id"]), ["area_id", "id"])), ring
+    return Shaped(cut(found.join(geometry.compactness(ring, ["area_id", "id"]), ["area_id", "id"])), ring, sought.areas)
 
 
 def compose_loops(net: Network, min_m: float, max_m: float, params: Params = Params(), anchors: list[tuple[DataFrame, float]] | None = None) -> DataFrame:
     """The roundest distinct loops: area_id, id, start, segs, walk, nodes, length_m, compactness, place, anchor. Thin loops go first, then those that do
     not come within reach of each anchor (features, radius), then near duplicates of shorter ones, then all but the roundest. Where the
     first anchor's features are requests (request_id), each has loops of its own."""
-    shaped, ring = shaped_loops(net, min_m, max_m, params)
-    shaped = shaped.where(F.col("compactness") >= params.compose_min_compactness)
+    sought = shaped_loops(net, min_m, max_m, params)
+    shaped = sought.loops.where(F.col("compactness") >= params.compose_min_compactness)
     keys = ["area_id"]
     if anchors:
-        met = graph.anchored(ring, anchors)
+        met = graph.anchored(sought.ring, anchors)
         keys += ["request_id"] if "request_id" in met.columns else []
         shaped = cut(shaped.join(met.withColumnRenamed("start", "anchor"), ["area_id", "id"]))
     else:
@@ -73,12 +84,13 @@ def loops_around(net: Network, requests: DataFrame, min_m: float, max_m: float,
 
 
 def funnel(net: Network, min_m: float, max_m: float, params: Params = Params()) -> DataFrame:
-    """area_id, found, slivered (too thin), distinct (after near duplicates), shown."""
-    shaped, _ = shaped_loops(net, min_m, max_m, params)
+    """A row an area: area_id, found, slivered (too thin), distinct (after near duplicates), shown, capped (the budget ended the search), up_to
+    (segments up to which all loops are among the found)."""
+    sought = shaped_loops(net, min_m, max_m, params)
     thin = F.col("compactness") < params.compose_min_compactness
-    counts = shaped.groupBy("area_id").agg(F.count("*").alias("found"), F.count(F.when(thin, 1)).alias("slivered"))
-    kept = graph.collapse(cut(shaped.where(~thin)), net.segments, params.compose_overlap_frac).groupBy("area_id").agg(F.count("*").alias("distinct"))
-    out = counts.join(kept, "area_id", "left").na.fill(0, ["distinct"])
+    counts = sought.loops.groupBy("area_id").agg(F.count("*").alias("found"), F.count(F.when(thin, 1)).alias("slivered"))
+    kept = graph.collapse(cut(sought.loops.where(~thin)), net.segments, params.compose_overlap_frac).groupBy("area_id").agg(F.count("*").alias("distinct"))
+    out = sought.areas.select("area_id", "capped", "up_to").join(counts, "area_id", "left").join(kept, "area_id", "left").na.fill(0, ["found", "slivered", "distinct"])
     return out.withColumn("shown", F.least("distinct", F.lit(params.compose_max_loops)))
 
 

@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +107,7 @@ class Aligner:
         for entry, i in entries.items():
             self.bytes_a[i] = bytes(alphabet[c] for c in entry if c in alphabet)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(pieces.MARK, " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
+        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.size_a, self.size_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         # bytes that are a piece and a byte piece both are the piece's
         found = {x: i for last in (True, False) for i, x in enumerate(self.bytes_b) if self.b.is_byte(i) is last and not self.b.is_control(i) and not self.b.is_unknown(i)}
@@ -125,12 +126,14 @@ class Aligner:
 
     def align(self, keys: list[str]) -> Aligned:
         ids_a, ids_b = self.ids(keys)
-        joined = lambda side, of: b"".join(map(of.__getitem__, side))
+        whole = [(" " + k).encode() for k in keys]
         fine = np.ones(len(keys), bool)
-        for i, k in enumerate(keys):
-            whole = (" " + k).encode()
-            if joined(ids_b[i], self.bytes_b) != whole or joined(ids_a[i], self.bytes_a) != whole:
-                fine[i], ids_a[i], ids_b[i] = False, [], []
+        for ids, of in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+            own = [b"".join(map(of.__getitem__, x)) for x in ids]
+            if own != whole:
+                fine &= [x == y for x, y in zip(own, whole, strict=True)]
+        for i in np.flatnonzero(~fine):
+            ids_a[i], ids_b[i] = [], []
         past_a, past_b = (np.cumsum(list(map(len, side)), dtype=np.int64) for side in (ids_a, ids_b))
         a, b = (np.fromiter(chain.from_iterable(side), np.int64, past[-1] if len(past) else 0) for side, past in ((ids_a, past_a), (ids_b, past_b)))
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
@@ -140,9 +143,9 @@ class Aligner:
 
         left, right = a[np.searchsorted(ends_a, ends)], b[np.searchsorted(ends_b, ends)]
         same, key = self.same[left] == right, np.repeat(np.arange(len(keys)), numbers[:, 3])
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        to_a, to_b = np.searchsorted(ends_a, cuts, "right").tolist(), np.searchsorted(ends_b, cuts, "right").tolist()
-        groups = [f"{','.join(text_a[a0:a1])}|{','.join(text_b[b0:b1])}" for a0, a1, b0, b1 in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
+        text_a, text_b = map(self.names.__getitem__, a.tolist()), map(self.names.__getitem__, b.tolist())
+        n_a, n_b = (np.diff(np.searchsorted(e, cuts, "right"), prepend=0).tolist() for e in (ends_a, ends_b))
+        groups = [f"{next(text_a)}|{next(text_b)}" if i == j == 1 else f"{','.join(islice(text_a, i))}|{','.join(islice(text_b, j))}" for i, j in zip(n_a, n_b, strict=True)]
         to = np.cumsum(numbers[:, 2]).tolist()
         sizes = lambda which: np.bincount(key[which], minlength=len(keys))
         return Aligned(fine, numbers, [";".join(groups[i:j]) for i, j in zip([0, *to], to, strict=False)], Rows(left[same], sizes(same)), Rows((left * len(self.bytes_b) + right)[~same], sizes(~same)))

@@ -255,10 +255,24 @@ def shortest_route(spark: SparkSession, d: str) -> DataFrame:
     return ways_between(spark, d)[1].where("place = 1").select("area_id", "place", F.round("m", 2).alias("m"))
 
 
-@query()
+#: Segments that also end at the places asked for; all paths of 2.5 km at most that the way left allows; the 200 shortest; of them the first
+#: three that share no more than 0.6 of their length with one before.
+ASKED_SEGMENTS = SEGMENTS.replace("tip ", "touch ").replace("FROM tip", "FROM touch").replace("HAVING count(*) = 2)", "HAVING count(*) = 2 AND (area_id, node) NOT IN (SELECT (area_id, src) FROM asked UNION ALL SELECT (area_id, dst) FROM asked))", 1)
+WAYS_SQL = f"""sinc AS MATERIALIZED (SELECT area_id, a AS n, b AS o, k, length_m FROM segs WHERE a IS NOT NULL UNION ALL SELECT area_id, b, a, k, length_m FROM segs WHERE a IS NOT NULL),
+trip AS (SELECT area_id, dst, src AS cur, [src] AS nodes, []::BIGINT[] AS parts, []::DOUBLE[] AS lens, 0e0 AS m FROM asked WHERE src <> dst
+  UNION ALL SELECT p.area_id, p.dst, i.o, list_append(p.nodes, i.o), list_append(p.parts, i.k), list_append(p.lens, i.length_m), p.m + i.length_m FROM trip p JOIN sinc i ON i.area_id = p.area_id AND i.n = p.cur JOIN least g ON g.area_id = p.area_id AND g.src = p.dst AND g.dst = i.o
+    WHERE p.cur <> p.dst AND p.m + i.length_m + g.m <= 2500 AND NOT list_contains(p.nodes, i.o)),
+placed AS MATERIALIZED (SELECT area_id, m, parts, lens, row_number() OVER (PARTITION BY area_id ORDER BY round(m, 3), nodes) AS k FROM trip WHERE cur = dst QUALIFY k <= {P.routes_max_paths}),
+pick AS (SELECT area_id, 0::BIGINT AS k, []::BIGINT[][] AS kept, []::DOUBLE[] AS ms FROM asked
+  UNION ALL SELECT area_id, k, CASE WHEN alike THEN kept ELSE list_append(kept, parts) END, CASE WHEN alike THEN ms ELSE list_append(ms, m) END FROM (SELECT p.area_id, w.k, p.kept, p.ms, w.parts, w.m,
+    len(p.kept) >= {P.routes_k} OR len(list_filter(p.kept, lambda q: coalesce(list_sum(list_filter(w.lens, lambda x, i: list_contains(q, w.parts[i]))), 0) > {P.routes_overlap_frac} * w.m)) > 0 AS alike FROM pick p JOIN placed w ON w.area_id = p.area_id AND w.k = p.k + 1))"""
+
+
+@query((fixture.SQL + ",\n" + ASKED + ",\n" + ASKED_SEGMENTS + ",\n" + WALKS.removeprefix(EDGES + ",\n") + ",\nlegs AS (SELECT area_id, dst AS src FROM asked),\n" + LEAST + ",\n" + WAYS_SQL).replace("WITH ln", "WITH RECURSIVE ln", 1) + """
+SELECT area_id, place, round(ms[place], 2) AS m, len(kept[place]) AS n_segments FROM (SELECT area_id, ms, kept, unnest(range(1, len(ms) + 1)) AS place FROM pick QUALIFY k = max(k) OVER (PARTITION BY area_id))""", base=False)
 def k_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     """Up to three distinct ways between two places of each area, of 2.5 km at most."""
-    return ways_between(spark, d)[1].select("area_id", "place", r3("m"), F.size("segs").alias("n_segments"))
+    return ways_between(spark, d)[1].select("area_id", "place", F.round("m", 2).alias("m"), F.size("segs").alias("n_segments"))
 
 
 @query()

@@ -47,9 +47,13 @@ def is_circular(roundtrip: Column, rank: Column, gap_m: Column, length_m: Column
 
 
 def shapes(routes: DataFrame, vertices: DataFrame, line: DataFrame, params: Params = Params()) -> DataFrame:
+    """What shapes_of gives, of routes' vertices."""
+    return shapes_of(routes, segments(vertices), line, params)
+
+
+def shapes_of(routes: DataFrame, segs: DataFrame, line: DataFrame, params: Params = Params()) -> DataFrame:
     """area_id, route_id, length_m (of all ways), rank, head, tail and gap_m (of the stitched line), circular. Routes whose line has less
-    than two points are left out. line: what stitch.stitch gives."""
-    segs = segments(vertices)
+    than two points are left out. segs: what geometry.segments gives; line: what stitch.stitch gives."""
     base = line_ends(line).join(route_lengths(segs), ROUTE).join(circuit_ranks(welded(segs)), ROUTE, "left").join(routes.select(*ROUTE, "tags"), ROUTE)
     base = base.withColumn("gap_m", haversine_m(F.col("head.lat"), F.col("head.lon"), F.col("tail.lat"), F.col("tail.lon")))
     return base.select(*ROUTE, "length_m", "n_ways", F.coalesce("rank", F.lit(0)).alias("rank"), "head", "tail", "gap_m", is_circular(tag(F.col("tags"), "roundtrip"), F.col("rank"), F.col("gap_m"), F.col("length_m"), params).alias("circular"))

@@ -45,11 +45,12 @@ class Tables:
 
 @dataclass(frozen=True)
 class Measured:
-    """Rows of measured routes, and the stitched lines of the same routes."""
+    """Rows of measured routes, and the stitched lines, open ends and segments of the same routes; each written once."""
 
     rows: DataFrame
     line: DataFrame
     ends: DataFrame
+    segs: DataFrame
 
 
 def candidates(tables: Tables, c: Criteria) -> Tables:
@@ -60,23 +61,25 @@ def candidates(tables: Tables, c: Criteria) -> Tables:
     return replace(tables, routes=tables.routes.where("not is_ferrata"), vertices=tables.vertices.join(cabled, ROUTE, "left_anti"))
 
 
-def of_right_length(tables: Tables, c: Criteria, p: Params, margin_km: float) -> Tables:
-    """Routes within the distance bounds (give or take the margin) and not too long for their area: known from lengths alone."""
-    length = geometry.route_lengths(geometry.segments(tables.vertices)).join(tables.areas, "area_id", "left")
+def of_right_length(tables: Tables, c: Criteria, p: Params, margin_km: float) -> tuple[Tables, DataFrame]:
+    """Routes within the distance bounds (give or take the margin) and not too long for their area, known from lengths alone; and their segments."""
+    segs = cut(geometry.segments(tables.vertices))
+    length = geometry.route_lengths(segs).join(tables.areas, "area_id", "left")
     diagonal, km = haversine_m(F.col("south"), F.col("west"), F.col("north"), F.col("east")), F.round(F.col("length_m") / 1000, 2)
     fits = F.coalesce(F.col("length_m") <= p.max_route_factor * diagonal, F.lit(True))
     fits = fits if c.min_distance_km is None else fits & (km >= c.min_distance_km - margin_km)
     fits = fits if c.max_distance_km is None else fits & (km <= c.max_distance_km + margin_km)
     kept = cut(length.where(fits).select(*ROUTE))
-    return replace(tables, routes=tables.routes.join(kept, ROUTE, "left_semi"), vertices=cut(tables.vertices.join(kept, ROUTE, "left_semi")))
+    own = replace(tables, routes=tables.routes.join(kept, ROUTE, "left_semi"), vertices=cut(tables.vertices.join(kept, ROUTE, "left_semi")))
+    return own, cut(segs.join(kept, ROUTE, "left_semi"))
 
 
 def measured(tables: Tables, c: Criteria, p: Params, margin_km: float = 0.0) -> Measured:
     """All that is known of each candidate without elevation."""
-    t = of_right_length(candidates(tables, c), c, p, margin_km)
-    line, segs = cut(stitch.stitch(t.vertices)), geometry.segments(t.vertices)
+    t, segs = of_right_length(candidates(tables, c), c, p, margin_km)
+    line = cut(stitch.stitch(t.vertices))
     ends = cut(geometry.termini(geometry.welded(segs)))
-    shape = cut(measure.shapes(t.routes, t.vertices, line, p))
+    shape = cut(measure.shapes_of(t.routes, segs, line, p))
     points = cut(measure.access_points(shape, line, ends))
     flags = t.areas.select("area_id", *(F.coalesce(f, F.lit(False)).alias(f) for f in ("transit_recorded", "way_tags_recorded")))
     read = t.ways.join(flags.where("way_tags_recorded").select("area_id"), "area_id", "left_semi")
@@ -93,7 +96,7 @@ def measured(tables: Tables, c: Criteria, p: Params, margin_km: float = 0.0) ->
     for column in ("transit_distance_m", "transit_near", "transit_type"):
         rows = rows.withColumn(column, F.when(known, F.col(column)))
     rows = rows.withColumn("distance_km", F.round(F.col("length_m") / 1000, 2)).withColumn("n_pois", F.coalesce(F.size("pois"), F.lit(0)))
-    return Measured(rows.na.fill(False, ["car_access", "chairlift_access"]), line, ends)
+    return Measured(cut(rows.na.fill(False, ["car_access", "chairlift_access"])), line, ends, segs)
 
 
 def samples(rows: DataFrame, line: DataFrame, p: Params) -> DataFrame:
@@ -121,16 +124,22 @@ def tracks(rows: DataFrame, line: DataFrame, lookup: Lookup, p: Params) -> DataF
     return points.groupBy(*ROUTE).agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lon", F.col("elev").alias("ele")))).alias("track"))
 
 
-def starts(m: Measured, tables: Tables, p: Params) -> DataFrame:
-    """area_id, route_id, start: where one gets onto each measured route."""
-    points = measure.end_points(m.rows, m.ends)
+def described(rows: DataFrame, m: Measured, tables: Tables, p: Params) -> DataFrame:
+    """Some measured rows with surface (struct<value, fraction, coverage> of the commonest surface; null where none is known) and start (where one
+    gets onto the route)."""
+    own = rows.select(*ROUTE)
+    read = tables.ways.join(tables.areas.where("way_tags_recorded").select("area_id"), "area_id", "left_semi")
+    mix = measure.tag_mix(m.segs.join(own, ROUTE, "left_semi"), read, "surface").where("place = 1").select(*ROUTE, F.struct("value", "fraction", "coverage").alias("surface"))
+    ends = m.ends.join(own, ROUTE, "left_semi")
+    points = measure.end_points(rows, ends)
     matched = measure.matched_access(points, tables.parking, p.car_radius_m).unionByName(measure.matched_access(points, tables.lifts, p.lift_radius_m))
-    return measure.route_starts(m.rows, m.ends, matched)
+    return rows.join(mix, ROUTE, "left").join(measure.route_starts(rows, ends, matched), ROUTE, "left")
 
 
 def search(tables: Tables, c: Criteria, lookup: Lookup, p: Params = Params(), near: str = "off") -> DataFrame:
-    """Matches of each area, most gain first, unknown gain last; then near misses with notes. near: off, always, or auto (in areas with
-    fewer matches than near_miss_trigger). Elevation is looked up for strict survivors; for near misses only where they are wanted."""
+    """Matches of each area with surface and start, most gain first, unknown gain last; then near misses with notes. near: off, always, or auto
+    (in areas with fewer matches than near_miss_trigger). Elevation is looked up for strict survivors; for near misses only where they are
+    wanted; surfaces and starts are sought for what is returned."""
     m = measured(tables, c, p, 0.0 if near == "off" else p.near_miss_dist_km)
     strict = rules.accepts_geometry(c)
     sure = cut(elevated(m.rows.where(strict), m.line, lookup, p))
@@ -142,7 +151,7 @@ def search(tables: Tables, c: Criteria, lookup: Lookup, p: Params = Params(), ne
             pool, missed = pool.join(enough, "area_id", "left_anti"), missed.join(enough, "area_id", "left_anti")
         close = missed.unionByName(elevated(cut(pool), m.line, lookup, p))
         out = out.unionByName(close.withColumn("near_miss", F.lit(True)).withColumn("notes", rules.near_miss_notes(c, p)).where(F.col("notes").isNotNull()))
-    return out.orderBy("area_id", "near_miss", F.desc_nulls_last("gain_m"), "seq", "route_id")
+    return described(cut(out), m, tables, p).orderBy("area_id", "near_miss", F.desc_nulls_last("gain_m"), "seq", "route_id")
 
 
 def notices(tables: Tables, c: Criteria) -> DataFrame:

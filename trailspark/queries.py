@@ -568,9 +568,7 @@ def described(spark: SparkSession, d: str) -> tuple[DataFrame, search.Measured]:
     """All routes as a search without criteria finds them, with surface, start and summary."""
     tables = fixture.search_tables(spark, d)
     m = search.measured(tables, Criteria(), P)
-    read = tables.ways.join(tables.areas.where("way_tags_recorded").select("area_id"), "area_id", "left_semi")
-    mix = measure.tag_mix(segs(spark, d), read, "surface").where("place = 1").select(*ROUTE, F.struct("value", "fraction", "coverage").alias("surface"))
-    rows = search.elevated(m.rows, m.line, lookup(spark, d), P).join(mix, ROUTE, "left").join(search.starts(m, tables, P), ROUTE)
+    rows = search.described(cut(search.elevated(m.rows, m.line, lookup(spark, d), P)), m, tables, P)
     rows = rows.withColumn("near_miss", F.lit(False)).withColumn("notes", F.lit(None).cast("array<string>")).withColumn("place_name", F.lit(None).cast("string"))
     return cut(rows.withColumn("line", export.summary_line())), m
 

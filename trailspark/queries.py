@@ -700,4 +700,4 @@ def padded_boxes(spark: SparkSession, d: str) -> DataFrame:
     return bounds.select(*ROUTE, F.round(south, 6).alias("south"), F.round(north, 6).alias("north"))
 
 
-from . import file_queries, linear_queries, network_queries  # noqa: E402, F401
+from . import document_queries, file_queries, linear_queries, network_queries  # noqa: E402, F401

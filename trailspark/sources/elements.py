@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import lift_kind, poi_kind, relation_is_ferrata, tag, transit_kind, way_is_ferrata
+from ..operators.lineage import cut
 
 POINT = "struct<lat double, lon double>"
 #: One element; area_id and pos (its place in the input) come with it.
@@ -65,3 +71,73 @@ def routes(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def display_name(name: Column, ref: Column, route_id: Column) -> tuple[Column, Column]:
     """Name, else reference, else route/<id>; and whether it has neither."""
     return F.coalesce(name, ref, F.concat(F.lit("route/"), route_id)).alias("name"), (name.isNull() & ref.isNull()).alias("unnamed")
+
+
+#: An element's text, without what read adds to it.
+TEXT = ELEMENT.removeprefix("area_id int, pos long, ")
+#: Strings and brackets of JSON.
+TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]')
+
+
+def read_documents(spark: SparkSession, path: str, area: str = r"([0-9]+)\.[a-z]+$") -> DataFrame:
+    """Elements of documents {..., "elements": [...]}, with pos in the order of the document. area: a pattern whose first group is the area in a
+    file's name.
+
+    A line break never stands inside a JSON string, so documents are read as lines, block by block, whatever their size. What a block opens
+    and closes is counted first; from that each block knows how deep it begins. Elements that go over the end of a block are put
+    together from their pieces. A document in one line is read by one task; one that is cut short gives its whole elements."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str]]:
+        for b in batches:
+            yield from zip(*(b[c].to_pylist() for c in ("path", "start", "value")), strict=True)
+
+    def depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name, start), rows in groupby(blocks(batches), lambda x: x[:2]):
+            opened = sum((m[0] in "{[") - (m[0] in "}]") for _, _, line in rows for m in TOKEN.finditer(line))
+            yield pa.RecordBatch.from_pydict({"path": [name], "start": [start], "opened": pa.array([opened], pa.int64())})
+
+    # a row a block: as many as the scan has splits, which the driver lists anyway
+    each = lines.mapInArrow(depths, "path string, start long, opened long").groupBy("path", "start").agg(F.sum("opened").alias("opened"))
+    before = Window.partitionBy("path").orderBy("start")
+    known = each.select("path", "start", (F.sum("opened").over(before) - F.col("opened")).alias("depth"), (F.row_number().over(before) - 1).alias("block"))
+    at = {(r.path, r.start): (r.depth, r.block) for r in known.collect()}
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Elements and pieces of them: begins and ends say whether a piece has the element's own first and last sign."""
+        for key, rows in groupby(blocks(batches), lambda x: x[:2]):
+            depth, block = at[key]
+            out, piece, begins, n = [], [] if depth > 2 else None, False, 0
+            for _, _, line in rows:
+                first = 0
+                for m in TOKEN.finditer(line):
+                    if m[0] in "{[":
+                        if m[0] == "{" and depth == 2:
+                            piece, begins, first = [], True, m.start()
+                        depth += 1
+                    elif m[0] in "}]":
+                        depth -= 1
+                        if depth == 2 and m[0] == "}" and piece is not None:
+                            piece.append(line[first : m.end()])
+                            out.append(("\n".join(piece), begins, True, (block << 40) + n))
+                            piece, n = None, n + 1
+                if piece is not None:
+                    piece.append(line[first:])
+                if len(out) > 1000:
+                    yield batch(key[0], out)
+                    out.clear()
+            if piece:
+                out.append(("\n".join(piece), begins, False, (block << 40) + n))
+            yield batch(key[0], out)
+
+    def batch(name: str, rows: list[tuple]) -> pa.RecordBatch:
+        text, begins, ends, pos = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.RecordBatch.from_pydict({"path": pa.array([name] * len(rows), pa.string()), "text": pa.array(text, pa.string()), "begins": pa.array(begins, pa.bool_()), "ends": pa.array(ends, pa.bool_()), "pos": pa.array(pos, pa.int64())})
+
+    found = cut(lines.mapInArrow(cut_out, "path string, text string, begins boolean, ends boolean, pos long"))
+    pieces = found.where("not (begins and ends)")  # two a block at most
+    whose = F.last(F.when(F.col("begins"), F.col("pos")), ignorenulls=True).over(Window.partitionBy("path").orderBy("pos", F.desc("begins")))
+    joined = pieces.withColumn("own", whose).groupBy("path", "own").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"), F.max("ends").alias("whole"))
+    every = found.where("begins and ends").select("path", "pos", "text").unionByName(joined.where("whole").select("path", F.col("own").alias("pos"), "text"))
+    rows = every.select(F.regexp_extract("path", area, 1).cast("int").alias("area_id"), "pos", F.from_json("text", TEXT).alias("e")).select("area_id", "pos", "e.*")
+    return rows.where("type is not null and id is not null")

@@ -24,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Seconds after which cut asks the JVM to collect its garbage: until it does, Spark's own cleaner doesn't learn of dead shuffles either.
+COLLECT_EVERY = 15.0
+_collected = 0.0
 #: Folders that cut has written, each with a weak reference to what plans hold of it.
 _tables: list[tuple[str, object]] = []
 
@@ -37,7 +40,9 @@ def remove(spark: SparkSession, folder: str) -> None:
 def sweep(spark: SparkSession, collect: bool = False) -> int:
     """Deletes the tables of cut that no plan reads any more: those of DataFrames that are gone, as are all made from them. That is known
     once the JVM has collected its garbage, which collect asks for. Returns how many tables are left."""
+    global _collected
     if collect:
+        _collected = time.monotonic()
         gc.collect()
         time.sleep(0.2)  # Python lets go of the JVM's objects in a thread of its own
         spark._jvm.System.gc()
@@ -58,7 +63,7 @@ def cut(df: DataFrame) -> DataFrame:
     readers take the columns that they need, and the planner knows its size. The table goes some time after its last reader; see sweep."""
     spark = df.sparkSession
     to = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    sweep(spark)
+    sweep(spark, time.monotonic() - _collected > COLLECT_EVERY)
     df.write.parquet(to)
     out = spark.read.schema(df.schema).parquet(to)
     files = out._jdf.queryExecution().analyzed().relation().location()  # every plan made from out holds it

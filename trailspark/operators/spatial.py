@@ -1,4 +1,9 @@
-"""Radius joins by grid cells: an equi-join on the cell, then the exact distance."""
+"""Radius joins by grid cells: an equi-join on the cell, then the exact distance.
+
+Cells that hold more than DENSE features are split by that number: their features are dealt over parts, and what looks for them asks
+each part. So no task gets a whole city's objects, and sparse cells, nearly all, are joined as they are. Cells that are dense with points are
+left to the planner, which splits them.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE_M, haversine_m, to_segment
+from .lineage import cut
 
 #: A cell is a little larger than the radius.
 MARGIN = 1.05
+#: Features of one join key.
+DENSE = 2000
+CELL = ["area_id", "cell_y", "cell_x"]
 
 
 def _row(lat: Column, radius_m: float) -> Column:
@@ -34,11 +43,22 @@ def spread(features: DataFrame, radius_m: float) -> DataFrame:
     return rows.withColumn("cell_x", F.explode(F.sequence(x - 1, x + 1)))
 
 
+def met(cells: DataFrame, features: DataFrame) -> DataFrame:
+    """Rows of cells (area_id, cell_y, cell_x, ...) with the features of the same cells, both sides by parts where there are many."""
+    dense = cut(features.groupBy(*CELL).agg(F.ceil(F.count("*") / DENSE).alias("parts")).where("parts > 1"))
+    if dense.isEmpty():
+        return cells.join(features, CELL).drop("cell_y", "cell_x")
+    parts = F.coalesce("parts", F.lit(1))
+    asked = cells.join(dense, CELL, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    dealt = features.join(dense, CELL, "left").withColumn("part", F.pmod(F.xxhash64("feature_id", "f_lat", "f_lon"), parts)).drop("parts")
+    return asked.join(dealt, [*CELL, "part"]).drop("cell_y", "cell_x", "part")
+
+
 def near(points: DataFrame, features: DataFrame, radius_m: float) -> DataFrame:
     """All pairs of a point (area_id, lat, lon, ...) and a feature (area_id, feature_id, kind, name, lat, lon) of its area within
     radius_m, with d. Exact at any latitude up to 87 degrees."""
     f = features.select("area_id", "feature_id", "kind", F.col("name").alias("f_name"), F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"))
-    pairs = celled(points, radius_m).join(spread(f, radius_m), ["area_id", "cell_y", "cell_x"]).drop("cell_y", "cell_x")
+    pairs = met(celled(points, radius_m), spread(f, radius_m))
     return pairs.withColumn("d", haversine_m(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon"))).where(F.col("d") <= radius_m)
 
 
@@ -52,6 +72,6 @@ def near_segments(segs: DataFrame, features: DataFrame, radius_m: float) -> Data
     f = features.select("area_id", "feature_id", "kind", F.col("name").alias("f_name"), F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"))
     keys = [c for c in segs.columns]
     cells = celled(probes, reach, "p_lat", "p_lon").select(*keys, "cell_y", "cell_x").distinct()
-    pairs = cells.join(spread(f, reach), ["area_id", "cell_y", "cell_x"]).drop("cell_y", "cell_x").distinct()
+    pairs = met(cells, spread(f, reach)).distinct()
     d, t = to_segment(F.col("f_lat"), F.col("f_lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     return pairs.withColumn("d", d).withColumn("t", t).where(F.col("d") <= radius_m)

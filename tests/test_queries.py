@@ -11,7 +11,7 @@ from trailspark.queries import QUERIES, SQL
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 #: Those that stand for the others in quick runs; all are run by the driver.
-CHOSEN = ["route_length", "resample_points", "termini", "circuit_rank", "surface_mix", "ferrata_summary", "poi_classify", "clip_to_box", "gain_loss", "smooth_series", "elevation_gain", "incremental_fill", "lift_access", "route_pois", "poi_inventory", "ferrata_inventory", "feature_split", "place_parse", "coverage_gaps", "area_catalog", "micro_edges", "trail_segments", "loops_in_band", "loops_anchored", "shortest_paths", "route_via", "search_by_transit", "summary_lines", "shapes_of_turned_ways", "two_core", "snap_points", "poi_candidates"]
+CHOSEN = ["route_length", "resample_points", "termini", "circuit_rank", "surface_mix", "ferrata_summary", "poi_classify", "clip_to_box", "gain_loss", "smooth_series", "elevation_gain", "incremental_fill", "lift_access", "route_pois", "poi_inventory", "ferrata_inventory", "feature_split", "place_parse", "coverage_gaps", "area_catalog", "micro_edges", "trail_segments", "loops_in_band", "loops_anchored", "shortest_paths", "route_via", "search_by_transit", "summary_lines", "shapes_of_turned_ways", "two_core", "snap_points", "poi_candidates", "day_loops", "k_shortest_paths", "sub_polylines", "span_surface_runs", "gpx_files", "element_documents", "lift_ends"]
 
 
 @pytest.fixture(scope="module")

@@ -1,13 +1,13 @@
-"""Registered queries on parts of lines between two positions, each with its SQL."""
+"""Registered queries on parts of lines between two positions and on rasters of several steps, each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import geometry, linear
+from .operators import elevation, geometry, linear
 from .operators.lineage import cut
-from .queries import query, r3, segs
+from .queries import SAMPLES, query, r3, samples, segs
 from .sources import fixture
 
 #: Of every route: its middle half; 500 m back to 100 m; all of it and more.
@@ -60,3 +60,29 @@ def span_surface_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of one surface between two positions of every route, in walking order."""
     steps, ways = middle_spans(spark, d)
     return linear.tag_runs(steps, ways, "surface").select(*linear.SPAN, F.col("run").cast("long").alias("run"), "value", r3(F.col("to_m") - F.col("from_m"), "m"))
+
+
+#: A coarse raster over all and a fine one over the middle, which lies on top; all areas share them. Their edges lie off the lattice.
+RASTERS = ((0, 50.1003, 14.9004, 1e-3, 1.5e-3, 200, 160, "500 + (tile_row * 7 + tile_col * 3) % 211", "(tile_row * 31 + tile_col * 17) % 97"), (1, 50.0303, 14.9804, 2.5e-4, 3.75e-4, 160, 120, "700 + (tile_row * 5 + tile_col * 11) % 173", "(tile_row * 13 + tile_col * 29) % 89"))
+
+
+def rasters(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """tiles and cells as elevation.tile_lookup takes them."""
+    tiles = spark.createDataFrame([(k, n - rows * y, w, n, w + cols * x, y, x) for k, n, w, y, x, rows, cols, _, _ in RASTERS], "tile_ord int, south double, west double, north double, east double, lat_step double, lon_step double")
+    parts = [spark.range(rows * cols).select(F.lit(k).alias("tile_ord"), F.expr(f"id div {cols}").alias("tile_row"), (F.col("id") % cols).alias("tile_col")).select("*", F.expr(f"if({none} = 0, null, cast({elev} as double))").alias("elev")) for k, _, _, _, _, rows, cols, elev, none in RASTERS]
+    return tiles, parts[0].unionByName(parts[1])
+
+
+def raster_sql() -> str:
+    """What each raster says of each sample, as columns e0 and e1."""
+    one = lambda k, n, w, y, x, rows, cols, elev, none: f"""CASE WHEN lat > {n}::DOUBLE - {rows} * {y}::DOUBLE AND lat <= {n}::DOUBLE AND own >= {w}::DOUBLE AND own < {w}::DOUBLE + {cols} * {x}::DOUBLE THEN (SELECT CASE WHEN {none} = 0 THEN NULL ELSE ({elev})::DOUBLE END FROM (SELECT floor(({n}::DOUBLE - lat) / {y}::DOUBLE)::BIGINT AS tile_row, floor((own - {w}::DOUBLE) / {x}::DOUBLE)::BIGINT AS tile_col)) END AS e{k}"""
+    return ", ".join(one(*r) for r in RASTERS)
+
+
+@query(SAMPLES + f""",
+placed AS (SELECT area_id, route_id, idx, lat, lon - area_id * 2e-1 AS own FROM samples)
+SELECT area_id, route_id, idx, coalesce(e1, e0) AS elev FROM (SELECT *, {raster_sql()} FROM placed)""")
+def mixed_dem(spark: SparkSession, d: str) -> DataFrame:
+    """The sample points' elevations from two rasters of different steps."""
+    points = samples(spark, d).withColumn("lon", F.col("lon") - F.col("area_id") * 2e-1)
+    return elevation.tile_lookup(points, *rasters(spark)).select(*geometry.ROUTE, "idx", "elev")

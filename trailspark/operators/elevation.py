@@ -15,6 +15,27 @@ def dem_lookup(points: DataFrame, cells: DataFrame) -> DataFrame:
     return points.join(flat, ["grid_row", "grid_col"], "left")
 
 
+#: Degrees of the index by which points find tiles.
+INDEX_DEG = 0.25
+
+
+def tile_lookup(points: DataFrame, tiles: DataFrame, cells: DataFrame) -> DataFrame:
+    """points (lat, lon, ...) and elev from rasters of any extents and steps. tiles: tile_ord, south, west, north, east, lat_step, lon_step; cells:
+    tile_ord, tile_row (0 at the north), tile_col (0 in the west), elev. A tile holds its north and west edges, not the others. Of
+    the tiles that have an elevation at a place the last counts; null cells let those below through; elsewhere elev is null.
+
+    Distinct places meet the tiles that touch their square of the index, and within the bounds a place's cell follows from the tile's
+    own origin and step, so rasters of different steps need not be brought to one grid."""
+    square = lambda x: F.floor(x / INDEX_DEG)
+    known = tiles.withColumn("sy", F.explode(F.sequence(square(F.col("south")), square(F.col("north"))))).withColumn("sx", F.explode(F.sequence(square(F.col("west")), square(F.col("east")))))
+    places = points.select("lat", "lon").distinct().withColumn("sy", square(F.col("lat"))).withColumn("sx", square(F.col("lon")))
+    inside = (F.col("lat") > F.col("south")) & (F.col("lat") <= F.col("north")) & (F.col("lon") >= F.col("west")) & (F.col("lon") < F.col("east"))
+    row, col = F.floor((F.col("north") - F.col("lat")) / F.col("lat_step")), F.floor((F.col("lon") - F.col("west")) / F.col("lon_step"))
+    held = places.join(known, ["sy", "sx"]).where(inside).select("lat", "lon", "tile_ord", row.alias("tile_row"), col.alias("tile_col"))
+    found = held.join(cells.where(F.col("elev").isNotNull()), ["tile_ord", "tile_row", "tile_col"]).groupBy("lat", "lon").agg(F.max_by("elev", "tile_ord").alias("elev"))
+    return points.join(found, ["lat", "lon"], "left").select(*points.columns, "elev")
+
+
 def keyed(points: DataFrame) -> DataFrame:
     """points (lat, lon) with lat_key and lon_key, their place to 7 decimals."""
     return points.withColumn("lat_key", coordinate_key(F.col("lat"))).withColumn("lon_key", coordinate_key(F.col("lon")))

@@ -120,10 +120,48 @@ def test_raster_lookup_takes_the_last_tile_that_has_a_value(spark):
     assert {r.p: r.elev for r in elevation.dem_lookup(points, cells).collect()} == {1: 2.0, 2: 3.0, 3: None}
 
 
-def test_ways_are_chained_turned_and_left_out():
-    a, b, c, d, far = (50.0, 15.0), (50.0, 15.01), (50.0, 15.02), (50.0, 14.99), (51.0, 15.0)
-    assert stitch.chain([[a, b], [c, b], [d, a], [far, (51.0, 15.1)]]) == [d, a, b, c]
-    assert stitch.chain([]) == [] and stitch.chain([[a]]) == []
+def line_of_ways(ways, reach=30.0):
+    """One line, way by way: the first other way that fits either end, tail before head; its places in walking order."""
+    left = [w for w in ways if len(w) > 1]
+    if not left:
+        return []
+    out = left.pop(0)
+    while True:
+        for w in left:
+            near = lambda p, q: hav(p, q) <= reach
+            if near(out[-1], w[0]):
+                new = out + w[1:]
+            elif near(out[-1], w[-1]):
+                new = out + w[::-1][1:]
+            elif near(out[0], w[-1]):
+                new = w[:-1] + out
+            elif near(out[0], w[0]):
+                new = w[::-1][:-1] + out
+            else:
+                continue
+            left.remove(w)
+            out = new
+            break
+        else:
+            return out
+
+
+def test_ways_are_chained_turned_and_left_out(spark):
+    """Random ways on few places, some within reach of others, some of one point or of several; equal to the line made way by way."""
+    rng, rows, want = random.Random(12), [], {}
+    for route in range(60):
+        places = [(50 + 0.01 * k, 15.0) for k in range(6)]
+        ways = []
+        for _ in range(rng.randint(1, 9)):
+            w = rng.sample(places, rng.choice([1, 2, 2, 2, 3]))
+            ways.append([(y + rng.choice([0.0, 0.0001, 0.0004]), x) for y, x in w])
+        rows += [r for k, w in enumerate(ways) for r in line(w, route=route, way=3 * k)]
+        want[route] = line_of_ways(ways)
+    got = {}
+    for r in stitch.stitch(vertices(spark, rows)).orderBy("route_id", "pos").collect():
+        got.setdefault(r.route_id, []).append((r.lat, r.lon))
+        assert r.pos == len(got[r.route_id]) - 1
+    assert got == {k: v for k, v in want.items() if v}
 
 
 def test_lines_of_broken_routes_cover_their_ways(spark):

@@ -2,15 +2,17 @@
 
 The line begins as the first way and takes in, again and again, the first other way that continues one of its two ends within a
 tolerance; ways that never fit are left out. Where each way already begins at the end of the one before, that is the ways as they
-come, and no Python is needed; other routes are chained one by one, as each choice hangs on those before.
+come, and no Python is needed; of other routes the ends of the ways are packed and chained, as each choice hangs on those before,
+and the points follow from that without Python.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,18 +57,32 @@ def order_of(heads: np.ndarray, tails: np.ndarray, tolerance_m: float = TOLERANC
     return list(line)
 
 
-def chain(ways: list[list[tuple]], tolerance_m: float = TOLERANCE_M) -> list[tuple]:
-    """The points of the line. Where two ways meet, the line keeps the point that it had before."""
-    ways = [w for w in ways if len(w) > 1]
-    if not ways:
-        return []
-    order = order_of(np.array([w[0] for w in ways], float), np.array([w[-1] for w in ways], float), tolerance_m)
-    first, out = next(k for k, (way, _) in enumerate(order) if way == 0), []
-    for k, (way, turned) in enumerate(order):
-        points = ways[way][::-1] if turned else ways[way]
-        # a way after the first gives up its first point, one before it its last
-        out += points[1:] if k > first else points[:-1] if k < first else points
-    return out
+def orders(ends: DataFrame, tolerance_m: float) -> DataFrame:
+    """area_id, route_id, way_idx, place (in the line), turned, side (-1 before the first way, 0, 1 after it) of the ways that a line takes in.
+    ends: area_id, route_id, way_idx, head, tail (structs of lat, lon). Only the ends of ways go to Python, many routes a batch."""
+    packed = ends.groupBy(*ROUTE).agg(F.array_sort(F.collect_list(F.struct("way_idx", "head", "tail"))).alias("w"))
+    flat = lambda end: F.flatten(F.transform("w", lambda x: F.array(x[end]["lat"], x[end]["lon"]))).alias(end)
+    packed = packed.select(*ROUTE, F.transform("w", lambda x: x["way_idx"]).alias("ways"), flat("head"), flat("tail"))
+    kind = dict(ends.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = {c: b[c].flatten().to_numpy() for c in ("ways", "head", "tail")}
+            n = b["ways"].value_lengths().to_numpy()
+            row, way, place, turned, side = [], [], [], [], []
+            for k, (first, size) in enumerate(zip(np.cumsum(n) - n, n, strict=True)):
+                at = slice(2 * first, 2 * (first + size))
+                line = order_of(flat["head"][at].reshape(-1, 2), flat["tail"][at].reshape(-1, 2), tolerance_m)
+                start = next(i for i, (w, _) in enumerate(line) if w == 0)
+                row += [k] * len(line)
+                way += [first + w for w, _ in line]
+                place += range(len(line))
+                turned += [t for _, t in line]
+                side += [int(np.sign(i - start)) for i in range(len(line))]
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_pydict({"area_id": b["area_id"].take(at), "route_id": b["route_id"].take(at), "way_idx": pa.array(flat["ways"][np.array(way, np.int64)]), "place": pa.array(place, pa.int64()), "turned": pa.array(turned, pa.bool_()), "side": pa.array(side, pa.int64())})
+
+    return packed.mapInArrow(run, f"area_id {kind['area_id']}, route_id {kind['route_id']}, way_idx {kind['way_idx']}, place long, turned boolean, side long")
 
 
 def stitch(vertices: DataFrame, tolerance_m: float = TOLERANCE_M) -> DataFrame:
@@ -77,14 +93,15 @@ def stitch(vertices: DataFrame, tolerance_m: float = TOLERANCE_M) -> DataFrame:
     new_way = before("way_idx").isNotNull() & (before("way_idx") != F.col("way_idx"))
     rows = rows.withColumn("joint", F.coalesce(new_way, F.lit(False))).withColumn("gap", F.when(F.col("joint"), haversine_m(before("lat"), before("lon"), F.col("lat"), F.col("lon"))))
     rows = rows.withColumn("in_order", F.coalesce(F.max("gap").over(Window.partitionBy(*ROUTE)), F.lit(0.0)) <= tolerance_m)
-    kind = dict(vertices.dtypes)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["way_idx", "vtx_idx"])
-        line = chain([list(zip(w["lat"], w["lon"])) for _, w in part.groupby("way_idx")], tolerance_m)
-        return pd.DataFrame({"area_id": part["area_id"].iloc[0], "route_id": part["route_id"].iloc[0], "pos": range(len(line)), "lat": [p[0] for p in line], "lon": [p[1] for p in line]})
-
-    chained = rows.where("not in_order").select(*ROUTE, "way_idx", "vtx_idx", "lat", "lon").groupBy(*ROUTE).applyInPandas(run, f"area_id {kind['area_id']}, route_id {kind['route_id']}, pos long, lat double, lon double")
+    loose = rows.where("not in_order").select(*ROUTE, "way_idx", "vtx_idx", "lat", "lon")
+    at = F.struct("lat", "lon")
+    ends = loose.groupBy(*ROUTE, "way_idx").agg(F.min_by(at, "vtx_idx").alias("head"), F.max_by(at, "vtx_idx").alias("tail"), F.min("vtx_idx").alias("low"), F.max("vtx_idx").alias("high"))
+    placed = orders(ends, tolerance_m).join(ends.select(*ROUTE, "way_idx", "low", "high"), [*ROUTE, "way_idx"])
+    # a way after the first gives up the point that it begins at, one before it the point that it ends at
+    given = F.when(F.col("side") == 0, None).when((F.col("side") > 0) != F.col("turned"), F.col("low")).otherwise(F.col("high"))
+    walked = Window.partitionBy(*ROUTE).orderBy("place", F.when(F.col("turned"), -F.col("vtx_idx")).otherwise(F.col("vtx_idx")))
+    kept = loose.join(placed.select(*ROUTE, "way_idx", "place", "turned", given.alias("given")), [*ROUTE, "way_idx"]).where(F.col("given").isNull() | (F.col("vtx_idx") != F.col("given")))
+    chained = kept.select(*ROUTE, (F.row_number().over(walked) - 1).cast("long").alias("pos"), "lat", "lon")
     plain = rows.where("in_order and not joint").select(*ROUTE, (F.row_number().over(along()) - 1).cast("long").alias("pos"), "lat", "lon")
     return plain.unionByName(chained)
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.geo import haversine_m, weld_key
 from .components import components, cut
@@ -65,10 +68,10 @@ def segment_steps(contracted: DataFrame, segments: DataFrame) -> DataFrame:
     step = lambda x, y: F.struct("edge", F.col(x).alias("from"), F.col(y).alias("to"), F.col("length_m").alias("m"), "tags")
     short = rows.where("n_edges = 1").select("area_id", "seg", "a", F.array(F.when(F.col("u") == F.col("a"), step("u", "v")).otherwise(step("v", "u"))).alias("steps"))
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        key = lambda n: (n["y"], n["x"])
-        at, used, out, around = key(part["a"].iloc[0]), set(), [], defaultdict(list)
-        for edge, u, v, m, tags in sorted(zip(part["edge"], map(key, part["u"]), map(key, part["v"]), part["length_m"], part["tags"]), key=lambda e: e[1:3]):
+    def walk(at: tuple, edges: list[tuple]) -> list[dict]:
+        """From node `at` along edges (edge, u, v, m, tags), at each node by the one whose ends come first."""
+        used, out, around = set(), [], defaultdict(list)
+        for edge, u, v, m, tags in sorted(edges, key=lambda e: e[1:3]):
             around[u].append((edge, v, m, tags))
             around[v].append((edge, u, m, tags))
         while ways := [x for x in around[at] if x[0] not in used]:
@@ -76,12 +79,20 @@ def segment_steps(contracted: DataFrame, segments: DataFrame) -> DataFrame:
             used.add(edge)
             out.append({"edge": edge, "from": {"y": at[0], "x": at[1]}, "to": {"y": to[0], "x": to[1]}, "m": m, "tags": tags})
             at = to
-        return pd.DataFrame({"area_id": [part["area_id"].iloc[0]], "seg": [part["seg"].iloc[0]], "a": [part["a"].iloc[0]], "steps": [out]})
+        return out
 
     node, area = "struct<y bigint, x bigint>", dict(contracted.dtypes)["area_id"]
     kind = f"area_id {area}, seg long, a {node}, steps array<struct<edge bigint, `from` {node}, `to` {node}, m double, tags string>>"
-    long = rows.where("n_edges > 1").groupBy("area_id", "seg").applyInPandas(walk, kind)
-    return short.unionByName(long)
+    arrow = to_arrow_schema(StructType.fromDDL(kind))
+    long = rows.where("n_edges > 1").groupBy("area_id", "seg", "a").agg(F.collect_list(F.struct("edge", "u", "v", "length_m", "tags")).alias("edges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = lambda n: (n["y"], n["x"])
+        for batch in batches:
+            steps = [walk(key(a), [(e["edge"], key(e["u"]), key(e["v"]), e["length_m"], e["tags"]) for e in edges]) for a, edges in zip(batch["a"].to_pylist(), batch["edges"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["area_id"], batch["seg"], batch["a"].cast(arrow.field("a").type), pa.array(steps, arrow.field("steps").type)], schema=arrow)
+
+    return short.unionByName(long.mapInArrow(run, kind))
 
 
 def segment_paths(steps: DataFrame) -> DataFrame:

@@ -89,8 +89,8 @@ class ChunkTable:
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids: the ids of each whole text and an end id. A null text counts as empty: the end id alone. Repeated
-    rows and null ids stay as they are; an empty table gives an empty one."""
+    """doc_id, ids: the ids of each whole text, of any length, and an end id. A null text counts as empty: the end id alone. Repeated
+    rows and null ids stay as they are; an empty table gives an empty one; other columns are left out, whatever their names."""
     return mapped(
         picked(docs, doc_id=id_col, text=text_col),
         lambda rows, known: {"doc_id": rows["doc_id"], "ids": known.encode(rows["text"].to_pylist())},
@@ -100,7 +100,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """encoded (doc_id, ids) and the decoded text. Null or empty ids give an empty text."""
+    """encoded (doc_id, ids) and the decoded text, of any length. Null or empty ids give an empty text; repeated rows and null doc_ids stay; an
+    empty table gives an empty one; other columns of encoded, one named text among them, are left out."""
     return mapped(
         encoded.select("doc_id", "ids"),
         lambda rows, sp: {"doc_id": rows["doc_id"], "ids": rows["ids"], "text": pa.array(sp.decode([x or [] for x in rows["ids"].to_pylist()], num_threads=1), pa.string())},

@@ -138,8 +138,8 @@ def scores(texts: list[str | None], words: Words, bias: float) -> list[float]:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score of every whole text. Null and empty texts get the score of the bias alone; repeated rows and null ids
-    stay; an empty table gives an empty one."""
+    """doc_id, score of every whole text, of any length. Null and empty texts get the score of the bias alone; repeated rows and null ids
+    stay; an empty table gives an empty one; other columns are left out, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the input
     return mapped(
         picked(docs, doc_id=id_col, text=text_col),

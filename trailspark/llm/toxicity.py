@@ -353,7 +353,8 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, in all their columns, whose text scores below the threshold."""
+    """The rows of docs, in all their columns, whose text scores below the threshold. Null and empty texts score as the bias alone does; rows
+    that share an id, or have none, are judged each by its own text; columns of any name stay as they are; an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
     names = docs.columns
     at = names.index("text")

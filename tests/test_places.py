@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from trailspark.operators import measure, spatial
+from trailspark.operators import measure, spatial, stitch
 from trailspark.queries import QUERIES, SQL
 from trailspark.sources import fixture
 
@@ -92,3 +92,11 @@ def shared(spark, tmp_path):
 def test_shared_places_give_what_sql_gives(spark, shared, name):
     got, want = compared(spark, shared, name)
     assert got == want and got
+
+
+def test_a_line_reads_its_vertices_once(spark):
+    """Once stitched, a line reads only what was written of the vertices."""
+    v = spark.createDataFrame([(0, r, w, k, 50.0 + 0.001 * (w + k), 15.0) for r in range(4) for w in range(3) for k in (0, 1)], "area_id int, route_id long, way_idx int, vtx_idx int, lat double, lon double")
+    line = stitch.stitch(v)
+    assert "ExistingRDD" not in line._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.route_id, r.pos, round(r.lat, 6)) for r in line.collect()) == [(r, p, round(50.0 + 0.001 * p, 6)) for r in range(4) for p in range(4)]

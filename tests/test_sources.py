@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from trailspark import document_queries
 from trailspark.operators import export, inventory
+from trailspark.operators.lineage import cut
 from trailspark.sources import elements, store
 
 
@@ -71,6 +73,19 @@ def test_documents_are_read_in_order_whatever_their_size_and_layout(spark, tmp_p
     assert [(r.area_id, *plain(r.asDict(recursive=True))) for r in rows] == [(a, *plain(e)) for a, es in ((1, some(1)), (2, some(2)), (3, some(3)[:1])) for e in es]
 
 
+def test_an_element_in_one_line_is_found_by_its_end():
+    line = '{"a": "}", "b": [{"c": 1}]}, {"d"'
+    assert line[: elements.end_of(line, 0)] == '{"a": "}", "b": [{"c": 1}]}' and elements.end_of(line, line.index('{"d"')) == 0 and elements.end_of("{" * 9, 0) == 0
+    assert elements.end_of('{"a":' + "[" * 100_000 + "]" * 100_000 + "}", 0) == 0  # too deep for the decoder: read sign by sign
+
+
+def test_classes_of_documents_are_counted_without_a_table_of_whole_elements(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(document_queries, "cut", lambda df: written.append(df.columns) or cut(df))
+    rows = document_queries.element_documents(spark, "/root/testdata/sf0.001").collect()
+    assert not any("members" in columns for columns in written) and {r["class"] for r in rows} == {"route", "way_tags", "ferrata_way", "poi", "parking", "transit", "lift"}
+
+
 def test_areas_are_stored_apart_and_older_stores_read_with_nulls(spark, tmp_path):
     path = str(tmp_path / "store")
     areas = lambda *ids: spark.createDataFrame([(i, True) for i in ids], "area_id int, transit_recorded boolean")

@@ -10,6 +10,7 @@ from itertools import product
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -566,3 +567,13 @@ def test_nearest_of_equal_scores_are_the_smallest_ids(spark):
     for r in ann.report(df).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     assert dict(got) == brute(rows)
+
+
+def test_benchmark_words_of_arrow_slices_are_those_of_python():
+    """Words are split, trimmed and lowered as str does, on Arrow's own rows: no text goes through Python."""
+    texts = [None, "", " ", "The (CAT)\u00a0sat.\x1con\u2003it", "Stra\u00dfe \u00c4RGER, \u201e\u0130stanbul\u201c \u039f\u0394\u039f\u03a3 ... x", "a" * 200 + " " + "a" * 199]
+    want = [[w for w in (w.strip(decontam.EDGE).lower() for w in (t or "").split()) if w] for t in texts]
+    got = decontam.Words().of(pa.array([*texts, "cat"], pa.string()).slice(0, len(texts)))
+    assert [len(h) for h in got] == [len(w) for w in want]
+    pairs = {(w, h) for words, hashes in zip(want, got) for w, h in zip(words, hashes.tolist())}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs}) and 0 not in {h for _, h in pairs}

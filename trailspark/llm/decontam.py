@@ -14,42 +14,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from .common import BitMap, Numbers, cut, fresh, mapped, picked
+from .common import BitMap, cut, fresh, mapped, picked
 
 #: log2 of the bits in the maps that tasks get, whatever the input.
 BITS = 24
 #: Alignment: what a common, a changed and a missing word count; the share of an item's full score that makes a leak.
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
-TABLE_ENTRIES = 100_000
 EDGE = ".,;:!?\"'()[]{}<>*#%&^~`_-/\\|=$@…„“”«»¿¡"
+ASCII_EDGE = "".join(c for c in EDGE if c.isascii())
+#: A number for each byte at each of 64 places.
+RANDOM = np.random.default_rng(11).integers(0, 1 << 64, 64 * 256, np.uint64)
 
 
-class Words:
-    """Hash by distinct word, without case and edge punctuation; 0 where nothing is left."""
+def bytes_of(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, with the end, counted from any number; the bytes of them all."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return ends, np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
 
-    def __init__(self):
-        self.clear()
+def hashes(words: pa.StringArray) -> np.ndarray:
+    """A hash by word, 0 of an empty one: sums of fixed random numbers, one for each byte and place; places go on after 64 with odd factors."""
+    ends, data = bytes_of(words)
+    sizes = np.diff(ends)
+    starts = ends[:-1] - ends[0]
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(starts, sizes)
+    h = RANDOM[((place & 63) << 8) | data]
+    if len(data) and place.max() > 63:
+        h *= (place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    out, some = np.zeros(len(words), np.uint64), sizes > 0
+    if some.any():
+        out[some] = np.maximum(np.add.reduceat(h, starts[some]), np.uint64(1))
+    return out.astype(np.int64)
 
-    def clear(self) -> None:
-        self.numbers, self.hash = Numbers(), np.zeros(0, np.int64)
 
-    def of(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.numbers) > TABLE_ENTRIES:
-            self.clear()
-        at = []
-        for text in texts:
-            words = (text or "").split()
-            at.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
-        new = list(self.numbers)[len(self.hash) :]
-        if new:
-            bare = (w.strip(EDGE).lower() for w in new)
-            self.hash = np.append(self.hash, np.array([xxh64_intdigest(w.encode("utf-8", "replace")) or 1 if w else 0 for w in bare], np.uint64).astype(np.int64))
-        return [h[h != 0] for h in (self.hash[k] for k in at)]
+class Words:
+    """Words of texts as hashes."""
+
+    @staticmethod
+    def of(texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """Of each text the hashes of its words, which stand between white space, without case and edge punctuation; those of which nothing
+        is left don't count. Arrow splits, trims and lowers them, all of a slice at once."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        parts = pc.utf8_split_whitespace(texts.cast(pa.string()))
+        if not len(parts):
+            return []
+        raw = parts.flatten()
+        h = hashes(pc.ascii_lower(pc.ascii_trim(raw, ASCII_EDGE)))
+        ends, data = bytes_of(raw)
+        other = np.unique(np.searchsorted(ends, np.flatnonzero(data > 127) + ends[0], side="right")) - 1
+        if len(other):
+            some = raw.take(pa.array(other))
+            low = pc.utf8_lower(pc.utf8_trim(some, EDGE))
+            odd = pc.match_substring_regex(some, "[\u0130\u03a3]")  # whose small letters hang on what is beside them
+            if pc.any(odd).as_py():
+                low = pc.replace_with_mask(low, odd, pa.array([w.strip(EDGE).lower() for w in some.filter(odd).to_pylist()], pa.string()))
+            h[other] = hashes(low)
+        kept = np.concatenate([[0], np.cumsum(h != 0)])
+        return np.split(h[h != 0], kept[np.cumsum(parts.value_lengths().fill_null(0).to_numpy())][:-1])
 
 
 def chained(parts: list[np.ndarray]) -> np.ndarray:
@@ -128,7 +154,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
     own = picked(docs, doc_id="doc_id", text="text").where(F.col("text").isNotNull()).withColumn("row", F.xxhash64("doc_id", "text"))
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     items = picked(benchmark, item_id="item_id", text="text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
-    items = mapped(items, lambda rows, words: {"item_id": rows["item_id"], "words": words.of(rows["text"].to_pylist())}, f"item_id {item_kind}, words array<long>", Words).where(F.size("words") > 0)
+    items = mapped(items, lambda rows: {"item_id": rows["item_id"], "words": Words.of(rows["text"])}, f"item_id {item_kind}, words array<long>").where(F.size("words") > 0)
     items = cut(items.distinct().withColumn("key", F.xxhash64("item_id", "words")))
     size = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0)).alias("most"), F.coalesce(F.min(F.size("words")), F.lit(0)).alias("least")).first()
     # an alignment spans fewer words of a text than this
@@ -137,10 +163,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
     asked = sc.broadcast(BitMap.of(items.select(F.explode("words").alias("w")), "w", BITS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, words, found = flags_of(asked.value), Words(), Counter()
+        wanted, found = flags_of(asked.value), Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                h = np.concatenate([np.zeros(0, np.int64), *words.of(batch.column(0).slice(at, 256).to_pylist())])
+                h = np.concatenate([np.zeros(0, np.int64), *Words.of(batch.column(0).slice(at, 256))])
                 found.update(dict(zip(*(x.tolist() for x in np.unique(h[wanted[bit(h)]], return_counts=True)))))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
 
@@ -150,11 +176,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
     sought = sc.broadcast(BitMap.of(seeds, "seed", BITS))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, words = flags_of(sought.value), Words()
+        wanted = flags_of(sought.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), {"row": [], "doc_id": [], "start": [], "seeds": [], "words": []}
-                for row, doc, w in zip(part["row"].to_pylist(), part["doc_id"].to_pylist(), words.of(part["text"].to_pylist())):
+                for row, doc, w in zip(part["row"].to_pylist(), part["doc_id"].to_pylist(), Words.of(part["text"])):
                     g, place = found_in(w, single)
                     hits = np.flatnonzero(wanted[bit(g)])
                     hits = hits[np.argsort(place[hits], kind="stable")]

@@ -577,3 +577,22 @@ def test_benchmark_words_of_arrow_slices_are_those_of_python():
     assert [len(h) for h in got] == [len(w) for w in want]
     pairs = {(w, h) for words, hashes in zip(want, got) for w, h in zip(words, hashes.tolist())}
     assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs}) and 0 not in {h for _, h in pairs}
+
+
+def test_a_block_of_queries_keeps_as_many_rows_however_many_vectors_go_by():
+    rng = np.random.default_rng(9)
+    x, y, n, found = rng.integers(-2, 3, (700, 4)).astype(float), rng.integers(-2, 3, (6000, 4)).astype(float), 8, []
+    leaf, ids = rng.integers(0, n, len(y)), rng.permutation(len(y)) + 10_000
+    ways = [np.sort(rng.choice(n, rng.integers(1, n), replace=False)) for _ in x]
+    near = ann.Near(5)
+    for at in (slice(0, 300), slice(300, 700)):
+        near.ask(np.arange(700)[at], x[at], np.concatenate(ways[at]), np.array([len(w) for w in ways[at]]))
+    for k in range(n):
+        for at in range(0, (own := np.flatnonzero(leaf == k)).size, 3):  # fewer at once than are kept
+            near.meet(k, ids[own[at : at + 3]], y[own[at : at + 3]])
+        found.append(len(near.rows_found()[0]))
+    assert max(found) <= 700 * 5
+    got = defaultdict(list)
+    for q, c, s in zip(*near.rows_found()):
+        got[int(q)].append((-float(s), int(c)))
+    assert dict(got) == {q: sorted((-float(x[q] @ y[i]), int(ids[i])) for i in np.flatnonzero(np.isin(leaf, ways[q])))[:5] for q in range(700)}

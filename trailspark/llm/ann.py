@@ -3,10 +3,11 @@
 The forest is fitted on a bounded sample, then every vector goes to its leaf in each tree. A query walks all trees at once,
 best margin first, through a single priority queue, until the leaves it has reached hold enough vectors. How many are enough,
 and how many trees and levels serve it at the least cost, is found on each table: a few queries are answered by a full scan, and
-the reach is the least that finds RECALL of these neighbours; a full scan is one of the choices. Leaf members and the
-queries that reached them meet by a shuffle on the leaf; each meeting keeps the best few, and their inner products are then
+the reach is the least that finds RECALL of these neighbours; a full scan is one of the choices. Vectors are dealt out over a fixed
+number of parts, whatever their leaf, and go by a block of queries leaf by leaf; each query meets those of the leaves it has reached and
+keeps the best few of a part. So a query makes as many rows on a large table as on a small one. Inner products of what is kept are then
 computed anew on the original vectors. Vectors are extended by one component so that nearness is by angle. Equal vectors are
-searched once. Leaves, however full, are dealt out in blocks of vectors by blocks of queries.
+searched once.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut, mapped, picked
 
-#: Distinct vectors that the forest is fitted on, at most; vectors in a leaf, about; block of a full leaf.
+#: Distinct vectors that the forest is fitted on, at most; vectors in a leaf, about; vectors that a block of queries meets at once.
 SAMPLE, LEAF, BLOCK = 20_000, 1600, 4096
 TREES = 8
 #: A query reaches leaves until they hold this many vectors at least (counted once per leaf); smaller tables are scanned whole.
@@ -33,6 +34,8 @@ REACH = 48_000
 RECALL, PROBES = 0.95, 128
 #: What meeting a leaf and placing a vector in a tree cost, in inner products.
 VISIT, PLACE = 1000, 200
+#: Parts that vectors are dealt over; components of the queries that a task holds.
+PARTS, HELD = 8, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -133,6 +136,53 @@ def inner(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+class Near:
+    """The nearest found of a block of queries, of all vectors that go by."""
+
+    def __init__(self, keep: int):
+        self.keep, self.asked, self.x = keep, [], None
+
+    def ask(self, ids: np.ndarray, x: np.ndarray, leaves: np.ndarray, n: np.ndarray) -> None:
+        """Queries with the leaves they have reached, n of them each. All come before the first vector."""
+        self.asked.append((ids, x, leaves, n))
+
+    def begin(self) -> None:
+        self.ids, self.x, leaves, n = map(np.concatenate, zip(*self.asked, strict=True))
+        self.asked, rows, by = [], np.repeat(np.arange(len(n)), n), np.argsort(leaves, kind="stable")
+        self.leaves, self.rows = leaves[by], rows[by]
+        self.score, self.found = np.full((len(n), self.keep), -np.inf), np.zeros((len(n), self.keep), np.int64)  # best first
+
+    def meet(self, leaf: int, ids: np.ndarray, y: np.ndarray) -> None:
+        """Vectors of a leaf. Of equal ones those of the smaller ids count."""
+        if self.x is None:
+            if not self.asked:
+                return
+            self.begin()
+        rows, keep = self.rows[slice(*np.searchsorted(self.leaves, [leaf, leaf + 1]))], self.keep
+        for at in range(0, len(rows), 512):
+            own = rows[at : at + 512]
+            s, least = self.x[own] @ y.T, self.score[own, -1]
+            new = np.isneginf(least)
+            if new.any() and s.shape[1] > keep:
+                least[new] = -np.partition(-s[new], keep - 1, 1)[:, keep - 1]
+            row, col = np.nonzero(s >= least[:, None])
+            if not len(row):
+                continue
+            held = np.unique(row)
+            r = np.concatenate([row, np.repeat(held, keep)])
+            score, c = np.concatenate([s[row, col], self.score[own[held]].ravel()]), np.concatenate([ids[col], self.found[own[held]].ravel()])
+            by = np.lexsort((c, -score, r))
+            first = by[np.arange(len(r)) - np.searchsorted(r[by], r[by]) < keep]
+            self.score[own[held]], self.found[own[held]] = score[first].reshape(-1, keep), c[first].reshape(-1, keep)
+
+    def rows_found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, vector and score of what is kept."""
+        if self.x is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        row, col = np.nonzero(self.score > -np.inf)
+        return self.ids[row], self.found[row, col], self.score[row, col]
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, reach: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query (over vec_id) holds, the query's own
     id excepted; ties go to the smaller id. Ids are integers. Rows that clean leaves out take no part, equal vectors are each listed; vectors of
@@ -212,47 +262,44 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         x = towards(matrix(batch))
         margins = [x @ t.normals.T - t.offsets for t in built]
         ways = [reached(built, [m[i] for m in margins], counts, reach) for i in range(len(x))]
-        return {"q": batch["q"], "v": batch["v"], "way": [[{"tree": t, "leaf": leaf} for t, leaf in way] for way in ways]}
-
-    walked = cut(mapped(asked, walk, f"q {id_type}, v {v_type}, way array<struct<tree int, leaf int>>").select("q", F.col("v").alias("w"), F.explode("way").alias("way")).select("q", "w", "way.tree", "way.leaf"))
-    wanted = np.zeros((trees, leaves), np.int64)
-    for r in walked.groupBy("tree", "leaf").count().collect():
-        wanted[r["tree"], r["leaf"]] = r["count"]
-
-    blocks = lambda held: -(-np.maximum(held, 1) // BLOCK)
-    full = [(t, leaf, int(blocks(counts)[t, leaf]), int(blocks(wanted)[t, leaf])) for t, leaf in np.argwhere(np.maximum(counts, wanted) > BLOCK).tolist()]
-    split = classes.sparkSession.createDataFrame(full, "tree int, leaf int, n_c int, n_q int")
-    one = F.lit(1)
-    dealt = lambda df, own, n_own, n_other, own_name, other: (
-        df.join(F.broadcast(split), ["tree", "leaf"], "left")  # trees x leaves rows at most
-        .withColumn(own_name, F.pmod(F.xxhash64(own), F.coalesce(n_own, one)).cast("int"))
-        .withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(n_other, one) - 1)))
-        .drop("n_c", "n_q")
-    )
-    n_c, n_q = F.col("n_c"), F.col("n_q")
-    left = dealt(walked, "q", n_q, n_c, "qb", "cb")
-    right = dealt(placed, "c", n_c, n_q, "cb", "qb")
-    keys, keep = ["tree", "leaf", "cb", "qb"], k + 5
-
-    def meet(_, a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return out_schema.empty_table()
-        flat = lambda col: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in col.chunks]).astype(float).reshape(len(col), -1)
-        x, y, parts = flat(a["w"]), flat(b["v"]), []
-        place = np.unique(b["c"].to_numpy(), return_inverse=True)[1]
-        for at in range(0, len(x), 512):
-            s = x[at : at + 512] @ y.T
-            row, col = np.nonzero(s >= -np.partition(-s, keep - 1, 1)[:, keep - 1 : keep]) if s.shape[1] > keep else np.indices(s.shape).reshape(2, -1)
-            by = np.lexsort((place[col], -s[row, col], row))  # of equal ones those of the smaller ids
-            row, col = row[by], col[by]
-            first = np.arange(len(row)) - np.searchsorted(row, row) < keep
-            parts.append((at + row[first], col[first], s[row[first], col[first]]))
-        rows_a, rows_b, s = (np.concatenate(z) for z in zip(*parts))
-        return pa.Table.from_arrays([a["q"].take(pa.array(rows_a)), b["c"].take(pa.array(rows_b)), pa.array(s)], schema=out_schema)
-
+        by_tree = lambda way: [{"tree": t, "leaves": [leaf for u, leaf in way if u == t]} for t in sorted({t for t, _ in way})]
+        return {"q": batch["q"], "v": batch["v"], "way": list(map(by_tree, ways))}
+
+    walked = mapped(asked, walk, f"q {id_type}, v {v_type}, way array<struct<tree int, leaves array<int>>>").select("q", "v", F.explode("way").alias("way")).select("q", "v", "way.tree", "way.leaves")
+    # a query goes to all parts, a vector to all blocks of queries
+    parts, blocks = -(-PARTS // trees), max(1, -(-asked.count() // max(512, HELD // (points.shape[1] - 1 or 1))))
+    keys, keep = ["tree", "part", "block"], k + 5
+    some = lambda of, n: F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = walked.select("tree", every(parts).alias("part"), some("q", blocks).alias("block"), F.lit(-1).alias("leaf"), F.col("q").alias("id"), "v", "leaves")
+    right = placed.select("tree", some("c", parts).alias("part"), every(blocks).alias("block"), F.col("leaf"), F.col("c").alias("id"), "v", F.lit(None).cast("array<int>").alias("leaves"))
+    dealt = left.unionByName(right).repartition(trees * parts * blocks, *keys).sortWithinPartitions(*keys, "leaf")  # queries come first
     arrow_id = to_arrow_type(rows.schema["vec_id"].dataType)
-    out_schema = pa.schema([("q", arrow_id), ("c", arrow_id), ("s", pa.float64())])
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"q {id_type}, c {id_type}, s double")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(near: Near) -> pa.RecordBatch:
+            q, c, s = near.rows_found()
+            return pa.RecordBatch.from_pydict({"q": pa.array(q).cast(arrow_id), "c": pa.array(c).cast(arrow_id), "s": pa.array(s)})
+
+        own, near = None, Near(keep)
+        for batch in batches:
+            marks = np.stack([batch[x].to_numpy() for x in (*keys, "leaf")], 1)
+            new = np.append(True, (marks[1:] != marks[:-1]).any(1)) if len(marks) else np.zeros(0, bool)
+            for run in np.split(np.arange(len(marks)), np.flatnonzero(new))[1:]:
+                key, leaf = tuple(marks[run[0], :3]), int(marks[run[0], 3])
+                if key != own:
+                    yield found(near)
+                    own, near = key, Near(keep)
+                for at in range(0, len(run), BLOCK):
+                    part = batch.slice(int(run[0]) + at, min(BLOCK, len(run) - at))
+                    ids, x = part["id"].to_numpy().astype(np.int64), matrix(part)
+                    if leaf < 0:
+                        near.ask(ids, x, part["leaves"].flatten().to_numpy(), part["leaves"].value_lengths().to_numpy())
+                    else:
+                        near.meet(leaf, ids, x)
+        yield found(near)
+
+    met = dealt.mapInArrow(meet, f"q {id_type}, c {id_type}, s double")
     near = met.groupBy("q", "c").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c"))).where(F.col("r") <= keep).select("q", "c")
     near = near.unionByName(asked.select("q", F.col("q").alias("c"))).distinct()
     # exact scores on the original vectors, then members of the classes

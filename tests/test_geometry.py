@@ -200,3 +200,17 @@ def test_line_and_shape_of_turned_ways(spark):
 
 def test_distance_of_a_point_to_itself_is_zero(spark):
     assert spark.range(1).select(haversine_m(F.lit(50.0), F.lit(15.0), F.lit(50.0), F.lit(15.0)).alias("d")).first().d == 0
+
+
+def test_lines_segments_and_lengths_come_from_rows_written_once(spark, monkeypatch):
+    """Of routes in order nothing is written but the rows that lines and segments are read from; a null end of a way counts for no length."""
+    way = lambda r, w, *p: [(1, r, w, k, 50.0, 15.0 + x / 1000) for k, x in enumerate(p)]
+    v = vertices(spark, way(1, 0, 0, 1) + way(1, 1, 1, 2, 3) + way(2, 0, 0, 9) + way(3, 0, 5))
+    written, cut = [], stitch.cut
+    monkeypatch.setattr(stitch, "cut", lambda df: written.append(cut(df)) or written[-1])
+    rows = stitch.walked(v, keep=lambda df: df.where("length_m < 500"))
+    assert "length_m" not in rows.columns and {r.route_id for r in rows.collect()} == {1}
+    rows = stitch.walked(v)
+    whole = lambda df: sorted(map(tuple, df.collect()))
+    assert whole(stitch.segments_of(rows)) == whole(geometry.segments(v)) and whole(stitch.lines(rows)) == whole(stitch.stitch(v))
+    assert [df.count() for df in written[:3]] == [5, 7, 0]

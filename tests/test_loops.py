@@ -75,6 +75,15 @@ def test_what_is_found_within_a_budget_is_whole_up_to_what_it_says(spark, budget
     assert budget or {areas[a].up_to for a in range(6)} == {1}
 
 
+def test_without_a_budget_an_area_of_very_many_pairs_is_searched_to_the_end(spark):
+    """1,100 segments between two nodes make 604,450 pairs, of which those of two of the longest hundred are in the band."""
+    rows = [(0, k, (0, 0), (0, 1), 100.0 if k < 1000 else 200.0, 1, []) for k in range(1100)]
+    sought = loops.search(spark.createDataFrame(rows, SEGMENTS), 400.0, 500.0, 12)
+    got = rows_of(sought.found)
+    assert {x[1] for x in got} == {frozenset((a, b)) for a in range(1000, 1100) for b in range(1000, a)} and len(got) == 4950
+    assert [(r.up_to, r.capped) for r in sought.areas.collect()] == [(13, False)]
+
+
 def test_an_area_without_segments_has_no_row(spark):
     sought = loops.search(spark.createDataFrame([], SEGMENTS), 0.0, 1e5, 12, 100)
     assert sought.found.count() == 0 and sought.areas.count() == 0

@@ -43,6 +43,13 @@ def test_loops_of_parallel_trails(spark):
     assert out and all(0.05 <= r.compactness <= 1 for r in out)
 
 
+def test_shaped_loops_are_all_there_however_many_pairs_an_area_has(spark):
+    """1,010 trails between two places, ten of which lead far round: their 45 loops are found among 509,545 pairs."""
+    edges = network(spark, [[S, (50 + 1e-5 * k, 15.015), T] for k in range(-500, 500)] + [[S, (50.05 + 1e-4 * k, 15.015), T] for k in range(10)])
+    sought = modes.shaped_loops(modes.contracted(edges), 20_000.0, 1e5, Params())
+    assert sought.loops.count() == 45 and [r.capped for r in sought.areas.collect()] == [False]
+
+
 def test_distances_equal_dijkstra(spark):
     rng = random.Random(4)
     nodes = [(50 + 0.002 * i, 15 + 0.003 * j) for i in range(5) for j in range(5)]

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from trailspark.operators import measure, spatial, stitch
+from trailspark.operators import geometry, measure, spatial, stitch
 from trailspark.queries import QUERIES, SQL
 from trailspark.sources import fixture
 
@@ -94,6 +94,16 @@ def test_shared_places_give_what_sql_gives(spark, shared, name):
     assert got == want and got
 
 
+def test_a_route_has_all_objects_of_a_place(spark, shared):
+    """Three objects of two kinds at one place and one elsewhere that has the id of one of them; the second parts of shared places are in the result of the query."""
+    v = spark.createDataFrame([(0, r, 0, k, 50.0, 15.0 + 0.01 * k) for r in (1, 2) for k in (0, 1)], "area_id int, route_id long, way_idx int, vtx_idx int, lat double, lon double")
+    f = [(0, 7, "ruins", "a", 50.001, 15.005), (0, 8, "ruins", "b", 50.001, 15.005), (0, 9, "peak", "c", 50.001, 15.005), (0, 8, "ruins", "b", 50.0005, 15.002)]
+    got = measure.route_pois(geometry.segments(v), spark.createDataFrame(f, FEATURE), ["ruins", "peak"], 250.0).collect()
+    assert sorted((r.route_id, r.kind, r.feature_id, r.f_name, round(r.d)) for r in got) == [(r, *x) for r in (1, 2) for x in [("peak", 9, "c", 111), ("ruins", 7, "a", 111), ("ruins", 8, "b", 56)]]
+    got, want = compared(spark, shared, "route_pois")
+    assert got == want and any(r[2] >= 3600 for r in got)  # area_id, d, feature_id
+
+
 def test_a_line_reads_its_vertices_once(spark):
     """Once stitched, a line reads only what was written of the vertices."""
     v = spark.createDataFrame([(0, r, w, k, 50.0 + 0.001 * (w + k), 15.0) for r in range(4) for w in range(3) for k in (0, 1)], "area_id int, route_id long, way_idx int, vtx_idx int, lat double, lon double")

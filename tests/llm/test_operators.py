@@ -443,6 +443,23 @@ def slow_components(texts, n, percent):
     return {k: (len(sets[k]), find(k)) for k in range(len(texts))}
 
 
+def test_only_candidates_of_the_join_have_prefixes_of_further_orders(spark, monkeypatch):
+    """Of 80 texts two are near copies: no table holds more than a few rows of the second order."""
+    rng, held, cut = random.Random(3), [], ngramjoin.cut
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(79)]
+    texts.append(texts[0] + " more words")
+
+    def seen(df):
+        out = cut(df)
+        held.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(ngramjoin, "cut", seen)
+    got = {r.doc_id: r.component_id for r in ngramjoin.find_components(docs(spark, texts), 5, 80).collect()}
+    assert len(set(got.values())) == 79
+    assert max(n for columns, n in held if "p2" in columns) < 10
+
+
 @pytest.mark.parametrize("n, percent, small, bin_weight", [(4, 85, 4, 3000), (5, 80, 4, 3000), (4, 85, ngramjoin.SMALL, ngramjoin.BIN), (5, 80, 2, ngramjoin.BIN)])
 def test_components_equal_brute_force(spark, monkeypatch, n, percent, small, bin_weight):
     monkeypatch.setattr(ngramjoin, "SMALL", small)
